@@ -20,7 +20,7 @@ LOWER[65:91] += 32
 LETTER = np.zeros(256, bool)
 LETTER[65:91] = LETTER[97:123] = True
 MARK = np.zeros(256, bool)
-MARK[[ord(c) for c in ".,;:|!?"]] = True
+MARK[[ord(c) for c in ".,;:!?"]] = True
 
 
 def blocks(batches: Iterable[pa.RecordBatch], text: str, limit: int = 48 << 20) -> Iterator[pa.Table]:
@@ -107,11 +107,16 @@ def _encoded(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, pa.Array
     return out.indices.to_numpy(zero_copy_only=False), out.dictionary
 
 
-def words(texts: Texts, lower: bool) -> Tokens:
-    """Maximal runs of bytes other than space and 9 to 13; A-Z made lower case if asked."""
+def words(texts: Texts, lower: bool, marks: bool = False) -> Tokens:
+    """Maximal runs of bytes other than space and 9 to 13; A-Z made lower case if asked.
+
+    With ``marks`` a run is cut before each mark that follows a letter.
+    """
     data, start = texts.data, texts.start
     solid = ~SPACE[data]
     edge = np.zeros(len(data) + 1, bool)
+    if marks and len(data):
+        edge[1:-1] = LETTER[data[:-1]] & MARK[data[1:]]
     edge[start] = True
     first = solid.copy()
     first[1:] &= ~solid[:-1] | edge[1:-1]
