@@ -6,11 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from varloom.llm import exact, quality
+from varloom.llm import exact, language, mixing, near, packing, quality, token_counts
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op8_exact_groups": exact.op8_exact_groups, "op10_line_quality": quality.op10_line_quality}
+    return {
+        "op1_packed_ids": packing.op1_packed_ids,
+        "op4_vector_packing": packing.op4_vector_packing,
+        "op5_mix_sources": mixing.op5_mix_sources,
+        "op6_token_counts": token_counts.op6_token_counts,
+        "op7_near_duplicates": near.op7_near_duplicates,
+        "op8_exact_groups": exact.op8_exact_groups,
+        "op9_language": language.op9_language,
+        "op10_line_quality": quality.op10_line_quality,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
