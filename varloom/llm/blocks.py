@@ -96,7 +96,7 @@ class Tokens:
         return np.repeat(np.arange(len(self.start) - 1), self.counts)
 
 
-def _encoded(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, pa.Array]:
+def encoded(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, pa.Array]:
     """Codes of the consecutive pieces data[bounds[i]:bounds[i + 1]], and the distinct pieces."""
     n = len(bounds) - 1
     if n <= 0:
@@ -124,7 +124,7 @@ def words(texts: Texts, lower: bool, marks: bool = False) -> Tokens:
     last[:-1] &= ~solid[1:] | edge[1:-1]
     begin, end = np.flatnonzero(first), np.flatnonzero(last) + 1
     kept = data[solid]
-    code, distinct = _encoded(LOWER[kept] if lower else kept, np.concatenate([[0], np.cumsum(end - begin)]))
+    code, distinct = encoded(LOWER[kept] if lower else kept, np.concatenate([[0], np.cumsum(end - begin)]))
     return Tokens(code, np.searchsorted(begin, start), distinct)
 
 
@@ -138,7 +138,7 @@ def units(texts: Texts) -> Tokens:
         cut[1:-1] = (~space[:-1] & space[1:]) | (LETTER[data[:-1]] & MARK[data[1:]])
     cut[start] = True
     bounds = np.flatnonzero(cut)
-    code, distinct = _encoded(data, bounds)
+    code, distinct = encoded(data, bounds)
     return Tokens(code, np.searchsorted(bounds, start), distinct)
 
 

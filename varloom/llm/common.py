@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,18 +16,33 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df computed once and cut from its lineage, in the folder that the cluster shares.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    ``spark.checkpoint.dir`` names that folder; only where it is unset (tests, one machine) a
-    temporary folder is made.
+    Only where that is unset (tests, one machine) a temporary folder is made.
     """
-    spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoints-"))
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        folder = spark.sparkContext.getCheckpointDir()
+        if folder is None:
+            spark.sparkContext.setCheckpointDir(folder := tempfile.mkdtemp(prefix="spark-checkpoints-"))
+    return folder
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df computed once and cut from its lineage, for small tables."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
+def written(df: DataFrame) -> DataFrame:
+    """df computed once and cut from its lineage, as a compressed table of its own in the shared folder."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def whole_text(text: str) -> Column:
     """The text, with null as the empty text."""
     return F.coalesce(F.col(text).cast("string"), F.lit(""))

@@ -125,13 +125,13 @@ def cells(members: DataFrame, block: int) -> DataFrame:
     return own.select("bucket", "band", "doc_id", "own", F.explode(place).alias("c")).select("bucket", "band", "doc_id", "own", "c.x", "c.y")
 
 
-def whole_cells(batches: Iterator[pa.RecordBatch], rows: int = 4096) -> Iterator[tuple[pa.Table, np.ndarray]]:
-    """The task's rows, which are in the order of their cells, as tables of whole cells, and where the cells begin."""
+def whole_groups(batches: Iterator[pa.RecordBatch], by: list[str], rows: int) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """The task's rows, which are sorted by whole numbers, as tables of whole groups of about ``rows`` rows, and where the groups begin."""
     held: list[pa.RecordBatch] = []
 
     def cut(final: bool) -> tuple[pa.Table, np.ndarray] | None:
         table = pa.Table.from_batches(held).combine_chunks()
-        a = np.stack([table.column(c).to_numpy() for c in ("bucket", "x", "y")])
+        a = np.stack([table.column(c).to_numpy() for c in by])
         begin = np.append(0, np.flatnonzero((a[:, 1:] != a[:, :-1]).any(0)) + 1)
         if not final:
             begin, end = begin[:-1], begin[-1]
@@ -238,22 +238,22 @@ def near_duplicates(
     buckets = heads.select("doc_id", F.posexplode(bands).alias("band", "bucket"))
     shared = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
     dealt = cells(buckets.join(shared, "bucket"), block).join(heads, "doc_id")
+    order = ["bucket", "x", "y"]
     held = "bucket bigint, x bigint, y bigint, band int, own bigint, doc_id {}, n_shingles bigint, registers binary"
 
     def worth(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table, begin in whole_cells(batches):
+        for table, begin in whole_groups(batches, order, 4096):
             used = np.zeros(table.num_rows, bool)
             for i, j, _ in rule.candidates(table, begin):
                 used[i] = used[j] = True
             yield from table.filter(pa.array(used)).to_batches()
 
     columns = [c.split()[0] for c in held.split(", ")]
-    order = ["bucket", "x", "y"]
     near = checkpointed(dealt.select(*columns).repartition(*order).sortWithinPartitions(*order).mapInArrow(worth, held.format(kind)))
     texts = near.join(read.withColumnRenamed("i", "doc_id"), "doc_id").dropDuplicates([*order, "doc_id"])
 
     def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table, begin in whole_cells(batches, 1024):
+        for table, begin in whole_groups(batches, order, 1024):
             z, start, _ = shingles(Texts.of(table.column("t")), width)
             sets: dict[int, np.ndarray] = {}
             full = lambda k: sets[k] if k in sets else sets.setdefault(k, np.unique(z[start[k] : start[k + 1]]))
@@ -266,8 +266,8 @@ def near_duplicates(
 
             links: list[tuple[int, int]] = []
             for i, j, same in rule.candidates(table, begin):
-                order = np.argsort(-same, kind="stable")
-                for a, b in zip(i[order].tolist(), j[order].tolist(), strict=True):
+                best = np.argsort(-same, kind="stable")
+                for a, b in zip(i[best].tolist(), j[best].tolist(), strict=True):
                     if (p := top(a)) == (q := top(b)):
                         continue
                     s, t = full(a), full(b)
