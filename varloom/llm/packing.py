@@ -228,9 +228,13 @@ def op1_packed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def op4_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per piece of the vector packing of ``documents``."""
+def vector_packed_pieces(docs: DataFrame) -> DataFrame:
+    """One row per piece of the vector packing of ``docs``, each document with its end id 1."""
     import public_tokenizers
 
     packer = dot_product_packing(2048, 256, 2048, 32)
-    return pieces(packed(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), 1, packer, 2048))
+    return pieces(packed(docs, public_tokenizers.path("word_bpe_49k.json"), 1, packer, 2048))
+
+
+def op4_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_packed_pieces(documents(spark, sf_dir))

@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from varloom.llm.blocks import SPACE, Texts, blocks, words
 from varloom.llm.common import documents
@@ -88,6 +89,7 @@ def line_quality(
     min_words: int = 20,
     max_repeat_percent: int = 30,
     window: int = 8,
+    carry: tuple[str, ...] = (),
 ) -> DataFrame:
     """One row per row of ``docs``: counts, the verdict, and the text without the lines that failed.
 
@@ -99,8 +101,8 @@ def line_quality(
     lines held more than ``max_lost`` of the words.
 
     Null text: no words, base_failed, cleaned is null.  Empty text: the same with cleaned ''.  Null
-    ids and repeated rows are judged like any other.  Only the id and the text are read, so further
-    columns of any name do no harm.  An empty table gives an empty result.  Needs no shuffle; a task
+    ids and repeated rows are judged like any other.  Only the id, the text and the columns named in
+    ``carry`` are read; those are returned as the struct ``carried``, so their names do no harm.  An empty table gives an empty result.  Needs no shuffle; a task
     holds one block of texts (48 MB, or one longer text).
     """
 
@@ -140,12 +142,15 @@ def line_quality(
                     pa.array(texts.count(SYMBOLS[texts.data]).astype(np.int64)), pa.array(out["dup"], pa.int64()), pa.array(repeat.astype(np.int64)),
                     pa.array(base), *(pa.array(out[k], pa.int64()) for k in ("lines", "punctuation", "navigation", "boilerplate")),
                     pa.array(lost, pa.float64()), pa.array(~base & (lost <= max_lost)), pa.array(out["cleaned"], pa.string()),
+                    *([table.column("carried").combine_chunks()] if carry else []),
                 ],
-                names=[x.split()[0] for x in SCHEMA.split(", ")],
+                names=[*(x.split()[0] for x in SCHEMA.split(", ")), *(["carried"] if carry else [])],
             )
 
-    read = docs.select(docs[id_col].alias("i"), docs[text_col].cast("string").alias("t"))
-    return read.mapInArrow(judge, SCHEMA.format(id=dict(read.dtypes)["i"]))
+    kept = [F.struct(*(docs[c] for c in carry)).alias("carried")] if carry else []
+    read = docs.select(docs[id_col].alias("i"), docs[text_col].cast("string").alias("t"), *kept)
+    types = dict(read.dtypes)
+    return read.mapInArrow(judge, SCHEMA.format(id=types["i"]) + (f", carried {types['carried']}" if carry else ""))
 
 
 def op10_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

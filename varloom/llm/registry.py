@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from varloom.llm import exact, language, language_model, mixing, near, packing, quality, token_counts
+from varloom.llm import exact, language, language_model, mixing, near, packing, quality, token_counts, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_packed_ids": packing.op1_packed_ids,
         "op2_language_model": language_model.op2_language_model,
+        "op3_warc_derivatives": warc.op3_warc_derivatives,
         "op4_vector_packing": packing.op4_vector_packing,
         "op5_mix_sources": mixing.op5_mix_sources,
         "op6_token_counts": token_counts.op6_token_counts,
