@@ -1 +1 @@
-""""""
+"""Operators: functions of DataFrames and parameters that return DataFrames."""

@@ -6,10 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from varloom.plans import calls_queries
+from varloom.plans.projections import Tables, with_projections
+
+ALL: dict[str, tuple[Callable[[Tables], DataFrame], str | None]] = {**calls_queries.QUERIES}
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {name: (lambda spark, folder, f=f: f(Tables(spark, folder))) for name, (f, _) in ALL.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: with_projections(sql) for name, (_, sql) in ALL.items() if sql}
