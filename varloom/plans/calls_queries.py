@@ -79,7 +79,7 @@ QUERIES: dict[str, tuple[Callable[[Tables], DataFrame], str | None]] = {
     "f1_f6_f7_labels": (
         lambda t: labelled(t).select("sample_id", "chrom", "pos", filters.filter_string().alias("filter")),
         LABELS + """ select sample_id, chrom, pos, case when s = '' then 'PASS' else s end as filter from (select *, array_to_string(list_filter([case when f1 then 'near_exon' end, case when f2 then 'clustered_mutation' end,
-        case when f3 then 'vdb_bias' end, case when f4 then 'rpb_bias' end, case when f5 then 'mqb_bias' end, case when f6 then 'bqb_bias' end, case when f7 then 'mqsb_bias' end], x -> x is not null), ';') as s from l)""",
+        case when f3 then 'vdb_bias' end, case when f4 then 'rpb_bias' end, case when f5 then 'mqb_bias' end, case when f6 then 'bqb_bias' end, case when f7 then 'mqsb_bias' end], lambda x: x is not null), ';') as s from l)""",
     ),
     "f8_keep_clean": (
         lambda t: filters.keep_clean(labelled(t)).groupBy("sample_id").agg(F.count(F.lit(1)).alias("n")),
@@ -88,7 +88,7 @@ QUERIES: dict[str, tuple[Callable[[Tables], DataFrame], str | None]] = {
     "f5_sequencing_error": (
         lambda t: filters.label_seq_error(t.calls).groupBy("sample_id").agg(F.count_if(F.size("filters") > 0).alias("n_labelled"), F.count(F.lit(1)).alias("n")),
         """with pairs as (select distinct coverage, n_support from calls), tails as (select coverage, n_support,
-        1 - list_sum(list_transform(range(0, n_support + 1), k -> exp(lgamma(coverage + 1) - lgamma(k + 1) - lgamma(coverage - k + 1) + k * ln(0.001) + (coverage - k) * ln(0.999)))) as p from pairs where coverage > n_support
+        1 - list_sum(list_transform(range(0, n_support + 1), lambda k: exp(lgamma(coverage + 1) - lgamma(k + 1) - lgamma(coverage - k + 1) + k * ln(0.001) + (coverage - k) * ln(0.999)))) as p from pairs where coverage > n_support
         union all select coverage, n_support, 0.0 from pairs where coverage <= n_support)
         select sample_id, count(*) filter (p >= 1e-4) as n_labelled, count(*) as n from calls join tails using (coverage, n_support) group by sample_id""",
     ),
