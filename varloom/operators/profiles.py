@@ -70,7 +70,7 @@ def cpg_ratio(calls: DataFrame, key: list[str], anchored: bool = True) -> DataFr
     cpg = F.substring(c, middle + 1, F.lit(1)) == "G" if anchored else c.rlike("..G")
     ct = calls.filter(mutation_type() == "C>T")
     out = ct.groupBy(*key).agg(F.count_if(cpg).alias("n_cpg"), F.count_if(~cpg).alias("n_other"))
-    return out.withColumn("log2_ratio", F.log2(F.col("n_cpg") / F.col("n_other")))
+    return out.withColumn("log2_ratio", F.log2(F.try_divide("n_cpg", "n_other")))
 
 
 def diversity(expression: DataFrame, pseudo: float = 0.0) -> DataFrame:
@@ -78,7 +78,7 @@ def diversity(expression: DataFrame, pseudo: float = 0.0) -> DataFrame:
     e = expression.withColumn("v", F.col("tpm") + pseudo).filter("v > 0")
     total = e.groupBy("sample_id").agg(F.sum("v").alias("s"))
     p = F.col("v") / F.col("s")
-    return e.join(total, "sample_id").groupBy("sample_id").agg((-F.sum(p * F.log2(p))).alias("entropy"), F.count(F.lit(1)).alias("n_genes")).withColumn("diversity", F.col("entropy") / F.log2("n_genes"))
+    return e.join(total, "sample_id").groupBy("sample_id").agg((-F.sum(p * F.log2(p))).alias("entropy"), F.count(F.lit(1)).alias("n_genes")).withColumn("diversity", F.try_divide(F.col("entropy"), F.log2("n_genes")))
 
 
 def kmer_counts(sequences: DataFrame, key: str, k: int) -> DataFrame:
@@ -118,4 +118,4 @@ def profile_similarity(profiles: DataFrame, key: str = "tissue") -> DataFrame:
     norm = p.groupBy(key).agg(F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("s"))
     dots = a.join(b, "mut_type").filter("a < b").groupBy("a", "b").agg(F.sum(F.col("x") * F.col("y")).alias("dot"))
     na, nb = norm.select(F.col(key).alias("a"), F.col("s").alias("sa")), norm.select(F.col(key).alias("b"), F.col("s").alias("sb"))
-    return dots.join(na, "a").join(nb, "b").select("a", "b", (F.col("dot") / (F.col("sa") * F.col("sb"))).alias("cosine"))
+    return dots.join(na, "a").join(nb, "b").select("a", "b", F.try_divide(F.col("dot"), F.col("sa") * F.col("sb")).alias("cosine"))

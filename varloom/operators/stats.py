@@ -10,6 +10,11 @@ from varloom.functions.tails import chi2_p, student_p
 from varloom.operators.windows import average_rank, quantile_groups
 
 
+def safe_corr(x: str, y: str) -> Column:
+    """Aggregate: Pearson correlation, null where a side is constant."""
+    return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
+
+
 def correlate(df: DataFrame, x: str, y: str, key: list[str], method: str = "pearson", with_p: bool = True) -> DataFrame:
     """Correlation of two columns in each group, over rows that have both: n, r, t, p."""
     d = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*key, F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
@@ -17,8 +22,8 @@ def correlate(df: DataFrame, x: str, y: str, key: list[str], method: str = "pear
         d = d.withColumn("x2", average_rank("x", key)).withColumn("y2", average_rank("y", key)).select(*key, F.col("x2").alias("x"), F.col("y2").alias("y"))
     elif method != "pearson":
         raise ValueError(f"unknown method {method}")
-    out = d.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.corr("x", "y").alias("r"))
-    out = out.withColumn("t", F.col("r") * F.sqrt((F.col("n") - 2) / (1 - F.col("r") * F.col("r"))))
+    out = d.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), safe_corr("x", "y").alias("r"))
+    out = out.withColumn("t", F.col("r") * F.sqrt(F.try_divide(F.col("n") - 2, F.greatest(F.lit(0.0), 1 - F.col("r") * F.col("r")))))
     return out.withColumn("p", student_p("t", F.col("n") - 2)) if with_p else out
 
 
@@ -34,8 +39,8 @@ def rank_sum(df: DataFrame, value: str, label: str, key: list[str]) -> DataFrame
     )
     n = F.col("n1") + F.col("n2")
     w = F.col("rs") - F.col("n1") * (F.col("n1") + 1) / 2
-    sd = F.sqrt(F.col("n1") * F.col("n2") / 12 * (n + 1 - F.col("ties") / (n * (n - 1))))
-    out = s.withColumn("w", w).withColumn("z", (F.col("w") - F.col("n1") * F.col("n2") / 2) / sd)
+    sd = F.sqrt(F.col("n1") * F.col("n2") / 12 * (n + 1 - F.coalesce(F.try_divide(F.col("ties"), n * (n - 1)), F.lit(0.0))))
+    out = s.withColumn("w", w).withColumn("z", F.try_divide(F.col("w") - F.col("n1") * F.col("n2") / 2, sd))
     return out.withColumn("p", 2 * normal_cdf(-F.abs("z"))).select(*key, "n1", "n2", "w", "z", "p")
 
 
@@ -45,7 +50,7 @@ def signed_rank(df: DataFrame, x: str, y: str, key: list[str]) -> DataFrame:
     r = d.withColumn("r", average_rank("a", key)).withColumn("c", F.count(F.lit(1)).over(Window.partitionBy(*key, "a")))
     s = r.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.sum(F.when(F.col("d") > 0, F.col("r")).otherwise(0.0)).alias("v"), F.sum((F.col("c") * F.col("c") - 1).cast("double")).alias("ties"))
     n = F.col("n")
-    return s.withColumn("z", (F.col("v") - n * (n + 1) / 4) / F.sqrt(n * (n + 1) * (2 * n + 1) / 24 - F.col("ties") / 48)).drop("ties")
+    return s.withColumn("z", F.try_divide(F.col("v") - n * (n + 1) / 4, F.sqrt(n * (n + 1) * (2 * n + 1) / 24 - F.col("ties") / 48))).drop("ties")
 
 
 def ks_two_sample(df: DataFrame, value: str, label: str, key: list[str]) -> DataFrame:
@@ -55,7 +60,7 @@ def ks_two_sample(df: DataFrame, value: str, label: str, key: list[str]) -> Data
     mine = F.col(label) == F.col("first")
     at = d.groupBy(*key, F.col(value).alias("v")).agg(F.count_if(mine).alias("a"), F.count_if(~mine).alias("b"))
     run, every = Window.partitionBy(*key).orderBy("v").rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy(*key)
-    gap = F.abs(F.sum("a").over(run) / F.sum("a").over(every) - F.sum("b").over(run) / F.sum("b").over(every))
+    gap = F.abs(F.try_divide(F.sum("a").over(run), F.sum("a").over(every)) - F.try_divide(F.sum("b").over(run), F.sum("b").over(every)))
     return at.withColumn("gap", gap).groupBy(*key).agg(F.max("gap").alias("d"), F.sum("a").alias("n1"), F.sum("b").alias("n2"))
 
 
@@ -125,7 +130,7 @@ def permutation_fdr(real: DataFrame, permuted: DataFrame, p: str = "p", key: lis
     )
     at = both.groupBy(*key, p).agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
     run, every = Window.partitionBy(*key).orderBy(p).rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy(*key)
-    fdr = F.sum("b").over(run) / F.sum("b").over(every) * F.sum("a").over(every) / F.sum("a").over(run)
+    fdr = F.try_divide(F.try_divide(F.sum("b").over(run), F.sum("b").over(every)) * F.sum("a").over(every), F.sum("a").over(run))
     return at.withColumn("fdr", fdr).filter("a > 0").select(*key, p, F.col("a").alias("n"), "fdr")
 
 
@@ -199,7 +204,7 @@ def permuted_correlation(df: DataFrame, x: str, y: str, unit: str, key: list[str
 
 def permuted_cosine(df: DataFrame, a: str, b: str, unit: str, key: list[str], n: int = 100, seed: int = 1) -> DataFrame:
     """Cosine of two columns of each group with the share of permutations that reach it."""
-    cos = lambda d, k: d.groupBy(*k).agg((F.sum(F.col(a) * F.col(b)) / F.sqrt(F.sum(F.col(a) * F.col(a)) * F.sum(F.col(b) * F.col(b)))).alias("c"))
+    cos = lambda d, k: d.groupBy(*k).agg(F.try_divide(F.sum(F.col(a) * F.col(b)), F.sqrt(F.sum(F.col(a) * F.col(a)) * F.sum(F.col(b) * F.col(b)))).alias("c"))
     real = cos(df, key).withColumnRenamed("c", "cosine")
     perm = cos(permute(df.select(*key, unit, a, b), key, b, unit, n, seed), [*key, "perm_id"])
     return perm.join(real, key).groupBy(*key).agg(F.first("cosine").alias("cosine"), F.avg((F.col("c") >= F.col("cosine")).cast("double")).alias("p"))
@@ -221,7 +226,7 @@ def driver_enrichment(counts: DataFrame, targets: DataFrame, random_sets: DataFr
     real = counts.join(targets.select("gene_id").distinct(), "gene_id").agg(F.avg("n").alias("target_mean"))
     sets = random_sets.join(counts, "gene_id").groupBy("perm_id").agg(F.avg("n").alias("m"))
     both = sets.join(F.broadcast(real), how="cross")  # one row
-    return both.agg(F.first("target_mean").alias("target_mean"), F.avg("m").alias("random_mean"), F.log2(F.first("target_mean") / F.avg("m")).alias("log2_ratio"), F.avg((F.col("m") >= F.col("target_mean")).cast("double")).alias("p"))
+    return both.agg(F.first("target_mean").alias("target_mean"), F.avg("m").alias("random_mean"), F.log2(F.try_divide(F.first("target_mean"), F.avg("m"))).alias("log2_ratio"), F.avg((F.col("m") >= F.col("target_mean")).cast("double")).alias("p"))
 
 
 def silhouette(points: DataFrame, features: str, label: str, id_col: str) -> DataFrame:
@@ -244,7 +249,7 @@ def silhouette(points: DataFrame, features: str, label: str, id_col: str) -> Dat
     dist = each.withColumn("m", mean).groupBy(id_col, label).agg(
         F.max(F.when(F.col(label) == F.col("_other"), F.col("m"))).alias("a"), F.min(F.when(F.col(label) != F.col("_other"), F.col("m"))).alias("b")
     )
-    width = F.when(F.col("a").isNull(), 0.0).otherwise((F.col("b") - F.col("a")) / F.greatest("a", "b"))
+    width = F.when(F.col("a").isNull(), 0.0).otherwise(F.coalesce(F.try_divide(F.col("b") - F.col("a"), F.greatest("a", "b")), F.lit(0.0)))
     return dist.groupBy(label).agg(F.avg(width).alias("silhouette"), F.count(F.lit(1)).alias("n"))
 
 

@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from varloom.plans import calls_queries
+from varloom.plans import calls_queries, stats_queries
 from varloom.plans.projections import Tables, with_projections
 
-ALL: dict[str, tuple[Callable[[Tables], DataFrame], str | None]] = {**calls_queries.QUERIES}
+ALL: dict[str, tuple[Callable[[Tables], DataFrame], str | None]] = {**calls_queries.QUERIES, **stats_queries.QUERIES}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -75,6 +74,26 @@ where o_orderkey < 500
 """,
     "catalogue": """
 select distinct chrom, pos, ref, alt from calls where (pos + 1) % 4 = 0
+""",
+    "cds": """
+select gene_id, chrom, strand, pos, base, row_number() over (partition by gene_id order by case when strand = '-' then -pos else pos end) as cds_pos
+from (select concat(gene_id, '_', chrom, strand) as gene_id, chrom, strand, pos, case when strand = '-' then translate(b, 'ACGT', 'TGCA') else b end as base
+  from (select gene_id, chrom, strand, start_pos + p_partkey - 1 as pos,
+      substr('ATGC', cast(cast(floor(((start_pos + p_partkey - 1) * 2654435761 + cast(substr(chrom, 4, 1) as bigint) * 40503) / 65536.0) as bigint) % 4 as int) + 1, 1) as b
+    from exons join part on p_partkey between 1 and 26 and start_pos + p_partkey - 1 < end_pos) x) y
+""",
+    "gene_calls": """
+select c.sample_id, c.tissue, c.chrom, c.pos, c.ref, c.alt, c.context, c.coverage, c.n_support, e.gene_id, e.strand
+from calls c join exons e on c.chrom = e.chrom and c.pos >= e.start_pos and c.pos < e.end_pos
+""",
+    "sample_counts": """
+select m.sample_id, m.tissue, m.subject_id, m.age, m.bmi, m.gender, m.n_unique_mapped, k.n
+from sample_meta m join (select sample_id, count(*) as n from calls group by sample_id) k on m.sample_id = k.sample_id
+""",
+    "pairs": """
+select a.sample_id % 10 as subject_id, a.chrom, a.pos, a.ref as ref1, a.alt as alt1, a.n_support as alt_n1, a.coverage as cov1,
+  b.ref as ref2, case when b.n_support < 3 then 'X' else b.alt end as alt2, case when b.n_support < 3 then 0 else b.n_support end as alt_n2, b.coverage as cov2
+from calls a join calls b on a.chrom = b.chrom and a.pos = b.pos and a.sample_id + 10 = b.sample_id
 """,
 }
 
@@ -113,34 +132,9 @@ class Tables:
                 text, known[name] = found, tables.get(name) or (self.base(name) if name in BASE else getattr(self, name))
         return self.spark.sql(text, **known)
 
-    @cached_property
-    def calls(self) -> DataFrame:
-        return self.sql(PROJECTIONS["calls"])
-
-    @cached_property
-    def exons(self) -> DataFrame:
-        return self.sql(PROJECTIONS["exons"])
-
-    @cached_property
-    def pileup(self) -> DataFrame:
-        return self.sql(PROJECTIONS["pileup"])
-
-    @cached_property
-    def depth(self) -> DataFrame:
-        return self.sql(PROJECTIONS["depth"])
-
-    @cached_property
-    def sample_meta(self) -> DataFrame:
-        return self.sql(PROJECTIONS["sample_meta"])
-
-    @cached_property
-    def expression(self) -> DataFrame:
-        return self.sql(PROJECTIONS["expression"])
-
-    @cached_property
-    def genotypes(self) -> DataFrame:
-        return self.sql(PROJECTIONS["genotypes"])
-
-    @cached_property
-    def catalogue(self) -> DataFrame:
-        return self.sql(PROJECTIONS["catalogue"])
+    def __getattr__(self, name: str) -> DataFrame:
+        if name not in PROJECTIONS:
+            raise AttributeError(name)
+        made = self.sql(PROJECTIONS[name])
+        self.__dict__[name] = made
+        return made
