@@ -94,6 +94,20 @@ from sample_meta m join (select sample_id, count(*) as n from calls group by sam
 select a.sample_id % 10 as subject_id, a.chrom, a.pos, a.ref as ref1, a.alt as alt1, a.n_support as alt_n1, a.coverage as cov1,
   b.ref as ref2, case when b.n_support < 3 then 'X' else b.alt end as alt2, case when b.n_support < 3 then 0 else b.n_support end as alt_n2, b.coverage as cov2
 from calls a join calls b on a.chrom = b.chrom and a.pos = b.pos and a.sample_id + 10 = b.sample_id
+""",
+    "reads": """
+select read_id, sample_id, concat('chr', cast(ci as varchar(9))) as chrom, start_pos as start, is_reverse, qual,
+  concat(case when mutated and l_linenumber = 1 then substr('GCAT', cast(cast(floor(((start_pos + 0) * 2654435761 + ci * 40503) / 65536.0) as bigint) % 4 as int) + 1, 1) else substr('ATGC', cast(cast(floor(((start_pos + 0) * 2654435761 + ci * 40503) / 65536.0) as bigint) % 4 as int) + 1, 1) end,
+    case when mutated and l_linenumber = 2 then substr('GCAT', cast(cast(floor(((start_pos + 1) * 2654435761 + ci * 40503) / 65536.0) as bigint) % 4 as int) + 1, 1) else substr('ATGC', cast(cast(floor(((start_pos + 1) * 2654435761 + ci * 40503) / 65536.0) as bigint) % 4 as int) + 1, 1) end,
+    case when mutated and l_linenumber = 3 then substr('GCAT', cast(cast(floor(((start_pos + 2) * 2654435761 + ci * 40503) / 65536.0) as bigint) % 4 as int) + 1, 1) else substr('ATGC', cast(cast(floor(((start_pos + 2) * 2654435761 + ci * 40503) / 65536.0) as bigint) % 4 as int) + 1, 1) end,
+    case when mutated and l_linenumber = 4 then substr('GCAT', cast(cast(floor(((start_pos + 3) * 2654435761 + ci * 40503) / 65536.0) as bigint) % 4 as int) + 1, 1) else substr('ATGC', cast(cast(floor(((start_pos + 3) * 2654435761 + ci * 40503) / 65536.0) as bigint) % 4 as int) + 1, 1) end,
+    case when mutated and l_linenumber = 5 then substr('GCAT', cast(cast(floor(((start_pos + 4) * 2654435761 + ci * 40503) / 65536.0) as bigint) % 4 as int) + 1, 1) else substr('ATGC', cast(cast(floor(((start_pos + 4) * 2654435761 + ci * 40503) / 65536.0) as bigint) % 4 as int) + 1, 1) end,
+    case when mutated and l_linenumber = 6 then substr('GCAT', cast(cast(floor(((start_pos + 5) * 2654435761 + ci * 40503) / 65536.0) as bigint) % 4 as int) + 1, 1) else substr('ATGC', cast(cast(floor(((start_pos + 5) * 2654435761 + ci * 40503) / 65536.0) as bigint) % 4 as int) + 1, 1) end,
+    case when mutated and l_linenumber = 7 then substr('GCAT', cast(cast(floor(((start_pos + 6) * 2654435761 + ci * 40503) / 65536.0) as bigint) % 4 as int) + 1, 1) else substr('ATGC', cast(cast(floor(((start_pos + 6) * 2654435761 + ci * 40503) / 65536.0) as bigint) % 4 as int) + 1, 1) end,
+    case when mutated and l_linenumber = 8 then substr('GCAT', cast(cast(floor(((start_pos + 7) * 2654435761 + ci * 40503) / 65536.0) as bigint) % 4 as int) + 1, 1) else substr('ATGC', cast(cast(floor(((start_pos + 7) * 2654435761 + ci * 40503) / 65536.0) as bigint) % 4 as int) + 1, 1) end) as seq
+from (select l_orderkey * 10 + l_linenumber as read_id, (l_orderkey + l_suppkey) % 40 as sample_id, l_partkey % 5 + 1 as ci, l_linenumber,
+    cast(floor(l_partkey / 250.0) as bigint) * 200 + l_linenumber % 3 + 10 as start_pos, l_suppkey % 2 = 0 as is_reverse, l_quantity % 3 = 0 as mutated, cast(l_quantity as int) % 20 + 20 as qual
+  from lineitem) r
 """,
 }
 

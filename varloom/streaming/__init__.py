@@ -1 +1 @@
-""""""
+"""Operators over streams of pileup rows."""
