@@ -23,18 +23,24 @@ MARK = np.zeros(256, bool)
 MARK[[ord(c) for c in ".,;:!?"]] = True
 
 
-def blocks(batches: Iterable[pa.RecordBatch], text: str, limit: int = 48 << 20) -> Iterator[pa.Table]:
-    """Tables of about ``limit`` bytes of text, made of the task's batches."""
+def blocks(batches: Iterable[pa.RecordBatch], text: str, limit: int = 48 << 20, row: int = 64) -> Iterator[pa.Table]:
+    """Tables of at most ``limit`` bytes of text, or one row, made of the task's batches; a row counts as
+    ``row`` bytes more than its text."""
     held: list[pa.RecordBatch] = []
     size = 0
     for batch in batches:
         at, n = 0, batch.num_rows
         if not n:
             continue
-        ends = np.cumsum(_lengths(batch.column(batch.schema.get_field_index(text))))
+        ends = np.cumsum(_lengths(batch.column(batch.schema.get_field_index(text))) + row)
         while at < n:
             before = ends[at - 1] if at else 0
-            to = max(at + 1, int(np.searchsorted(ends, before + limit - size, "right")))
+            to = int(np.searchsorted(ends, before + limit - size, "right"))
+            if to <= at and held:
+                yield pa.Table.from_batches(held)
+                held, size = [], 0
+                continue
+            to = max(to, at + 1)
             held.append(batch.slice(at, to - at))
             size += int(ends[to - 1] - before)
             at = to
