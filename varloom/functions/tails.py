@@ -7,6 +7,7 @@ import math
 import numpy as np
 import pandas as pd
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import DoubleType
 
 
 def _log_gamma(x: np.ndarray) -> np.ndarray:
@@ -47,7 +48,7 @@ def upper_gamma(a: np.ndarray, x: np.ndarray) -> np.ndarray:
     return np.where(x <= 0, 1.0, np.where(x < a + 1, below, above))
 
 
-@pandas_udf("double")
+@pandas_udf(DoubleType())
 def student_p(t: pd.Series, df: pd.Series) -> pd.Series:
     """Two-sided p of Student's t."""
     v, n = t.astype(float).to_numpy(), df.astype(float).to_numpy()
@@ -57,7 +58,7 @@ def student_p(t: pd.Series, df: pd.Series) -> pd.Series:
     return pd.Series(out).where(ok, None)
 
 
-@pandas_udf("double")
+@pandas_udf(DoubleType())
 def chi2_p(x: pd.Series, df: pd.Series) -> pd.Series:
     """Upper tail of chi-squared."""
     v, n = x.astype(float).to_numpy(), df.astype(float).to_numpy()

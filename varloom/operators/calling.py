@@ -104,7 +104,7 @@ def reference_context(sites: DataFrame, reference: DataFrame, k: int = 5, chunk:
     keyed = sites.withColumn("chunk_id", F.floor((F.col("pos") - 1) / chunk))
     at = (F.col("pos") - half - F.col("chunk_start") + 1).cast("int")
     out = keyed.join(reference, ["chrom", "chunk_id"]).withColumn("context", F.upper(F.substring(F.col("seq"), at, F.lit(k))))
-    return out.filter(F.length("context") == k).withColumn("ref", F.substring("context", half + 1, 1)).drop("chunk_id", "chunk_start", "seq")
+    return out.filter((at >= 1) & (F.length("context") == k)).withColumn("ref", F.substring("context", half + 1, 1)).drop("chunk_id", "chunk_start", "seq")
 
 
 def reference_chunks(genome: DataFrame, chunk: int = 1000, k: int = 5) -> DataFrame:

@@ -33,14 +33,15 @@ def nearest(points: DataFrame, intervals: DataFrame, stretch: int = 1 << 20) ->
 
     Points and intervals are put on one line.  The largest end before a point and the smallest start
     after it decide; both are running values within stretches of ``stretch`` positions, and carried
-    into each stretch from a table with one row per stretch that has intervals.
+    into each stretch from a table with one row per stretch of the chromosomes.  The points are read once.
     """
     columns = points.columns
-    here = F.floor(F.col("pos") / stretch)
     marks = intervals.filter("end_pos > start_pos").select("chrom", F.col("start_pos").alias("pos"), F.lit(0).alias("_kind"), F.col("start_pos").alias("_start"), F.col("end_pos").alias("_end"))
-    line = points.withColumn("_kind", F.lit(1)).unionByName(marks, allowMissingColumns=True).withColumn("_s", here)
-    ends = marks.groupBy("chrom", here.alias("_s")).agg(F.max("_end").alias("_e"), F.min("_start").alias("_b"))
-    known = line.select("chrom", "_s").distinct().join(ends, ["chrom", "_s"], "left")
+    ends = marks.groupBy("chrom", F.floor(F.col("pos") / stretch).alias("_s")).agg(F.max("_end").alias("_e"), F.min("_start").alias("_b"))
+    tops = ends.groupBy("chrom").agg((F.max("_s") + 1).alias("_top"))  # all that lies behind the last interval is one stretch
+    line = points.withColumn("_kind", F.lit(1)).unionByName(marks, allowMissingColumns=True).join(tops, "chrom", "left")
+    line = line.withColumn("_s", F.coalesce(F.least(F.floor(F.col("pos") / stretch), F.col("_top")), F.lit(0)))
+    known = tops.select("chrom", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_top"))).alias("_s")).join(ends, ["chrom", "_s"], "left")
     up, down = Window.partitionBy("chrom").orderBy("_s").rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy("chrom").orderBy(F.desc("_s")).rowsBetween(Window.unboundedPreceding, -1)
     carried = known.select("chrom", "_s", F.max("_e").over(up).alias("_e"), F.min("_b").over(down).alias("_b"))
     before = Window.partitionBy("chrom", "_s").orderBy("pos", "_kind").rowsBetween(Window.unboundedPreceding, 0)

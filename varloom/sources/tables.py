@@ -48,11 +48,12 @@ def read_expression(spark: SparkSession, path: str, samples: list[str] | None =
     samples asked for are parsed."""
     lines = spark.read.text(path)
     header = lines.filter(F.col("value").startswith(gene + "\t")).first()[0].split("\t")
-    schema = ", ".join(f"`{c}` {'string' if i < 2 else 'double'}" for i, c in enumerate(header))
-    wanted = [c for c in header[2:] if samples is None or c in set(samples)]
-    df = spark.read.schema(schema).option("sep", "\t").option("mode", "DROPMALFORMED").csv(path)
-    rows = df.filter(F.col(gene) != gene).select(gene, *wanted)
-    return rows.unpivot([gene], wanted, "sample_id", "tpm").withColumnRenamed(gene, "gene_id") if wanted else rows.select(F.col(gene).alias("gene_id"), F.lit(None).cast("string").alias("sample_id"), F.lit(None).cast("double").alias("tpm")).limit(0)
+    wanted = [(i, c) for i, c in enumerate(header) if i > 1 and (samples is None or c in set(samples))]
+    cells = lines.select(F.split("value", "\t").alias("c")).filter((F.size("c") == len(header)) & (F.col("c")[0] != gene))
+    values = F.array(*[F.struct(F.lit(c).alias("sample_id"), F.col("c")[i].try_cast("double").alias("tpm")) for i, c in wanted])
+    if not wanted:
+        values = F.expr("cast(array() as array<struct<sample_id:string,tpm:double>>)")
+    return cells.select(F.col("c")[0].alias("gene_id"), F.explode(values).alias("v")).select("gene_id", "v.*")
 
 
 def read_metadata(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
