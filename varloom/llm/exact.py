@@ -48,9 +48,10 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         "doc_id",
         F.transform(chunks(F.col("text")), scheme).alias("recipe"),
         F.sha2("text", 256).alias("text_sha256"),
-    )
+    ).withColumn("n_chunks", F.size("recipe"))
     groups = recipes.groupBy("recipe").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-    return recipes.join(groups, "recipe").select(
+    # With the number of chunks as a second key the join deals both sides anew, so that Spark can split a hot group.
+    return recipes.join(groups.withColumn("n_chunks", F.size("recipe")), ["recipe", "n_chunks"]).select(
         "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256"
     )
 
