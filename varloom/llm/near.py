@@ -229,9 +229,11 @@ def near_duplicates(
     read = docs.select(docs[id_col].alias("i"), docs[text_col].cast("string").alias("t"))
     kind = dict(read.dtypes)["i"]
     rows = checkpointed(sketched(read, width, sketch))
-    classes = rows.filter("key is not null").groupBy("key").agg(F.min("doc_id").alias("class_id"))
+    # The second key makes the joins below deal their sides anew, so that Spark can split a hot class.
+    classes = rows.filter("key is not null").groupBy("key").agg(F.min("doc_id").alias("class_id")).withColumn("tag", F.crc32("key"))
+    tagged = rows.withColumn("tag", F.crc32("key"))
     heads = checkpointed(
-        rows.join(classes, (rows["key"] == classes["key"]) & (rows["doc_id"] == classes["class_id"])).select("doc_id", "n_shingles", "registers").dropDuplicates(["doc_id"])
+        tagged.join(classes, ["key", "tag"]).filter("doc_id = class_id").select("doc_id", "n_shingles", "registers").dropDuplicates(["doc_id"])
     )
     size = 2 * rule.rows
     bands = F.array(*[F.xxhash64(F.lit(b), F.substring("registers", b * size + 1, size)) for b in range(sketch.registers // rule.rows)])
@@ -281,7 +283,7 @@ def near_duplicates(
 
     links = texts.select(*columns, "t").repartition(*order).sortWithinPartitions(*order).mapInArrow(verified, f"a {kind}, b {kind}")
     found = components(links)
-    known = rows.join(classes, "key").join(found, F.col("class_id") == F.col("node"), "left").select(
+    known = tagged.join(classes, ["key", "tag"]).join(found, F.col("class_id") == F.col("node"), "left").select(
         "doc_id", "n_shingles", F.coalesce("component", "class_id").alias("component_id")
     )
     every = known.unionByName(rows.filter("key is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
