@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Tissue names that have a shorter display form.
@@ -130,6 +130,15 @@ def amino_acid(codon: Column | str) -> Column:
     return F.when((F.length(c) == 3) & reduce(lambda a, b: a & b, (x >= 0 for x in at)), F.substring(F.lit(AMINO_ACIDS), (at[0] * 16 + at[1] * 4 + at[2] + 1).cast("int"), F.lit(1)))
 
 
+def with_amino_acid(df: DataFrame, codon: Column, out: str) -> DataFrame:
+    """Adds a codon's amino acid from the table of the 64 codons, null for others."""
+    i = F.col("_i")
+    letter = lambda order, at: F.substring(F.lit(order), (at + 1).cast("int"), F.lit(1))
+    name = F.concat(letter(BASES, F.floor(i / 16)), letter(BASES, F.floor(i / 4) % 4), letter(BASES, i % 4))
+    table = df.sparkSession.range(64).select(F.col("id").alias("_i")).select(name.alias(f"_{out}"), letter(AMINO_ACIDS, i).alias(out))
+    return df.join(F.broadcast(table), F.upper(codon) == F.col(f"_{out}"), "left").drop(f"_{out}")  # 64 rows
+
+
 def position_bin(position: Column | str, length: Column | str, bins: int = 10) -> Column:
     """Bin 1..bins of a 1-based position in a sequence."""
     return F.least(F.lit(bins), F.floor((col(position) - 1) * bins / col(length)) + 1)

@@ -26,22 +26,22 @@ def call_variants(
     ``biallelic_only`` exactly two bases may be seen; with ``require_unique_top`` sites are dropped
     where two bases share the largest count.  A projection: no shuffle, and streams work too.
     """
-    seen = F.filter(F.col("bases"), lambda x: x["n"] > 0)
-    coverage = sum((F.col(c) for c in COUNTS.values()), F.lit(0)).cast("int")
-    top = F.array_max(F.transform("bases", lambda x: x["n"]))
-    sites = pileup.withColumn("bases", base_counts()).withColumn("coverage", coverage)
-    sites = sites.withColumn("ref", F.substring("context", ((F.length("context") + 1) / 2).cast("int"), F.lit(1))).filter(F.col("coverage") >= min_coverage)
+    counts = [F.col(c).cast("int") for c in COUNTS.values()]
+    coverage = sum(counts[1:], counts[0])
+    top = F.greatest(*counts)
+    how_many = lambda test: sum((F.when(test(c), 1).otherwise(0) for c in counts[1:]), F.when(test(counts[0]), 1).otherwise(0))
+    ref = F.substring("context", ((F.length("context") + 1) / 2).cast("int"), F.lit(1))
+    keys = [c for c in ("tissue", *SITE) if c in pileup.columns]
+    sites = pileup.filter(coverage >= min_coverage)
     if biallelic_only:
-        sites = sites.filter(F.size(seen) == 2)
+        sites = sites.filter(how_many(lambda c: c > 0) == 2)
     if require_unique_top:
-        sites = sites.filter(F.size(F.filter("bases", lambda x: x["n"] == top)) == 1)
-    ref_seen = F.exists("bases", lambda x: (x["base"] == F.col("ref")) & (x["n"] > 0))
-    alts = sites.filter(ref_seen).withColumn("x", F.explode("bases")).filter(F.col("x.base") != F.col("ref"))
+        sites = sites.filter(how_many(lambda c: c == top) == 1)
+    ref_n = reduce(lambda acc, kv: F.when(ref == kv[0], F.col(kv[1]).cast("int")).otherwise(acc), COUNTS.items(), F.lit(0))
+    each = sites.select(*keys, ref.alias("ref"), "context", coverage.alias("coverage"), ref_n.alias("ref_n"), F.explode(base_counts()).alias("x"))
     vaf = F.col("x.n") / F.col("coverage")
-    keys = [c for c in ("tissue", *SITE) if c in pileup.columns]
-    return alts.filter((F.col("x.n") >= min_support) & (vaf > vaf_lo) & (vaf <= vaf_hi)).select(
-        *keys, "ref", F.col("x.base").alias("alt"), "context", "coverage", F.col("x.n").alias("n_support")
-    )
+    alts = each.filter((F.col("x.base") != F.col("ref")) & (F.col("ref_n") > 0) & (F.col("x.n") >= min_support) & (vaf > vaf_lo) & (vaf <= vaf_hi))
+    return alts.select(*keys, "ref", F.col("x.base").alias("alt"), "context", "coverage", F.col("x.n").alias("n_support"))
 
 
 def call_top_two(pileup: DataFrame, min_support: int = 6, min_coverage: int = 40, maf_lo: float = 0.0, maf_hi: float = 0.7) -> DataFrame:

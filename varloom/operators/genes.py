@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from varloom.functions.scalars import amino_acid, complement, mutation_id, mutation_type, position_bin
+from varloom.functions.scalars import complement, mutation_id, mutation_type, position_bin, with_amino_acid
 from varloom.functions.tails import chi2_p
 from varloom.operators.intervals import nearest, overlap_join
 from varloom.operators.stats import adjust, rank_sum
@@ -40,7 +40,7 @@ def annotate_impact(calls: DataFrame, sites: DataFrame, splice: DataFrame | None
     minus = F.col("strand") == "-"
     c = calls.join(sites, ["chrom", "pos"]).withColumns({f"{x}_cod": F.when(minus, complement(x)).otherwise(F.col(x)) for x in ("ref", "alt")})
     put = lambda base: F.concat(F.substring(F.col("codon"), F.lit(1), F.col("in_codon") - 1), base, F.substring(F.col("codon"), F.col("in_codon") + 1, F.lit(3)))
-    c = c.withColumn("old_aa", amino_acid(put(F.col("ref_cod")))).withColumn("new_aa", amino_acid(put(F.col("alt_cod"))))
+    c = with_amino_acid(with_amino_acid(c, put(F.col("ref_cod")), "old_aa"), put(F.col("alt_cod")), "new_aa")
     impact = F.when(F.col("new_aa") == F.col("old_aa"), "Synonymous").when(F.col("new_aa") == "*", "Nonsense").when(F.col("old_aa") != "*", "Missense").when(F.col("old_aa") == "*", "Stop_loss")
     codon_number = (F.col("codon_index") + 1).cast("string")
     out = c.withColumn("impact", impact).withColumn("aachange", F.concat("old_aa", codon_number, "new_aa")).withColumn("ntchange", F.concat("ref_cod", F.col("cds_pos").cast("string"), "alt_cod"))
@@ -54,7 +54,7 @@ def opportunities(sites: DataFrame) -> DataFrame:
     """For each gene, change (ref>alt on the coding strand) and impact the number of possible changes."""
     alts = sites.filter(F.length("codon") == 3).withColumn("alt_cod", F.explode(F.array(*map(F.lit, "ACGT")))).filter("alt_cod <> base")
     new = F.concat(F.substring(F.col("codon"), F.lit(1), F.col("in_codon") - 1), F.col("alt_cod"), F.substring(F.col("codon"), F.col("in_codon") + 1, F.lit(3)))
-    a = alts.withColumn("old_aa", amino_acid("codon")).withColumn("new_aa", amino_acid(new))
+    a = with_amino_acid(with_amino_acid(alts, F.col("codon"), "old_aa"), new, "new_aa")
     impact = F.when(F.col("new_aa") == F.col("old_aa"), "Synonymous").when(F.col("new_aa") == "*", "Nonsense").when(F.col("old_aa") != "*", "Missense")
     return a.withColumn("impact", impact).filter("impact is not null").groupBy("gene_id", F.concat("base", F.lit(">"), "alt_cod").alias("change"), "impact").agg(F.count(F.lit(1)).alias("sites"))
 

@@ -87,9 +87,9 @@ QUERIES: dict[str, tuple[Callable[[Tables], DataFrame], str | None]] = {
     ),
     "f5_sequencing_error": (
         lambda t: filters.label_seq_error(t.calls).groupBy("sample_id").agg(F.count_if(F.size("filters") > 0).alias("n_labelled"), F.count(F.lit(1)).alias("n")),
-        """with pairs as (select distinct coverage, n_support from calls), tails as (select coverage, n_support,
-        1 - list_sum(list_transform(range(0, n_support + 1), lambda k: exp(lgamma(coverage + 1) - lgamma(k + 1) - lgamma(coverage - k + 1) + k * ln(0.001) + (coverage - k) * ln(0.999)))) as p from pairs where coverage > n_support
-        union all select coverage, n_support, 0.0 from pairs where coverage <= n_support)
+        """with support as (select distinct coverage, n_support from calls), tails as (select coverage, n_support,
+        1 - list_sum(list_transform(range(0, n_support + 1), lambda k: exp(lgamma(coverage + 1) - lgamma(k + 1) - lgamma(coverage - k + 1) + k * ln(0.001) + (coverage - k) * ln(0.999)))) as p from support where coverage > n_support
+        union all select coverage, n_support, 0.0 from support where coverage <= n_support)
         select sample_id, count(*) filter (p >= 1e-4) as n_labelled, count(*) as n from calls join tails using (coverage, n_support) group by sample_id""",
     ),
     "f9_keep_far": (

@@ -150,5 +150,7 @@ class Tables:
         if name not in PROJECTIONS:
             raise AttributeError(name)
         made = self.sql(PROJECTIONS[name])
+        if name == "calls":  # stands for a stored table: worked out once, and not again in every expression that reads it
+            made = made.persist()
         self.__dict__[name] = made
         return made
