@@ -13,17 +13,17 @@ def components(links: DataFrame) -> DataFrame:
 
     Every round hangs the larger neighbours of each node on its smallest one, then the smaller ones,
     until all links lead to the smallest node of their component; paths halve from round to round.
-    Minima are taken before they are joined, so a node with many links needs no task of its own, and
-    each round is cut from its lineage.
+    Minima are taken before they are joined, and a second key makes the joins deal their sides anew, so
+    that Spark can split a node with many links; each round is cut from its lineage.
     """
     edges = checkpointed(links.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     mark = _mark(edges)
     while mark[0]:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
+        large = _tagged(both).join(_tagged(least), ["a", "tag"]).filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
         smallest = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(smallest, "a").select(F.explode(F.array(F.struct(F.col("a").alias("x"), "m"), F.struct(F.col("b").alias("x"), "m"))).alias("e"))
+        small = _tagged(large).join(_tagged(smallest), ["a", "tag"]).select(F.explode(F.array(F.struct(F.col("a").alias("x"), "m"), F.struct(F.col("b").alias("x"), "m"))).alias("e"))
         edges = checkpointed(small.select(F.col("e.x").alias("a"), F.col("e.m").alias("b")).filter("a <> b").distinct())
         if (now := _mark(edges)) == mark:
             break
@@ -33,6 +33,10 @@ def components(links: DataFrame) -> DataFrame:
     )
 
 
+def _tagged(df: DataFrame) -> DataFrame:
+    return df.withColumn("tag", F.xxhash64("a"))
+
+
 def _mark(edges: DataFrame) -> tuple:
     """What differs between different sets of links: their number and a sum of their hashes."""
     return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
