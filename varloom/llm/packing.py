@@ -144,14 +144,14 @@ def packed(
 
     Null texts count as empty, and are packed as the end id alone.  Rows that repeat an id are packed
     as often as they come; null ids stay null.  Only the named columns are read.  An empty table gives
-    an empty result.  Examples are packed with those of their block (24 MB of text), so nothing is
+    an empty result.  Examples are packed with those of their block (16 MB of text), so nothing is
     shuffled and a task holds one block; each block leaves one sequence partly filled at most.
     """
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = Vocabulary.load(vocabulary)
         number = TaskContext.get().partitionId() << 40
-        for table in blocks(batches, "t", 24 << 20):
+        for table in blocks(batches, "t", 16 << 20):
             n = table.num_rows
             ids, start = vocab.texts(Texts.of(table.column("t")))
             before = np.zeros(n, np.int64)
