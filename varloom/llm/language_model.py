@@ -44,8 +44,21 @@ RECENT, DISCOUNT = 3, 0.2
 OWN = np.uint32(1 << 31)
 
 
-def own_contexts(tokens: Tokens) -> tuple[np.ndarray, np.ndarray]:
-    """For each token whether its text's own counts code it, and the log10 probability they give it or its escape."""
+def own_contexts(tokens: Tokens, step: int = 300_000) -> tuple[np.ndarray, np.ndarray]:
+    """For each token whether its text's own counts code it, and the log10 probability they give it or its escape.
+
+    Texts are taken some ``step`` tokens at a time, to bound what is held besides the tokens.
+    """
+    inside, length, a, last = np.zeros(len(tokens.code), bool), np.zeros(len(tokens.code)), 0, len(tokens.start) - 1
+    while a < last:
+        b = max(a + 1, int(np.searchsorted(tokens.start, tokens.start[a] + step, "right")) - 1)
+        p, q = tokens.start[a], tokens.start[b]
+        inside[p:q], length[p:q] = _own_contexts(Tokens(tokens.code[p:q], tokens.start[a : b + 1] - p, tokens.distinct))
+        a = b
+    return inside, length
+
+
+def _own_contexts(tokens: Tokens) -> tuple[np.ndarray, np.ndarray]:
     n, k = len(tokens.code), RECENT
     inside, length = np.zeros(n, bool), np.zeros(n)
     if n <= k:
@@ -114,8 +127,7 @@ def read_texts(docs: DataFrame) -> DataFrame:
             texts = Texts.of(table.column("t"))
             tokens, whole = words(texts, lower=True), lines(texts)
             train = table.column("train").to_numpy().astype(bool)
-            times = np.bincount(tokens.code, weights=np.repeat(train, tokens.counts), minlength=len(tokens.distinct)).astype(np.int64)
-            line_times = np.bincount(whole.code, weights=np.repeat(train, whole.counts), minlength=len(whole.distinct)).astype(np.int64)
+            times, line_times = (np.bincount(x.code[np.repeat(train, x.counts)], minlength=len(x.distinct)) for x in (tokens, whole))
             inside, length = own_contexts(tokens)
             sizes = np.array([len(x.split()) for x in whole.distinct.to_pylist()], np.int64)[whole.code] if len(whole.code) else whole.code
             edge = np.cumsum(sizes) - sizes
