@@ -39,7 +39,7 @@ def written(df: DataFrame) -> DataFrame:
     """df computed once and cut from its lineage, as a compressed table of its own in the shared folder."""
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
