@@ -61,3 +61,11 @@ def test_region_scan_reads_only_near_variants(spark):
     genes = spark.createDataFrame([("g", "chr1", 150, 200, "+")], "gene_id string, chrom string, start_pos long, end_pos long, strand string")
     out = lookups.region_scan(features, variants, genes, phenotypes, window=100, n=10)
     assert {r["feature"] for r in out.collect()} == {0}
+
+
+def test_driver_summary_compares_targets_with_others(spark):
+    counts = spark.createDataFrame([("T", f"g{i}", 10 + i if i < 3 else i) for i in range(8)] + [("U", "g0", 1)], "tissue string, gene_id string, n long")
+    targets = spark.createDataFrame([("g0",), ("g1",), ("g2",)], "gene_id string")
+    out = {r["tissue"]: r for r in lookups.driver_summary(counts, targets).collect()}
+    assert (out["T"]["target_mean"], out["T"]["other_mean"], out["T"]["w"]) == (11.0, 5.0, 15.0)
+    assert out["T"]["p_adjusted"] == out["T"]["p"] and out["U"]["other_mean"] is None

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from varloom.operators.genes import agreement_fdr
 from varloom.operators.intervals import genes_near, overlap_join
 from varloom.operators.regression import permutation_scan
-from varloom.operators.stats import correlate
+from varloom.operators.stats import adjust, correlate, rank_sum
 
 
 def merge_histograms(a: DataFrame, b: DataFrame, key: list[str], value: str = "n") -> DataFrame:
@@ -87,3 +87,15 @@ def pathway_enrichment(real: DataFrame, permuted: DataFrame, terms: DataFrame, o
     drawn = permuted.join(terms, on).groupBy("perm_id", "term").agg(statistic).select("term", F.col("statistic").alias("drawn"))
     reached = F.avg(F.when(F.col("drawn") >= F.col("statistic") - 1e-12, 1.0).otherwise(0.0))
     return found.join(drawn, "term").groupBy("term", "statistic", "n_genes").agg(reached.alias("p_permuted"))
+
+
+def driver_summary(counts: DataFrame, targets: DataFrame, by: str = "tissue", value: str = "n") -> DataFrame:
+    """For each tissue the means of target and other genes, their log2 ratio, the rank test and its p adjusted over tissues.
+
+    ``counts`` has (``by``, gene_id, ``value``); a tissue without genes of either kind has null statistics.
+    """
+    known = targets.select("gene_id").distinct().withColumn("_t", F.lit(True))
+    flagged = counts.join(known, "gene_id", "left").withColumn("kind", F.when(F.col("_t"), 0).otherwise(1))
+    means = flagged.groupBy(by).agg(F.avg(F.when(F.col("_t"), F.col(value))).alias("target_mean"), F.avg(F.when(F.col("_t").isNull(), F.col(value))).alias("other_mean"))
+    tests = adjust(rank_sum(flagged, value, "kind", [by]), "p", [])
+    return means.withColumn("log2_ratio", F.log2(F.try_divide(F.col("target_mean"), F.col("other_mean")))).join(tests, by)

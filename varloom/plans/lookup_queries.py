@@ -11,12 +11,13 @@ from varloom.operators import lookups, stats
 from varloom.operators.intervals import overlap_join
 from varloom.plans.calls_queries import TYPE, rounded
 from varloom.plans.projections import Tables
-from varloom.plans.stats_queries import features, pvalues
+from varloom.plans.stats_queries import RANK, features, pvalues
 
 TYPES = f"select tissue, sample_id, {TYPE} as feature, count(*) as n from calls group by 1, 2, 3"
 HISTOGRAM = "select coverage, count(*) as n from calls where tissue = '{0}' group by 1"
 TPM = "select sample_id, avg(tpm) as mean_tpm from expression group by 1"
 DEPTHS = "select sample_id, count(*) as n_deep, cast(null as int) as unknown from depth group by 1"
+GENE_COUNTS = "select tissue, gene_id, count(*) as n from gene_calls group by 1, 2"
 SYMBOLS = "select gene_id, concat(chrom, strand) as symbol from exons"
 WEIGHTS = """select sample_id, 'age' as weight, cast(age as double) as y from sample_meta
   union all select sample_id, 'bmi', bmi from sample_meta union all select sample_id, 'reads', cast(n_unique_mapped as double) from sample_meta"""
@@ -36,6 +37,10 @@ def pathways(t: Tables) -> DataFrame:
     return lookups.pathway_enrichment(share.select("gene_id", "p"), drawn.select("perm_id", "gene_id", "p"), share.select("term", "gene_id"))
 
 
+def driven(t: Tables) -> DataFrame:
+    return t.sql("select distinct gene_id from exons where cast(substr(gene_id, 2) as int) % 5 = 0")
+
+
 def region(t: Tables) -> DataFrame:
     variants = t.sql("select distinct variant_id as feature, concat('chr', cast(variant_id % 5 + 1 as varchar(9))) as chrom, variant_id * 40 as pos from genotypes")
     genes = t.sql("select gene_id, chrom, min(start_pos) as start_pos, max(end_pos) as end_pos, min(strand) as strand from exons where gene_id in ('G0', 'G1') group by 1, 2")
@@ -84,6 +89,13 @@ QUERIES: dict[str, tuple[Callable[[Tables], DataFrame], str | None]] = {
         k as (select feature, weight, {RANKED.format("x")} as rx, {RANKED.format("y")} as ry from j)
         select feature, weight, count(*) as n, round(corr(rx, ry), 5) as r from k group by 1, 2""",
     ),
+    "t18_driver_summary": (
+        lambda t: rounded(lookups.driver_summary(t.sql(GENE_COUNTS), driven(t)).drop("p", "p_adjusted"), "target_mean", "other_mean", "log2_ratio", "z"),
+        f"""with g as ({GENE_COUNTS}), b as (select g.*, cast(substr(gene_id, 2) as int) % 5 = 0 as target from g), k as (select *, {RANK.format(k="tissue", v="n")} as r, count(*) over (partition by tissue, n) as c from b),
+        s as (select tissue, avg(n) filter (target) as target_mean, avg(n) filter (not target) as other_mean, count(*) filter (target) as n1, count(*) filter (not target) as n2, sum(r) filter (target) as rs, sum(c * c - 1) as ties from k group by 1)
+        select tissue, round(target_mean, 6) as target_mean, round(other_mean, 6) as other_mean, round(log2(target_mean / other_mean), 6) as log2_ratio, n1, n2, rs - n1 * (n1 + 1) / 2.0 as w,
+          round((rs - n1 * (n1 + 1) / 2.0 - n1 * n2 / 2.0) / sqrt(n1 * n2 / 12.0 * (n1 + n2 + 1 - ties * 1.0 / ((n1 + n2) * (n1 + n2 - 1)))), 6) as z from s""",
+    ),
     "r6_region_scan": (region, None),
     "t13_pathway_enrichment": (pathways, None),
 }
