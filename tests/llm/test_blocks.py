@@ -36,6 +36,26 @@ def test_ids_are_those_of_the_library(name):
         assert counts[i] == len(expected)
 
 
+#: White space as Unicode has it beyond the space and 9 to 13.
+WIDE = [chr(c) for c in (0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)]
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_ids_where_spaces_alternate_with_wide_ones(name):
+    path = public_tokenizers.path(name)
+    tokenizer, vocab = Tokenizer.from_file(path), Vocabulary.load(path)
+    rng = random.Random(6)
+    texts = ["Menu \u00a0 \u00a0 \u00a0 Home", "\u00a0", " \u00a0", "\u00a0 \u00a0 "] + [f"a{w} {w} {w}{w}\n{w} b{w} " for w in WIDE]
+    texts += ["".join(rng.choice([" ", " ", "\n", "\u00a0", "\u00a0", "a", "\u00e0", "\u2020", ".", "\u200b", "\u180e", *WIDE]) for _ in range(rng.randrange(40))) for _ in range(1000)]
+    t = Texts.of(pa.array(texts, pa.string()))
+    ids, start = vocab.texts(t)
+    counts = vocab.counts(t)
+    for i, text in enumerate(texts):
+        expected = tokenizer.encode(text, add_special_tokens=False).ids
+        assert ids[start[i] : start[i + 1]].tolist() == expected, text
+        assert counts[i] == len(expected)
+
+
 def test_words_and_units():
     texts = ODD + random_texts(200)
     t = Texts.of(pa.array(texts, pa.string()))

@@ -134,14 +134,27 @@ def words(texts: Texts, lower: bool, marks: bool = False) -> Tokens:
     return Tokens(code, np.searchsorted(begin, start), distinct)
 
 
+def wide_space(data: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Whether the UTF-8 characters that end at ``last`` are white space beyond ASCII: U+0085, U+00A0, U+1680,
+    U+2000 to U+200A, U+2028, U+2029, U+202F, U+205F and U+3000."""
+    c, b, a = data[last], data[np.maximum(last - 1, 0)], data[np.maximum(last - 2, 0)]
+    two = (b == 0xC2) & ((c == 0x85) | (c == 0xA0))
+    general = (b == 0x80) & (((c >= 0x80) & (c <= 0x8A)) | (c == 0xA8) | (c == 0xA9) | (c == 0xAF))
+    three = ((a == 0xE2) & (general | ((b == 0x81) & (c == 0x9F)))) | ((a == 0xE1) & (b == 0x9A) & (c == 0x80)) | ((a == 0xE3) & (b == 0x80) & (c == 0x80))
+    return two | three
+
+
 def units(texts: Texts) -> Tokens:
     """Pieces that tokenizers never join: white space with the word after it, cut again before marks
-    that follow a letter. Their concatenation is the text."""
+    that follow a letter; white space is not cut within. Their concatenation is the text."""
     data, start = texts.data, texts.start
     cut = np.zeros(len(data) + 1, bool)
     if len(data):
         space = SPACE[data]
         cut[1:-1] = (~space[:-1] & space[1:]) | (LETTER[data[:-1]] & MARK[data[1:]])
+        # A cut before a space comes after a byte beyond ASCII: that may be the end of white space too.
+        beyond = 1 + np.flatnonzero((data[:-1] >= 0x80) & space[1:])
+        cut[beyond[wide_space(data, beyond - 1)]] = False
     cut[start] = True
     bounds = np.flatnonzero(cut)
     code, distinct = encoded(data, bounds)
