@@ -356,3 +356,27 @@ def test_model(docs, rows):
                 others = lines[line] - own[line]
                 score += math.log10((2 * others - 1) / (2 * m)) if others > 0 else math.log10(min(1, len(lines) / (2 * m))) + inner
         assert r["score"] == pytest.approx(score, rel=1e-5), rows[i]
+
+
+def test_contexts_of_the_model_run_over_words(spark):
+    # Each word is as frequent as the others, so that only the word before tells which comes next.
+    rng = random.Random(3)
+    pairs = [("red", "apple"), ("blue", "cheese"), ("old", "bridge"), ("new", "garden")]
+    train = [(i, " ".join(" ".join(rng.choice(pairs)) for _ in range(12)) + f" {i}") for i in range(40)]
+    held = [(100, "blue cheese old bridge"), (101, "blue bridge old cheese"), (102, ""), (103, None), (104, "é 中 new\ngarden"), (105, "a b")]
+    both = spark.createDataFrame(train + held, "doc_id int, text string").repartition(3)
+    got = {r["doc_id"]: r["score"] for r in language_model.score_texts(both, F.col("doc_id") < 100, across=True).collect()}
+    trie, lines = collections.defaultdict(collections.Counter), collections.Counter(t for _, t in train)
+    stream = lambda t: b"\0\0\0\0 " + b"".join(w + b" " for w in WORDS.findall((t or "").lower().encode())) + b"\n"
+    for _, t in train:
+        s = stream(t)
+        for q in range(5, len(s)):
+            for k in range(6):
+                trie[s[q - k : q]][s[q]] += 1
+    for context in (b"\0\0\0\0 ", b"blue ", b"lue c"):
+        assert sum(symbol(trie, context, x) for x in range(256)) == pytest.approx(1, abs=1e-9)
+    for i, t in held:
+        s, n_lines = stream(t), len([x for x in (t or "").split("\n") if x])
+        expected = sum(math.log10(symbol(trie, s[q - 5 : q], s[q])) for q in range(5, len(s))) + n_lines * math.log10(min(1, len(lines) / (2 * sum(lines.values()))))
+        assert got[i] == pytest.approx(expected, rel=1e-5), t
+    assert got[100] > got[101] + 1

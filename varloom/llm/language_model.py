@@ -1,8 +1,8 @@
 """Prediction by partial matching: code lengths of texts under a byte-context trie of the corpus.
 
 Words of lower-cased text are coded byte by byte, each with the space after it, in the context of the
-bytes before it, five at most and none before the space that opens the word; a text ends with one
-more symbol, coded where a word would begin.  The trie has the counts of all contexts of the training
+bytes before it, five at most: those of the word, or with ``across`` those of the text, whose words are
+taken to be one space apart.  A text ends with one more symbol, coded where a word would begin.  The trie has the counts of all contexts of the training
 texts.  A symbol unseen in a context costs an escape to the next shorter one (method D: a symbol seen
 c times of n, among d different ones, has (2c - 1) / 2n, the escape d / 2n), where all symbols of the
 longer context are excluded; below the empty context all bytes left are alike.
@@ -13,9 +13,9 @@ three words are a context whose counts the text itself gathers as it goes: a wor
 before has (c - d) / n with a discount d of 0.2, others escape.  A training text's own lines are left
 out of the counts when it is scored itself.
 
-The trie is a table of (context, symbol) that is never gathered: code lengths are worked out where the
-last two bytes of the context have been dealt to, and sent back to the buckets of distinct words that
-asked, whose lengths go back to the blocks of texts that hold them.
+The trie is a table of (context, symbol) that is never gathered: each block of texts counts its own and
+deals them out by the last two bytes of the context; where they meet, counts are summed and code lengths
+worked out, and each block gets back the lengths of what it asked.
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from varloom.llm.blocks import LOWER, Texts, Tokens, blocks, encoded, words
+from varloom.llm.blocks import LOWER, SPACE, Texts, Tokens, blocks, encoded, words
 from varloom.llm.common import crc_remainder, documents, written
 from varloom.llm.near import whole_groups
 
@@ -40,8 +40,6 @@ END = b"\n"
 BUCKET_ROWS = 500_000
 #: Words of the context that a text's own counts are kept for, and the discount of those counts.
 RECENT, DISCOUNT = 3, 0.2
-#: Marks the number of a word that is coded in its text's own context.
-OWN = np.uint32(1 << 31)
 
 
 def own_contexts(tokens: Tokens, step: int = 300_000) -> tuple[np.ndarray, np.ndarray]:
@@ -114,57 +112,121 @@ def lines(texts: Texts) -> Tokens:
     return Tokens(code, np.searchsorted(bounds, texts.start), distinct)
 
 
-def read_texts(docs: DataFrame) -> DataFrame:
-    """For each block of texts a row per text (its lines and words, by number) and a row per distinct
-    word and line (number, word, times in training texts); the end symbol has number -1."""
+def parts(texts: Texts, step: int = 1 << 20) -> Iterator[tuple[int, int, Texts]]:
+    """Runs of texts of about ``step`` bytes, or one longer text: the first, the one after the last, and they."""
+    a, last = 0, len(texts)
+    while a < last:
+        b = max(a + 1, int(np.searchsorted(texts.start, texts.start[a] + step, "right")) - 1)
+        p, q = texts.start[a], texts.start[b]
+        yield a, b, Texts(texts.data[p:q], texts.start[a : b + 1] - p)
+        a = b
+
+
+def grams(texts: Texts, across: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(context, symbol) of every symbol as numbers of 6 bytes, where the words and ends begin among them, and
+    which of those are ends. Contexts begin at the text with ``across`` and else at each word."""
+    data, start = LOWER[texts.data], texts.start
+    solid = ~SPACE[data]
+    last = solid.copy()
+    edge = np.zeros(len(data) + 1, bool)
+    edge[start] = True
+    last[:-1] &= ~solid[1:] | edge[1:-1]
+    kept, last = data[solid], last[solid]
+    n_kept, n_words = texts.count(solid), np.diff(np.searchsorted(np.flatnonzero(solid)[last], start))
+    text, word = np.repeat(np.arange(len(texts)), n_kept), np.cumsum(last) - last
+    opened = text + 1 if across else word + text + 1
+    place = np.arange(len(kept)) + word + text + ORDER * opened
+    number, ended = np.arange(len(texts)), np.cumsum(n_words)
+    end = np.cumsum(n_kept) + ended + number + ORDER * (number + 1 if across else ended + number + 1)
+    stream = np.zeros(int(end[-1]) + 1 if len(end) else 0, np.uint8)
+    symbol = np.zeros(len(stream), bool)
+    first = np.append(True, last[:-1])[: len(last)]
+    begin = np.sort(np.concatenate([place[first], end]))
+    # The space before a word or an end is the one after the word before, or opens the context.
+    stream[begin - 1] = stream[place[last] + 1] = 32
+    stream[place], stream[end] = kept, END[0]
+    symbol[place] = symbol[place[last] + 1] = symbol[end] = True
+    at = np.flatnonzero(symbol)
+    key = np.zeros(len(at), np.int64)
+    for back in range(ORDER, -1, -1):
+        key = (key << 8) | stream[at - back]
+    return key, np.searchsorted(at, begin), stream[begin] == END[0]
+
+
+def asked_keys(texts: Texts, train: np.ndarray, across: bool) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys of the texts, by shard, and how often training texts have them."""
+    found = []
+    for a, b, part in parts(texts):
+        key, begin, end = grams(part, across)
+        owner = np.cumsum(end) - end
+        of = np.repeat(owner, np.diff(np.append(begin, len(key))))
+        both, n = np.unique(key << 1 | train[a:b][of], return_counts=True)
+        found.append((both >> 1, n * (both & 1)))
+    if not found:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    keys, which = np.unique(sharded(np.concatenate([k for k, _ in found])), return_inverse=True)
+    return keys, np.bincount(which, weights=np.concatenate([n for _, n in found]), minlength=len(keys)).astype(np.int64)
+
+
+def sharded(key: np.ndarray) -> np.ndarray:
+    """Keys with the last two bytes of the context moved to the front."""
+    return (key >> 8 & 0xFFFF) << 32 | key >> 24 << 8 | key & 255
+
+
+def restored(key: np.ndarray) -> np.ndarray:
+    return (key >> 8 & 0xFFFFFF) << 24 | key >> 32 << 8 | key & 255
+
+
+def read_texts(docs: DataFrame, across: bool = False, limit: int = 16 << 20) -> DataFrame:
+    """For each block of texts a row per text (by number), a row per distinct word and line (number, word,
+    times in training texts; the end symbol has number -1), a row per shard of keys (shard, the keys and
+    their times), and a row per pair of bytes (shard -1, number, times)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
         pack = zstandard.ZstdCompressor(level=3).compress
         batch = TaskContext.get().partitionId() << 32
-        for table in blocks(batches, "t"):
+        for table in blocks(batches, "t", limit):
             texts = Texts.of(table.column("t"))
             tokens, whole = words(texts, lower=True), lines(texts)
             train = table.column("train").to_numpy().astype(bool)
             times, line_times = (np.bincount(x.code[np.repeat(train, x.counts)], minlength=len(x.distinct)) for x in (tokens, whole))
-            inside, length = own_contexts(tokens)
-            sizes = np.array([len(x.split()) for x in whole.distinct.to_pylist()], np.int64)[whole.code] if len(whole.code) else whole.code
-            edge = np.cumsum(sizes) - sizes
-            own = np.add.reduceat(np.append(length, 0.0), np.minimum(edge, len(length))) if len(edge) else np.zeros(0)
-            own = np.where(sizes > 0, own, 0.0).astype("<f4")
-            number = tokens.code.astype("<u4") | np.where(inside, OWN, np.uint32(0))
-            line_number = (whole.code + len(tokens.distinct)).astype("<u4")
-            packed = []
-            for a, b, p, q in zip(tokens.start[:-1].tolist(), tokens.start[1:].tolist(), whole.start[:-1].tolist(), whole.start[1:].tolist(), strict=True):
-                head = np.array([q - p], "<u4").tobytes() + line_number[p:q].tobytes() + sizes[p:q].astype("<u4").tobytes() + own[p:q].tobytes()
-                packed.append(pack(head + number[a:b].tobytes()))
-            n = table.num_rows
             symbols = [END, *tokens.distinct.to_pylist(), *(END + blake2b(x, digest_size=12).digest() for x in whole.distinct.to_pylist())]
-            m = len(symbols)
-            none = lambda k, kind: pa.nulls(k, kind)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(np.full(n, batch)), table.column("i").combine_chunks(), pa.array(train), pa.array(tokens.counts + 1), pa.array(packed, pa.binary()),
-                    none(n, pa.int64()), none(n, pa.binary()), none(n, pa.int64()),
-                ], names=COLUMNS,
-            )
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(np.full(m, batch)), none(m, table.schema.field("i").type), none(m, pa.bool_()), none(m, pa.int64()), none(m, pa.binary()),
-                    pa.array(np.arange(-1, m - 1)), pa.array(symbols, pa.binary()), pa.array(np.concatenate([[int(train.sum())], times, line_times])),
-                ], names=COLUMNS,
-            )
+
+            def made(n: int, batch: int = batch, kind: pa.DataType = table.schema.field("i").type, **columns) -> pa.RecordBatch:
+                kinds = [pa.int64(), kind, pa.bool_(), pa.int64(), pa.binary(), pa.int64(), pa.binary(), pa.int64(), pa.int32(), pa.binary()]
+                columns["batch"] = np.full(n, batch)
+                return pa.RecordBatch.from_arrays([pa.array(columns[c], k) if c in columns and not isinstance(columns[c], pa.Array) else columns.get(c, pa.nulls(n, k)) for c, k in zip(COLUMNS, kinds, strict=True)], names=COLUMNS)
+
+            n, m = table.num_rows, len(symbols)
+            packed = [pack(texts.text(i)) for i in range(n)]
+            yield made(n, doc_id=table.column("i").combine_chunks(), train=train, n_tokens=tokens.counts + 1, words=packed, number=np.arange(n))
+            yield made(m, number=np.arange(-1, m - 1), word=symbols, times=np.concatenate([[int(train.sum())], times, line_times]))
+            del tokens, whole, symbols, packed
+            keys, count = asked_keys(texts, train, across)
+            shard, begin = np.unique(keys >> 32, return_index=True)
+            low, count4, bounds = keys.astype("<u4"), count.astype("<u4"), [*begin.tolist(), len(keys)]
+            held = [pack(np.diff(low[p:q], prepend=low[:1] * 0).tobytes() + count4[p:q].tobytes()) for p, q in zip(bounds[:-1], bounds[1:], strict=True)]
+            yield made(len(shard), shard=shard, keys=held)
+            pair, which = np.unique(restored(keys) & 0xFFFF, return_inverse=True)
+            yield made(len(pair), shard=np.full(len(pair), -1), number=pair, times=np.bincount(which, weights=count, minlength=len(pair)).astype(np.int64))
             batch += 1
 
     return docs.mapInArrow(run, SCHEMA.format(dict(docs.dtypes)["i"]))
 
 
+def unpacked(blob: bytes, unpack) -> tuple[np.ndarray, np.ndarray]:
+    """The keys of a shard, without the shard, and their times."""
+    low, count = np.frombuffer(unpack(blob), "<u4").reshape(2, -1)
+    return np.cumsum(low, dtype=np.uint32).astype(np.int64), count.astype(np.int64)
+
+
 def is_line(symbol: bytes) -> bool:
     return len(symbol) > 1 and symbol[:1] == END
 
 
-SCHEMA = "batch bigint, doc_id {}, train boolean, n_tokens bigint, words binary, number bigint, word binary, times bigint"
+SCHEMA = "batch bigint, doc_id {}, train boolean, n_tokens bigint, words binary, number bigint, word binary, times bigint, shard int, keys binary"
 COLUMNS = [c.split()[0] for c in SCHEMA.split(", ")]
 
 
@@ -176,18 +238,6 @@ def distinct_words(table: pa.Table) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     return code, np.bincount(code, weights=table.column("times").to_numpy(), minlength=len(found.dictionary)).astype(np.int64), found.dictionary
 
 
-def grams(distinct: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(context, symbol) of every symbol of the words as numbers of 6 bytes, and the word each is of."""
-    raw = [b"" if is_line(w) else w for w in distinct.to_pylist()]
-    data = np.frombuffer(b"".join(b"\0\0\0\0 " + (w + b" " if w and w != END else w) for w in raw), np.uint8)
-    n = np.array([len(w) + (w not in (b"", END)) for w in raw], np.int64)
-    place = np.repeat(np.cumsum(n + ORDER) - n, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-    key = np.zeros(len(place), np.int64)
-    for back in range(ORDER, -1, -1):
-        key = (key << 8) | data[place - back]
-    return key, np.repeat(np.arange(len(raw)), n)
-
-
 def code_lengths(key: np.ndarray, times: np.ndarray, pairs: np.ndarray) -> np.ndarray:
     """log10 probability of each (context, symbol).
 
@@ -245,12 +295,13 @@ def code_lengths(key: np.ndarray, times: np.ndarray, pairs: np.ndarray) -> np.nd
     return out
 
 
-def score_texts(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score_texts(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", across: bool = False) -> DataFrame:
     """One row per row of ``docs``: n_tokens, n_known, train_tokens, base_score, score.
 
     ``train`` tells which rows are learned from (null: not).  Tokens are the words of the text and one
     end; base_score is the log10 probability under smoothed frequencies of training tokens, score the
-    one under the trie (see the module).  All counts are over all training rows.
+    one under the trie (see the module), whose contexts run over the words before with ``across``.  All counts
+    are over all training rows.
 
     Null texts count as empty: one token.  Null ids and repeated rows are scored like any other.  Only
     the id, the text and the columns of ``train`` are read.  An empty table gives an empty result, and
@@ -258,75 +309,95 @@ def score_texts(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col
     """
     read = docs.select(docs[id_col].alias("i"), docs[text_col].cast("string").alias("t"), F.coalesce(train, F.lit(False)).alias("train"))
     kind = dict(read.dtypes)["i"]
-    both = written(read_texts(read))
+    both = written(read_texts(read, across))
     rows = both.filter("word is not null")
     n_rows = rows.count()
     held = rows.select(F.pmod(F.xxhash64("word"), F.lit(max(1, -(-n_rows // BUCKET_ROWS)))).alias("bucket"), "batch", "number", "word", "times")
 
-    def asked(table: pa.Table) -> pa.Table:
-        _, times, distinct = distinct_words(table)
-        key, owner = grams(distinct)
-        keys, which = np.unique(key, return_inverse=True)
-        count = np.bincount(which, weights=times[owner], minlength=len(keys)).astype(np.int64)
+    def counted(table: pa.Table) -> pa.Table:
+        """The words' training counts, and in rows without a batch the sums of the bucket."""
+        code, times, distinct = distinct_words(table)
         line = np.array([is_line(w) for w in distinct.to_pylist()])
-        extra = np.array([f(times[of]) for of in (~line, line) for f in (np.sum, np.count_nonzero)], np.int64)
-        bucket = np.full(len(keys) + 4, table.column("bucket")[0].as_py())
-        return pa.table({"bucket": bucket, "key": np.concatenate([keys, [-1, -2, -3, -4]]), "times": np.concatenate([count, extra])})
+        extra = [int(f(times[of])) for of in (~line, line) for f in (np.sum, np.count_nonzero)]
+        batch = pa.chunked_array([*table.column("batch").chunks, pa.nulls(4, pa.int64())])
+        return pa.table({"batch": batch, "number": np.concatenate([table.column("number").to_numpy(), [-1, -2, -3, -4]]), "times": np.concatenate([times[code], extra])})
 
-    wanted = written(held.groupBy("bucket").applyInArrow(asked, "bucket bigint, key bigint, times bigint"))
-    totals = {r["key"]: r["n"] for r in wanted.filter("key < 0").groupBy("key").agg(F.sum("times").alias("n")).collect()}
+    word_times = written(held.groupBy("bucket").applyInArrow(counted, "batch bigint, number bigint, times bigint"))
+    totals = {r["number"]: r["n"] for r in word_times.filter("batch is null").groupBy("number").agg(F.sum("times").alias("n")).collect()}
     n_train, n_kinds, n_lines, line_kinds = (totals.get(-k, 0) for k in (1, 2, 3, 4))
-    trie = wanted.filter("key >= 0").groupBy("key").agg(F.sum("times").alias("times"))
-    last = trie.groupBy((F.col("key").bitwiseAND(0xFFFF)).alias("pair")).agg(F.sum("times").alias("n"))  # 65,536 rows at most
     pairs = np.zeros((256, 256))
-    for r in last.collect():
-        pairs[r["pair"] >> 8, r["pair"] & 255] = r["n"]
+    for r in both.filter("shard = -1").groupBy("number").agg(F.sum("times").alias("n")).collect():  # 65,536 rows at most
+        pairs[r["number"] >> 8, r["number"] & 255] = r["n"]
 
     def lengths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table, _ in whole_groups(batches, ["shard"], 200_000):
-            key = table.column("key").to_numpy()
-            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(code_lengths(key, table.column("times").to_numpy(), pairs))], names=["key", "length"])
-
-    shards = trie.select(F.shiftright("key", 8).bitwiseAND(0xFFFF).alias("shard"), "key", "times").repartition("shard").sortWithinPartitions("shard")
-    told = wanted.filter("key >= 0").select("bucket", "key").join(shards.mapInArrow(lengths, "key bigint, length double"), "key")
-
-    def summed(left: pa.Table, right: pa.Table) -> pa.Table:
-        code, times, distinct = distinct_words(left)
-        key, owner = grams(distinct)
-        known, length = right.column("key").to_numpy(), right.column("length").to_numpy()
-        order = np.argsort(known)
-        each = length[order[np.searchsorted(known, key, sorter=order)]]
-        total = np.bincount(owner, weights=each, minlength=len(distinct))
-        return pa.table({"batch": left.column("batch"), "number": left.column("number"), "times": times[code], "length": total[code]})
+        import zstandard
 
-    word_scores = held.groupBy("bucket").cogroup(told.groupBy("bucket")).applyInArrow(summed, "batch bigint, number bigint, times bigint, length double")
+        pack, unpack = zstandard.ZstdCompressor(level=3).compress, zstandard.ZstdDecompressor().decompress
+        for table, begin in whole_groups(batches, ["shard"], 1):
+            for p, q in zip(begin[:-1].tolist(), begin[1:].tolist(), strict=True):
+                group = table.slice(p, q - p)
+                shard = group.column("shard")[0].as_py()
+                asked = [unpacked(x, unpack) for x in group.column("keys").to_pylist()]
+                low, which = np.unique(np.concatenate([k for k, _ in asked]), return_inverse=True)
+                times = np.bincount(which, weights=np.concatenate([n for _, n in asked]), minlength=len(low)).astype(np.int64)
+                key = restored(low | shard << 32)
+                order = np.argsort(key)
+                length = np.empty(len(key), "<f4")
+                length[order] = code_lengths(key[order], times[order], pairs)
+                at, told = 0, []
+                for k, _ in asked:
+                    told.append(pack(np.diff(k, prepend=0).astype("<u4").tobytes() + length[which[at : at + len(k)]].tobytes()))
+                    at += len(k)
+                yield pa.RecordBatch.from_arrays([group.column("batch").combine_chunks(), group.column("shard").combine_chunks(), pa.array(told, pa.binary())], names=["batch", "shard", "keys"])
+
+    shards = both.filter("shard >= 0").select("batch", "shard", "keys").repartition("shard").sortWithinPartitions("shard")
+    told = shards.mapInArrow(lengths, "batch bigint, shard int, keys binary")
+    answers = word_times.filter("batch is not null").unionByName(told, allowMissingColumns=True)
 
     def scored(left: pa.Table, right: pa.Table) -> pa.Table:
+        import pyarrow.compute as pc
         import zstandard
 
         unpack = zstandard.ZstdDecompressor().decompress
+        left = left.sort_by("number")
+        texts = Texts.of(pa.array([unpack(x) for x in left.column("words").to_pylist()], pa.binary()))
+        told, right = (right.filter(f(right.column("keys"))) for f in (pc.is_valid, pc.is_null))
         number = right.column("number").to_numpy() + 1
-        times, length = np.zeros(len(number)), np.zeros(len(number))
-        times[number], length[number] = right.column("times").to_numpy(), right.column("length").to_numpy()
+        times = np.zeros(len(number))
+        times[number] = right.column("times").to_numpy()
+        told = told.sort_by("shard")
+        found = [np.frombuffer(unpack(x), "<u4").reshape(2, -1) for x in told.column("keys").to_pylist()]
+        shard = np.repeat(told.column("shard").to_numpy().astype(np.int64), [x.shape[1] for x in found])
+        known_keys = (np.concatenate([np.cumsum(x[0], dtype=np.uint32) for x in found]) if found else np.zeros(0, np.int64)) | shard << 32
+        known_length = np.concatenate([x[1].view("<f4") for x in found]) if found else np.zeros(0, "<f4")
+        del found, shard, told, right
+        tokens, whole = words(texts, lower=True), lines(texts)
+        each, ends = np.zeros(len(tokens.code)), np.zeros(len(texts))
+        for a, b, part in parts(texts):
+            key, begin, end = grams(part, across)
+            total = np.add.reduceat(known_length[np.searchsorted(known_keys, sharded(key))].astype(float), begin)
+            each[tokens.start[a] : tokens.start[b]], ends[a:b] = total[~end], total[end]
+        inside, own = own_contexts(tokens)
+        each = np.where(inside, 0.0, each) + own
+        sizes = np.array([len(x.split()) for x in whole.distinct.to_pylist()], np.int64)
         base = np.log10((times + 0.5) / (n_train + 0.5 * (n_kinds + 1)))
         known, total, score = [], [], []
-        for blob, train in zip(left.column("words").to_pylist(), left.column("train").to_pylist(), strict=True):
-            raw = np.frombuffer(unpack(blob), "<u4")
-            line, size, own = raw[1 : 3 * raw[0] + 1].reshape(3, -1)
-            word = raw[3 * raw[0] + 1 :]
-            at = (word & ~OWN) + np.int64(1)
-            others, n = times[line + np.int64(1)] - train, n_lines
+        for i, train in enumerate(left.column("train").to_pylist()):
+            at = tokens.code[tokens.start[i] : tokens.start[i + 1]] + np.int64(1)
+            length = each[tokens.start[i] : tokens.start[i + 1]]
+            code = whole.code[whole.start[i] : whole.start[i + 1]]
+            line, size = code + np.int64(1 + len(tokens.distinct)), sizes[code]
+            others, n = times[line] - train, n_lines
             if train:  # a line that the text has several times is counted for the other texts alone
                 _, which, often = np.unique(line, return_inverse=True, return_counts=True)
-                others, n = np.maximum(times[line + np.int64(1)] - often[which], 0), n_lines - len(line)
-            whole = (others > 0) & (size > 0)
+                others, n = np.maximum(times[line] - often[which], 0), n_lines - len(line)
+            copied = (others > 0) & (size > 0)
             known.append(int((times[at] > 0).sum() + (times[0] > 0)))
             total.append(float(base[at].sum() + base[0]))
-            free = np.where(word & OWN, 0.0, length[at])
-            coded = np.add.reduceat(np.append(free, 0.0), np.minimum(np.cumsum(size) - size, len(free)).astype(np.int64)) if len(size) else np.zeros(0)
-            coded = np.where(size > 0, coded, 0.0) + own.view("<f4")
+            coded = np.add.reduceat(np.append(length, 0.0), np.minimum(np.cumsum(size) - size, len(length)).astype(np.int64)) if len(size) else np.zeros(0)
+            coded = np.where(size > 0, coded, 0.0)
             escape = math.log10(min(1.0, line_kinds / (2 * n))) if n > 0 and line_kinds else 0.0
-            score.append(float(length[0] + np.where(whole, np.log10(np.maximum(2 * others - 1, 1) / max(2 * n, 1)), coded + np.where(size > 0, escape, 0.0)).sum()))
+            score.append(float(ends[i] + np.where(copied, np.log10(np.maximum(2 * others - 1, 1) / max(2 * n, 1)), coded + np.where(size > 0, escape, 0.0)).sum()))
         return pa.table(
             {
                 "doc_id": left.column("doc_id"), "train": left.column("train"), "n_tokens": left.column("n_tokens"), "n_known": pa.array(known, pa.int64()),
@@ -334,13 +405,13 @@ def score_texts(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col
             }
         )
 
-    texts = both.filter("word is null").select("batch", "doc_id", "train", "n_tokens", "words")
+    texts = both.filter("train is not null").select("batch", "doc_id", "train", "n_tokens", "words", "number")
     out = f"doc_id {kind}, train boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
-    return texts.groupBy("batch").cogroup(word_scores.groupBy("batch")).applyInArrow(scored, out)
+    return texts.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(scored, out)
 
 
 def op2_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
-    return score_texts(docs, crc_remainder("doc_id", 5) != 1).select(
+    return score_texts(docs, crc_remainder("doc_id", 5) != 1, across=True).select(
         "doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score"
     )
