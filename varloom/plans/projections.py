@@ -70,7 +70,6 @@ from lineitem group by 1, 2
 select o_orderkey as variant_id, sample_id,
   (o_orderkey * (sample_id + 3) + o_custkey) % 3 as dosage
 from orders cross join (select distinct sample_id from calls) s
-where o_orderkey < 500
 """,
     "catalogue": """
 select distinct chrom, pos, ref, alt from calls where (pos + 1) % 4 = 0
