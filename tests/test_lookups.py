@@ -1,4 +1,7 @@
-from varloom.operators import lookups
+from varloom.operators import calling, lookups, regression
+from varloom.plans import stats_queries
+from varloom.plans.calls_queries import gene_seqs
+from varloom.plans.projections import Tables
 
 
 def rows(df, *cols):
@@ -69,3 +72,33 @@ def test_driver_summary_compares_targets_with_others(spark):
     out = {r["tissue"]: r for r in lookups.driver_summary(counts, targets).collect()}
     assert (out["T"]["target_mean"], out["T"]["other_mean"], out["T"]["w"]) == (11.0, 5.0, 15.0)
     assert out["T"]["p_adjusted"] == out["T"]["p"] and out["U"]["other_mean"] is None
+
+
+def test_region_scan_is_the_scan_of_each_gene(spark):
+    features = spark.createDataFrame([(v, s, float((s * (v + 1) + s * s * v) % 3)) for v in range(4) for s in range(9)], "feature int, sample_id int, x double")
+    phenotypes = spark.createDataFrame([(y, s, float((s * k) % 4)) for k, y in ((1, "y"), (3, "z")) for s in range(9)], "phenotype string, sample_id int, y double")
+    variants = spark.createDataFrame([(0, "chr1", 100), (1, "chr1", 5000), (2, "chr2", 100), (3, "chr1", 120)], "feature int, chrom string, pos long")
+    places = {"g": ("chr1", 150, 200), "h": ("chr1", 4950, 4960), "i": ("chr1", 110, 115), "k": ("chr2", 90, 5000)}
+    genes = spark.createDataFrame([(g, *at, "+") for g, at in places.items()], "gene_id string, chrom string, start_pos long, end_pos long, strand string")
+    out = lookups.region_scan(features, variants, genes, phenotypes, window=100, n=10, top_k=3)
+    for gene, inside in {"g": [0, 3], "h": [1], "i": [0, 3], "k": [2]}.items():
+        alone = regression.permutation_scan(features.filter(features.feature.isin(inside)), phenotypes, 10, 3)
+        cols = ["feature", "phenotype", "n", "r", "p_bonferroni", "p_empirical"]
+        assert rows(out.filter(out.gene_id == gene), *cols) == rows(alone, *cols)
+
+
+def test_every_two_samples_of_a_subject_are_compared(spark):
+    pile = spark.createDataFrame([(s, "chr1", 9, "A", "CCACC", 50, 50 if s == 2 else 0, 0, 0) for s in (1, 2, 3, 12, 22)], "sample_id int, chrom string, pos long, ref string, context string, a_n int, t_n int, g_n int, c_n int")
+    subjects = spark.createDataFrame([(1, 1), (2, 2), (3, 2), (12, 2), (22, 1)], "sample_id int, subject_id int")
+    assert rows(calling.compare_samples(pile, subjects), "sample_id_a", "sample_id_b", "called_a", "called_b") == [(2, 12, True, False), (2, 3, True, False)]
+
+
+def test_queries_read_every_sample(spark, tmp_path):
+    # Calls of samples 1, 20, 21 and 28 in an exon of each of two genes: none of 1 in the second.
+    line = "l_orderkey bigint, l_suppkey bigint, l_partkey bigint, l_linenumber int, l_quantity double, l_discount double, l_tax double, l_extendedprice double"
+    calls = [(k, 0, 5, 1, 20.0, 0.05, 0.04, 900.0) for k in (1, 20, 21, 28)] + [(k, 0, 60, 1, 20.0, 0.05, 0.04, 900.0) for k in (20, 21, 28)]
+    spark.createDataFrame(calls, line).write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(5, 24), (60, 24)], "p_partkey bigint, p_size int").write.parquet(f"{tmp_path}/part.parquet")
+    t = Tables(spark, str(tmp_path))
+    assert {r["gene_id"] for r in gene_seqs(t).collect()} == {"G0", "G1"}
+    assert {r["exon_id"] for r in stats_queries.QUERIES["a48_a49_a50_exon_signal"][0](t).collect()} == {5, 60}

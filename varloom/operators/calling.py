@@ -64,6 +64,13 @@ def compare_pair(pileup_a: DataFrame, pileup_b: DataFrame, **limits: float) -> D
     return side(pileup_a, "a").join(side(pileup_b, "b"), ["chrom", "pos"]).filter("called_a or called_b")
 
 
+def compare_samples(pileup: DataFrame, subjects: DataFrame, **limits: float) -> DataFrame:
+    """``compare_pair`` of every two samples of a subject; ``subjects`` has (sample_id, subject_id)."""
+    two = call_top_two(pileup, **limits).join(subjects.select("sample_id", "subject_id"), "sample_id")
+    side = lambda s: two.select("subject_id", "chrom", "pos", *[F.col(c).alias(f"{c}_{s}") for c in ("sample_id", "ref", "alt", "ref_n", "alt_n", "coverage", "called")])
+    return side("a").join(side("b"), ["subject_id", "chrom", "pos"]).filter("sample_id_a < sample_id_b and (called_a or called_b)")
+
+
 def drop_duplicate_reads(reads: DataFrame, key: tuple[str, ...] = ("sample_id", "chrom", "start", "is_reverse"), seed: int = 1) -> DataFrame:
     """One read of those that start at the same place, chosen by a hash of its id rather than by quality."""
     order = Window.partitionBy(*key).orderBy(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("read_id").cast("string"))), "read_id")

@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from varloom.operators.genes import agreement_fdr
 from varloom.operators.intervals import genes_near, overlap_join
-from varloom.operators.regression import permutation_scan
-from varloom.operators.stats import adjust, correlate, rank_sum
+from varloom.operators.regression import association_scan
+from varloom.operators.stats import adjust, correlate, permute, rank_sum, safe_corr
 
 
 def merge_histograms(a: DataFrame, b: DataFrame, key: list[str], value: str = "n") -> DataFrame:
@@ -72,9 +72,24 @@ def log_ratio(counts: DataFrame, key: str, unit: str, value: str = "n") -> DataF
 def region_scan(
     features: DataFrame, variants: DataFrame, genes: DataFrame, phenotypes: DataFrame, window: int = 100_000, n: int = 100, top_k: int = 100, seed: int = 1
 ) -> DataFrame:
-    """Permutation scan of the variants (feature, chrom, pos) that lie within ``window`` of the genes given."""
-    near = genes_near(variants, genes, window).select("feature").distinct()
-    return permutation_scan(features.join(near, "feature", "left_semi"), phenotypes, n, top_k, seed)
+    """For each gene the permutation scan of the variants (feature, chrom, pos) that lie within ``window`` of it.
+
+    Pairs and permutations are worked out once for all genes; Bonferroni's number of tests, the largest |r| of a
+    permutation and ``top_k`` are those of the gene.
+    """
+    near = genes_near(variants, genes, window).select("feature", "gene_id").distinct()
+    inside = features.join(near, "feature", "left_semi")
+    real = association_scan(inside, phenotypes).join(near, "feature")
+    perm = permute(phenotypes, ["phenotype"], "y", "sample_id", n, seed)
+    drawn = inside.join(perm, "sample_id").groupBy("perm_id", "feature", "phenotype").agg(safe_corr("x", "y").alias("r"))
+    drawn = drawn.groupBy("perm_id", "feature").agg(F.max(F.abs("r")).alias("m"))
+    best = drawn.join(near, "feature").groupBy("gene_id", "perm_id").agg(F.max("m").alias("m"))
+    maxima = best.groupBy("gene_id").agg(F.collect_list("m").alias("ms"))  # n values a gene
+    order = Window.partitionBy("gene_id").orderBy(F.desc(F.abs("r")), "feature", "phenotype")
+    tests = real.groupBy("gene_id").agg(F.count(F.lit(1)).alias("tests"))
+    top = real.filter("r is not null").withColumn("_k", F.row_number().over(order)).filter(F.col("_k") <= top_k).drop("_k").join(tests, "gene_id").join(maxima, "gene_id")
+    reached = F.size(F.filter("ms", lambda m: m >= F.abs("r") - 1e-12)) / F.size("ms")
+    return top.withColumn("p_bonferroni", F.least(F.lit(1.0), F.col("p") * F.col("tests"))).withColumn("p_empirical", reached).drop("ms", "tests")
 
 
 def pathway_enrichment(real: DataFrame, permuted: DataFrame, terms: DataFrame, on: str = "gene_id") -> DataFrame:

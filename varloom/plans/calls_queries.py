@@ -63,12 +63,12 @@ QUERIES: dict[str, tuple[Callable[[Tables], DataFrame], str | None]] = {
         from (select *, greatest(a_n, t_n, g_n, c_n) as ref_n, a_n + t_n + g_n + c_n - greatest(a_n, t_n, g_n, c_n) as alt_n, a_n + t_n + g_n + c_n as coverage from pileup) where coverage >= 40""",
     ),
     "c3_compare_pair": (
-        lambda t: calling.compare_pair(t.pileup.filter("sample_id = 2").drop("tissue"), t.pileup.filter("sample_id = 12").drop("tissue"))
-        .select("chrom", "pos", "ref_n_a", "alt_n_a", "called_a", "ref_n_b", "alt_n_b", "called_b"),
+        lambda t: calling.compare_samples(t.pileup.drop("tissue"), t.sample_meta)
+        .select("sample_id_a", "sample_id_b", "chrom", "pos", "ref_n_a", "alt_n_a", "called_a", "ref_n_b", "alt_n_b", "called_b"),
         """with s as (select *, greatest(a_n, t_n, g_n, c_n) as rn, a_n + t_n + g_n + c_n - greatest(a_n, t_n, g_n, c_n) as an, a_n + t_n + g_n + c_n as cov from pileup),
         q as (select sample_id, chrom, pos, rn, an, an >= 6 and an * 1.0 / (an + rn) > 0 and an * 1.0 / (an + rn) < 0.7 as called from s where cov >= 40)
-        select a.chrom, a.pos, a.rn as ref_n_a, a.an as alt_n_a, a.called as called_a, b.rn as ref_n_b, b.an as alt_n_b, b.called as called_b
-        from q a join q b on a.chrom = b.chrom and a.pos = b.pos where a.sample_id = 2 and b.sample_id = 12 and (a.called or b.called)""",
+        select a.sample_id as sample_id_a, b.sample_id as sample_id_b, a.chrom, a.pos, a.rn as ref_n_a, a.an as alt_n_a, a.called as called_a, b.rn as ref_n_b, b.an as alt_n_b, b.called as called_b
+        from q a join q b on a.chrom = b.chrom and a.pos = b.pos and a.sample_id % 10 = b.sample_id % 10 where a.sample_id < b.sample_id and (a.called or b.called)""",
     ),
     "c4_unique_top": (
         lambda t: calling.call_variants(t.pileup, require_unique_top=True, vaf_hi=0.9).groupBy("tissue").agg(F.count(F.lit(1)).alias("n"), F.sum("n_support").alias("support")),
@@ -216,7 +216,7 @@ QUERIES: dict[str, tuple[Callable[[Tables], DataFrame], str | None]] = {
     ),
     "a24_kmer_opportunity": (
         lambda t: rounded(profiles.kmer_opportunity(profiles.kmer_counts(gene_seqs(t), "gene_id", 3).groupBy("gene_id", "kmer").agg(F.sum("n").alias("n")), t.expression), "weight", digits=3),
-        """with i as (select c.context, x.gene_id from calls c join exons x on c.chrom = x.chrom and c.pos >= x.start_pos and c.pos < x.end_pos where c.sample_id = 1),
+        """with i as (select c.context, x.gene_id from calls c join exons x on c.chrom = x.chrom and c.pos >= x.start_pos and c.pos < x.end_pos),
         k as (select gene_id, unnest([substr(context, 1, 3), substr(context, 2, 3), substr(context, 3, 3)]) as kmer from i), n as (select gene_id, kmer, count(*) as n from k group by 1, 2)
         select sample_id, case when substr(kmer, 2, 1) in ('A', 'G') then reverse(translate(kmer, 'ACGT', 'TGCA')) else kmer end as kmer, round(sum(n * tpm), 3) as weight from n join expression e on n.gene_id = e.gene_id group by 1, 2""",
     ),
@@ -323,7 +323,7 @@ QUERIES: dict[str, tuple[Callable[[Tables], DataFrame], str | None]] = {
 
 
 def gene_seqs(t: Tables) -> DataFrame:
-    return intervals.overlap_join(t.calls.filter("sample_id = 1"), t.exons.drop("strand")).select("gene_id", F.col("context").alias("seq"))
+    return intervals.overlap_join(t.calls, t.exons.drop("strand")).select("gene_id", F.col("context").alias("seq"))
 
 
 def in_exon(t: Tables) -> DataFrame:

@@ -43,7 +43,7 @@ def driven(t: Tables) -> DataFrame:
 
 def region(t: Tables) -> DataFrame:
     variants = t.sql("select distinct variant_id as feature, concat('chr', cast(variant_id % 5 + 1 as varchar(9))) as chrom, variant_id * 40 as pos from genotypes")
-    genes = t.sql("select gene_id, chrom, min(start_pos) as start_pos, max(end_pos) as end_pos, min(strand) as strand from exons where gene_id in ('G0', 'G1') group by 1, 2")
+    genes = t.sql("select gene_id, chrom, min(start_pos) as start_pos, max(end_pos) as end_pos, min(strand) as strand from exons group by 1, 2")
     return lookups.region_scan(features(t), variants, genes, t.sql("select tissue as phenotype, sample_id, n as y from sample_counts"), 2000, 20, 30)
 
 

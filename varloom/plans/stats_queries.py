@@ -355,9 +355,9 @@ QUERIES: dict[str, tuple[Callable[[Tables], DataFrame], str | None]] = {
         select distance, n_calls, n_covered, round(n_calls * 1.0 / n_covered, 6) as rate from h where n_calls > 0 or n_covered > 0""",
     ),
     "a48_a49_a50_exon_signal": (
-        lambda t: rounded(genes.exon_signal(t.exons, t.calls, t.depth, t.sql("select concat('m', sample_id % 3) as mark, chrom, pos, n_support as signal from calls where sample_id < 12")), "log_rate", "m0", "m1", "m2"),
+        lambda t: rounded(genes.exon_signal(t.exons, t.calls, t.depth, t.sql("select concat('m', sample_id % 3) as mark, chrom, pos, n_support as signal from calls")), "log_rate", "m0", "m1", "m2"),
         """with n as (select exon_id, count(*) as n_calls from calls c join exons x on c.chrom = x.chrom and c.pos >= x.start_pos and c.pos < x.end_pos group by 1), d as (select exon_id, count(*) as n_covered from depth c join exons x on c.chrom = x.chrom and c.pos >= x.start_pos and c.pos < x.end_pos group by 1),
-        m as (select exon_id, avg(n_support) filter (sample_id % 3 = 0) as m0, avg(n_support) filter (sample_id % 3 = 1) as m1, avg(n_support) filter (sample_id % 3 = 2) as m2 from calls c join exons x on c.chrom = x.chrom and c.pos >= x.start_pos and c.pos < x.end_pos where sample_id < 12 group by 1)
+        m as (select exon_id, avg(n_support) filter (sample_id % 3 = 0) as m0, avg(n_support) filter (sample_id % 3 = 1) as m1, avg(n_support) filter (sample_id % 3 = 2) as m2 from calls c join exons x on c.chrom = x.chrom and c.pos >= x.start_pos and c.pos < x.end_pos group by 1)
         select n.exon_id, n_calls, n_covered, round(log2(n_calls * 1.0 / n_covered), 6) as log_rate, round(log2(m0), 6) as m0, round(log2(m1), 6) as m1, round(log2(m2), 6) as m2 from n join d on n.exon_id = d.exon_id join m on n.exon_id = m.exon_id where m0 > 0 and m1 > 0 and m2 > 0""",
     ),
     "j1_translate_ids": (
