@@ -1,4 +1,6 @@
-from varloom.operators import calling, lookups, regression
+import pytest
+
+from varloom.operators import calling, genes, lookups, regression
 from varloom.plans import stats_queries
 from varloom.plans.calls_queries import gene_seqs
 from varloom.plans.projections import Tables
@@ -102,3 +104,11 @@ def test_queries_read_every_sample(spark, tmp_path):
     t = Tables(spark, str(tmp_path))
     assert {r["gene_id"] for r in gene_seqs(t).collect()} == {"G0", "G1"}
     assert {r["exon_id"] for r in stats_queries.QUERIES["a48_a49_a50_exon_signal"][0](t).collect()} == {5, 60}
+
+
+def test_too_many_marks_are_an_error(spark):
+    at = spark.createDataFrame([("chr1", 5)], "chrom string, pos long")
+    exons = spark.createDataFrame([(1, "chr1", 1, 10)], "exon_id int, chrom string, start_pos long, end_pos long")
+    marks = spark.range(1001).selectExpr("concat('m', id) as mark", "'chr1' as chrom", "5L as pos", "1 as signal")
+    with pytest.raises(ValueError, match="marks"):
+        genes.exon_signal(exons, at, at, marks)

@@ -14,6 +14,9 @@ from varloom.operators.stats import adjust, rank_sum
 
 IMPACTS = ("Synonymous", "Missense", "Nonsense", "Essential_Splice")
 
+#: Marks that exon_signal makes columns of.
+MOST_MARKS = 1000
+
 
 def assign_genes(calls: DataFrame, genes: DataFrame) -> DataFrame:
     """A row for each gene that holds the call, with the alleles on the gene's strand."""
@@ -253,9 +256,11 @@ def distance_histogram(calls: DataFrame, covered: DataFrame, exons: DataFrame, m
 def exon_signal(exons: DataFrame, calls: DataFrame, depth: DataFrame, marks: DataFrame) -> DataFrame:
     """Calls, covered positions and each mark's mean signal of exons where all marks are above 0, as log2.
 
-    ``marks`` has (mark, chrom, pos, signal).
+    ``marks`` has (mark, chrom, pos, signal); each mark is a column, more than ``MOST_MARKS`` are an error.
     """
-    names = [r[0] for r in marks.select("mark").distinct().orderBy("mark").limit(1000).collect()]  # column names
+    names = [r[0] for r in marks.select("mark").distinct().orderBy("mark").limit(MOST_MARKS + 1).collect()]  # column names
+    if len(names) > MOST_MARKS:
+        raise ValueError(f"more than {MOST_MARKS} marks")
     n = overlap_join(calls.select("chrom", "pos"), exons.select("exon_id", "chrom", "start_pos", "end_pos")).groupBy("exon_id").agg(F.count(F.lit(1)).alias("n_calls"))
     d = overlap_join(depth.select("chrom", "pos"), exons.select("exon_id", "chrom", "start_pos", "end_pos")).groupBy("exon_id").agg(F.count(F.lit(1)).alias("n_covered"))
     m = overlap_join(marks, exons.select("exon_id", "chrom", "start_pos", "end_pos")).groupBy("exon_id").pivot("mark", names).agg(F.avg("signal"))
