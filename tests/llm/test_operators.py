@@ -289,94 +289,3 @@ def test_language(spark):
     assert all(got[i]["lang_pred"] == k and 0 < got[i]["score"] <= 1 and not got[i]["rejected"] for i, t, k in rows if i < 1000)
     assert all(got[i]["lang_pred"] == "und" and got[i]["score"] == 0 for i in (1000, 1001, 1002))
     assert {r["lang_pred"] for r in language.identify_language(df, {}).collect()} == {"und"}
-
-
-def plain_trie(counts):
-    trie = collections.defaultdict(collections.Counter)
-    for word, n in counts.items():
-        s = b"\0\0\0\0 " + (word if word == b"\n" else word + b" ")
-        for q in range(5, len(s)):
-            for k in range(6):
-                trie[s[q - k : q]][s[q]] += n
-    return trie
-
-
-def symbol(trie, context, sym):
-    out, excluded = 1.0, set()
-    for k in range(5, -1, -1):
-        seen = trie.get(context[5 - k :])
-        if not seen:
-            continue
-        left = {a: n for a, n in seen.items() if a not in excluded}
-        n = sum(left.values())
-        if sym in left:
-            return out * (2 * left[sym] - 1) / (2 * n)
-        if left:
-            out *= len(left) / (2 * n)
-        excluded |= set(seen)
-    return out / (256 - len(trie[b""]))
-
-
-def test_model(docs, rows):
-    counts, lines, tokens = collections.Counter(), collections.Counter(), {}
-    cut = lambda t: re.findall(rb"[^\n]*\n|[^\n]+", t)
-    for i, text, *_ in rows:
-        raw = (text or "").encode().lower()
-        tokens[i] = [*WORDS.findall(raw), b"\n"]
-        if i % 5 != 1:
-            counts.update(tokens[i])
-            lines.update(cut(raw))
-    trie, n, v, memo = plain_trie(counts), sum(counts.values()), len(counts), {}
-    for context in (b"\0\0\0\0 ", b"\0\0\0 w", b" edit", b"qzqzq"):
-        assert sum(symbol(trie, context, s) for s in range(256)) == pytest.approx(1, abs=1e-9)
-
-    def word(w):
-        if w not in memo:
-            s = b"\0\0\0\0 " + (w if w == b"\n" else w + b" ")
-            memo[w] = sum(math.log10(symbol(trie, s[q - 5 : q], s[q])) for q in range(5, len(s)))
-        return memo[w]
-
-    for r in language_model.score_texts(docs, F.col("doc_id") % 5 != 1).collect():
-        i = r["doc_id"]
-        own = collections.Counter(cut((rows[i][1] or "").encode().lower())) if i % 5 != 1 else collections.Counter()
-        assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (len(tokens[i]), sum(t in counts for t in tokens[i]), n)
-        assert r["base_score"] == pytest.approx(sum(math.log10((counts[t] + 0.5) / (n + 0.5 * (v + 1))) for t in tokens[i]))
-        m, score, before, seen = sum(lines.values()) - sum(own.values()), word(b"\n"), [], collections.defaultdict(collections.Counter)
-        for line in cut((rows[i][1] or "").encode().lower()):
-            inner = 0.0
-            for w in WORDS.findall(line):
-                s = seen[tuple(before[-3:])] if len(before) >= 3 else collections.Counter()
-                if s[w]:
-                    inner += math.log10((s[w] - 0.2) / sum(s.values()))
-                else:
-                    inner += word(w) + (math.log10(0.2 * sum(c > 0 for c in s.values()) / sum(s.values())) if sum(s.values()) else 0)
-                s[w] += 1
-                before.append(w)
-            if WORDS.findall(line):
-                others = lines[line] - own[line]
-                score += math.log10((2 * others - 1) / (2 * m)) if others > 0 else math.log10(min(1, len(lines) / (2 * m))) + inner
-        assert r["score"] == pytest.approx(score, rel=1e-5), rows[i]
-
-
-def test_contexts_of_the_model_run_over_words(spark):
-    # Each word is as frequent as the others, so that only the word before tells which comes next.
-    rng = random.Random(3)
-    pairs = [("red", "apple"), ("blue", "cheese"), ("old", "bridge"), ("new", "garden")]
-    train = [(i, " ".join(" ".join(rng.choice(pairs)) for _ in range(12)) + f" {i}") for i in range(40)]
-    held = [(100, "blue cheese old bridge"), (101, "blue bridge old cheese"), (102, ""), (103, None), (104, "é 中 new\ngarden"), (105, "a b")]
-    both = spark.createDataFrame(train + held, "doc_id int, text string").repartition(3)
-    got = {r["doc_id"]: r["score"] for r in language_model.score_texts(both, F.col("doc_id") < 100, across=True).collect()}
-    trie, lines = collections.defaultdict(collections.Counter), collections.Counter(t for _, t in train)
-    stream = lambda t: b"\0\0\0\0 " + b"".join(w + b" " for w in WORDS.findall((t or "").lower().encode())) + b"\n"
-    for _, t in train:
-        s = stream(t)
-        for q in range(5, len(s)):
-            for k in range(6):
-                trie[s[q - k : q]][s[q]] += 1
-    for context in (b"\0\0\0\0 ", b"blue ", b"lue c"):
-        assert sum(symbol(trie, context, x) for x in range(256)) == pytest.approx(1, abs=1e-9)
-    for i, t in held:
-        s, n_lines = stream(t), len([x for x in (t or "").split("\n") if x])
-        expected = sum(math.log10(symbol(trie, s[q - 5 : q], s[q])) for q in range(5, len(s))) + n_lines * math.log10(min(1, len(lines) / (2 * sum(lines.values()))))
-        assert got[i] == pytest.approx(expected, rel=1e-5), t
-    assert got[100] > got[101] + 1
