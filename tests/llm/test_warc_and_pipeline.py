@@ -1,9 +1,10 @@
 import base64
 import collections
+import gzip
 import hashlib
 import itertools
 import json
-import shutil
+import zlib
 from pathlib import Path
 
 import pytest
@@ -31,12 +32,82 @@ def test_derivatives_round_trip(spark, tmp_path):
     assert head["Conversion"] == text["record_id"] and head["WARC-Header"]["WARC-Record-ID"] == text["refers_to"]
     assert head["HTML"]["Title"] == "A & B" and head["HTML"]["Links"] == [{"path": "A@/href", "url": "/x"}] and head["HTML"]["Lang"] == "en"
     assert by[2, "conversion"]["block"] == "" and by[2, "conversion"]["target_uri"] is None
-    warc.write_warc(out, str(tmp_path / "w"))
+    warc.write_warc(out.repartition(3), str(tmp_path / "w"))
     back = warc.read_warc(spark, str(tmp_path / "w")).collect()
-    assert collections.Counter((r["fields"]["WARC-Record-ID"], r["block"]) for r in back) == collections.Counter((r["record_id"], r["block"]) for r in got)
+    assert collections.Counter((r["record_id"], r["refers_to"], bytes(r["payload"]).decode(), r["block_digest"]) for r in back) == collections.Counter((r["record_id"], r["refers_to"], r["block"], r["block_digest"]) for r in got)
+    files = list((tmp_path / "w").iterdir())
+    assert files and all(f.name.startswith("part-") for f in files)
+    members = sum(gzip_members(f.read_bytes()) for f in files)
+    assert members == len(got)  # one for each record
     assert warc.derivatives(warc.responses(pages.limit(0))).count() == 0
 
 
+def gzip_members(data):
+    n = 0
+    while data:
+        d = zlib.decompressobj(31)
+        assert d.decompress(data).startswith(b"WARC/1.1\r\n")
+        data, n = d.unused_data, n + 1
+    return n
+
+
+def record(kind, block, **head):
+    lines = "".join(f"{k.replace('_', '-')}: {v}\r\n" for k, v in head.items())
+    return f"WARC/1.0\r\nWARC-Type: {kind}\r\n{lines}Content-Length: {len(block)}\r\n\r\n".encode() + block + b"\r\n\r\n"
+
+
+@pytest.mark.parametrize("packed", ["plain", "members", "whole"])
+def test_responses_of_crawls_keep_their_heads(spark, tmp_path, packed):
+    page = "<html><head><title>caf\u00e9</title></head><body>pr\u00e8s\r\n\r\nWARC/1.1\r\nWARC-Type: response\r\n\r\nthere</body></html>".encode("latin-1")
+    http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=ISO-8859-1\r\nX-Note: a: b\r\nSet-Cookie: x=1\r\nSet-Cookie: y=2\r\n folded\r\n\r\n"
+    moved = b"HTTP/1.1 301 Moved Permanently\r\nLocation: http://b.example/\r\nContent-Length: 0\r\n\r\n"
+    image = b"HTTP/1.1 200 OK\r\nContent-Type: image/png\r\n\r\n\x89PNG\x00\xff"
+    text = b"HTTP/1.1 200 OK\r\nContent-Type: text/plain\r\n\r\n<b>not</b> markup\n"
+    common = dict(Content_Type="application/http; msgtype=response")
+    all_records = [
+        record("warcinfo", b"software: none\r\n", WARC_Record_ID="<urn:uuid:0>", Content_Type="application/warc-fields"),
+        record("response", http + page, WARC_Record_ID="<urn:uuid:1>", WARC_Target_URI="http://a.example/", WARC_Date="2021-03-04T05:06:07Z", WARC_Payload_Digest="sha1:GIVEN", WARC_IP_Address="192.0.2.7", **common),
+        record("response", moved, WARC_Record_ID="<urn:uuid:2>", WARC_Target_URI="http://c.example/", WARC_Date="2022-01-01T00:00:00Z", **common),
+        record("response", image, WARC_Record_ID="<urn:uuid:3>", WARC_Date="2022-01-02T00:00:00Z", **common),
+        record("response", text, WARC_Record_ID="<urn:uuid:4>", WARC_Date="2022-01-03T00:00:00Z", **common),
+    ]
+    cut = record("response", http + page, WARC_Record_ID="<urn:uuid:5>", **common)[:-30]
+    raw = {"plain": b"".join(all_records) + cut, "members": b"".join(map(gzip.compress, [*all_records, cut])), "whole": gzip.compress(b"".join(all_records) + cut)}[packed]
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "crawl.warc.gz").write_bytes(raw)
+    read = warc.read_warc(spark, str(tmp_path / "in"))
+    kinds = read.select("record_id", "warc_type", "truncated").collect()
+    assert [(r["record_id"][10:-1], r["truncated"]) for r in kinds] == [(str(i), i == 5) for i in range(6)]
+    got = {(r["source_id"], r["warc_type"]): r for r in warc.derivatives(read.filter("warc_type = 'response'").withColumn("source_id", F.col("record_id"))).collect()}
+    assert len(got) == 10
+    meta = json.loads(got["<urn:uuid:1>", "metadata"]["block"])
+    assert meta["HTTP-Headers"] == {"Content-Type": "text/html; charset=ISO-8859-1", "X-Note": "a: b", "Set-Cookie": "x=1, y=2 folded"}
+    assert meta["WARC-Header"]["WARC-IP-Address"] == "192.0.2.7" and meta["HTTP-Status"] == "HTTP/1.1 200 OK" and meta["HTML"]["Title"] == "caf\u00e9"
+    conversion = got["<urn:uuid:1>", "conversion"]
+    assert conversion["block"] == "caf\u00e9\npr\u00e8s WARC/1.1 WARC-Type: response there".split("\n", 1)[1]
+    assert (conversion["refers_to"], conversion["date"], conversion["refers_to_payload_digest"], conversion["target_uri"]) == ("<urn:uuid:1>", "2021-03-04T05:06:07Z", "sha1:GIVEN", "http://a.example/")
+    assert [got[f"<urn:uuid:{i}>", "conversion"]["block"] for i in (2, 3, 4)] == ["", "", "<b>not</b> markup\n"]
+    assert json.loads(got["<urn:uuid:2>", "metadata"]["block"])["HTTP-Status"].endswith("301 Moved Permanently")
+
+
+@pytest.mark.parametrize("html,text", [("<p>a</p><![foo[bar]]>x", "a\nx"), ("a<![ x", "a<![ x"), ("<![if !IE]>y<![endif]>", "y"), ("<!doctype <a>b", None), ("<", None), ("&#xfffffff; &#0; t", None), ("<!--[if IE]>z<![endif]-->w", "w"),
+                                       ("</" * 50, None), ("<a " * 300 + "b", None), ("<script>never closed", ""), ("\ud800 lone", None)])
+def test_malformed_pages(spark, html, text):
+    page = warc.Page(html)
+    assert text is None or page.text == text
+    if "\ud800" not in html:
+        pages = spark.createDataFrame([(1, "u", html)], "page_id int, url string, html string")
+        assert warc.derivatives(warc.responses(pages)).count() == 2
+
+
+def test_pages_with_heads_of_their_own(spark):
+    pages = spark.createDataFrame([(1, "u", "<p>x", "2020-02-02T00:00:00Z", "HTTP/1.1 404 Not Found\r\nServer: s"), (2, "v", "y" * 3_000_000, None, None)], "page_id int, url string, html string, at string, head string")
+    got = {(r["source_id"], r["warc_type"]): r for r in warc.derivatives(warc.responses(pages, date_col="at", http_col="head")).collect()}
+    meta = json.loads(got[1, "metadata"]["block"])
+    assert got[1, "conversion"]["date"] == "2020-02-02T00:00:00Z" and meta["HTTP-Status"] == "HTTP/1.1 404 Not Found" and meta["HTTP-Headers"] == {"Server": "s"}
+    assert got[2, "conversion"]["block"] == "y" * 3_000_000 and got[2, "conversion"]["date"] == "2024-01-01T00:00:00Z"
+
+
 def kept_by_plain_rules(docs):
     """Exact and near duplicates of rows by pairs."""
     last = {}

@@ -3,16 +3,22 @@
 from __future__ import annotations
 
 import base64
+import codecs
+import gzip
 import hashlib
+import io
 import json
 import re
 import uuid
 from collections.abc import Iterator
 from html.parser import HTMLParser
+from typing import BinaryIO
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
 
 VERSION = "WARC/1.1"
 BREAK = "\r\n"
@@ -24,23 +30,45 @@ LINES = set(
 )
 #: Attributes that hold links.
 LINKS = {("a", "href"), ("area", "href"), ("link", "href"), ("img", "src"), ("script", "src"), ("iframe", "src"), ("source", "src"), ("form", "action")}
-RESPONSE = "source_id {id}, record_id string, target_uri string, date string, block_digest string, payload_digest string, http_headers string, payload string"
+#: Payload bytes of the records that are read together.
+READ_BYTES = 16 << 20
+RESPONSE = (
+    "source_id {id}, record_id string, target_uri string, date string, block_digest string, payload_digest string, warc_headers string, http_headers string, payload binary"
+)
 DERIVED = (
     "source_id {id}, warc_type string, record_id string, refers_to string, target_uri string, date string, content_type string,"
     " content_length bigint, block_digest string, payload_digest string, refers_to_payload_digest string, block string"
 )
+READ = (
+    "warc_type string, record_id string, refers_to string, target_uri string, date string, content_type string, block_digest string,"
+    " payload_digest string, refers_to_payload_digest string, warc_headers string, http_headers string, payload binary, truncated boolean"
+)
 
 
 class Page(HTMLParser):
-    """Title, metas, links and lines of visible text of a page."""
+    """Title, metas, links and lines of visible text of a page.
+
+    Markup that is not HTML never fails: declarations such as <![foo[...]]> are comments up to the next >, and
+    where the parser gives up all the same, what remains is taken as text without its tags.
+    """
 
     def __init__(self, html: str):
         super().__init__(convert_charrefs=True)
         self.title, self.metas, self.links, self.lang = None, [], [], None
         self.lines: list[list[str]] = [[]]
         self.hidden, self.in_title = 0, False
-        self.feed(html)
-        self.close()
+        try:
+            self.feed(html)
+            self.close()
+        except (AssertionError, ValueError, IndexError):
+            line, column = self.getpos()
+            rest = html.split("\n", line - 1)[-1][column:]
+            self.in_title = False
+            self.handle_data(re.sub(r"<[^>]*>", " ", rest))
+
+    def parse_marked_section(self, i: int, report: int = 1) -> int:
+        end = self.rawdata.find(">", i + 3)
+        return end + 1 if end >= 0 else -1
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         given = dict(attrs)
@@ -86,89 +114,222 @@ def record_id(*parts: object) -> str:
     return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, json.dumps(parts, default=str))}>"
 
 
-def responses(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", date: str = "2024-01-01T00:00:00Z") -> DataFrame:
+def fields(head: str | None) -> dict[str, str]:
+    """Header lines as a mapping, without a first line that is none; lines that begin with white space go on, and
+    fields that come again, in any case of letters, are joined by commas."""
+    out: dict[str, str] = {}
+    spelled: dict[str, str] = {}
+    for line in re.sub(r"\r?\n[ \t]+", " ", head or "").splitlines():
+        name, colon, value = line.partition(":")
+        if colon and re.fullmatch(r"[^\s:]+", name):
+            name = spelled.setdefault(name.lower(), name)
+            out[name] = f"{out[name]}, {value.strip()}" if name in out else value.strip()
+    return out
+
+
+def lower(names: dict[str, str]) -> dict[str, str]:
+    return {k.lower(): v for k, v in names.items()}
+
+
+def decoded(payload: bytes, content_type: str) -> str:
+    """The payload's text: by the charset of the content type, else by that the page's head names, else UTF-8; bytes that
+    are none in it become U+FFFD."""
+    named = re.search(r"charset\s*=\s*[\"']?([\w.:-]+)", content_type, re.IGNORECASE)
+    inside = named or re.search(rb"<meta[^>]{0,200}charset\s*=\s*[\"']?([\w.:-]+)", payload[:4096], re.IGNORECASE)
+    name = "utf-8" if inside is None else inside[1] if isinstance(inside[1], str) else inside[1].decode("ascii", "replace")
+    try:
+        codecs.lookup(name)
+        return payload.decode(name, "replace")
+    except (LookupError, UnicodeError, ValueError):
+        return payload.decode("utf-8", "replace")
+
+
+def responses(
+    pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", date: str = "2024-01-01T00:00:00Z",
+    date_col: str | None = None, http_col: str | None = None,
+) -> DataFrame:
     """A response record per row of ``pages``: its id (from the row's id, address and digest), target
-    address, date, digests of block and payload, HTTP headers, and the payload.
+    address, date, digests of block and payload, WARC and HTTP headers, and the payload.
 
-    Null pages have an empty payload; null addresses and ids stay null.
+    Crawls that kept them give dates in ``date_col`` and the status line and headers in ``http_col``; others, and
+    nulls, get ``date`` and a plain head.  Null pages have an empty payload; null addresses and ids stay null.  Rows
+    that come twice give equal records.  Other columns are not read, whatever their names; an empty table gives an
+    empty result.  A task holds a batch of pages (64 MB, or one longer page).
     """
 
     def build(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             out = []
-            for i, url, html in zip(frame["i"], frame["u"], frame["h"], strict=True):
-                body = (html or "").encode()
-                head = f"HTTP/1.1 200 OK{BREAK}Content-Type: text/html; charset=utf-8{BREAK}Content-Length: {len(body)}{BREAK}"
-                whole = digest(f"{head}{BREAK}".encode() + body)
-                out.append((i, record_id("response", None if pd.isna(i) else i, url, whole), url, date, whole, digest(body), head, html or ""))
+            for i, url, html, when, head in zip(frame["i"], frame["u"], frame["h"], frame["d"], frame["x"], strict=True):
+                body = (html or "").encode("utf-8", "replace")
+                head = (head or f"HTTP/1.1 200 OK{BREAK}Content-Type: text/html; charset=utf-8{BREAK}Content-Length: {len(body)}").rstrip() + BREAK
+                block, own = digest(f"{head}{BREAK}".encode("utf-8", "replace") + body), digest(body)
+                name, when = record_id("response", None if pd.isna(i) else i, url, block), when or date
+                lines = {"WARC-Type": "response", "WARC-Record-ID": name, "WARC-Target-URI": url, "WARC-Date": when, "WARC-Block-Digest": block, "WARC-Payload-Digest": own}
+                out.append((i, name, url, when, block, own, "".join(f"{k}: {v}{BREAK}" for k, v in lines.items() if v is not None), head, body))
             yield pd.DataFrame(out, columns=[c.split()[0] for c in RESPONSE.split(", ")])
 
-    read = pages.select(pages[id_col].alias("i"), pages[url_col].cast("string").alias("u"), pages[html_col].cast("string").alias("h"))
+    text = lambda c: F.lit(None).cast("string") if c is None else pages[c].cast("string")
+    read = pages.select(pages[id_col].alias("i"), text(url_col).alias("u"), text(html_col).alias("h"), text(date_col).alias("d"), text(http_col).alias("x"))
     return read.mapInPandas(build, RESPONSE.format(id=dict(read.dtypes)["i"]))
 
 
 def derivatives(records: DataFrame) -> DataFrame:
     """A metadata and a conversion record for each response record.
 
-    Both refer to the response by its id and keep its address, date and payload digest.  The metadata
-    block is JSON: the response's WARC header fields and HTTP headers, the page's title, language,
-    metas and links, and the id of the conversion record; the conversion block is the page's visible
-    text.  Each has a digest of its own block.  Responses that come twice give equal records twice;
-    an empty payload gives an empty text.  Needs no shuffle.
+    ``records`` are those of ``responses``, or response records of ``read_warc`` with a ``source_id``.  Both
+    derivatives refer to the response by its id and keep its address, date and payload digest.  The metadata block is
+    JSON: all of the response's WARC header fields and HTTP headers as they came, its status line, the page's title,
+    language, metas and links, and the id of the conversion record.  The conversion block is the page's visible text,
+    in UTF-8, whatever the page's charset; of text/plain it is the payload, and empty for other types than HTML and
+    text.  Each has a digest of its own block.
+
+    Null and repeated ids stay, responses that come twice give equal records twice, an empty or null payload gives an
+    empty text, and malformed pages give the text that can be told (see ``Page``).  Only the columns of ``RESPONSE`` are
+    read; an empty table gives an empty result.  Needs no shuffle; a task holds a batch of records (64 MB, or one
+    longer page and some ten times its bytes while that is read).
     """
 
     def build(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             out = []
             for r in frame.itertuples(index=False):
-                page = Page(r.payload or "")
-                text, own, other = page.text, record_id("conversion", r.record_id), record_id("metadata", r.record_id)
-                headers = dict(h.split(": ", 1) for h in (r.http_headers or "").split(BREAK) if ": " in h)
-                fields = {
-                    "WARC-Type": "response", "WARC-Record-ID": r.record_id, "WARC-Target-URI": r.target_uri, "WARC-Date": r.date,
-                    "WARC-Block-Digest": r.block_digest, "WARC-Payload-Digest": r.payload_digest,
-                }
+                http = fields(r.http_headers)
+                kind = lower(http).get("content-type", "text/html")
+                html, plain = re.match(r"\s*(text/html|application/xhtml)", kind, re.IGNORECASE), re.match(r"\s*text/", kind, re.IGNORECASE)
+                content = decoded(bytes(r.payload or b""), kind) if html or plain else ""
+                page = Page(content if html else "")
+                text, own, other = page.text if html else content, record_id("conversion", r.record_id), record_id("metadata", r.record_id)
                 head = {"Title": page.title, "Lang": page.lang, "Metas": page.metas, "Links": page.links}
-                meta = json.dumps({"WARC-Header": fields, "HTTP-Headers": headers, "HTML": head, "Conversion": own, "Text-Digest": digest(text.encode())}, ensure_ascii=False)
-                for kind, name, type_, block in (("metadata", other, "application/json", meta), ("conversion", own, "text/plain", text)):
+                status = (r.http_headers or "").split("\n", 1)[0].strip()
+                meta = {"WARC-Header": fields(r.warc_headers), "HTTP-Status": status, "HTTP-Headers": http, "HTML": head, "Conversion": own, "Text-Digest": digest(text.encode("utf-8", "replace"))}
+                for what, name, type_, block in (("metadata", other, "application/json", json.dumps(meta, ensure_ascii=False)), ("conversion", own, "text/plain", text)):
                     data = block.encode("utf-8", "replace")
-                    out.append((r.source_id, kind, name, r.record_id, r.target_uri, r.date, type_, len(data), digest(data), digest(data), r.payload_digest, block))
+                    out.append((r.source_id, what, name, r.record_id, r.target_uri, r.date, type_, len(data), digest(data), digest(data), r.payload_digest, data.decode()))
             yield pd.DataFrame(out, columns=[c.split()[0] for c in re.split(r",\s*", DERIVED)])
 
-    return records.mapInPandas(build, DERIVED.format(id=dict(records.dtypes)["source_id"]))
+    read = records.select(*(c.split()[0] for c in RESPONSE.split(", ")))
+    return read.mapInPandas(build, DERIVED.format(id=dict(read.dtypes)["source_id"]))
+
+
+#: Fields of a written record and the columns that give them; null ones are left out.
+FIELDS = {
+    "WARC-Type": "warc_type", "WARC-Record-ID": "record_id", "WARC-Refers-To": "refers_to", "WARC-Target-URI": "target_uri", "WARC-Date": "date",
+    "WARC-Block-Digest": "block_digest", "WARC-Refers-To-Payload-Digest": "refers_to_payload_digest", "Content-Type": "content_type",
+}
+
+
+class Files(WriterCommitMessage):
+    def __init__(self, names: list[str]):
+        self.names = names
+
+
+class WarcWriter(DataSourceArrowWriter):
+    """One file per task, one gzip member per record; files get their names when all tasks are done."""
+
+    def __init__(self, path: str):
+        self.path = path
+
+    def _system(self):
+        from pyarrow import fs
 
+        return fs.FileSystem.from_uri(self.path) if "://" in self.path or self.path.startswith("file:") else (fs.LocalFileSystem(), self.path)
 
-def as_record(kind: Column, record: Column, refers_to: Column, uri: Column, date: Column, type_: Column, block_digest: Column, source_digest: Column, block: Column) -> Column:
-    """The text of a record without the two line breaks that close it."""
-    line = lambda name, value: F.when(value.isNotNull(), F.concat(F.lit(f"{name}: "), value, F.lit(BREAK))).otherwise("")
-    length = F.octet_length(block).cast("string")
-    return F.concat(
-        F.lit(VERSION + BREAK), line("WARC-Type", kind), line("WARC-Record-ID", record), line("WARC-Refers-To", refers_to), line("WARC-Target-URI", uri),
-        line("WARC-Date", date), line("WARC-Block-Digest", block_digest), line("WARC-Refers-To-Payload-Digest", source_digest),
-        line("Content-Type", type_), line("Content-Length", length), F.lit(BREAK), block,
-    )
+    def write(self, iterator: Iterator[pa.RecordBatch]) -> Files:
+        system, folder = self._system()
+        system.create_dir(folder, recursive=True)
+        name, wrote = f"part-{uuid.uuid4().hex}.warc.gz", False
+        with system.open_output_stream(f"{folder}/_{name}", compression=None) as out:
+            for batch in iterator:
+                for r in batch.to_pylist():
+                    block = (r["block"] or "").encode("utf-8", "replace")
+                    head = "".join(f"{k}: {r[c]}{BREAK}" for k, c in FIELDS.items() if r[c] is not None)
+                    out.write(gzip.compress(f"{VERSION}{BREAK}{head}Content-Length: {len(block)}{BREAK * 2}".encode() + block + (BREAK * 2).encode(), 6, mtime=0))
+                    wrote = True
+        if not wrote:
+            system.delete_file(f"{folder}/_{name}")
+        return Files([name] if wrote else [])
+
+    def commit(self, messages: list[Files | None]) -> None:
+        system, folder = self._system()
+        for m in messages:
+            for name in m.names if m else ():
+                system.move(f"{folder}/_{name}", f"{folder}/{name}")
+
+    def abort(self, messages: list[Files | None]) -> None:
+        system, folder = self._system()
+        for m in messages:
+            for name in m.names if m else ():
+                system.delete_file(f"{folder}/_{name}")
+
+
+class WarcSink(DataSource):
+    @classmethod
+    def name(cls) -> str:
+        return "warc_records"
+
+    def writer(self, schema, overwrite: bool) -> WarcWriter:
+        return WarcWriter(self.options["path"])
 
 
 def write_warc(derived: DataFrame, path: str) -> None:
-    """Writes derived records as gzipped WARC files, one per partition."""
-    cols = ("warc_type", "record_id", "refers_to", "target_uri", "date", "content_type", "block_digest", "refers_to_payload_digest", "block")
-    text = derived.select(as_record(*map(F.col, cols)).alias("value"))
-    text.write.option("lineSep", BREAK * 2).option("compression", "gzip").text(path)
+    """Writes derived records as WARC files, one per partition, each record a gzip member of its own.
+
+    ``path`` is a folder or address that all executors can write to.  Tasks write files whose names begin with an
+    underscore, which readers pass over; the files of the tasks that counted are renamed at the end.
+    """
+    derived.sparkSession.dataSource.register(WarcSink)
+    derived.select(*FIELDS.values(), "block").write.format("warc_records").mode("append").save(path)
+
+
+def records_of(stream: BinaryIO) -> Iterator[tuple]:
+    """The records of a WARC file (not compressed): columns of ``READ``."""
+    while line := stream.readline():
+        if not line.startswith(b"WARC/"):
+            continue  # breaks between records, or rubbish after one
+        lines = []
+        while (line := stream.readline()).strip():
+            lines.append(line)
+        head = b"".join(lines).decode("utf-8", "replace")
+        f = lower(fields(head))
+        size = int(f["content-length"]) if f.get("content-length", "").isdigit() else 0
+        block = stream.read(size)
+        http, payload = None, block
+        if f.get("content-type", "").replace(" ", "").lower().startswith("application/http"):
+            first, gap, rest = block.partition(b"\r\n\r\n")
+            http, payload = first.decode("utf-8", "replace") + (BREAK if gap else ""), rest
+        get = lambda name: f.get(name.lower())
+        yield (
+            get("WARC-Type"), get("WARC-Record-ID"), get("WARC-Refers-To"), get("WARC-Target-URI"), get("WARC-Date"), get("Content-Type"), get("WARC-Block-Digest"),
+            get("WARC-Payload-Digest"), get("WARC-Refers-To-Payload-Digest"), head, http, payload, len(block) < size,
+        )
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """Records that ``write_warc`` wrote: their header fields as a map, and their blocks."""
-    rows = spark.read.option("lineSep", f"{BREAK * 2}{VERSION}{BREAK}").text(path)
-    # The file's first record still has the version, its last one the breaks that close it.
-    text = F.regexp_replace(F.col("value"), rf"^{re.escape(VERSION)}\r\n", "")
-    at = F.instr(text, BREAK * 2)
-    pairs = F.transform(F.split(F.substring(text, F.lit(1), at - 1), BREAK), lambda x: F.split(x, ": ", 2))
-    fields = F.map_from_arrays(F.transform(pairs, lambda x: x[0]), F.transform(pairs, lambda x: x[1]))
-    block = F.substring(text, at + 4, F.length(text))
-    size = fields["Content-Length"].cast("int")
-    return rows.select(fields.alias("fields"), F.substring(block.cast("binary"), F.lit(1), size).cast("string").alias("block"))
+    """All records of WARC files, plain or gzipped (by record or whole), each file by one task.
+
+    A record's block is as long as its Content-Length says, whatever it holds; HTTP messages are split into head and
+    payload.  A record that the file ends in comes with what is there and ``truncated``.  A file is read whole (Spark
+    reads up to 2 GB as one value), its records in batches of ``READ_BYTES``.
+    """
+
+    def parse(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = [c.split()[0] for c in re.split(r",\s*", READ)]
+        for frame in frames:
+            for content in frame["content"]:
+                raw = io.BytesIO(content)
+                stream = io.BufferedReader(gzip.GzipFile(fileobj=raw)) if content[:2] == b"\x1f\x8b" else raw
+                held, size = [], 0
+                for record in records_of(stream):
+                    held.append(record)
+                    if (size := size + len(record[11])) >= READ_BYTES:
+                        yield pd.DataFrame(held, columns=names)
+                        held, size = [], 0
+                yield pd.DataFrame(held, columns=names)
+
+    return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("content").mapInPandas(parse, READ)
 
 
 def op3_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Metadata and conversion records of all pages."""
+    """Metadata and conversion records of all pages (the table has neither dates nor HTTP heads, so all get the plain ones)."""
     return derivatives(responses(spark.read.parquet(f"{sf_dir}/pages.parquet"))).withColumnRenamed("source_id", "page_id")
