@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from varloom.llm.common import crc_remainder, documents
 
-#: Languages that may be learned; the driver holds one dictionary for each.
-MOST_LANGUAGES = 500
+#: Languages whose dictionaries a task holds ready at a time; more are taken in turns.
+AT_ONCE = 64
 UNKNOWN = "und"
 
 
@@ -22,24 +22,24 @@ def learn_dictionaries(
 
     The bounded sample: about 2 * dict_bytes / piece rows of each language, chosen by a hash of the
     id, of which each gives one passage of ``piece`` characters from a place chosen by the hash.
-    Rows without text or language are left out.  What the driver gets is bounded by MOST_LANGUAGES
-    times that sample.
+    Rows without text or language are left out, rows that repeat an id give their passages once if
+    those are equal.  The driver holds one dictionary for each language, of any number.  Languages come
+    in order of their rows, and of their names where those are equal.
     """
     rows = labelled.select(
         F.col(lang_col).alias("lang"), F.coalesce(F.length(F.col(text_col).cast("string")), F.lit(0)).alias("n"), F.col(text_col).cast("string").alias("text"),
         F.shiftrightunsigned(F.xxhash64(F.col(id_col), F.lit(seed)), 1).alias("h"),
     ).filter("lang is not null and n > 0")
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(MOST_LANGUAGES + 1).collect()}
-    if len(counts) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
+    counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("rows")).collect()
     if not counts:
         return {}
-    share = F.create_map(*[x for k, n in counts.items() for x in (F.lit(k), F.lit(min(1.0, 2 * dict_bytes / piece / n)))])
-    chosen = rows.filter(F.col("h") % 1_000_003 < share[F.col("lang")] * 1_000_003)
+    known = {r["lang"]: r["rows"] for r in counts}
+    shares = labelled.sparkSession.createDataFrame([(k, min(1.0, 2 * dict_bytes / piece / n)) for k, n in known.items()], "lang string, share double")
+    chosen = rows.join(F.broadcast(shares) if len(known) <= 10_000 else shares, "lang").filter(F.col("h") % 1_000_003 < F.col("share") * 1_000_003)
     at = (F.col("h") % F.greatest(F.lit(1), F.col("n") - piece + 1) + 1).cast("int")
     passages = chosen.select("lang", F.hash("h").alias("o"), F.lower(F.substring("text", at, F.lit(piece))).alias("t"))
     got = passages.groupBy("lang").agg(F.sort_array(F.collect_set(F.struct("o", "t"))).alias("all")).collect()
-    return {r["lang"]: " ".join(x["t"] for x in r["all"]).encode()[:dict_bytes] for r in sorted(got, key=lambda r: -counts[r["lang"]])}
+    return {r["lang"]: " ".join(x["t"] for x in r["all"]).encode()[:dict_bytes] for r in sorted(got, key=lambda r: (-known[r["lang"]], r["lang"]))}
 
 
 def identify_language(
@@ -48,14 +48,19 @@ def identify_language(
     """One row per row of ``docs``: lang_pred, score, margin, rejected.
 
     The whole text, in lower case, is compressed with each language's dictionary as raw content; the
-    language with the smallest result is predicted, ties going to the more frequent one.  margin is
-    how much smaller that is than the second smallest, as a share of it, score is 1 - (1 - margin)^8,
-    and ``rejected`` marks margins below ``min_margin``, which are too narrow to be relied on.
+    language with the smallest result is predicted, ties going to the one that comes first in
+    ``dictionaries``.  margin is how much smaller that is than the second smallest, as a share of it,
+    score is 1 - (1 - margin)^8, and ``rejected`` marks margins below ``min_margin``, which are too narrow
+    to be relied on.
 
     Texts that are null or have no letter are 'und' with score 0, rejected; so is every text if no
     language was learned.  One learned language alone has margin and score 1.  Null and repeated ids
-    are treated like others.  Only the id and the text are read.  Needs no shuffle.
+    are treated like others.  Only the id and the text are read, so other columns' names do no harm.  An
+    empty table gives an empty result.  Needs no shuffle; a task holds a batch of rows (64 MB, or one longer
+    text and what it is compressed to) and ``AT_ONCE`` dictionaries made ready; of more languages, each batch is
+    compressed with some after the others.
     """
+    names = list(dictionaries)
 
     def predict(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import zstandard
@@ -65,20 +70,25 @@ def identify_language(
             raw.precompute_compress(level=level)
             return zstandard.ZstdCompressor(dict_data=raw, write_checksum=False, write_content_size=False, write_dict_id=False)
 
-        by = {k: compressor(v) for k, v in dictionaries.items()}
-
-        def one(text: str | None) -> tuple[str, float, float, bool]:
-            if text is None or not by or not any(map(str.isalpha, text)):
-                return UNKNOWN, 0.0, 0.0, True
-            data = f" {text.lower()} ".encode()
-            sizes = sorted((len(c.compress(data)), k) for k, (c) in enumerate(by.values()))
-            margin = 1 - sizes[0][0] / sizes[1][0] if len(sizes) > 1 else 1.0
-            return names[sizes[0][1]], 1 - (1 - margin) ** 8, margin, margin < min_margin
-
-        names = list(by)
+        turns = [range(a, min(a + AT_ONCE, len(names))) for a in range(0, len(names), AT_ONCE)]
+        ready: dict[int, list[zstandard.ZstdCompressor]] = {}
         for frame in frames:
-            found = [one(t) for t in frame["t"]]
-            yield pd.DataFrame(dict(zip(("lang_pred", "score", "margin", "rejected"), zip(*found, strict=True), strict=True)) | {"doc_id": frame["i"]} if found else {}, columns=["doc_id", "lang_pred", "score", "margin", "rejected"])
+            texts = [None if t is None or not any(map(str.isalpha, t)) else f" {t.lower()} ".encode() for t in frame["t"]]
+            best: list[list[tuple[int, int]]] = [[] for _ in texts]
+            for k, turn in enumerate(turns):
+                if k not in ready:
+                    ready.clear()
+                    ready[k] = [compressor(dictionaries[names[i]]) for i in turn]
+                for at, data in enumerate(texts):
+                    if data is not None:
+                        best[at] = sorted([*best[at], *((len(c.compress(data)), i) for i, c in zip(turn, ready[k], strict=True))])[:2]
+            margins = [0.0 if not two else 1 - two[0][0] / two[1][0] if len(two) > 1 else 1.0 for two in best]
+            yield pd.DataFrame(
+                {
+                    "doc_id": frame["i"], "lang_pred": [names[two[0][1]] if two else UNKNOWN for two in best], "score": [1 - (1 - m) ** 8 for m in margins],
+                    "margin": margins, "rejected": [not two or m < min_margin for two, m in zip(best, margins, strict=True)],
+                }
+            )
 
     read = docs.select(docs[id_col].alias("i"), docs[text_col].cast("string").alias("t"))
     return read.mapInPandas(predict, f"doc_id {dict(read.dtypes)['i']}, lang_pred string, score double, margin double, rejected boolean")
