@@ -157,6 +157,21 @@ def test_near(docs, rows, percent, width, block):
     assert sum(not r["kept"] for r in got) > 20
 
 
+def test_texts_that_share_an_id_keep_their_own_links(spark):
+    rng = random.Random(6)
+    a, b, c = (" ".join(rng.choice("abcdefghijklmnop") + str(rng.randrange(50)) for _ in range(60)) for _ in range(3))
+    rows = [(1, a), (1, b), (2, a + " more"), (3, b + " more"), (4, c), (5, c), (1, a), (None, a), (6, None), (6, "")]
+    got = near.near_duplicates(spark.createDataFrame(rows, "doc_id int, text string"), percent=80, width=5).collect()
+    assert len(got) == len(rows)
+    assert {(r["doc_id"], r["component_id"], r["kept"]) for r in got} == {(1, 1, True), (2, 1, False), (3, 1, False), (4, 4, True), (5, 4, False), (None, 1, False), (6, 6, True)}
+    assert sum(r["stands"] for r in got if r["doc_id"] == 1) == 3 and not any(r["stands"] for r in got if r["doc_id"] in (2, 3, 5))
+    # a third of all rows has one id
+    many = [(0, " ".join(rng.choice("abcdefghijklmnop") + str(rng.randrange(99)) for _ in range(30))) for _ in range(150)]
+    copies = [(k + 1, t + " more") for k, (_, t) in enumerate(many)]
+    got = near.near_duplicates(spark.createDataFrame(many + copies, "doc_id int, text string"), percent=80, width=5).collect()
+    assert all(r["component_id"] == 0 for r in got) and sum(r["stands"] for r in got) == 150
+
+
 def test_sketch_estimates_similarity():
     rng, sketch = np.random.default_rng(0), near.Sketch()
     for share, expected in ((0.95, True), (0.75, False)):

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from varloom.llm.blocks import Texts, blocks, ragged, words
-from varloom.llm.common import checkpointed, documents
+from varloom.llm.common import checkpointed, documents, whole_text
 from varloom.llm.components import components
 
 M64 = (1 << 64) - 1
@@ -94,7 +94,7 @@ def shingles(texts: Texts, width: int) -> tuple[np.ndarray, np.ndarray, list[byt
 
 
 def sketched(docs: DataFrame, width: int, sketch: Sketch) -> DataFrame:
-    """doc_id, key (equal for equal words; null without words), n_shingles, registers."""
+    """doc_id, mark, key (equal for equal words; null without words), n_shingles, registers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in blocks(batches, "t", 16 << 20):
@@ -106,23 +106,23 @@ def sketched(docs: DataFrame, width: int, sketch: Sketch) -> DataFrame:
             for at, row in zip(full.tolist(), registers, strict=True):
                 each[at] = row.tobytes()
             yield pa.RecordBatch.from_arrays(
-                [table.column("i").combine_chunks(), pa.array(keys, pa.binary()), pa.array(n, pa.int64()), pa.array(each, pa.binary())],
-                names=["doc_id", "key", "n_shingles", "registers"],
+                [table.column("i").combine_chunks(), table.column("mark").combine_chunks(), pa.array(keys, pa.binary()), pa.array(n, pa.int64()), pa.array(each, pa.binary())],
+                names=["doc_id", "mark", "key", "n_shingles", "registers"],
             )
 
     kind = dict(docs.dtypes)["i"]
-    return docs.mapInArrow(run, f"doc_id {kind}, key binary, n_shingles bigint, registers binary")
+    return docs.mapInArrow(run, f"doc_id {kind}, mark bigint, key binary, n_shingles bigint, registers binary")
 
 
 def cells(members: DataFrame, block: int) -> DataFrame:
     """Members of each bucket dealt into cells: a bucket of more than ``block`` is cut into blocks, and
     each pair of blocks is a cell, so that every pair of members meets in a cell of bounded size."""
     many = F.ceil(F.col("size") / block)
-    own = members.withColumn("blocks", many).withColumn("own", F.pmod(F.xxhash64("doc_id"), many))
+    own = members.withColumn("blocks", many).withColumn("own", F.pmod(F.xxhash64("doc_id", "mark"), many))
     place = F.when(F.col("blocks") == 1, F.array(F.struct(F.lit(0).cast("long").alias("x"), F.lit(0).cast("long").alias("y")))).otherwise(
         F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda j: F.struct(F.least(j, F.col("own")).alias("x"), F.greatest(j, F.col("own")).alias("y")))
     )
-    return own.select("bucket", "band", "doc_id", "own", F.explode(place).alias("c")).select("bucket", "band", "doc_id", "own", "c.x", "c.y")
+    return own.select("bucket", "band", "doc_id", "mark", "own", F.explode(place).alias("c")).select("bucket", "band", "doc_id", "mark", "own", "c.x", "c.y")
 
 
 def whole_groups(batches: Iterator[pa.RecordBatch], by: list[str], rows: int) -> Iterator[tuple[pa.Table, np.ndarray]]:
@@ -207,12 +207,12 @@ class Rule:
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, width: int = 5, sketch: Sketch | None = None, block: int = 512
 ) -> DataFrame:
-    """One row per row of ``docs``: n_shingles, component_id, kept.
+    """One row per row of ``docs``: n_shingles, component_id, kept, text_hash, stands.
 
     A text's set holds its distinct shingles of ``width`` words (runs other than space and the
     characters 9 to 13, lower-cased in A-Z); fewer words make one shingle, none make an empty set,
     which is linked with nothing.  Two sets are linked if 100 * common >= percent * all;
-    component_id is the smallest id reachable by links, and kept marks that row.
+    component_id is the smallest id reachable by links, and kept marks the rows that have it.
 
     Rows of equal words form one class, which is compared as one.  Classes with equal registers in a
     band share a bucket; a bucket's pairs are compared inside tasks, in cells of 2 * ``block`` classes at
@@ -221,27 +221,30 @@ def near_duplicates(
     as a cell's forest has; no pair that shares a bucket and may be linked is left out.
 
     Null texts count as empty.  Null ids never stand for a class with other ids, and a class of null
-    ids alone is linked with nothing (component_id null, kept).  Rows that repeat an id share its
-    verdict.  Only the id and the text are read.  An empty table gives an empty result.
+    ids alone is linked with nothing (component_id null, kept).  Different texts of one id are told apart by
+    ``text_hash`` (xxhash64 of the text) and linked each for itself; ``stands`` marks the one (id, text) of a
+    component that stands for it, where ``kept`` marks all rows with its id.  Only the id and the text are read.
+    An empty table gives an empty result.  A text longer than a block (16 MB) is a block of its own, and a task
+    holds some 60 times its bytes; where it is compared, all texts of its cell are held.
     """
     sketch = sketch or Sketch()
     rule = Rule(sketch, percent, sketch.rows(percent / 100))
-    read = docs.select(docs[id_col].alias("i"), docs[text_col].cast("string").alias("t"))
+    read = docs.select(docs[id_col].alias("i"), docs[text_col].cast("string").alias("t"), F.xxhash64(whole_text(text_col)).alias("mark"))
     kind = dict(read.dtypes)["i"]
     rows = checkpointed(sketched(read, width, sketch))
     # The second key makes the joins below deal their sides anew, so that Spark can split a hot class.
-    classes = rows.filter("key is not null").groupBy("key").agg(F.min("doc_id").alias("class_id")).withColumn("tag", F.crc32("key"))
+    classes = rows.filter("key is not null").groupBy("key").agg(F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "mark"))).alias("class_id")).withColumn("tag", F.crc32("key"))
     tagged = rows.withColumn("tag", F.crc32("key"))
     heads = checkpointed(
-        tagged.join(classes, ["key", "tag"]).filter("doc_id = class_id").select("doc_id", "n_shingles", "registers").dropDuplicates(["doc_id"])
+        tagged.join(classes, ["key", "tag"]).filter("doc_id = class_id.doc_id and mark = class_id.mark").select("doc_id", "mark", "n_shingles", "registers").dropDuplicates(["doc_id", "mark"])
     )
     size = 2 * rule.rows
     bands = F.array(*[F.xxhash64(F.lit(b), F.substring("registers", b * size + 1, size)) for b in range(sketch.registers // rule.rows)])
-    buckets = heads.select("doc_id", F.posexplode(bands).alias("band", "bucket"))
+    buckets = heads.select("doc_id", "mark", F.posexplode(bands).alias("band", "bucket"))
     shared = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
-    dealt = cells(buckets.join(shared, "bucket"), block).join(heads, "doc_id")
+    dealt = cells(buckets.join(shared, "bucket"), block).join(heads, ["doc_id", "mark"])
     order = ["bucket", "x", "y"]
-    held = "bucket bigint, x bigint, y bigint, band int, own bigint, doc_id {}, n_shingles bigint, registers binary"
+    held = "bucket bigint, x bigint, y bigint, band int, own bigint, doc_id {}, mark bigint, n_shingles bigint, registers binary"
 
     def worth(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, begin in whole_groups(batches, order, 4096):
@@ -252,7 +255,7 @@ def near_duplicates(
 
     columns = [c.split()[0] for c in held.split(", ")]
     near = checkpointed(dealt.select(*columns).repartition(*order).sortWithinPartitions(*order).mapInArrow(worth, held.format(kind)))
-    texts = near.join(read.withColumnRenamed("i", "doc_id"), "doc_id").dropDuplicates([*order, "doc_id"])
+    texts = near.join(read.withColumnRenamed("i", "doc_id"), ["doc_id", "mark"]).dropDuplicates([*order, "doc_id", "mark"])
 
     def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, begin in whole_groups(batches, order, 1024):
@@ -278,16 +281,19 @@ def near_duplicates(
                         root[q] = p
                         links.append((a, b))
             a, b = (np.array(c, np.int64) for c in zip(*links, strict=True)) if links else (np.zeros(0, np.int64),) * 2
-            ids = table.column("doc_id")
-            yield pa.RecordBatch.from_arrays([ids.take(pa.array(a)).combine_chunks(), ids.take(pa.array(b)).combine_chunks()], names=["a", "b"])
+            ids, marks = table.column("doc_id").combine_chunks(), table.column("mark").combine_chunks()
+            yield pa.RecordBatch.from_arrays([pa.StructArray.from_arrays([ids.take(at), marks.take(at)], ["doc_id", "mark"]) for at in map(pa.array, (a, b))], names=["a", "b"])
 
-    links = texts.select(*columns, "t").repartition(*order).sortWithinPartitions(*order).mapInArrow(verified, f"a {kind}, b {kind}")
+    links = texts.select(*columns, "t").repartition(*order).sortWithinPartitions(*order).mapInArrow(verified, "a {0}, b {0}".format(f"struct<doc_id:{kind},mark:bigint>"))
     found = components(links)
+    node = F.coalesce("component", "class_id")
     known = tagged.join(classes, ["key", "tag"]).join(found, F.col("class_id") == F.col("node"), "left").select(
-        "doc_id", "n_shingles", F.coalesce("component", "class_id").alias("component_id")
+        "doc_id", "n_shingles", node["doc_id"].alias("component_id"), "mark", (node == F.struct("doc_id", "mark")).alias("stands")
     )
-    every = known.unionByName(rows.filter("key is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
-    return every.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    every = known.unionByName(rows.filter("key is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), "mark", F.lit(True).alias("stands")))
+    return every.select(
+        "doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), F.col("mark").alias("text_hash"), F.coalesce("stands", F.lit(True)).alias("stands")
+    )
 
 
 def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
