@@ -241,6 +241,18 @@ def test_mixing_is_unbiased_and_near_target_over_many_groups(spark):
         assert r["large"] / r["n_large"] == pytest.approx(r["t"] / r["s"], rel=0.12)
 
 
+def test_mixing_of_rows_that_repeat_an_id(spark):
+    """Half of all rows are one row; as many rows come back, and each source is near its target."""
+    same = F.col("id") % 2 == 0
+    df = spark.range(4000).select(F.when(same, F.lit(7)).otherwise(F.col("id")).alias("doc_id"), F.repeat(F.lit("w "), F.when(same, 9).otherwise((F.col("id") % 37 + 1).cast("int"))).alias("text"), F.when(F.col("id") % 10 < 3, "a").otherwise("b").alias("source"))
+    out = mixing.mix_sources(df, weights=(1, 1)).withColumn("more", F.col("copies") - F.floor(F.col("target") / F.col("source_size"))).withColumn("same", (F.col("doc_id") == 7) & (F.col("size") == 9))
+    per = out.groupBy("source_size", "target").agg(F.sum("taken").alias("taken"), F.count(F.lit(1)).alias("n"), F.sum("size").alias("size"), F.max("more").alias("most"), F.count_if("same").alias("same"), F.sum(F.when(F.col("same"), F.col("copies"))).alias("copies")).collect()
+    assert len(per) == 2 and sum(r["n"] for r in per) == 4000 and sum(r["same"] for r in per) == 2000
+    for r in per:
+        assert r["size"] == r["source_size"] and abs(r["taken"] - r["target"]) <= 37 and r["most"] <= 1
+        assert abs(r["copies"] - r["same"] * r["target"] / r["source_size"]) <= 1
+
+
 def test_targets_with_caps(spark):
     sizes = spark.createDataFrame([("a", 1000), ("b", 10), ("c", 10), (None, 200), ("z", 0)], "source string, size bigint")
     got = {r["source"]: r["target"] for r in mixing.source_targets(sizes).collect()}

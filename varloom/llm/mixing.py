@@ -86,9 +86,10 @@ def mix_sources(
     target but for a part of one row, at any size, and its groups share no task.
 
     Null texts have size 0; rows of size 0 get the whole part of the copies, and take 0.  A null
-    source is a source of its own.  Draws depend on ids, sizes and the seed alone, so reruns agree;
-    rows that repeat an id are rounded one by one, and draw alike.  An empty table gives an empty
-    result.  Only the named columns are read.
+    source is a source of its own.  Draws depend on ids, sizes and the seed alone, so reruns agree.
+    Rows of a source that repeat id and size are rounded as one: together they want a number of copies, of which the
+    whole part is given to the first of them, so that any number of them is one row of the tree.  An empty table
+    gives an empty result.  Only the named columns are read, and texts, however long, row by row.
     """
     size = F.regexp_count(whole_text(text_col), F.lit(WORD)).cast("long")
     sizes = docs.select(docs[id_col].alias("doc_id"), docs[source_col].alias("source"), size.alias("size"))
@@ -99,12 +100,15 @@ def mix_sources(
     rates = rates.withColumn("groups", F.ceil(F.col("n") / FAN))
     placed = sizes.join(few(rates.withColumnRenamed("source", "s")), F.col("source").eqNullSafe(F.col("s")))
     fractional = (F.col("part") > 1e-12) & (F.col("size") > 0)
-    id_type = dict(sizes.dtypes)["doc_id"]
+    id_type = f"struct<doc_id:{dict(sizes.dtypes)['doc_id']},times:bigint,sure:bigint>"
     item = ITEM.format(id=id_type)
 
-    rows = placed.filter(fractional).select(
-        "rank", "groups", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.col("groups")).alias("group"),
-        F.struct(F.col("doc_id").alias("id"), "size", F.col("part").alias("p"), random_share(F.col("doc_id"), F.col("size"), F.lit(seed), F.lit(0)).alias("u")).alias("x"),
+    # Equal rows as one, with the copies that they are sure to get together beside the fraction.
+    alike = placed.filter(fractional).groupBy("rank", "groups", "part", "doc_id", "size").agg(F.count(F.lit(1)).alias("times"))
+    alike = alike.withColumn("sure", F.floor(F.col("times") * F.col("part") + 1e-9)).withColumn("p", F.greatest(F.lit(0.0), F.col("times") * F.col("part") - F.col("sure")))
+    rows = alike.select(
+        "rank", "groups", F.pmod(F.xxhash64("doc_id", "size", F.lit(seed)), F.col("groups")).alias("group"),
+        F.struct(F.struct("doc_id", "times", "sure").alias("id"), "size", "p", random_share(F.col("doc_id"), F.col("size"), F.lit(seed), F.lit(0)).alias("u")).alias("x"),
     )
     done, level = [], 0
     most = sources.agg(F.max(F.ceil(F.col("n") / FAN))).first()[0] or 0
@@ -121,13 +125,14 @@ def mix_sources(
         folded = checkpointed(folded.select("rank", "groups", "group", "r", "out"))
         done.append(folded.select("rank", F.explode("out").alias("o")).select("rank", "o.id", "o.size", "o.up"))
         level += 1
-        draw = random_share(F.col("r.id"), F.col("r.size"), F.lit(seed), F.lit(level))
+        draw = random_share(F.col("r.id.doc_id"), F.col("r.size"), F.lit(seed), F.lit(level))
         rows = folded.filter("r is not null").select(
             "rank", F.ceil(F.col("groups") / FAN).alias("groups"), F.floor(F.col("group") / FAN).alias("group"),
             F.struct("r.id", "r.size", "r.p", draw.alias("u")).alias("x"),
         )
-    whole = placed.filter(~fractional).select("rank", F.col("doc_id").alias("id"), "size", F.lit(0).alias("up"))
-    rounded = reduce(DataFrame.unionByName, [*done, whole])
+    each = reduce(DataFrame.unionByName, done).select("rank", "size", "id.*", F.col("up").alias("last")).withColumn("k", F.explode(F.sequence(F.lit(1).cast("long"), "times")))
+    turned = each.select("rank", F.col("doc_id").alias("id"), "size", (F.col("k") <= F.col("sure") + F.col("last")).cast("int").alias("up"))
+    rounded = turned.unionByName(placed.filter(~fractional).select("rank", F.col("doc_id").alias("id"), "size", F.lit(0).alias("up")))
     per_source = rates.select("rank", "source_size", "target", "whole")
     return rounded.join(few(per_source), "rank").select(
         F.col("id").alias("doc_id"), "size", "source_size", "target",
