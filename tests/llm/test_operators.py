@@ -60,7 +60,8 @@ OPERATORS = {
     "near": lambda d: near.near_duplicates(d),
     "mixing": lambda d: mixing.mix_sources(d),
     "counts": lambda d: token_counts.token_counts(d, public_tokenizers.path("byte_bpe_50k.json")),
-    "packing": lambda d: packing.vector_packed_pieces(d),
+    "packing": lambda d: packing.pieces(packing.vector_packed(d)).filter("start = 0"),
+    "matrices": lambda d: packing.packed(d, public_tokenizers.path("byte_bpe_50k.json"), 50256, packing.best_fit_decreasing(512)).select(F.explode("pieces").alias("p")).filter("p.start = 0"),
     "language": lambda d: language.identify_language(d, language.learn_dictionaries(d)),
     "model": lambda d: language_model.score_texts(d, F.col("doc_id") % 5 != 1),
 }
@@ -71,7 +72,7 @@ def test_empty_tables_give_empty_results(name, docs):
     assert OPERATORS[name](empty(docs)).count() == 0
 
 
-@pytest.mark.parametrize("name", [n for n in OPERATORS if n != "packing"])
+@pytest.mark.parametrize("name", OPERATORS)
 def test_one_row_per_row_with_null_ids_and_repeated_rows(name, spark, docs, rows):
     again = docs.select("doc_id", "text", "lang", "source").filter("doc_id % 4 = 0")
     odd = docs.select("doc_id", "text", "lang", "source").unionByName(again).unionByName(again.limit(3).withColumn("doc_id", F.lit(None).cast("bigint")))
@@ -269,18 +270,58 @@ def test_counts_and_pieces(docs, rows):
         n = len(t.encode(text, add_special_tokens=False).ids)
         assert (r["n_bytes"], r["n_tokens"], r["over_limit"]) == (len(text.encode()), n, n > 1024)
     parts = collections.defaultdict(list)
-    used = collections.Counter()
-    for r in packing.vector_packed_pieces(docs).collect():
+    used, segments, bearing = collections.Counter(), collections.Counter(), collections.Counter()
+    for r in packing.pieces(packing.vector_packed(docs), with_ids=True).collect():
         parts[r["doc_id"]].append(r)
         used[r["sequence_id"]] += r["length"]
+        segments[r["sequence_id"]] += 1
+        bearing[r["sequence_id"]] += r["loss_tokens"]
     for i, text, *_ in rows:
         ids, at = np.array(w.encode(text or "", add_special_tokens=False).ids + [1], "<u4"), 0
+        head, more, _ = (text or "").partition("\n")
+        prompt = len(w.encode(head, add_special_tokens=False).ids) if text and more and len(head) + 1 < len(text) else 0
         for r in sorted(parts[i], key=lambda r: r["start"]):
-            assert r["start"] == at and r["doc_tokens"] == len(ids)
-            assert r["ids_crc32"] == zlib.crc32(ids[at : at + r["length"]].tobytes())
+            piece = ids[at : at + r["length"]].tobytes()
+            assert r["start"] == at and r["doc_tokens"] == len(ids) and bytes(r["ids"]) == piece
+            assert r["ids_crc32"] == zlib.crc32(piece)
+            assert r["loss_tokens"] == r["length"] - min(r["length"], max(0, max(1, prompt) - at))
             at += r["length"]
         assert at == len(ids)
-    assert max(used.values()) <= 2048
+    for most, limit in zip((used, segments, bearing), packing.LIMITS):
+        assert max(most.values()) <= limit
+
+
+def test_limits_of_the_query_bind(spark):
+    """Long texts meet the limit of loss-bearing tokens, many short ones that of segments, and what is left is small."""
+    rng = random.Random(9)
+    word = lambda n: " ".join(rng.choice("abcdefgh") for _ in range(n))
+    rows = [(i, word(9) + "\n" + word(rng.randrange(500, 6000))) for i in range(60)] + [(i, word(40) + "\n" + word(5)) for i in range(60, 400)] + [(i, "a b") for i in range(400, 500)] + [(i, word(200) + "\n" + word(rng.randrange(400, 1500))) for i in range(500, 600)]
+    seqs = packing.vector_packed(spark.createDataFrame(rows, "doc_id int, text string").coalesce(1)).select("n_tokens", F.size("pieces").alias("k"), F.expr("aggregate(pieces, 0L, (a, x) -> a + x.loss_tokens)").alias("loss")).collect()
+    tokens, segments, loss = packing.LIMITS
+    assert all(r["n_tokens"] <= tokens and r["k"] <= segments and r["loss"] <= loss for r in seqs)
+    assert sum(r["loss"] == loss for r in seqs) > 10 and sum(r["k"] == segments for r in seqs) > 10 and sum(r["n_tokens"] == tokens for r in seqs) > 10
+
+
+def test_packed_ids_against_the_library(spark, rows):
+    """The rows of the first query: ids, segments and positions of each sequence, rebuilt from the library's ids; texts longer than a block."""
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    t = Tokenizer.from_file(path)
+    docs = spark.createDataFrame([*rows, (10**6, "long text. " * 9000, "en", "s1")], "doc_id bigint, text string, lang string, source string").coalesce(1)
+    expected = {r["doc_id"]: [*t.encode(r["text"] or "", add_special_tokens=False).ids, 50256] for r in docs.collect()}
+    seqs = packing.packed(docs, path, 50256, packing.best_fit_decreasing(2048), positions=True, limit=20_000).collect()
+    rebuilt = collections.defaultdict(dict)
+    for r in seqs:
+        ids, positions = np.frombuffer(r["ids"], "<u4").tolist(), np.frombuffer(r["positions"], "<u4").tolist()
+        assert r["segments"] == [0, *itertools.accumulate(p["length"] for p in r["pieces"])] and len(ids) == r["n_tokens"] == r["segments"][-1] <= 2048
+        assert positions == [k for p in r["pieces"] for k in range(p["length"])]
+        for p, a, b in zip(r["pieces"], r["segments"], r["segments"][1:]):
+            assert p["offset"] == a
+            rebuilt[p["doc_id"]][p["start"]] = ids[a:b]
+    assert {i: sum((x[k] for k in sorted(x)), []) for i, x in rebuilt.items()} == expected
+    assert all(len(x) == -(-len(expected[i]) // 2048) for i, x in rebuilt.items())  # cut where it must be, and nowhere else
+    assert len({r["sequence_id"] for r in seqs}) == len(seqs)
 
 
 def test_matrices_and_prompts(spark, tmp_path):
@@ -289,7 +330,7 @@ def test_matrices_and_prompts(spark, tmp_path):
     path = public_tokenizers.path("word_bpe_49k.json")
     w = Tokenizer.from_file(path)
     df = spark.createDataFrame([(i, f"prompt number {i} asks", "answer " * (i * 7 % 90)) for i in range(60)] + [(99, None, None)], "doc_id bigint, ask string, text string")
-    seqs = packing.packed(df, path, 1, packing.dot_product_packing(128, 8, 90, 16), 128, prompt_col="ask", positions=True)
+    seqs = packing.packed(df, path, 1, packing.dot_product_packing(128, 8, 90, 16), prompt_col="ask", positions=True)
     packing.write_matrices(seqs, str(tmp_path / "m"), 128, 0)
     rebuilt = collections.defaultdict(dict)
     for r in spark.read.parquet(str(tmp_path / "m")).collect():

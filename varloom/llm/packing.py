@@ -131,35 +131,41 @@ def dot_product_packing(most_tokens: int, most_segments: int, most_loss: int, ma
 
 
 def packed(
-    docs: DataFrame, vocabulary: str, end: int, packer: Packer, width: int,
-    id_col: str = "doc_id", text_col: str = "text", prompt_col: str | None = None, positions: bool = False,
+    docs: DataFrame, vocabulary: str, end: int, packer: Packer,
+    id_col: str = "doc_id", text_col: str = "text", prompt_col: str | None = None, first_line: bool = False, positions: bool = False,
+    limit: int = 16 << 20,
 ) -> DataFrame:
-    """Sequences of at most ``width`` token ids made of the rows of ``docs``.
+    """Sequences of token ids made of the rows of ``docs`` by a packer.
 
     An example is the ids of its prompt (if any), of its text, and ``end``; the prompt's ids bear no
-    loss, nor does an example's first id.  Returns for each sequence: sequence_id, n_tokens, ids
+    loss, nor does an example's first id.  Prompts come in ``prompt_col``, or with ``first_line`` a text of several
+    lines has its first line as its prompt.  Returns for each sequence: sequence_id, n_tokens, ids
     (little-endian unsigned 32-bit, without padding), segments (cumulative lengths from 0), positions
     (ids' places in their segments, as ids are written; null unless asked for) and pieces (doc_id,
     start in the example, length, offset in the sequence, doc_tokens, loss_tokens).
 
     Null texts count as empty, and are packed as the end id alone.  Rows that repeat an id are packed
     as often as they come; null ids stay null.  Only the named columns are read.  An empty table gives
-    an empty result.  Examples are packed with those of their block (16 MB of text), so nothing is
-    shuffled and a task holds one block; each block leaves one sequence partly filled at most.
+    an empty result.  Examples of equal sizes are taken in the order of their rows.
+
+    Examples are packed with those of their block (``limit`` bytes of text, or one longer text), so nothing is
+    shuffled and a task holds one block; each block leaves one sequence partly filled at most.  Which examples
+    share a block follows how Spark splits the files, so other splits give other sequences, each as well filled.
     """
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = Vocabulary.load(vocabulary)
         number = TaskContext.get().partitionId() << 40
-        for table in blocks(batches, "t", 16 << 20):
-            n = table.num_rows
-            ids, start = vocab.texts(Texts.of(table.column("t")))
-            before = np.zeros(n, np.int64)
+        for table in blocks(batches, "t", limit):
+            n, texts = table.num_rows, Texts.of(table.column("t"))
+            ids, start = vocab.texts(texts)
+            before = vocab.prefixes(texts, first_lines(texts)) if first_line else np.zeros(n, np.int64)
             if prompt_col:
                 more, at = vocab.texts(Texts.of(table.column("p")))
                 before = np.diff(at)
                 ids = np.concatenate([more, ids])[_interleaved(before, np.diff(start), len(more))]
-            size = before + np.diff(start) + 1
+                start = start + at
+            size = np.diff(start) + 1
             begin = np.cumsum(size) - size
             every = np.full(int(size.sum()), end, "<u4")
             every[ragged(begin, size - 1)] = ids
@@ -192,6 +198,13 @@ def packed(
     return read.mapInArrow(build, SCHEMA.format(id=dict(read.dtypes)["i"]))
 
 
+def first_lines(texts: Texts) -> np.ndarray:
+    """Length of the first line of each text; 0 where no other follows."""
+    breaks = np.flatnonzero(texts.data == 10)
+    at = np.append(breaks, len(texts.data))[np.searchsorted(breaks, texts.start[:-1])]
+    return np.where(at + 1 < texts.start[1:], at - texts.start[:-1], 0)
+
+
 def _interleaved(first: np.ndarray, second: np.ndarray, shift: int) -> np.ndarray:
     """Order that puts each row's first ids before its second ids; those begin at ``shift``."""
     at = np.stack([np.cumsum(first) - first, shift + np.cumsum(second) - second], 1).ravel()
@@ -203,11 +216,11 @@ def _rows(values: np.ndarray, row: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(row) - 1, [None, pa.py_buffer((row * 4).astype(np.int32)), pa.py_buffer(raw)])
 
 
-def pieces(sequences: DataFrame) -> DataFrame:
-    """One row per piece, with the crc32 of its ids as they are laid in the sequence."""
+def pieces(sequences: DataFrame, with_ids: bool = False) -> DataFrame:
+    """One row per piece, with the crc32 of its ids as they are laid in the sequence, and if asked for the ids."""
     one = sequences.select("sequence_id", "ids", F.explode("pieces").alias("p"))
     part = F.substring("ids", (F.col("p.offset") * 4 + 1).cast("int"), (F.col("p.length") * 4).cast("int"))
-    return one.select("p.doc_id", "p.start", "p.length", F.crc32(part).alias("ids_crc32"), "p.doc_tokens", "sequence_id", "p.offset", "p.loss_tokens")
+    return one.select("p.doc_id", "p.start", "p.length", F.crc32(part).alias("ids_crc32"), "p.doc_tokens", "sequence_id", "p.offset", "p.loss_tokens", *([part.alias("ids")] if with_ids else []))
 
 
 def write_matrices(sequences: DataFrame, path: str, width: int, pad: int) -> None:
@@ -218,23 +231,26 @@ def write_matrices(sequences: DataFrame, path: str, width: int, pad: int) -> Non
 
 
 def op1_packed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per sequence of the best-fit-decreasing packing of ``documents``, with digests of its matrices."""
+    """The best-fit-decreasing packing of ``documents``, one row per sequence: its ids and their places in their segments
+    (rows of the matrices, little-endian unsigned 32-bit; ``write_matrices`` pads them), the cumulative lengths of its
+    segments, and of what those are pieces."""
     import public_tokenizers
 
-    out = packed(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), 50256, best_fit_decreasing(2048), 2048, positions=True)
-    return out.select(
-        "sequence_id", "n_tokens", F.crc32("ids").alias("ids_crc32"), F.crc32("positions").alias("positions_crc32"), "segments",
-        *(F.col(f"pieces.{c}").alias(f"{c}s") for c in ("doc_id", "start", "length")),
-    )
+    out = packed(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), 50256, best_fit_decreasing(2048), positions=True)
+    return out.select("sequence_id", "n_tokens", "ids", "segments", "positions", *(F.col(f"pieces.{c}").alias(f"{c}s") for c in ("doc_id", "start", "length")))
+
+
+#: Limits of a sequence of ``documents``: tokens, segments, and tokens that bear loss.  A first line is the prompt of the
+#: rest, so cut pieces of long texts bear loss all through: they are placed beside prompts, or leave 48 places empty.
+LIMITS = (2048, 12, 2000)
 
 
-def vector_packed_pieces(docs: DataFrame) -> DataFrame:
-    """One row per piece of the vector packing of ``docs``, each document with its end id 1."""
+def vector_packed(docs: DataFrame) -> DataFrame:
+    """Sequences of the vector packing of ``docs``, each document with its end id 1 and its first line as its prompt."""
     import public_tokenizers
 
-    packer = dot_product_packing(2048, 256, 2048, 32)
-    return pieces(packed(docs, public_tokenizers.path("word_bpe_49k.json"), 1, packer, 2048))
+    return packed(docs, public_tokenizers.path("word_bpe_49k.json"), 1, dot_product_packing(*LIMITS, 32), first_line=True)
 
 
 def op4_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return vector_packed_pieces(documents(spark, sf_dir))
+    return pieces(vector_packed(documents(spark, sf_dir)))

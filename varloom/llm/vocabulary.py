@@ -84,6 +84,11 @@ class Vocabulary:
         total = np.concatenate([[0], np.cumsum(count[tokens.code])])
         return ids[ragged(at[tokens.code], count[tokens.code])], total[tokens.start]
 
+    def prefixes(self, texts: Texts, length: np.ndarray) -> np.ndarray:
+        """Number of ids of the first ``length`` bytes of each text, which end at white space or the text's end."""
+        head = Texts(texts.data[ragged(texts.start[:-1], length)], np.concatenate([[0], np.cumsum(length)]))
+        return self.counts(head)
+
     def counts(self, texts: Texts) -> np.ndarray:
         """Number of ids of each text: those of its distinct pieces times how often it has them."""
         tokens = self.pieces(texts)
