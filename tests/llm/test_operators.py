@@ -100,11 +100,26 @@ def test_quality(docs, rows):
 
 
 def test_line_rules():
-    assert quality.line_failure("All Rights Reserved.", 3, 6, 3) == "boilerplate"
-    assert quality.line_failure("Home | News | Contact | Login", 7, 6, 3) == "navigation"
-    assert quality.line_failure("read next", 2, 6, 3) == "punctuation"
-    assert quality.line_failure("a### b$$$ c%%% d*** e### f$$$.", 6, 6, 3) == "punctuation"
-    assert quality.line_failure("This line is a plain sentence without an end", 9, 6, 3) is None
+    fails = lambda line: quality.line_failure(line, len(line.encode().split()))
+    for line in ("All Rights Reserved.", "Tous droits réservés.", "Alle Rechte vorbehalten 2020.", "Todos los derechos reservados."):
+        assert fails(line) == "boilerplate"
+    for line in ("Home | News | Contact | Login", "Startseite Aktuelles Kontakt Anmelden", "see www.a.example and https://b.example/x", "#one #two a@b.example."):
+        assert fails(line) == "navigation"
+    for line in ("read next", "a### b$$$ c%%% d*** e### f$$$.", "This line is a sentence without an end", "The Old Man and the Sea"):
+        assert fails(line) == "punctuation"
+    for line in ("This line is a plain sentence.", "Short.", "He said: “yes”", "Ist das wahr?", "Home News Contact Login.", "Cost is 5 / 6 of that.", "日本語の文。"):
+        assert fails(line) is None
+
+
+def test_texts_that_lose_too_much_go(spark):
+    good = "This is a line of plain prose that has quite enough words to count. Another sentence follows here, which says something else."
+    rows = [(1, good + "\n" + "Home | About | Help | More"), (2, good.split(". ")[0] + ".\n" + "no closing mark here but many other words that go on and on without any end at all, as titles and lists may"), (3, good + "\n" + "x\n" * 3), (4, "word " * 300_000 + "end."), (5, "\n".join(f"Line {i} has its own number {i * i} and ends." for i in range(40_000)))]
+    got = {r["doc_id"]: r for r in quality.line_quality(spark.createDataFrame(rows, "doc_id int, text string")).collect()}
+    assert got[1]["kept"] and got[1]["cleaned"] == good and got[1]["failed_navigation"] == 1
+    assert not got[2]["kept"] and not got[2]["base_failed"] and got[2]["lost_share"] > 0.5 and got[2]["cleaned"] == good.split(". ")[0] + "."
+    assert got[3]["kept"] and got[3]["failed_punctuation"] == 3 and got[3]["n_dup_lines"] == 2
+    assert got[4]["base_failed"] and got[4]["n_words"] == 300_001 and got[4]["n_repeat_words"] == 300_000
+    assert got[5]["kept"] and got[5]["n_lines"] == 40_000 and got[5]["cleaned"] == rows[4][1]
 
 
 def test_exact(docs, rows):

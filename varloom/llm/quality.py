@@ -19,13 +19,25 @@ ENDINGS = tuple(".!?…:;\"')]}»”’。！？")
 SEPARATORS = re.compile(r"[|»›•·>]")
 #: Marks that prose hardly uses.
 NOISE = re.compile(r"[#*$%&<>~^=_\\{}]")
-#: Phrases of legal notices, cookie banners and page furniture.
-BOILERPLATE = re.compile(
-    r"all rights reserved|copyright (?:\(c\)|©|\d{4})|©|licensed under|released under the|terms of (?:use|service)|privacy policy"
-    r"|cookie policy|uses? cookies|accept cookies|enable javascript|javascript is (?:disabled|required)|lorem ipsum|sign up for"
-    r"|subscribe to our|log ?in to|click here|read more|share (?:this|on)|follow us|skip to (?:main )?content|back to top|powered by",
-    re.IGNORECASE,
+#: Words that are addresses, tags or mail addresses rather than prose.
+LINK = re.compile(r"(?<!\S)(?:https?://|www\.|[#@]\w|[\w.+-]+@[\w-]+\.\w)\S*", re.IGNORECASE)
+#: Frequent function words of English, French, German and Spanish; menus have none.
+FUNCTION_WORDS = frozenset(
+    "a an and are as at by for from in is it of on or that the this to was with"
+    " au aux ce dans de des du elle en est et il la le les ne par pas pour que qui se sur un une"
+    " auf das dem den der die ein eine für ist mit nicht sich und von zu"
+    " al con del el es las los no para por su una y".split()
 )
+#: Phrases of legal notices, cookie banners and page furniture in those languages.
+PHRASES = (
+    r"all rights reserved", r"copyright (?:\(c\)|©|\d{4})", r"©", r"licensed under", r"released under the", r"terms of (?:use|service)", r"privacy policy",
+    r"cookie policy", r"uses? cookies", r"accept cookies", r"enable javascript", r"javascript is (?:disabled|required)", r"lorem ipsum", r"sign up for",
+    r"subscribe to our", r"log ?in to", r"click here", r"read more", r"share (?:this|on)", r"follow us", r"skip to (?:main )?content", r"back to top", r"powered by",
+    r"tous droits réservés", r"mentions légales", r"politique de confidentialité", r"accepter les cookies", r"en savoir plus", r"cliquez ici", r"conditions d'utilisation",
+    r"alle rechte vorbehalten", r"impressum", r"datenschutzerklärung", r"cookies akzeptieren", r"nutzungsbedingungen", r"weiterlesen", r"hier klicken",
+    r"todos los derechos reservados", r"aviso legal", r"política de (?:privacidad|cookies)", r"aceptar (?:las )?cookies", r"leer más", r"haga clic aquí", r"condiciones de uso",
+)
+BOILERPLATE = re.compile("|".join(PHRASES), re.IGNORECASE)
 SYMBOLS = np.zeros(256, bool)
 SYMBOLS[[ord(c) for c in "#*$%&|<>"]] = True
 SCHEMA = (
@@ -34,17 +46,22 @@ SCHEMA = (
 )
 
 
-def line_failure(line: str, n_words: int, short: int, separators: int) -> str | None:
+def line_failure(line: str, n_words: int, separators: int = 3) -> str | None:
     """The rule that a line with words fails: boilerplate, navigation or punctuation; else None."""
     if BOILERPLATE.search(line):
         return "boilerplate"
     marks = len(SEPARATORS.findall(line))
     if marks >= separators and marks * 4 >= n_words:
         return "navigation"
+    if ("@" in line or "#" in line or "/" in line or "www." in line) and len(LINK.findall(line)) * 3 >= n_words:
+        return "navigation"
     if len(NOISE.findall(line)) * 10 > len(line):
         return "punctuation"
-    if n_words < short and not line.rstrip().endswith(ENDINGS):
-        return "punctuation"
+    if not line.rstrip().endswith(ENDINGS):
+        words = line.split()
+        capital = sum(w[0].isupper() for w in words)
+        menu = len(words) >= 4 and capital * 5 >= len(words) * 4 and FUNCTION_WORDS.isdisjoint(map(str.lower, words))
+        return "navigation" if menu else "punctuation"
     return None
 
 
@@ -83,7 +100,6 @@ def line_quality(
     docs: DataFrame,
     id_col: str = "doc_id",
     text_col: str = "text",
-    short: int = 6,
     separators: int = 3,
     max_lost: float = 0.5,
     min_words: int = 20,
@@ -93,9 +109,11 @@ def line_quality(
 ) -> DataFrame:
     """One row per row of ``docs``: counts, the verdict, and the text without the lines that failed.
 
-    A line (split at ``\\n``) with at least one word fails if it holds a boilerplate phrase, is
-    navigation (``separators`` or more separator marks, one for every four words at least), is a
-    tenth or more noise marks, or has fewer than ``short`` words and no closing mark.  Failing lines are removed.  ``base_failed``:
+    A line (split at ``\\n``) with at least one word fails as boilerplate if it holds one of ``PHRASES``; as
+    navigation if it has ``separators`` or more separator marks, one for every four words at least, if a third of its
+    words are addresses, or if it is a menu (four or more words, four fifths of them capitalised, no function word, no
+    closing mark); and for its punctuation if a tenth of it or more are noise marks, or if it has no closing mark.
+    Failing lines are removed.  ``base_failed``:
     fewer than ``min_words`` words, or more than ``max_repeat_percent`` percent of the words lie in
     repeated windows of ``window`` words.  ``kept`` is false if ``base_failed`` or if the removed
     lines held more than ``max_lost`` of the words.
@@ -124,7 +142,7 @@ def line_quality(
                     lines += 1
                     dup += line in seen
                     seen.add(line)
-                    if rule := line_failure(line, size, short, separators):
+                    if rule := line_failure(line, size, separators):
                         failed[rule] += 1
                         lost += size
                     else:
