@@ -1,4 +1,4 @@
-"""Tails of Student's t and chi-squared, for small result tables: vectorised, without SciPy."""
+"""Tails of Student's t, chi-squared, binomial and hypergeometric, for small result tables: vectorised, without SciPy."""
 
 from __future__ import annotations
 
@@ -15,12 +15,16 @@ def _log_gamma(x: np.ndarray) -> np.ndarray:
 
 
 def regular_beta(a: np.ndarray, b: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Regularised incomplete beta function by its continued fraction, evaluated backwards."""
+    """Regularised incomplete beta function by its continued fraction, evaluated backwards.
+
+    The number of steps that it needs near its mean grows with the square root of a + b.
+    """
     a, b, x = (np.asarray(v, float) for v in np.broadcast_arrays(a, b, x))
     swap = x > (a + 1) / (a + b + 2)
     p, q, y = np.where(swap, b, a), np.where(swap, a, b), np.where(swap, 1 - x, x)
     fraction = np.ones_like(y)
-    for m in range(200, 0, -1):
+    steps = 200 + 4 * int(math.sqrt(np.max(p + q, initial=0.0)))
+    for m in range(steps, 0, -1):
         even = m * (q - m) * y / ((p + 2 * m - 1) * (p + 2 * m))
         odd = -(p + m - 1) * (p + q + m - 1) * y / ((p + 2 * m - 2) * (p + 2 * m - 1))
         fraction = 1 + odd / (1 + even / fraction)
@@ -66,3 +70,50 @@ def chi2_p(x: pd.Series, df: pd.Series) -> pd.Series:
     out = np.full(len(v), np.nan)
     out[ok] = upper_gamma(n[ok] / 2, v[ok] / 2)
     return pd.Series(out).where(ok, None)
+
+
+@pandas_udf(DoubleType())
+def binomial_upper(n: pd.Series, k: pd.Series, p: pd.Series) -> pd.Series:
+    """P(X > k) of n trials with probability p; null where one of them is missing."""
+    a, b, x = (v.astype(float).to_numpy() for v in (n, k, p))
+    out = np.where(b < 0, 1.0, 0.0)
+    ok = (b >= 0) & (b < a)
+    out[ok] = regular_beta(b[ok] + 1, a[ok] - b[ok], x[ok])
+    return pd.Series(out).where(~(np.isnan(a) | np.isnan(b) | np.isnan(x)), None)
+
+
+def hypergeometric_sum(lo: int, hi: int, drawn: int, marked: int, total: int, down: bool) -> float:
+    """Sum of the probabilities of lo to hi hits, from the end nearest the mode on; terms that add nothing are left out."""
+    if lo > hi:
+        return 0.0
+    g = math.lgamma
+    first = hi if down else lo
+    log = lambda i: (
+        g(marked + 1) - g(i + 1) - g(marked - i + 1) + g(total - marked + 1) - g(drawn - i + 1) - g(total - marked - drawn + i + 1) - g(total + 1) + g(drawn + 1) + g(total - drawn + 1)
+    )
+    sum_, term, i, step = 0.0, 1.0, first, -1 if down else 1
+    while lo <= i <= hi and term > 1e-18 * sum_:
+        sum_ += term
+        if down:
+            term *= i * (total - marked - drawn + i) / ((marked - i + 1) * (drawn - i + 1))
+        else:
+            term *= (marked - i) * (drawn - i) / ((i + 1) * (total - marked - drawn + i + 1))
+        i += step
+    return math.exp(log(first) + math.log(sum_))
+
+
+@pandas_udf(DoubleType())
+def hypergeometric_upper(hits: pd.Series, drawn: pd.Series, marked: pd.Series, total: pd.Series) -> pd.Series:
+    """P(X >= hits) when ``drawn`` of ``total`` are drawn and ``marked`` are marked."""
+
+    def one(h: float, d: float, m: float, t: float) -> float | None:
+        if any(map(math.isnan, (h, d, m, t))):
+            return None
+        h, d, m, t = int(h), int(d), int(m), int(t)
+        least, most = max(0, m + d - t), min(d, m)
+        if h <= least:
+            return 1.0
+        mean = d * m / t
+        return min(1.0, hypergeometric_sum(h, most, d, m, t, False)) if h > mean else max(0.0, 1 - hypergeometric_sum(least, h - 1, d, m, t, True))
+
+    return pd.Series([one(*x) for x in zip(*(v.astype(float) for v in (hits, drawn, marked, total)), strict=True)], dtype=float)

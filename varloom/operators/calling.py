@@ -145,21 +145,35 @@ def attach_stats(pileup: DataFrame, stats: DataFrame) -> DataFrame:
     return pileup.join(stats, SITE, "left")
 
 
+def _by_subject(pileup: DataFrame, genotypes: DataFrame) -> list[str]:
+    """Genotypes of several subjects have ``subject_id``, which the pileup must then have too."""
+    if "subject_id" not in genotypes.columns:
+        return []
+    if "subject_id" not in pileup.columns:
+        raise ValueError("genotypes have a subject_id, the pileup has none")
+    return ["subject_id"]
+
+
 def drop_germline(pileup: DataFrame, genotypes: DataFrame) -> DataFrame:
-    """Drops sites where the subject's genotype is heterozygous or half-missing; a longer reference
-    covers each of its positions."""
+    """Drops sites where the subject's own genotype is heterozygous or half-missing; a longer reference
+    covers each of its positions.  Genotypes without ``subject_id`` are those of one subject."""
+    by = _by_subject(pileup, genotypes)
     bad = genotypes.filter(F.col("gt").isin("0/1", "1/0", "1/.", "0/.", "./1", "./0"))
-    sites = bad.select("chrom", F.explode(F.sequence(F.col("pos"), F.col("pos") + F.length("ref") - 1)).alias("pos")).distinct()
-    return pileup.join(sites, ["chrom", "pos"], "left_anti")
+    sites = bad.select(*by, "chrom", F.explode(F.sequence(F.col("pos"), F.col("pos") + F.length("ref") - 1)).alias("pos")).distinct()
+    return pileup.join(sites, [*by, "chrom", "pos"], "left_anti")
 
 
-def repair_context(pileup: DataFrame, genotypes: DataFrame) -> DataFrame:
-    """Writes homozygous single-base alleles of the subject into the contexts, and resets ref to the middle base."""
+def repair_context(pileup: DataFrame, genotypes: DataFrame, k: int = 5) -> DataFrame:
+    """Writes homozygous single-base alleles of the subject into the contexts (of k bases), and resets ref to the middle base.
+
+    Each homozygous site is dealt to the k positions whose contexts hold it, and the pileup is joined once.  Of
+    several alleles of a subject at a site the first in order of text counts.
+    """
+    by, half = _by_subject(pileup, genotypes), k // 2
     single = genotypes.filter((F.length("ref") == 1) & (F.length("alt") == 1) & F.col("gt").isin("0/0", "1/1"))
-    own = single.select("chrom", F.col("pos").alias("at"), F.when(F.col("gt") == "1/1", F.col("alt")).otherwise(F.col("ref")).alias("allele")).dropDuplicates(["chrom", "at"])
-    half = ((F.length("context") - 1) / 2).cast("int")
-    wide = pileup.select(*SITE, "context", F.posexplode(F.split("context", "")).alias("i", "base")).filter("base <> ''")
-    fixed = wide.withColumn("at", F.col("pos") + F.col("i") - half).join(own, ["chrom", "at"], "left")
-    whole = fixed.groupBy(*SITE).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("i", F.coalesce("allele", "base").alias("b")))), lambda x: x["b"]), "").alias("context"))
-    out = pileup.drop("context").join(whole, SITE)
-    return out.withColumn("ref", F.substring("context", ((F.length("context") + 1) / 2).cast("int"), F.lit(1)))
+    own = single.groupBy(*by, "chrom", F.col("pos").alias("at")).agg(F.min(F.when(F.col("gt") == "1/1", F.col("alt")).otherwise(F.col("ref"))).alias("allele"))
+    dealt = own.withColumn("d", F.explode(F.sequence(F.lit(-half), F.lit(half)))).select(*by, "chrom", (F.col("at") - F.col("d")).alias("pos"), F.struct((F.col("d") + half).alias("i"), "allele").alias("_f"))
+    fixes = dealt.groupBy(*by, "chrom", "pos").agg(F.map_from_entries(F.collect_list("_f")).alias("_f"))  # k entries at the most
+    written = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: F.coalesce(F.col("_f")[i], F.substring(F.col("context"), i + 1, F.lit(1)))), "")
+    out = pileup.join(fixes, [*by, "chrom", "pos"], "left").withColumn("context", F.when(F.col("_f").isNull(), F.col("context")).otherwise(written)).drop("_f")
+    return out.withColumn("ref", F.substring("context", half + 1, 1))

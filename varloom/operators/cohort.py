@@ -160,12 +160,17 @@ def seeded(seed: int, *keys: str) -> Column:
 def random_positions(calls: DataFrame, covered: DataFrame, seed: int = 1) -> DataFrame:
     """Control: each call moved to a covered position of its sample with the same reference base.
 
-    Calls and positions of a (sample, ref) are numbered, the positions in a seeded order, and matched by number.
+    Calls and positions of a (sample, ref) are numbered, the positions in a seeded order, and matched by number; where
+    there are more calls than positions, those are used again from the first on.  Every call comes back, one
+    without any such position with null for chrom and pos.
     """
-    own = Window.partitionBy("sample_id", "ref")
-    a = calls.withColumn("k", F.row_number().over(own.orderBy("chrom", "pos", "alt"))).select("sample_id", "ref", "alt", "k")
-    b = covered.withColumn("k", F.row_number().over(own.orderBy(seeded(seed, "sample_id", "chrom", "pos"), "chrom", "pos"))).select("sample_id", "ref", "k", "chrom", "pos")
-    return a.join(b, ["sample_id", "ref", "k"]).select("sample_id", *ALLELE)
+    by = ["sample_id", "ref"]
+    own = Window.partitionBy(*by)
+    sizes = covered.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
+    a = calls.withColumn("k", F.row_number().over(own.orderBy("chrom", "pos", "alt"))).select(*by, "alt", "k").join(sizes, by, "left")
+    a = a.withColumn("k", (F.col("k") - 1) % F.col("_n") + 1)
+    b = covered.withColumn("k", F.row_number().over(own.orderBy(seeded(seed, "sample_id", "chrom", "pos"), "chrom", "pos"))).select(*by, F.col("k").cast("long").alias("k"), "chrom", "pos")
+    return a.join(b, [*by, "k"], "left").select("sample_id", *ALLELE)
 
 
 def shuffle_alts(calls: DataFrame, seed: int = 1) -> DataFrame:

@@ -11,7 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from varloom.functions.scalars import error_probability, mutation_id
-from varloom.operators.intervals import nearest
+from varloom.functions.tails import binomial_upper
+from varloom.operators.intervals import merge_intervals, nearest, overlap_join
 
 BIAS = {"vdb": 0.05, "rpb": 0.05, "mqb": 0.05, "bqb": 0.05, "mqsb": 0.05}
 
@@ -32,9 +33,14 @@ def filter_string() -> Column:
 
 
 def label_near(calls: DataFrame, intervals: DataFrame, cutoff: int, name: str) -> DataFrame:
-    """Labels calls whose nearest interval is closer than ``cutoff``; a chromosome without intervals passes."""
-    out = nearest(calls, intervals)
-    return label(out, name, (F.col("distance") >= 0) & (F.col("distance") < cutoff)).drop("distance")
+    """Labels calls whose nearest interval is closer than ``cutoff`` (0 inside, 1 adjacent); a chromosome without intervals passes.
+
+    Intervals are widened by the cutoff and merged, so each call meets one at the most, and one join on bins
+    decides; calls are neither sorted nor, where the intervals are few, shuffled.
+    """
+    wide = intervals.select("chrom", (F.col("start_pos") - (cutoff - 1)).alias("start_pos"), (F.col("end_pos") + (cutoff - 1)).alias("end_pos"))
+    near = merge_intervals(wide).select("chrom", "start_pos", "end_pos", F.lit(True).alias("_near"))
+    return label(overlap_join(calls, near, "left"), name, F.col("_near")).drop("start_pos", "end_pos", "_near")
 
 
 def keep_far(calls: DataFrame, intervals: DataFrame, cutoff: int) -> DataFrame:
@@ -43,15 +49,8 @@ def keep_far(calls: DataFrame, intervals: DataFrame, cutoff: int) -> DataFrame:
 
 
 def binomial_tail(n: Column, k: Column, p: Column) -> Column:
-    """P(X > k) of n trials, by the recurrence of the probabilities."""
-    odds = p / (1 - p)
-    first = F.pow(1 - p, n)
-    start = F.struct(first.alias("term"), first.alias("sum"))
-    step = lambda acc, i: F.struct(
-        (acc["term"] * odds * (n - i + 1) / i).alias("term"), (acc["sum"] + acc["term"] * odds * (n - i + 1) / i).alias("sum")
-    )
-    terms = F.when(k >= 1, F.sequence(F.lit(1).cast("int"), k.cast("int"))).otherwise(F.expr("cast(array() as array<int>)"))
-    return 1 - F.aggregate(terms, start, step, lambda acc: acc["sum"])
+    """P(X > k) of n trials, for any n; to be used on distinct values."""
+    return binomial_upper(n.cast("double"), k.cast("double"), p)
 
 
 def label_seq_error(calls: DataFrame, p: float = 1e-4, qual: float = 30.0, name: str = "sequencing_error") -> DataFrame:

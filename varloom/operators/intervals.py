@@ -52,6 +52,15 @@ def nearest(points: DataFrame, intervals: DataFrame, stretch: int = 1 << 20) ->
     return both.withColumn("distance", distance.cast("long")).select(*columns, "distance")
 
 
+def merge_intervals(intervals: DataFrame) -> DataFrame:
+    """Intervals of each chromosome with those that overlap or touch made one; empty ones are left out."""
+    before = Window.partitionBy("chrom").orderBy("start_pos", "end_pos").rowsBetween(Window.unboundedPreceding, -1)
+    upto = Window.partitionBy("chrom").orderBy("start_pos", "end_pos").rowsBetween(Window.unboundedPreceding, 0)
+    known = intervals.filter("end_pos > start_pos").select("chrom", "start_pos", "end_pos").distinct()
+    opens = known.withColumn("_new", F.coalesce(F.col("start_pos") > F.max("end_pos").over(before), F.lit(True)).cast("int"))
+    return opens.withColumn("_k", F.sum("_new").over(upto)).groupBy("chrom", "_k").agg(F.min("start_pos").alias("start_pos"), F.max("end_pos").alias("end_pos")).drop("_k")
+
+
 def map_intervals(intervals: DataFrame, values: DataFrame, agg: Column, key: list[str]) -> DataFrame:
     """An aggregate of the rows of ``values`` inside each interval; intervals without rows are kept."""
     inside = overlap_join(values, intervals.select(*{*key, "chrom", "start_pos", "end_pos"})).groupBy(*key).agg(agg)

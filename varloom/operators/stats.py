@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from varloom.functions.scalars import normal_cdf
-from varloom.functions.tails import chi2_p, student_p
+from varloom.functions.tails import chi2_p, hypergeometric_upper, student_p
 from varloom.operators.windows import average_rank, quantile_groups
 
 
@@ -148,28 +148,26 @@ def fisher_combine(df: DataFrame, p: str, key: list[str], with_p: bool = True) -
     return out.withColumn("p_combined", chi2_p("statistic", 2 * F.col("n"))) if with_p else out
 
 
-def binomial_enrichment(counts: DataFrame, key: str, share: str, n: str = "n", total: str = "total") -> DataFrame:
-    """P(X >= n) of a binomial with the total and the expected share, BH-adjusted over the rows of each key."""
+def binomial_enrichment(counts: DataFrame, key: list[str], share: str, n: str = "n", total: str = "total") -> DataFrame:
+    """Whether counts are few or many for a binomial with the total and the expected share.
+
+    p_low is P(X <= n), p_high P(X > n), each adjusted by Benjamini-Hochberg over the rows of a key; fdr is the
+    smaller of both.  Tails are worked out once for each distinct count, total and share.
+    """
     from varloom.operators.filters import binomial_tail
 
-    tail = binomial_tail(F.col(total).cast("int"), (F.col(n) - 1).cast("int"), F.col(share))
-    return adjust(counts.withColumn("p", F.when(F.col(n) > 0, F.greatest(F.lit(0.0), tail)).otherwise(1.0)), "p", [key])
+    kinds = counts.select(n, total, share).distinct()
+    tails = kinds.withColumn("p_high", binomial_tail(F.col(total), F.col(n), F.col(share).cast("double")))
+    # P(X <= n) is the upper tail of the failures, so that small values keep their digits.
+    tails = tails.withColumn("p_low", binomial_tail(F.col(total), F.col(total) - F.col(n) - 1, 1 - F.col(share).cast("double")))
+    both = counts.join(tails, [n, total, share])
+    out = adjust(adjust(both, "p_low", key, out="fdr_low"), "p_high", key, out="fdr_high")
+    return out.withColumn("fdr", F.least("fdr_low", "fdr_high"))
 
 
 def hypergeometric_tail(hits: Column, drawn: Column, marked: Column, total: Column) -> Column:
-    """P(X >= hits) when ``drawn`` of ``total`` are drawn and ``marked`` are marked, by the ratio of neighbouring terms.
-
-    The first term is worked out by sums of logarithms.
-    """
-    last = F.least(drawn, marked)
-    log_choose = lambda n, k: F.aggregate(F.sequence(F.lit(1).cast("long"), k), F.lit(0.0), lambda acc, i: acc + F.log((n - k + i) / i))
-    safe = lambda n, k: F.when(k > 0, log_choose(n, k)).otherwise(0.0)
-    first = F.exp(safe(marked, hits) + safe(total - marked, drawn - hits) - safe(total, drawn))
-    start = F.struct(first.alias("term"), first.alias("sum"))
-    ratio = lambda i: (marked - i + 1) * (drawn - i + 1) / (i * (total - marked - drawn + i))
-    step = lambda acc, i: F.struct((acc["term"] * ratio(i)).alias("term"), (acc["sum"] + acc["term"] * ratio(i)).alias("sum"))
-    rest = F.when(last > hits, F.sequence(hits + 1, last)).otherwise(F.expr("cast(array() as array<bigint>)"))
-    return F.least(F.lit(1.0), F.aggregate(rest, start, step, lambda acc: acc["sum"]))
+    """P(X >= hits) when ``drawn`` of ``total`` are drawn and ``marked`` are marked, for numbers of any size."""
+    return hypergeometric_upper(*(c.cast("double") for c in (hits, drawn, marked, total)))
 
 
 def overlap_significance(counts: DataFrame, hits: str, drawn: str, marked: str, total: str, key: list[str]) -> DataFrame:

@@ -242,10 +242,12 @@ QUERIES: dict[str, tuple[Callable[[Tables], DataFrame], str | None]] = {
         select m.sample_id, overlap_correct, overlap_incorrect, total_mut, catalogue_mut, bases_covered from m left join d on m.sample_id = d.sample_id""",
     ),
     "a37_random_positions": (
-        lambda t: cohort.random_positions(t.calls.select("sample_id", "chrom", "pos", "ref", "alt"), t.calls.select("sample_id", "chrom", "pos", "ref")).groupBy("sample_id", "ref", "alt").agg(F.count(F.lit(1)).alias("n"), F.sum("pos").alias("pos_sum")),
+        lambda t: cohort.random_positions(t.calls.select("sample_id", "chrom", "pos", "ref", "alt"), t.calls.filter("coverage >= 100").select("sample_id", "chrom", "pos", "ref")).groupBy("sample_id", "ref", "alt").agg(F.count(F.lit(1)).alias("n"), F.sum("pos").alias("pos_sum")),
         """with a as (select sample_id, ref, alt, row_number() over (partition by sample_id, ref order by chrom, pos, alt) as k from calls),
-        b as (select sample_id, ref, chrom, pos, row_number() over (partition by sample_id, ref order by md5(concat('1|', sample_id, '|', chrom, '|', pos)), chrom, pos) as k from calls)
-        select a.sample_id, a.ref, a.alt, count(*) as n, sum(b.pos) as pos_sum from a join b on a.sample_id = b.sample_id and a.ref = b.ref and a.k = b.k group by 1, 2, 3""",
+        b as (select sample_id, ref, chrom, pos, row_number() over (partition by sample_id, ref order by md5(concat('1|', sample_id, '|', chrom, '|', pos)), chrom, pos) as k from calls where coverage >= 100),
+        m as (select sample_id, ref, count(*) as m from b group by 1, 2)
+        select a.sample_id, a.ref, a.alt, count(*) as n, sum(b.pos) as pos_sum from a left join m on a.sample_id = m.sample_id and a.ref = m.ref
+        left join b on a.sample_id = b.sample_id and a.ref = b.ref and (a.k - 1) % m.m + 1 = b.k group by 1, 2, 3""",
     ),
     "a38_shuffle_alts": (
         lambda t: cohort.shuffle_alts(t.calls.select("sample_id", "chrom", "pos", "ref", "alt")),

@@ -30,11 +30,12 @@ def side_pairs(t: Tables) -> DataFrame:
 
 
 def pathways(t: Tables) -> DataFrame:
-    genes = t.sql("select concat('P', substr(gene_id, length(gene_id), 1)) as term, gene_id, tissue, count(*) as n from gene_calls group by 1, 2, 3")
-    # One p per gene: how rare its largest share of a tissue is among all genes.
-    share = genes.groupBy("term", "gene_id").agg((F.max("n") / F.sum("n")).alias("share")).withColumn("p", F.lit(1.0) / (1 + 10 * F.col("share")))
-    drawn = stats.permute(share.withColumn("every", F.lit(1)), ["every"], "p", "gene_id", 20)
-    return lookups.pathway_enrichment(share.select("gene_id", "p"), drawn.select("perm_id", "gene_id", "p"), share.select("term", "gene_id"))
+    """Pathways (genes by their last digit) whose genes' expression goes with age, against ages dealt anew."""
+    ages, expression = t.sample_meta.withColumn("every", F.lit(1)).select("every", "sample_id", "age"), t.expression
+    real = stats.correlate(expression.join(ages, "sample_id"), "tpm", "age", ["gene_id"]).filter("p is not null").select("gene_id", "p")
+    drawn = expression.join(stats.permute(ages, ["every"], "age", "sample_id", 20), "sample_id")
+    permuted = stats.correlate(drawn, "tpm", "age", ["perm_id", "gene_id"]).filter("p is not null").select("perm_id", "gene_id", "p")
+    return lookups.pathway_enrichment(real, permuted, t.sql("select distinct concat('P', substr(gene_id, length(gene_id), 1)) as term, gene_id from expression"))
 
 
 def driven(t: Tables) -> DataFrame:

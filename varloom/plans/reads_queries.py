@@ -18,7 +18,8 @@ BASES = "b as (" + " union all ".join(
 ) + ")"
 SITES = f"""{BASES}, s as (select sample_id, chrom, pos, count(*) filter (base = 'A') as a_n, count(*) filter (base = 'T') as t_n, count(*) filter (base = 'G') as g_n, count(*) filter (base = 'C') as c_n from b where qual >= 22 group by 1, 2, 3)"""
 REF = "substr('ATGC', cast(cast(floor(({p} * 2654435761 + cast(substr(chrom, 4, 1) as bigint) * 40503) / 65536.0) as bigint) % 4 as int) + 1, 1)"
-GT = "select distinct chrom, pos, ref, alt, case (pos // 5) % 4 when 0 then '0/1' when 1 then '1/1' when 2 then '0/0' else './.' end as gt from calls where sample_id = 1"
+GT = """select distinct sample_id % 10 as subject_id, chrom, pos, ref, alt,
+  case (pos // 5 + sample_id % 10) % 4 when 0 then '0/1' when 1 then '1/1' when 2 then '0/0' else './.' end as gt from calls"""
 
 
 def reads(t: Tables) -> DataFrame:
@@ -36,6 +37,10 @@ def genome(t: Tables) -> DataFrame:
     return chunks.select("chrom", "chunk_id", start.alias("chunk_start"), seq.alias("seq"))
 
 
+def of_subjects(t: Tables) -> DataFrame:
+    return t.pileup.join(t.sample_meta.select("sample_id", "subject_id"), "sample_id")
+
+
 def genotypes(t: Tables) -> DataFrame:
     return t.sql(GT.replace("//", "div"))
 
@@ -71,13 +76,13 @@ QUERIES: dict[str, tuple[Callable[[Tables], DataFrame], str | None]] = {
         "select p.sample_id, p.chrom, p.pos, round(c.vdb, 6) as vdb from pileup p left join calls c on p.sample_id = c.sample_id and p.chrom = c.chrom and p.pos = c.pos and c.vdb > 0.05",
     ),
     "p12_drop_germline": (
-        lambda t: calling.drop_germline(t.pileup, genotypes(t)).select("sample_id", "chrom", "pos"),
-        f"with g as ({GT}) select sample_id, chrom, pos from pileup p where not exists (select 1 from g where g.gt = '0/1' and g.chrom = p.chrom and g.pos = p.pos)",
+        lambda t: calling.drop_germline(of_subjects(t), genotypes(t)).select("sample_id", "chrom", "pos"),
+        f"with g as ({GT}) select sample_id, chrom, pos from pileup p where not exists (select 1 from g where g.gt = '0/1' and g.subject_id = p.sample_id % 10 and g.chrom = p.chrom and g.pos = p.pos)",
     ),
     "p13_repair_context": (
-        lambda t: calling.repair_context(t.pileup, genotypes(t)).select("sample_id", "chrom", "pos", "ref", "context"),
-        f"""with g as (select chrom, pos, case when gt = '1/1' then alt else ref end as al from ({GT}) where gt in ('0/0', '1/1')), f as (select p.sample_id, p.chrom, p.pos, concat({", ".join(f"coalesce(g{i}.al, substr(p.context, {i + 1}, 1))" for i in range(5))}) as context from pileup p
-        {" ".join(f"left join g g{i} on g{i}.chrom = p.chrom and g{i}.pos = p.pos + {i - 2}" for i in range(5))}) select sample_id, chrom, pos, substr(context, 3, 1) as ref, context from f""",
+        lambda t: calling.repair_context(of_subjects(t), genotypes(t)).select("sample_id", "chrom", "pos", "ref", "context"),
+        f"""with g as (select subject_id, chrom, pos, min(case when gt = '1/1' then alt else ref end) as al from ({GT}) where gt in ('0/0', '1/1') group by 1, 2, 3), f as (select p.sample_id, p.chrom, p.pos, concat({", ".join(f"coalesce(g{i}.al, substr(p.context, {i + 1}, 1))" for i in range(5))}) as context from pileup p
+        {" ".join(f"left join g g{i} on g{i}.subject_id = p.sample_id % 10 and g{i}.chrom = p.chrom and g{i}.pos = p.pos + {i - 2}" for i in range(5))}) select sample_id, chrom, pos, substr(context, 3, 1) as ref, context from f""",
     ),
     "s9_newest_wins": (
         lambda t: tables.newest_wins(t.calls.select("chrom", "pos", "sample_id", "coverage"), ["chrom", "pos"], "sample_id"),

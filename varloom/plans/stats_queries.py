@@ -197,9 +197,12 @@ QUERIES: dict[str, tuple[Callable[[Tables], DataFrame], str | None]] = {
     ),
     "t9_fisher_p": (lambda t: stats.fisher_combine(pvalues(t), "p", ["tissue", "id"]), None),
     "t10_binomial_enrichment": (
-        lambda t: rounded(stats.binomial_enrichment(t.sql("select g.tissue, g.gene_id, g.n, k.total, 1.0D / 40 as share from (select tissue, gene_id, count(*) as n from gene_calls group by 1, 2) g join (select tissue, count(*) as total from gene_calls group by 1) k on g.tissue = k.tissue"), "tissue", "share").select("tissue", "gene_id", "n", "p"), "p"),
-        """with g as (select tissue, gene_id, count(*) as n from gene_calls group by 1, 2), k as (select tissue, count(*) as total from gene_calls group by 1)
-        select g.tissue, gene_id, n, round(greatest(0.0, 1 - list_sum(list_transform(range(0, n), lambda i: exp(lgamma(total + 1) - lgamma(i + 1) - lgamma(total - i + 1) + i * ln(0.025) + (total - i) * ln(0.975))))), 6) as p from g join k on g.tissue = k.tissue""",
+        lambda t: rounded(stats.binomial_enrichment(t.sql("select g.tissue, g.gene_id, g.n, k.total, 1.0D / 40 as share from (select tissue, gene_id, count(*) as n from gene_calls group by 1, 2) g join (select tissue, count(*) as total from gene_calls group by 1) k on g.tissue = k.tissue"), ["tissue"], "share").select("tissue", "gene_id", "n", "p_low", "p_high", "fdr"), "p_low", "p_high", "fdr"),
+        """with g as (select tissue, gene_id, count(*) as n from gene_calls group by 1, 2), k as (select tissue, count(*) as total from gene_calls group by 1),
+        p as (select g.tissue, gene_id, n, list_sum(list_transform(range(0, n + 1), lambda i: exp(lgamma(total + 1) - lgamma(i + 1) - lgamma(total - i + 1) + i * ln(0.025) + (total - i) * ln(0.975)))) as lo from g join k on g.tissue = k.tissue),
+        r as (select *, 1 - lo as hi, lo * count(*) over (partition by tissue) / count(*) over (partition by tissue order by lo) as rl, (1 - lo) * count(*) over (partition by tissue) / count(*) over (partition by tissue order by 1 - lo) as rh from p),
+        f as (select *, least(1.0, min(rl) over (partition by tissue order by lo desc)) as fl, least(1.0, min(rh) over (partition by tissue order by hi desc)) as fh from r)
+        select tissue, gene_id, n, round(least(1.0, lo), 6) as p_low, round(greatest(0.0, hi), 6) as p_high, round(least(fl, fh), 6) as fdr from f""",
     ),
     "t11_overlap_significance": (
         lambda t: rounded(stats.overlap_significance(hyper(t), "hits", "drawn", "marked", "total", []).select("sample_id", "hits", "drawn", "marked", "total", "p"), "p"),
@@ -258,7 +261,7 @@ QUERIES: dict[str, tuple[Callable[[Tables], DataFrame], str | None]] = {
     ),
     "t26_error_grid": (
         lambda t: rounded(stats.error_grid(t.calls.select("coverage").distinct(), 5, (10.0, 20.0, 30.0)), "p", digits=9),
-        """with c as (select distinct coverage from calls) select coverage, n::int as n, q as qual, round(1 - list_sum(list_transform(range(0, n), lambda i: exp(lgamma(coverage + 1) - lgamma(i + 1) - lgamma(coverage - i + 1) + i * ln(pow(10, -q / 10)) + (coverage - i) * ln(1 - pow(10, -q / 10))))), 9) as p
+        """with c as (select distinct coverage from calls) select coverage, n::int as n, q as qual, round(greatest(0.0, 1 - list_sum(list_transform(range(0, n), lambda i: exp(lgamma(coverage + 1) - lgamma(i + 1) - lgamma(coverage - i + 1) + i * ln(pow(10, -q / 10)) + (coverage - i) * ln(1 - pow(10, -q / 10)))))), 9) as p
         from c, range(1, 6) x(n), (values (10.0::double), (20.0::double), (30.0::double)) y(q)""",
     ),
     "t27_annotate_impact": (
