@@ -191,13 +191,3 @@ def normal_cdf(z: Column | str) -> Column:
     poly = t * (0.319381530 + t * (-0.356563782 + t * (1.781477937 + t * (-1.821255978 + t * 1.330274429))))
     upper = F.exp(-x * x / 2) / 2.5066282746310002 * poly
     return F.when(col(z) >= 0, 1 - upper).otherwise(upper)
-
-
-def chi2_tail_even(x: Column | str, half_df: int) -> Column:
-    """Upper tail of chi-squared with 2 * half_df degrees of freedom."""
-    h = col(x) / 2
-    term, total = F.lit(1.0), F.lit(1.0)
-    for i in range(1, half_df):
-        term = term * h / i
-        total = total + term
-    return F.exp(-h) * total

@@ -280,12 +280,6 @@ def translate_ids(df: DataFrame, id_map: DataFrame, source: str, target: str) ->
     return df.join(unique, source, "left")
 
 
-def complete_cases(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Rows without nulls in the columns that have any value."""
-    counts = df.agg(*[F.count(c).alias(c) for c in columns]).first()
-    return df.drop(*[c for c in columns if not counts[c]]).dropna(subset=[c for c in columns if counts[c]])
-
-
 def meta_summary(results: DataFrame, key: str = "gene_id") -> DataFrame:
     """Signs and Fisher's statistic of a gene over tissues (gene_id, beta, p)."""
     c: Column = F.col("beta")

@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from varloom.plans import calls_queries, lookup_queries, reads_queries, stats_queries
+from varloom.plans import calls_queries, lookup_queries, reads_queries, stats_queries, summary_queries
 from varloom.plans.projections import Tables, with_projections
 
-ALL: dict[str, tuple[Callable[[Tables], DataFrame], str | None]] = {**calls_queries.QUERIES, **stats_queries.QUERIES, **reads_queries.QUERIES, **lookup_queries.QUERIES}
+ALL: dict[str, tuple[Callable[[Tables], DataFrame], str | None]] = {**calls_queries.QUERIES, **stats_queries.QUERIES, **reads_queries.QUERIES, **lookup_queries.QUERIES, **summary_queries.QUERIES}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from varloom.operators import calling
+from varloom.plans.calls_queries import FREQ
 from varloom.plans.projections import Tables
 from varloom.plans.stats_queries import IMPACT, annotated
 from varloom.sources import tables
@@ -26,9 +27,9 @@ def reads(t: Tables) -> DataFrame:
     return t.reads.withColumn("quals", F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.col("qual") - i))
 
 
-def genome(t: Tables) -> DataFrame:
-    """Reference chunks of the whole range that reads cover, from the rule of the reference base."""
-    ends = t.reads.groupBy("chrom").agg(F.max("start").alias("last"))
+def genome(t: Tables, ends: DataFrame | None = None) -> DataFrame:
+    """Reference chunks up to the ends of chromosomes (those that reads cover), from the rule of the reference base."""
+    ends = t.reads.groupBy("chrom").agg(F.max("start").alias("last")) if ends is None else ends
     chunks = ends.withColumn("chunk_id", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("last") + 10) / 1000))))
     start = F.greatest(F.lit(1).cast("long"), F.col("chunk_id") * 1000 + 1 - 2)
     ci = F.substring("chrom", 4, 1).cast("bigint")
@@ -45,6 +46,16 @@ def genotypes(t: Tables) -> DataFrame:
     return t.sql(GT.replace("//", "div"))
 
 
+MAF_SQL = {
+    "Hugo_Symbol": "gene_id", "Entrez_Gene_Id": "gene_id", "Chromosome": "substr(chrom, 4)", "Start_Position": "pos", "End_Position": "pos", "Strand": "'+'", "Variant_Classification": "kind",
+    "Variant_Type": "'SNP'", "Tumor_Sample_Barcode": "s", "Matched_Norm_Sample_Barcode": "s", "Verification_Status": "'validated'", "Mutation_Status": "'somatic'",
+    "HGVSc": "concat('c.', cds_pos, ref_cod, '>', alt_cod)", "HGVSp_Short": "case when aachange is not null then concat('p.', aachange) end", "Consequence": "impact",
+    "Protein_position": "case when aachange is not null then cast(ci + 1 as varchar) end",
+    **{c: "ref" for c in ("Reference_Allele", "Tumor_Seq_Allele1", "Match_Norm_Seq_Allele1", "Match_Norm_Seq_Allele2", "Tumor_Validation_Allele1")},
+    **{c: "alt" for c in ("Tumor_Seq_Allele2", "Tumor_Validation_Allele2", "Match_Norm_Validation_Allele1", "Match_Norm_Validation_Allele2")},
+    **{f"{x}_depth": "coverage" for x in "tn"}, **{f"{x}_ref_count": "coverage - n_support" for x in "tn"}, **{f"{x}_alt_count": "n_support" for x in "tn"},
+}
+
 QUERIES: dict[str, tuple[Callable[[Tables], DataFrame], str | None]] = {
     "p1_drop_duplicates": (
         lambda t: calling.drop_duplicate_reads(t.reads).select("sample_id", "read_id"),
@@ -95,9 +106,10 @@ QUERIES: dict[str, tuple[Callable[[Tables], DataFrame], str | None]] = {
         "select sample_id, chrom, pos, case pos % 3 when 0 then 'paternal' else 'maternal' end as parent from calls where pos % 3 < 2",
     ),
     "s16_maf": (
-        lambda t: tables.as_maf(annotated(t), ("Center",)),
-        f"""with {IMPACT} select gene_id as "Hugo_Symbol", substr(chrom, 4) as "Chromosome", pos as "Start_Position", pos as "End_Position", '+' as "Strand", case impact when 'Missense' then 'Missense_Mutation' when 'Nonsense' then 'Nonsense_Mutation' when 'Synonymous' then 'Silent' when 'Stop_loss' then 'Nonstop_Mutation' end as "Variant_Classification",
-        'SNP' as "Variant_Type", ref as "Reference_Allele", ref as "Tumor_Seq_Allele1", alt as "Tumor_Seq_Allele2", cast(sample_id as varchar) as "Tumor_Sample_Barcode", case when old_aa is not null and new_aa is not null then concat('p.', old_aa, ci + 1, new_aa) end as "HGVSp_Short", coverage as t_depth, coverage - n_support as t_ref_count, n_support as t_alt_count, '' as "Center" from ann""",
+        lambda t: tables.as_maf(annotated(t)),
+        f"""with {IMPACT}, m as (select *, case impact when 'Missense' then 'Missense_Mutation' when 'Nonsense' then 'Nonsense_Mutation' when 'Synonymous' then 'Silent' when 'Stop_loss' then 'Nonstop_Mutation' end as kind,
+        case when old_aa is not null and new_aa is not null then concat(old_aa, ci + 1, new_aa) end as aachange, cast(sample_id as varchar) as s from ann)
+        select {", ".join(f'{MAF_SQL.get(c, "'.'")} as "{c}"' for c in tables.MAF_COLUMNS)} from m""",
     ),
     "s17_pair_integrity": (
         lambda t: tables.pair_integrity(t.calls, t.pileup, "sample_id"),
@@ -105,11 +117,18 @@ QUERIES: dict[str, tuple[Callable[[Tables], DataFrame], str | None]] = {
     ),
     "e1_call_mutations": (
         lambda t: call_mutations(t).groupBy("sample_id").agg(F.count(F.lit(1)).alias("n"), F.sum("pos").alias("pos_sum")),
-        None,
+        """with c as (select * from calls where coverage > n_support and coverage >= 40 and n_support >= 6 and n_support * 1.0 / coverage <= 0.7
+          and coalesce(vdb, 1.0) >= 0.05 and coalesce(rpb, 1.0) >= 0.05 and coalesce(mqb, 1.0) >= 0.05 and coalesce(bqb, 1.0) >= 0.05 and coalesce(mqsb, 1.0) >= 0.05),
+        k as (select distinct coverage, n_support from c), e as (select coverage, n_support, 1 - list_sum(list_transform(range(0, n_support + 1),
+          lambda i: exp(lgamma(coverage + 1) - lgamma(i + 1) - lgamma(coverage - i + 1) + i * ln(0.001) + (coverage - i) * ln(0.999)))) as p from k)
+        select sample_id, count(*) as n, sum(pos) as pos_sum from c join e using (coverage, n_support) where p < 1e-4
+          and not exists (select 1 from exons x where x.chrom = c.chrom and c.pos - x.end_pos + 1 < 7 and x.start_pos - c.pos < 7) group by 1""",
     ),
     "e2_cohort_map": (
         lambda t: cohort_map(t).groupBy("tissue").agg(F.count(F.lit(1)).alias("n"), F.sum("pos").alias("pos_sum")),
-        None,
+        f"""with {FREQ}, panel as (select distinct chrom, pos from freq where freq >= 0.4), left_ as (select c.* from clean c where not exists (select 1 from panel p where p.chrom = c.chrom and p.pos = c.pos)),
+        often as (select chrom, pos, ref, alt from left_ group by 1, 2, 3, 4 having count(distinct sample_id) * 1.0 / (select count(distinct sample_id) from left_) >= 0.1)
+        select tissue, count(*) as n, sum(pos) as pos_sum from left_ c where not exists (select 1 from often o where o.chrom = c.chrom and o.pos = c.pos and o.ref = c.ref and o.alt = c.alt) group by 1""",
     ),
 }
 

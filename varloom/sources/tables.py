@@ -118,23 +118,43 @@ def by_parent(calls: DataFrame, phase: str = "phase") -> DataFrame:
     return calls.filter(F.col(phase).isin("father", "mother")).withColumn("parent", F.when(F.col(phase) == "father", "paternal").otherwise("maternal"))
 
 
-#: Columns of the mutation annotation format that calls fill, in the format's order; others are left empty.
-MAF_FILLED = ("Hugo_Symbol", "Chromosome", "Start_Position", "End_Position", "Strand", "Variant_Classification", "Variant_Type", "Reference_Allele",
-              "Tumor_Seq_Allele1", "Tumor_Seq_Allele2", "Tumor_Sample_Barcode", "HGVSp_Short", "t_depth", "t_ref_count", "t_alt_count")
+#: Columns of the mutation annotation format, in the format's order.
+MAF_COLUMNS = (
+    "Hugo_Symbol", "Entrez_Gene_Id", "Center", "NCBI_Build", "Chromosome", "Start_Position", "End_Position", "Strand", "Variant_Classification", "Variant_Type",
+    "Reference_Allele", "Tumor_Seq_Allele1", "Tumor_Seq_Allele2", "dbSNP_RS", "dbSNP_Val_Status", "Tumor_Sample_Barcode", "Matched_Norm_Sample_Barcode",
+    "Match_Norm_Seq_Allele1", "Match_Norm_Seq_Allele2", "Tumor_Validation_Allele1", "Tumor_Validation_Allele2", "Match_Norm_Validation_Allele1",
+    "Match_Norm_Validation_Allele2", "Verification_Status", "Validation_Status", "Mutation_Status", "Sequencing_Phase", "Sequence_Source", "Validation_Method",
+    "Score", "BAM_File", "Sequencer", "Tumor_Sample_UUID", "Matched_Norm_Sample_UUID", "HGVSc", "HGVSp", "HGVSp_Short", "Transcript_ID", "Exon_Number",
+    "t_depth", "t_ref_count", "t_alt_count", "n_depth", "n_ref_count", "n_alt_count", "Consequence", "Protein_position",
+)
 #: Names of impacts in that format.
 MAF_CLASSES = {"Missense": "Missense_Mutation", "Nonsense": "Nonsense_Mutation", "Synonymous": "Silent", "Stop_loss": "Nonstop_Mutation", "Essential_Splice": "Splice_Site"}
 
 
-def as_maf(annotated: DataFrame, empty: tuple[str, ...] = ()) -> DataFrame:
-    """Annotated calls in the mutation annotation format, with further columns left empty."""
+def as_maf(annotated: DataFrame, source: str = ".", missing: str = ".") -> DataFrame:
+    """Annotated calls in the 47 columns of the mutation annotation format; columns that calls do not tell have ``missing``."""
     kind = F.lit(None).cast("string")
     for k, v in MAF_CLASSES.items():
         kind = F.when(F.col("impact") == k, v).otherwise(kind)
-    values = (
-        F.col("gene_id"), F.regexp_replace("chrom", "^chr", ""), F.col("pos"), F.col("pos"), F.lit("+"), kind, F.lit("SNP"), F.col("ref"), F.col("ref"), F.col("alt"),
-        F.col("sample_id").cast("string"), F.concat(F.lit("p."), F.col("aachange")), F.col("coverage"), F.col("coverage") - F.col("n_support"), F.col("n_support"),
-    )
-    return annotated.select(*[v.alias(n) for v, n in zip(values, MAF_FILLED, strict=True)], *[F.lit("").alias(c) for c in empty])
+    pos, ref, alt, sample, rest = F.col("pos"), F.col("ref"), F.col("alt"), F.col("sample_id").cast("string"), F.col("coverage") - F.col("n_support")
+    values = {
+        "Hugo_Symbol": F.col("gene_id"), "Entrez_Gene_Id": F.col("gene_id"), "Chromosome": F.regexp_replace("chrom", "^chr", ""), "Start_Position": pos, "End_Position": pos, "Strand": F.lit("+"),
+        "Variant_Classification": kind, "Variant_Type": F.lit("SNP"), "Tumor_Sample_Barcode": sample, "Matched_Norm_Sample_Barcode": sample,
+        "Verification_Status": F.lit("validated"), "Mutation_Status": F.lit("somatic"), "Sequence_Source": F.lit(source),
+        "HGVSc": F.concat(F.lit("c."), F.regexp_replace("ntchange", "[ACGTN]", ""), "ref_cod", F.lit(">"), "alt_cod"), "HGVSp_Short": F.concat(F.lit("p."), F.col("aachange")),
+        "Consequence": F.col("impact"), "Protein_position": F.regexp_replace("aachange", r"[A-Z*]", ""),
+    }
+    values |= {c: ref for c in ("Reference_Allele", "Tumor_Seq_Allele1", "Match_Norm_Seq_Allele1", "Match_Norm_Seq_Allele2", "Tumor_Validation_Allele1")}
+    values |= {c: alt for c in ("Tumor_Seq_Allele2", "Tumor_Validation_Allele2", "Match_Norm_Validation_Allele1", "Match_Norm_Validation_Allele2")}
+    values |= {f"{side}_{what}": v for side in "tn" for what, v in (("depth", F.col("coverage")), ("ref_count", rest), ("alt_count", F.col("n_support")))}
+    return annotated.select(*[values.get(c, F.lit(missing)).alias(c) for c in MAF_COLUMNS])
+
+
+def write_by_gene(table: DataFrame, path: str) -> None:
+    """Tab-separated files with header, one folder per gene; a gene with many rows gets several files."""
+    from varloom.operators.summaries import by_gene_table
+
+    by_gene_table(table).repartition("gene_id", F.pmod(F.xxhash64("Sample_ID", "Start_Position"), F.lit(4))).write.partitionBy("gene_id").option("sep", "\t").option("header", True).mode("overwrite").csv(path)
 
 
 def pair_integrity(first: DataFrame, second: DataFrame, key: str) -> DataFrame:
