@@ -121,11 +121,11 @@ def line_quality(
     Null text: no words, base_failed, cleaned is null.  Empty text: the same with cleaned ''.  Null
     ids and repeated rows are judged like any other.  Only the id, the text and the columns named in
     ``carry`` are read; those are returned as the struct ``carried``, so their names do no harm.  An empty table gives an empty result.  Needs no shuffle; a task
-    holds one block of texts (48 MB, or one longer text).
+    holds one block of texts (16 MB, or one longer text).
     """
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in blocks(batches, "t"):
+        for table in blocks(batches, "t", 16 << 20):
             texts = Texts.of(table.column("t"))
             tokens = words(texts, lower=False)
             n = tokens.counts
