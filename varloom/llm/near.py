@@ -97,7 +97,7 @@ def sketched(docs: DataFrame, width: int, sketch: Sketch) -> DataFrame:
     """doc_id, mark, key (equal for equal words; null without words), n_shingles, registers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in blocks(batches, "t", 16 << 20):
+        for table in blocks(batches, "t", 8 << 20):
             z, start, keys = shingles(Texts.of(table.column("t")), width)
             n = [len(np.unique(z[a:b])) for a, b in zip(start[:-1].tolist(), start[1:].tolist(), strict=True)]
             full = np.flatnonzero(np.diff(start))
@@ -224,7 +224,7 @@ def near_duplicates(
     ids alone is linked with nothing (component_id null, kept).  Different texts of one id are told apart by
     ``text_hash`` (xxhash64 of the text) and linked each for itself; ``stands`` marks the one (id, text) of a
     component that stands for it, where ``kept`` marks all rows with its id.  Only the id and the text are read.
-    An empty table gives an empty result.  A text longer than a block (16 MB) is a block of its own, and a task
+    An empty table gives an empty result.  A text longer than a block (8 MB) is a block of its own, and a task
     holds some 60 times its bytes; where it is compared, all texts of its cell are held.
     """
     sketch = sketch or Sketch()
