@@ -1,7 +1,9 @@
 """Rules that small tables do not show: tails of large numbers, large means, subjects, positions that run out."""
 
 import collections
+import itertools
 import math
+import random
 
 import numpy as np
 import pytest
@@ -86,3 +88,30 @@ def test_label_near_is_the_distance_rule(spark):
         assert got.count() == 501 and all((len(r["filters"]) == 1) == slow[r["chrom"], r["pos"]] for r in got.collect())
     merged = intervals.merge_intervals(spans).orderBy("start_pos").collect()
     assert all(a["end_pos"] < b["start_pos"] for a, b in zip(merged, merged[1:]))
+
+
+def test_scan_by_blocks_equals_the_join(spark, monkeypatch):
+    rng = random.Random(4)
+    cell = lambda i, s: None if rng.random() < 0.2 else 0.1 if i == 3 else 1e6 + rng.gauss(0, 1)
+    f = [(i, s, cell(i, s)) for i in [None, *range(9)] for s in [*range(8), None]] + [(1, 2, 1e6), (77, 99, 1.0)]
+    p = [(f"p{i}", s, cell(i, s)) for i in range(7) for s in range(8)] + [("p1", 2, 5e5)]
+    features, phenotypes = spark.createDataFrame(f, "feature int, sample_id int, x double"), spark.createDataFrame(p, "phenotype string, sample_id int, y double")
+    monkeypatch.setattr(regression, "BLOCK", 2)
+    got = {(r["feature"], r["phenotype"]): r for r in regression.association_scan(features, phenotypes).collect()}
+    pairs = collections.defaultdict(list)
+    for (i, s, x), (j, u, y) in itertools.product(f, p):
+        if s is not None and s == u and x is not None and y is not None:
+            pairs[i, j].append((x, y))
+    assert set(got) == set(pairs)
+    for k, values in pairs.items():
+        x, y = np.array(values).T
+        if len(values) < 2 or np.ptp(x) == 0 or np.ptp(y) == 0:
+            assert got[k]["n"] == len(values) and got[k]["r"] is None and got[k]["beta"] is None
+        else:
+            r, beta = np.corrcoef(x, y)[0, 1], np.polyfit(x - x.mean(), y, 1)[0]
+            assert (got[k]["n"], got[k]["r"], got[k]["beta"]) == pytest.approx((len(values), r, beta), rel=1e-6, abs=1e-9)
+    most = {r["feature"]: r["m"] for r in regression.strongest(features, phenotypes.withColumn("perm_id", F.lit(1))).collect()}
+    for i, m in most.items():
+        assert m == pytest.approx(max(abs(r["r"]) for (a, _), r in got.items() if a == i and r["r"] is not None))
+    assert regression.association_scan(features.limit(0), phenotypes).count() == 0 and regression.association_scan(features, phenotypes.limit(0)).count() == 0
+    assert regression.strongest(features.limit(0), phenotypes.withColumn("perm_id", F.lit(1))).count() == 0

@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from varloom.operators.genes import agreement_fdr
 from varloom.operators.intervals import genes_near, overlap_join
-from varloom.operators.regression import association_scan
-from varloom.operators.stats import adjust, correlate, permute, rank_sum, safe_corr
+from varloom.operators.regression import association_scan, strongest
+from varloom.operators.stats import adjust, correlate, permute, rank_sum
 
 
 def merge_histograms(a: DataFrame, b: DataFrame, key: list[str], value: str = "n") -> DataFrame:
@@ -81,9 +81,7 @@ def region_scan(
     inside = features.join(near, "feature", "left_semi")
     real = association_scan(inside, phenotypes).join(near, "feature")
     perm = permute(phenotypes, ["phenotype"], "y", "sample_id", n, seed)
-    drawn = inside.join(perm, "sample_id").groupBy("perm_id", "feature", "phenotype").agg(safe_corr("x", "y").alias("r"))
-    drawn = drawn.groupBy("perm_id", "feature").agg(F.max(F.abs("r")).alias("m"))
-    best = drawn.join(near, "feature").groupBy("gene_id", "perm_id").agg(F.max("m").alias("m"))
+    best = strongest(inside, perm).join(near, "feature").groupBy("gene_id", "perm_id").agg(F.max("m").alias("m"))
     maxima = best.groupBy("gene_id").agg(F.collect_list("m").alias("ms"))  # n values a gene
     order = Window.partitionBy("gene_id").orderBy(F.desc(F.abs("r")), "feature", "phenotype")
     tests = real.groupBy("gene_id").agg(F.count(F.lit(1)).alias("tests"))
