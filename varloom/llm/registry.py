@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from varloom.llm import exact, language, language_model, mixing, near, packing, quality, token_counts, warc
+from varloom.llm import chat, exact, infilling, language, language_model, mixing, near, packing, quality, token_counts, warc, whitening
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,8 +21,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_exact_groups": exact.op8_exact_groups,
         "op9_language": language.op9_language,
         "op10_line_quality": quality.op10_line_quality,
+        "op11_chat_format": chat.op11_chat_format,
+        "op12_embedding_whitening": whitening.op12_embedding_whitening,
+        "op13_fill_in_middle": infilling.op13_fill_in_middle,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_exact_groups": exact.OP8_SQL}
+    return {"op8_exact_groups": exact.OP8_SQL, "op11_chat_format": chat.OP11_SQL, "op13_fill_in_middle": infilling.OP13_SQL}
