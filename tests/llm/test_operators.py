@@ -111,6 +111,35 @@ def test_line_rules():
         assert fails(line) is None
 
 
+def test_prose_that_mentions_phrases_stays():
+    fails = lambda line: quality.line_failure(line, len(line.encode().split()))
+    for line in ("I read more books that year than in any other, and the library had to order them from far away.", "Many visitors log in to the guest book before they leave.", "They follow us.",
+                 "The museum states in its terms of use that visitors may copy the pictures, as long as they name the painter and all rights reserved elsewhere."):
+        assert fails(line) is None
+    for line in ("Read more about this topic here.", "» Click here to subscribe!", "This site uses cookies.", "Log in to continue.", "© 2021 A and B."):
+        assert fails(line) == "boilerplate"
+
+
+def test_closing_marks_of_other_scripts(spark):
+    lines = {"ar": "هل هذا سؤال طويل يكتب هنا؟", "hi": "यह एक पूरा वाक्य है और यहाँ समाप्त होता है।", "th": "นี่คือประโยคภาษาไทย ที่ไม่มีเครื่องหมายปิดท้าย", "hy": "Սա ամբողջական նախադասություն է։", "am": "ይህ ሙሉ ዓረፍተ ነገር ነው።", "de": "Er sagte: „Nein“", "ur": "یہ ایک مکمل جملہ ہے۔", "ja": "これは文です。"}
+    for line in lines.values():
+        assert quality.line_failure(line, len(line.encode().split())) is None
+    for line in ("ends with a comma,", "and / or /", "well &", "no end at all"):
+        assert quality.line_failure(line, 4) == "punctuation"
+    words = [" ".join(f"كلمة{i}ب{k}" for i in range(10)) + "؟" for k in range(3)]
+    got = quality.line_quality(spark.createDataFrame([(1, "\n".join(words))], "doc_id int, text string")).first()
+    assert got["kept"] and got["lost_share"] == 0.0
+
+
+def test_blocks_shorter_than_texts(docs):
+    """Texts longer than a block are blocks of their own; results do not change."""
+    for small, usual in (
+        (quality.line_quality(docs, limit=500), quality.line_quality(docs)),
+        (token_counts.token_counts(docs, public_tokenizers.path("byte_bpe_50k.json"), block=500), OPERATORS["counts"](docs)),
+    ):
+        assert sorted(map(str, small.collect())) == sorted(map(str, usual.collect()))
+
+
 def test_texts_that_lose_too_much_go(spark):
     good = "This is a line of plain prose that has quite enough words to count. Another sentence follows here, which says something else."
     rows = [(1, good + "\n" + "Home | About | Help | More"), (2, good.split(". ")[0] + ".\n" + "no closing mark here but many other words that go on and on without any end at all, as titles and lists may"), (3, good + "\n" + "x\n" * 3), (4, "word " * 300_000 + "end."), (5, "\n".join(f"Line {i} has its own number {i * i} and ends." for i in range(40_000)))]
@@ -360,6 +389,14 @@ def test_matrices_and_prompts(spark, tmp_path):
         assert sum((rebuilt[i][k] for k in sorted(rebuilt[i])), []) == expected
 
 
+def test_the_sample_of_languages_stays_small(spark):
+    """However many rows a language has, or an id, some 131 passages are taken."""
+    n = 60_000
+    df = spark.range(n).select(F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id")).alias("doc_id"), F.concat(F.lit("text "), "id", F.lit(" end")).alias("text"), F.lit("en").alias("lang"), F.lit(1).alias("h"), F.lit(2).alias("n"))
+    taken = language.learn_dictionaries(df)["en"].count(b" end")
+    assert 80 < taken < 190 and language.learn_dictionaries(df) == language.learn_dictionaries(df.repartition(5).unionByName(df.limit(0)))
+
+
 def test_language(spark):
     rng = random.Random(1)
     words = {"en": "the of and to in that is was for with".split(), "de": "der und die nicht ist ein von zu mit auf".split(), "fr": "le la les des est une pour que dans avec".split()}

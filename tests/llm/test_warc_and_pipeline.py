@@ -100,6 +100,69 @@ def test_malformed_pages(spark, html, text):
         assert warc.derivatives(warc.responses(pages)).count() == 2
 
 
+@pytest.mark.parametrize("html,text", [
+    ("<p>a</p><iframe src=x><p>rest of page</p>", "a\nrest of page"), ("<div><svg><title>t</title></div><p>b<svg>no</svg>", "b"), ("a<object>in<object>deep</object><p>b", "a in b"),
+    ("<noscript>x</noscript>y<noscript>z", "y\nz"), ("<p>a</p></svg><p>b</p>", "a\nb"), ("<svg><br><path></svg>a<svg/>b", "ab"), ("a<template><p>x</p></template>b<style>p{}", "ab"), ("<iframe>x<iframe>y</iframe>", "x"),
+])
+def test_hidden_elements_that_are_not_closed_do_not_hide_the_rest(html, text):
+    assert " ".join(warc.Page(html).text.split()) == " ".join(text.split())
+
+
+def test_text_of_pages_against_a_second_way():
+    """Random nests of elements: the visible text is that of the words outside of closed hidden elements."""
+    rng = __import__("random").Random(3)
+
+    def nest(depth, hidden):
+        html, seen = "", []
+        for _ in range(rng.randrange(1, 5)):
+            if depth and rng.random() < 0.6:
+                tag = rng.choice(["p", "div", "b", "svg", "object", "noscript", "iframe", "td", "a"])
+                inner, words = nest(depth - 1, hidden or tag in warc.HIDDEN)
+                html, seen = html + f"<{tag} x=1>{inner}</{tag}>", seen + words
+            else:
+                word = f"w{rng.randrange(10**6)} "
+                html, seen = html + word, seen + ([] if hidden else [word.strip()])
+        return html, seen
+
+    for _ in range(300):
+        html, words = nest(4, False)
+        assert warc.Page(html).text.split() == words
+    assert warc.Page("<div>" * 100_000 + "deep").text == "deep"
+
+
+def test_charsets_named_late_and_in_comments():
+    head = b"<!-- <meta charset=utf-16> " + b"x" * 50_000 + b" --><meta name='d' content='" + b"y" * 5000 + b"'><META http-equiv=Content-Type " + b" " * 900 + b" content='text/html; charset=iso-8859-1'>"
+    assert warc.decoded(head + "<body>é".encode("latin-1"), "text/html").endswith("é")
+    assert warc.decoded("é<body><meta charset=iso-8859-1>".encode(), "text/html").startswith("é")
+    assert warc.decoded(b"<!--" * 100_000, "text/html") == "<!--" * 100_000
+
+
+def test_line_breaks_in_fields_make_no_fields(spark, tmp_path):
+    pages = spark.createDataFrame([(1, "http://a.example/\r\nWARC-Type: response\r\n\r\nx", "<p>t", "HTTP/1.1 200 OK\r\n\r\nX: y\r\n \r\n")], "page_id int, url string, html string, head string")
+    made = warc.responses(pages, http_col="head")
+    assert made.first()["http_headers"] == "HTTP/1.1 200 OK\r\nX: y\r\n"
+    warc.write_warc(warc.derivatives(made), str(tmp_path / "w"))
+    back = warc.read_warc(spark, str(tmp_path / "w")).collect()
+    assert sorted(r["warc_type"] for r in back) == ["conversion", "metadata"]
+    assert {r["target_uri"] for r in back} == {"http://a.example/%0D%0AWARC-Type: response%0D%0A%0D%0Ax"}
+    meta = json.loads(next(bytes(r["payload"]) for r in back if r["warc_type"] == "metadata"))
+    assert meta["WARC-Header"]["WARC-Type"] == "response" and meta["HTTP-Headers"] == {"X": "y"}
+
+
+def test_long_files_are_streamed_and_empty_folders_are_empty(spark, tmp_path):
+    blocks = [bytes([65 + i % 26]) * (i * 997 % 5000) for i in range(200)]
+    for k, pack in enumerate((lambda x: x, gzip.compress)):
+        (tmp_path / str(k)).mkdir()
+        for name in ("a", "b c"):
+            (tmp_path / str(k) / name).write_bytes(b"".join(pack(record("resource", b, WARC_Record_ID=f"<urn:uuid:{i}>")) for i, b in enumerate(blocks)))
+        (tmp_path / str(k) / "empty").write_bytes(b"")
+        want = collections.Counter((f"<urn:uuid:{i}>", b) for i, b in enumerate(blocks) for _ in "ab")
+        for whole in (0, 10**9):
+            assert collections.Counter((r["record_id"], bytes(r["payload"])) for r in warc.read_warc(spark, str(tmp_path / str(k)), whole_bytes=whole).collect()) == want
+    (tmp_path / "none").mkdir()
+    assert warc.read_warc(spark, str(tmp_path / "none")).count() == 0
+
+
 def test_pages_with_heads_of_their_own(spark):
     pages = spark.createDataFrame([(1, "u", "<p>x", "2020-02-02T00:00:00Z", "HTTP/1.1 404 Not Found\r\nServer: s"), (2, "v", "y" * 3_000_000, None, None)], "page_id int, url string, html string, at string, head string")
     got = {(r["source_id"], r["warc_type"]): r for r in warc.derivatives(warc.responses(pages, date_col="at", http_col="head")).collect()}

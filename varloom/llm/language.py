@@ -20,22 +20,22 @@ def learn_dictionaries(
 ) -> dict[str, bytes]:
     """For each language a dictionary of ``dict_bytes`` bytes at most, of passages of labelled rows.
 
-    The bounded sample: about 2 * dict_bytes / piece rows of each language, chosen by a hash of the
-    id, of which each gives one passage of ``piece`` characters from a place chosen by the hash.
-    Rows without text or language are left out, rows that repeat an id give their passages once if
-    those are equal.  The driver holds one dictionary for each language, of any number.  Languages come
+    The bounded sample: about 2 * dict_bytes / piece rows of each language, however many there are, chosen by a hash of
+    id and text, of which each gives one passage of ``piece`` characters from a place chosen by the hash.
+    Rows without text or language are left out, rows that come twice give one
+    passage.  Only the id, text and language are read, so other columns' names do no harm.  The driver holds one dictionary for each language, of any number.  Languages come
     in order of their rows, and of their names where those are equal.
     """
     rows = labelled.select(
         F.col(lang_col).alias("lang"), F.coalesce(F.length(F.col(text_col).cast("string")), F.lit(0)).alias("n"), F.col(text_col).cast("string").alias("text"),
-        F.shiftrightunsigned(F.xxhash64(F.col(id_col), F.lit(seed)), 1).alias("h"),
+        F.shiftrightunsigned(F.xxhash64(F.col(id_col), F.col(text_col), F.lit(seed)), 1).alias("h"),
     ).filter("lang is not null and n > 0")
     counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("rows")).collect()
     if not counts:
         return {}
     known = {r["lang"]: r["rows"] for r in counts}
     shares = labelled.sparkSession.createDataFrame([(k, min(1.0, 2 * dict_bytes / piece / n)) for k, n in known.items()], "lang string, share double")
-    chosen = rows.join(F.broadcast(shares) if len(known) <= 10_000 else shares, "lang").filter(F.col("h") % 1_000_003 < F.col("share") * 1_000_003)
+    chosen = rows.join(F.broadcast(shares) if len(known) <= 10_000 else shares, "lang").filter(F.col("h") < F.col("share") * 2.0**63)
     at = (F.col("h") % F.greatest(F.lit(1), F.col("n") - piece + 1) + 1).cast("int")
     passages = chosen.select("lang", F.hash("h").alias("o"), F.lower(F.substring("text", at, F.lit(piece))).alias("t"))
     got = passages.groupBy("lang").agg(F.sort_array(F.collect_set(F.struct("o", "t"))).alias("all")).collect()

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,8 +14,8 @@ from pyspark.sql import functions as F
 from varloom.llm.blocks import SPACE, Texts, blocks, words
 from varloom.llm.common import documents
 
-#: Marks that may end a sentence or a quotation of one.
-ENDINGS = tuple(".!?…:;\"')]}»”’。！？")
+#: Classes of marks that may end a sentence or a quotation of one, and marks of those classes that do not.
+CLOSING, OPEN = frozenset({"Po", "Pe", "Pf", "Pi"}), frozenset(",/&@#*%\\·•،、")
 #: Marks that separate links in menus and bread crumbs.
 SEPARATORS = re.compile(r"[|»›•·>]")
 #: Marks that prose hardly uses.
@@ -28,16 +29,22 @@ FUNCTION_WORDS = frozenset(
     " auf das dem den der die ein eine für ist mit nicht sich und von zu"
     " al con del el es las los no para por su una y".split()
 )
-#: Phrases of legal notices, cookie banners and page furniture in those languages.
-PHRASES = (
+#: Phrases of legal notices and cookie banners in those languages.
+NOTICES = (
     r"all rights reserved", r"copyright (?:\(c\)|©|\d{4})", r"©", r"licensed under", r"released under the", r"terms of (?:use|service)", r"privacy policy",
-    r"cookie policy", r"uses? cookies", r"accept cookies", r"enable javascript", r"javascript is (?:disabled|required)", r"lorem ipsum", r"sign up for",
-    r"subscribe to our", r"log ?in to", r"click here", r"read more", r"share (?:this|on)", r"follow us", r"skip to (?:main )?content", r"back to top", r"powered by",
-    r"tous droits réservés", r"mentions légales", r"politique de confidentialité", r"accepter les cookies", r"en savoir plus", r"cliquez ici", r"conditions d'utilisation",
-    r"alle rechte vorbehalten", r"impressum", r"datenschutzerklärung", r"cookies akzeptieren", r"nutzungsbedingungen", r"weiterlesen", r"hier klicken",
-    r"todos los derechos reservados", r"aviso legal", r"política de (?:privacidad|cookies)", r"aceptar (?:las )?cookies", r"leer más", r"haga clic aquí", r"condiciones de uso",
+    r"cookie policy", r"uses? cookies", r"accept cookies", r"enable javascript", r"javascript is (?:disabled|required)", r"lorem ipsum",
+    r"tous droits réservés", r"mentions légales", r"politique de confidentialité", r"accepter les cookies", r"conditions d'utilisation",
+    r"alle rechte vorbehalten", r"impressum", r"datenschutzerklärung", r"cookies akzeptieren", r"nutzungsbedingungen",
+    r"todos los derechos reservados", r"aviso legal", r"política de (?:privacidad|cookies)", r"aceptar (?:las )?cookies", r"condiciones de uso",
 )
-BOILERPLATE = re.compile("|".join(PHRASES), re.IGNORECASE)
+#: Phrases of page furniture, which prose has too, so that they count only at the start of a line of half as many words.
+FURNITURE = (
+    r"sign up for", r"subscribe to our", r"log ?in to", r"click here", r"read more", r"share (?:this|on)", r"follow us", r"skip to (?:main )?content", r"back to top", r"powered by",
+    r"en savoir plus", r"cliquez ici", r"weiterlesen", r"hier klicken", r"leer más", r"haga clic aquí",
+)
+NOTICE, START = re.compile("|".join(NOTICES), re.IGNORECASE), re.compile(rf"\W*(?:{'|'.join(FURNITURE)})\b", re.IGNORECASE)
+#: Whatever may be a separator, noise or part of an address.
+UNUSUAL = re.compile(r"[|»›•·>#*$%&<~^=_\\{}@/]|www\.", re.IGNORECASE)
 SYMBOLS = np.zeros(256, bool)
 SYMBOLS[[ord(c) for c in "#*$%&|<>"]] = True
 SCHEMA = (
@@ -46,18 +53,25 @@ SCHEMA = (
 )
 
 
-def line_failure(line: str, n_words: int, separators: int = 3) -> str | None:
+def closed(line: str) -> bool:
+    """Whether a line ends in a closing mark of any script, or in Thai or Lao, which have none."""
+    last = line.rstrip()[-1:]
+    return "\u0e00" <= last <= "\u0eff" or (unicodedata.category(last) in CLOSING and last not in OPEN)
+
+
+def line_failure(line: str, n_words: int, separators: int = 3, brief: int = 14) -> str | None:
     """The rule that a line with words fails: boilerplate, navigation or punctuation; else None."""
-    if BOILERPLATE.search(line):
+    if n_words <= brief and (NOTICE.search(line) or (2 * n_words <= brief and START.match(line))):
         return "boilerplate"
-    marks = len(SEPARATORS.findall(line))
-    if marks >= separators and marks * 4 >= n_words:
-        return "navigation"
-    if ("@" in line or "#" in line or "/" in line or "www." in line) and len(LINK.findall(line)) * 3 >= n_words:
-        return "navigation"
-    if len(NOISE.findall(line)) * 10 > len(line):
-        return "punctuation"
-    if not line.rstrip().endswith(ENDINGS):
+    if UNUSUAL.search(line):
+        marks = len(SEPARATORS.findall(line))
+        if marks >= separators and marks * 4 >= n_words:
+            return "navigation"
+        if len(LINK.findall(line)) * 3 >= n_words:
+            return "navigation"
+        if len(NOISE.findall(line)) * 10 > len(line):
+            return "punctuation"
+    if not closed(line):
         words = line.split()
         capital = sum(w[0].isupper() for w in words)
         menu = len(words) >= 4 and capital * 5 >= len(words) * 4 and FUNCTION_WORDS.isdisjoint(map(str.lower, words))
@@ -106,13 +120,16 @@ def line_quality(
     max_repeat_percent: int = 30,
     window: int = 8,
     carry: tuple[str, ...] = (),
+    brief: int = 14,
+    limit: int = 16 << 20,
 ) -> DataFrame:
     """One row per row of ``docs``: counts, the verdict, and the text without the lines that failed.
 
-    A line (split at ``\\n``) with at least one word fails as boilerplate if it holds one of ``PHRASES``; as
+    A line (split at ``\\n``) with at least one word fails as boilerplate if it has ``brief`` words at the most and holds one of
+    ``NOTICES``, or half as many at the most and begins with one of ``FURNITURE``, so that paragraphs that mention them stay; as
     navigation if it has ``separators`` or more separator marks, one for every four words at least, if a third of its
     words are addresses, or if it is a menu (four or more words, four fifths of them capitalised, no function word, no
-    closing mark); and for its punctuation if a tenth of it or more are noise marks, or if it has no closing mark.
+    closing mark); and for its punctuation if a tenth of it or more are noise marks, or if it has no closing mark (see ``closed``).
     Failing lines are removed.  ``base_failed``:
     fewer than ``min_words`` words, or more than ``max_repeat_percent`` percent of the words lie in
     repeated windows of ``window`` words.  ``kept`` is false if ``base_failed`` or if the removed
@@ -121,11 +138,11 @@ def line_quality(
     Null text: no words, base_failed, cleaned is null.  Empty text: the same with cleaned ''.  Null
     ids and repeated rows are judged like any other.  Only the id, the text and the columns named in
     ``carry`` are read; those are returned as the struct ``carried``, so their names do no harm.  An empty table gives an empty result.  Needs no shuffle; a task
-    holds one block of texts (16 MB, or one longer text).
+    holds one block of texts (``limit`` bytes, or one longer text).
     """
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in blocks(batches, "t", 16 << 20):
+        for table in blocks(batches, "t", limit):
             texts = Texts.of(table.column("t"))
             tokens = words(texts, lower=False)
             n = tokens.counts
@@ -142,7 +159,7 @@ def line_quality(
                     lines += 1
                     dup += line in seen
                     seen.add(line)
-                    if rule := line_failure(line, size, separators):
+                    if rule := line_failure(line, size, separators, brief):
                         failed[rule] += 1
                         lost += size
                     else:

@@ -13,7 +13,7 @@ from varloom.llm.common import documents
 from varloom.llm.vocabulary import Vocabulary
 
 
-def token_counts(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", limit: int = 1024) -> DataFrame:
+def token_counts(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", limit: int = 1024, block: int = 48 << 20) -> DataFrame:
     """One row per row of ``docs``: n_bytes (UTF-8), n_tokens, and over_limit (more than ``limit``).
 
     ``vocabulary`` is a tokenizers file that every executor can read.  In each block of texts the
@@ -22,12 +22,12 @@ def token_counts(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_
 
     Null and empty texts have no bytes and no tokens.  Rows with null or repeated ids are counted
     like any other.  Only the id and the text are read.  An empty table gives an empty result.
-    Needs no shuffle; a task holds one block of texts (48 MB, or one longer text).
+    Needs no shuffle; a task holds one block of texts (``block`` bytes, or one longer text).
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = Vocabulary.load(vocabulary)
-        for table in blocks(batches, "t"):
+        for table in blocks(batches, "t", block):
             texts = Texts.of(table.column("t"))
             n = vocab.counts(texts)
             yield pa.RecordBatch.from_arrays(

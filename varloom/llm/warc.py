@@ -10,9 +10,11 @@ import io
 import json
 import re
 import uuid
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 from typing import BinaryIO
+from urllib.parse import quote
 
 import pandas as pd
 import pyarrow as pa
@@ -28,6 +30,8 @@ LINES = set(
     "address article aside blockquote body br caption dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html"
     " legend li main nav ol option p pre section select summary table tbody td tfoot th thead title tr ul".split()
 )
+#: Elements that have no end tag.
+EMPTY = set("area base br col embed hr img input link meta source track wbr".split())
 #: Attributes that hold links.
 LINKS = {("a", "href"), ("area", "href"), ("link", "href"), ("img", "src"), ("script", "src"), ("iframe", "src"), ("source", "src"), ("form", "action")}
 #: Payload bytes of the records that are read together.
@@ -48,6 +52,9 @@ READ = (
 class Page(HTMLParser):
     """Title, metas, links and lines of visible text of a page.
 
+    The text of a ``HIDDEN`` element is left out if the element is closed.  One that is not (by the end of its parent, or of the
+    page) is taken back, as it may hold the rest of the page; that of scripts and styles stays out.
+
     Markup that is not HTML never fails: declarations such as <![foo[...]]> are comments up to the next >, and
     where the parser gives up all the same, what remains is taken as text without its tags.
     """
@@ -55,8 +62,11 @@ class Page(HTMLParser):
     def __init__(self, html: str):
         super().__init__(convert_charrefs=True)
         self.title, self.metas, self.links, self.lang = None, [], [], None
-        self.lines: list[list[str]] = [[]]
-        self.hidden, self.in_title = 0, False
+        #: Lines of the page, and of each hidden element that is open, the innermost last.
+        self.levels: list[list[list[str]]] = [[[]]]
+        self.open: list[str] = []
+        self.times: Counter[str] = Counter()
+        self.in_title = False
         try:
             self.feed(html)
             self.close()
@@ -64,7 +74,19 @@ class Page(HTMLParser):
             line, column = self.getpos()
             rest = html.split("\n", line - 1)[-1][column:]
             self.in_title = False
+            self.shut(0)
             self.handle_data(re.sub(r"<[^>]*>", " ", rest))
+        self.shut(0)
+
+    def shut(self, depth: int) -> None:
+        """Closes all elements beyond ``depth`` for want of an end tag."""
+        while len(self.open) > depth:
+            tag = self.open.pop()
+            self.times[tag] -= 1
+            if tag in HIDDEN:
+                taken = self.levels.pop()
+                if tag not in self.CDATA_CONTENT_ELEMENTS:
+                    self.levels[-1] += [*taken, []]
 
     def parse_marked_section(self, i: int, report: int = 1) -> int:
         end = self.rawdata.find(">", i + 3)
@@ -77,33 +99,40 @@ class Page(HTMLParser):
             self.metas.append({"name": name, "content": given.get("content") or ""})
         if tag == "html":
             self.lang = given.get("lang") or self.lang
-        if tag in HIDDEN:
-            self.hidden += 1
         self.in_title = tag == "title"
         if tag in LINES:
-            self.lines.append([])
+            self.levels[-1].append([])
+        if tag not in EMPTY:
+            self.open.append(tag)
+            self.times[tag] += 1
+            if tag in HIDDEN:
+                self.levels.append([[]])
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
-        if tag in HIDDEN:
-            self.hidden -= 1
+        if tag not in EMPTY:
+            self.handle_endtag(tag)
 
     def handle_endtag(self, tag: str) -> None:
-        if tag in HIDDEN:
-            self.hidden = max(0, self.hidden - 1)
         self.in_title = False
+        if self.times[tag]:
+            self.shut(len(self.open) - 1 - self.open[::-1].index(tag) + 1)
+            self.open.pop()
+            self.times[tag] -= 1
+            if tag in HIDDEN:
+                self.levels.pop()
         if tag in LINES:
-            self.lines.append([])
+            self.levels[-1].append([])
 
     def handle_data(self, data: str) -> None:
         if self.in_title:
             self.title = (self.title or "") + data
-        elif not self.hidden:
-            self.lines[-1].append(data)
+        else:
+            self.levels[-1][-1].append(data)
 
     @property
     def text(self) -> str:
-        return "\n".join(x for x in (" ".join("".join(line).split()) for line in self.lines) if x)
+        return "\n".join(x for x in (" ".join("".join(line).split()) for line in self.levels[0]) if x)
 
 
 def digest(data: bytes) -> str:
@@ -131,11 +160,25 @@ def lower(names: dict[str, str]) -> dict[str, str]:
     return {k.lower(): v for k, v in names.items()}
 
 
+def metas(payload: bytes) -> Iterator[bytes]:
+    """The meta tags before a page's body, or of all of a page that has no such tag; those in comments do not count."""
+    for m in re.finditer(rb"<!--.*?(?:-->|\Z)|<body\b|<meta\b[^>]*", payload, re.IGNORECASE | re.DOTALL):
+        if m[0][:5].lower() == b"<body":
+            return
+        if m[0][:4] != b"<!--":
+            yield m[0]
+
+
+def header_value(value: object) -> str:
+    """A value as one line of a header: line breaks are percent-encoded, as in addresses."""
+    return str(value).replace("\r", "%0D").replace("\n", "%0A")
+
+
 def decoded(payload: bytes, content_type: str) -> str:
-    """The payload's text: by the charset of the content type, else by that the page's head names, else UTF-8; bytes that
+    """The payload's text: by the charset of the content type, else by the first that a meta tag of the page's head names, else UTF-8; bytes that
     are none in it become U+FFFD."""
     named = re.search(r"charset\s*=\s*[\"']?([\w.:-]+)", content_type, re.IGNORECASE)
-    inside = named or re.search(rb"<meta[^>]{0,200}charset\s*=\s*[\"']?([\w.:-]+)", payload[:4096], re.IGNORECASE)
+    inside = named or next(filter(None, (re.search(rb"charset\s*=\s*[\"']?([\w.:-]+)", tag, re.IGNORECASE) for tag in metas(payload))), None)
     name = "utf-8" if inside is None else inside[1] if isinstance(inside[1], str) else inside[1].decode("ascii", "replace")
     try:
         codecs.lookup(name)
@@ -152,7 +195,7 @@ def responses(
     address, date, digests of block and payload, WARC and HTTP headers, and the payload.
 
     Crawls that kept them give dates in ``date_col`` and the status line and headers in ``http_col``; others, and
-    nulls, get ``date`` and a plain head.  Null pages have an empty payload; null addresses and ids stay null.  Rows
+    nulls, get ``date`` and a plain head; blank lines within a head are left out, as they would end it.  Null pages have an empty payload; null addresses and ids stay null.  Rows
     that come twice give equal records.  Other columns are not read, whatever their names; an empty table gives an
     empty result.  A task holds a batch of pages (64 MB, or one longer page).
     """
@@ -163,10 +206,11 @@ def responses(
             for i, url, html, when, head in zip(frame["i"], frame["u"], frame["h"], frame["d"], frame["x"], strict=True):
                 body = (html or "").encode("utf-8", "replace")
                 head = (head or f"HTTP/1.1 200 OK{BREAK}Content-Type: text/html; charset=utf-8{BREAK}Content-Length: {len(body)}").rstrip() + BREAK
+                head = re.sub(r"(\r?\n)(?:[ \t]*\r?\n)+", r"\1", head)
                 block, own = digest(f"{head}{BREAK}".encode("utf-8", "replace") + body), digest(body)
                 name, when = record_id("response", None if pd.isna(i) else i, url, block), when or date
                 lines = {"WARC-Type": "response", "WARC-Record-ID": name, "WARC-Target-URI": url, "WARC-Date": when, "WARC-Block-Digest": block, "WARC-Payload-Digest": own}
-                out.append((i, name, url, when, block, own, "".join(f"{k}: {v}{BREAK}" for k, v in lines.items() if v is not None), head, body))
+                out.append((i, name, url, when, block, own, "".join(f"{k}: {header_value(v)}{BREAK}" for k, v in lines.items() if v is not None), head, body))
             yield pd.DataFrame(out, columns=[c.split()[0] for c in RESPONSE.split(", ")])
 
     text = lambda c: F.lit(None).cast("string") if c is None else pages[c].cast("string")
@@ -243,7 +287,7 @@ class WarcWriter(DataSourceArrowWriter):
             for batch in iterator:
                 for r in batch.to_pylist():
                     block = (r["block"] or "").encode("utf-8", "replace")
-                    head = "".join(f"{k}: {r[c]}{BREAK}" for k, c in FIELDS.items() if r[c] is not None)
+                    head = "".join(f"{k}: {header_value(r[c])}{BREAK}" for k, c in FIELDS.items() if r[c] is not None)
                     out.write(gzip.compress(f"{VERSION}{BREAK}{head}Content-Length: {len(block)}{BREAK * 2}".encode() + block + (BREAK * 2).encode(), 6, mtime=0))
                     wrote = True
         if not wrote:
@@ -275,6 +319,8 @@ class WarcSink(DataSource):
 def write_warc(derived: DataFrame, path: str) -> None:
     """Writes derived records as WARC files, one per partition, each record a gzip member of its own.
 
+    Null fields are left out, a null block is empty, line breaks in fields are percent-encoded; an empty table gives no file.
+
     ``path`` is a folder or address that all executors can write to.  Tasks write files whose names begin with an
     underscore, which readers pass over; the files of the tasks that counted are renamed at the end.
     """
@@ -305,29 +351,47 @@ def records_of(stream: BinaryIO) -> Iterator[tuple]:
         )
 
 
-def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """All records of WARC files, plain or gzipped (by record or whole), each file by one task.
+def read_warc(spark: SparkSession, path: str, whole_bytes: int = 256 << 20) -> DataFrame:
+    """All records of WARC files, plain or gzipped (by record or whole), each file by one task; of any other columns there are none.
 
     A record's block is as long as its Content-Length says, whatever it holds; HTTP messages are split into head and
-    payload.  A record that the file ends in comes with what is there and ``truncated``.  A file is read whole (Spark
-    reads up to 2 GB as one value), its records in batches of ``READ_BYTES``.
+    payload.  A record that the file ends in comes with what is there and ``truncated``.  Fields that a record lacks are null; empty files
+    give no records, and a folder without files gives an empty result.
+
+    Files of up to ``whole_bytes`` bytes are read by Spark, from whatever it can read.  Longer ones, of any size, are opened by the task
+    at their address (by Arrow's file systems) and read as a stream.  A task holds records of ``READ_BYTES``, or one longer record.
     """
+    names = [c.split()[0] for c in re.split(r",\s*", READ)]
+
+    def records(raw: BinaryIO) -> Iterator[pd.DataFrame]:
+        file = io.BufferedReader(raw, 1 << 20)
+        stream = io.BufferedReader(gzip.GzipFile(fileobj=file), 1 << 20) if file.peek(2)[:2] == b"\x1f\x8b" else file
+        held, size = [], 0
+        for record in records_of(stream):
+            held.append(record)
+            if (size := size + len(record[11])) >= READ_BYTES:
+                yield pd.DataFrame(held, columns=names)
+                held, size = [], 0
+        yield pd.DataFrame(held, columns=names)
 
     def parse(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [c.split()[0] for c in re.split(r",\s*", READ)]
         for frame in frames:
             for content in frame["content"]:
-                raw = io.BytesIO(content)
-                stream = io.BufferedReader(gzip.GzipFile(fileobj=raw)) if content[:2] == b"\x1f\x8b" else raw
-                held, size = [], 0
-                for record in records_of(stream):
-                    held.append(record)
-                    if (size := size + len(record[11])) >= READ_BYTES:
-                        yield pd.DataFrame(held, columns=names)
-                        held, size = [], 0
-                yield pd.DataFrame(held, columns=names)
+                yield from records(io.BytesIO(content))
 
-    return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("content").mapInPandas(parse, READ)
+    def follow(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow import fs
+
+        for frame in frames:
+            for address in frame["path"]:
+                local = re.match("file:/*(/.*)", address, re.DOTALL)
+                system, place = (fs.LocalFileSystem(), local[1]) if local else fs.FileSystem.from_uri(quote(address, safe="/:@"))
+                with system.open_input_stream(place, compression=None) as stream:
+                    yield from records(stream)
+
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    small = files.filter(F.col("length") <= whole_bytes).select("content").mapInPandas(parse, READ)
+    return small.unionByName(files.filter(F.col("length") > whole_bytes).select("path").mapInPandas(follow, READ))
 
 
 def op3_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
