@@ -31,7 +31,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts: the one with the largest id (nulls are the smallest); rows repeated whole once."""
-    verdict = exact.exact_groups(docs).select("doc_id", "text_sha256", "kept")
+    verdict = written(exact.exact_groups(docs).select("doc_id", "text_sha256", "kept"))
     named = docs.select(*COLUMNS).withColumn("text_sha256", F.sha2(whole_text("text"), 256))
     gone = verdict.filter(~F.col("kept")).distinct().select(F.col("doc_id").alias("i"), F.col("text_sha256").alias("s"))
     kept = named.join(gone, F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("text_sha256") == F.col("s")), "left_anti")
