@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from varloom.functions.tails import least_r
 from varloom.operators import filters, genes, profiles, regression, stats, windows
 from varloom.plans.calls_queries import TYPE, rounded
 from varloom.plans.projections import Tables
@@ -56,6 +57,14 @@ def phenotypes(t: Tables) -> DataFrame:
 
 
 CORR = "corr({0}, {1})"
+#: The p of pairs that a scan returns, and the smallest |r| that has it, for all degrees of freedom of pairs of 40 samples.
+MOST_P = 0.05
+LEAST_R = f"cuts as (select * from (values {', '.join(f'({df}, {least_r(df, MOST_P)!r})' for df in range(1, 39))}) x(df, least))"
+#: Residuals of a value on age and bmi within each key: the two-predictor least squares solution from centred sums.
+FREED = """{out}_m as (select {k} as k, t.sample_id, t.{v} - avg(t.{v}) over w as y, m.age - avg(m.age) over w as a, m.bmi - avg(m.bmi) over w as b from {t} t join sample_meta m on t.sample_id = m.sample_id
+  where t.{v} is not null and m.age is not null and m.bmi is not null window w as (partition by {k})),
+ {out}_s as (select k, sum(a * a) as aa, sum(a * b) as ab, sum(b * b) as bb, sum(a * y) as ay, sum(b * y) as yb from {out}_m group by 1),
+ {out} as (select m.k, sample_id, y - a * (ay * bb - yb * ab) / (aa * bb - ab * ab) - b * (yb * aa - ay * ab) / (aa * bb - ab * ab) as e from {out}_m m join {out}_s s on m.k = s.k)"""
 SCAN = "select variant_id as feature, gene_id as phenotype, count(*) as n, regr_slope(tpm, dosage) as b, corr(dosage, tpm) as r from genotypes g join expression e on g.sample_id = e.sample_id group by 1, 2"
 
 QUERIES: dict[str, tuple[Callable[[Tables], DataFrame], str | None]] = {
@@ -100,7 +109,7 @@ QUERIES: dict[str, tuple[Callable[[Tables], DataFrame], str | None]] = {
         select sample_id, gene_id, count(*) as n, sum(pos) as pos_sum from f where sample_id in (select sample_id from k) group by 1, 2""",
     ),
     "w9_top_hits": (
-        lambda t: rounded(windows.top_hits(regression.association_scan(features(t), phenotypes(t)).filter("r is not null").withColumn("p", -F.round(F.abs("r"), 9)), 50).select("feature", "phenotype", "r"), "r"),
+        lambda t: rounded(windows.top_hits(regression.association_scan(features(t), phenotypes(t), top=50).withColumn("p", -F.round(F.abs("r"), 9)), 50).select("feature", "phenotype", "r"), "r"),
         f"with s as ({SCAN}) select feature, phenotype, round(r, 6) as r from s where not isnan(r) order by round(abs(r), 9) desc, feature, phenotype limit 50",
     ),
     "w10_quantile_groups": (
@@ -391,10 +400,15 @@ QUERIES: dict[str, tuple[Callable[[Tables], DataFrame], str | None]] = {
     ),
     "r3_normal_score_residuals": (lambda t: regression.normal_score_residuals(t.sample_counts, "n", ["age", "bmi"], ["tissue"]), None),
     "r4_association_scan": (
-        lambda t: rounded(regression.association_scan(features(t), phenotypes(t)).filter("r is not null").select("feature", "phenotype", "n", "beta", "r"), "beta", "r", digits=5),
-        f"with s as ({SCAN}) select feature, phenotype, n, round(b, 5) as beta, round(r, 5) as r from s where not isnan(r)",
+        lambda t: rounded(regression.association_scan(features(t), phenotypes(t), most_p=MOST_P).select("feature", "phenotype", "n", "beta", "r"), "beta", "r", digits=5),
+        f"with s as ({SCAN}), {LEAST_R} select feature, phenotype, n, round(b, 5) as beta, round(r, 5) as r from s join cuts on n - 2 = df where not isnan(r) and abs(r) >= least",
+    ),
+    "r4_scan_with_covariates": (
+        lambda t: rounded(regression.association_scan(features(t), phenotypes(t), t.sample_meta, ["age", "bmi"], MOST_P).select("feature", "phenotype", "n", "beta", "r"), "beta", "r", digits=4),
+        f"""with {FREED.format(out='fx', k='variant_id', v='dosage', t='genotypes')}, {FREED.format(out='fy', k='gene_id', v='tpm', t='expression')},
+        s as (select fx.k as feature, fy.k as phenotype, count(*) as n, regr_slope(fy.e, fx.e) as b, corr(fx.e, fy.e) as r, max(abs(fx.e)) as xe, max(abs(fy.e)) as ye from fx join fy on fx.sample_id = fy.sample_id group by 1, 2), {LEAST_R}
+        select feature, phenotype, n, round(b, 4) as beta, round(r, 4) as r from s join cuts on n - 4 = df where xe > 1e-9 and ye > 1e-9 and abs(r) >= least""",
     ),
-    "r4_scan_with_covariates": (lambda t: regression.association_scan(features(t), phenotypes(t), t.sample_meta, ["age", "bmi"]), None),
     "r5_permutation_scan": (lambda t: regression.permutation_scan(features(t), t.sql("select cast(tissue as string) as phenotype, sample_id, n as y from sample_counts"), 20, 30), None),
     "r7_tissue_pairs": (
         lambda t: rounded(regression.tissue_pair_correlations(t.sql("select subject_id, tissue, concat(ref, '>', alt) as mut_type, sum(n) as value from (select c.ref, c.alt, m.subject_id, m.tissue, 1 as n from calls c join sample_meta m on c.sample_id = m.sample_id) x group by 1, 2, 3"), 5, with_p=False), "r", "t", digits=4),
