@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from varloom.operators.stats import bootstrap_ci
+from varloom.operators.stats import bootstrap
 
 
 def good_ratios(per_gene: DataFrame, kind: str = "mis", least: int = 5) -> DataFrame:
@@ -23,8 +23,7 @@ def ratio_means(ratios: DataFrame, key: list[str] | None = None, log: bool = Tru
     """Mean, median and trimmed mean of ratios (of their log2) with bootstrap intervals, one row each."""
     value = F.log2("ratio") if log else F.col("ratio")
     df, by = (ratios.withColumn("_v", value), key) if key else (ratios.withColumn("_v", value).withColumn("every", F.lit("all")), ["every"])
-    out = [bootstrap_ci(df, "_v", by, stat, rounds, 0.95, seed).withColumn("statistic", F.lit(stat)) for stat in ("mean", "median", "trimmed_mean")]
-    return out[0].unionByName(out[1]).unionByName(out[2])
+    return bootstrap(df, "_v", by, ("mean", "median", "trimmed_mean"), rounds, 0.95, seed)
 
 
 def set_ratio(ratios: DataFrame, targets: DataFrame, random_sets: DataFrame) -> DataFrame:

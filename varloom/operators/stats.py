@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from varloom.functions import nulls
 from varloom.functions.scalars import normal_cdf
 from varloom.functions.tails import chi2_p, hypergeometric_upper, student_p
 from varloom.operators.windows import average_rank, quantile_groups
@@ -27,8 +32,37 @@ def correlate(df: DataFrame, x: str, y: str, key: list[str], method: str = "pear
     return out.withColumn("p", student_p("t", F.col("n") - 2)) if with_p else out
 
 
-def rank_sum(df: DataFrame, value: str, label: str, key: list[str]) -> DataFrame:
-    """Two-group rank test: W of the label that sorts first, z with the correction for ties, normal p."""
+def _exact(small: DataFrame, key: list[str], columns: list[str], p: Callable[..., float]) -> DataFrame:
+    """``p_exact`` of each group, from its values of ``columns``, of groups that are small."""
+    types = dict(small.dtypes)
+
+    def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            frame["p_exact"] = [float(p(*(np.asarray(x) for x in row))) for row in zip(*(frame[c] for c in columns), strict=True)]
+            yield frame[[*key, "p_exact"]]
+
+    rows = small.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct(*columns))).alias("_rows"))
+    lists = rows.filter(F.size("_rows") > 0).select(*key, *(F.col("_rows")[c].alias(c) for c in columns))
+    return lists.mapInPandas(work, ", ".join([*(f"{c} {types[c]}" for c in key), "p_exact double"]))
+
+
+def _beside(df: DataFrame, other: DataFrame, key: list[str]) -> DataFrame:
+    """df with the one row of each group in ``other``, where there is one; null keys match."""
+    if not key:
+        return df.join(F.broadcast(other), F.lit(True), "left")  # one row
+    renamed = other.select(*(F.col(k).alias(f"_{k}") for k in key), *(c for c in other.columns if c not in key))
+    on = F.lit(True)
+    for k in key:
+        on = on & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    return df.join(renamed, on, "left").drop(*(f"_{k}" for k in key))
+
+
+def rank_sum(df: DataFrame, value: str, label: str, key: list[str], exact: int = 0) -> DataFrame:
+    """Two-group rank test: W of the label that sorts first, z with the correction for ties, normal p.
+
+    With ``exact`` also p_corrected, normal with the correction for continuity, and p_exact, which is worked out from all
+    ways to deal the ranks (those of ties included) where both groups have fewer rows than that, and null elsewhere.
+    """
     d = df.filter(F.col(value).isNotNull()).select(*key, F.col(value).alias("v"), F.col(label).alias("l"))
     first = d.groupBy(*key).agg(F.min("l").alias("first"))
     ranked = d.withColumn("r", average_rank("v", key)).withColumn("c", F.count(F.lit(1)).over(Window.partitionBy(*key, "v")))
@@ -40,28 +74,61 @@ def rank_sum(df: DataFrame, value: str, label: str, key: list[str]) -> DataFrame
     n = F.col("n1") + F.col("n2")
     w = F.col("rs") - F.col("n1") * (F.col("n1") + 1) / 2
     sd = F.sqrt(F.col("n1") * F.col("n2") / 12 * (n + 1 - F.coalesce(F.try_divide(F.col("ties"), n * (n - 1)), F.lit(0.0))))
-    out = s.withColumn("w", w).withColumn("z", F.try_divide(F.col("w") - F.col("n1") * F.col("n2") / 2, sd))
-    return out.withColumn("p", 2 * normal_cdf(-F.abs("z"))).select(*key, "n1", "n2", "w", "z", "p")
+    off = F.col("w") - F.col("n1") * F.col("n2") / 2
+    out = s.withColumn("w", w).withColumn("z", F.try_divide(off, sd)).withColumn("p_corrected", F.least(F.lit(1.0), 2 * normal_cdf(-F.try_divide(F.greatest(F.lit(0.0), F.abs(off) - 0.5), sd))))
+    out = out.withColumn("p", 2 * normal_cdf(-F.abs("z"))).select(*key, "n1", "n2", "w", "z", "p", *(["p_corrected"] if exact else []))
+    if not exact:
+        return out
+    few = out.filter((F.col("n1") > 0) & (F.col("n2") > 0) & (F.col("n1") < exact) & (F.col("n2") < exact)).select(*key, F.lit(True).alias("_few"))
+    small = _beside(ranked.select(*key, (2 * F.col("r")).cast("long").alias("twice"), mine.alias("mine")), few, key).filter("_few")
+    return _beside(out, _exact(small, key, ["twice", "mine"], nulls.rank_sum_p), key)
+
 
+def signed_rank(df: DataFrame, x: str, y: str, key: list[str], exact: int = 0) -> DataFrame:
+    """Paired signed-rank test: V, the sum of the ranks of positive differences; z; pairs without difference are left out.
 
-def signed_rank(df: DataFrame, x: str, y: str, key: list[str]) -> DataFrame:
-    """Paired signed-rank test: V, the sum of the ranks of positive differences; z; pairs without difference are left out."""
+    With ``exact`` also p (normal), p_corrected (for continuity) and p_exact, which is worked out from all signs that the
+    ranks (those of ties included) may have, for groups of fewer pairs than that, and null elsewhere.
+    """
     d = df.select(*key, (F.col(x) - F.col(y)).cast("double").alias("d")).filter("d <> 0").withColumn("a", F.abs("d"))
     r = d.withColumn("r", average_rank("a", key)).withColumn("c", F.count(F.lit(1)).over(Window.partitionBy(*key, "a")))
     s = r.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.sum(F.when(F.col("d") > 0, F.col("r")).otherwise(0.0)).alias("v"), F.sum((F.col("c") * F.col("c") - 1).cast("double")).alias("ties"))
     n = F.col("n")
-    return s.withColumn("z", F.try_divide(F.col("v") - n * (n + 1) / 4, F.sqrt(n * (n + 1) * (2 * n + 1) / 24 - F.col("ties") / 48))).drop("ties")
-
-
-def ks_two_sample(df: DataFrame, value: str, label: str, key: list[str]) -> DataFrame:
-    """Largest difference of two empirical distributions; counts per distinct value are ordered, not rows."""
+    off, sd = F.col("v") - n * (n + 1) / 4, F.sqrt(n * (n + 1) * (2 * n + 1) / 24 - F.col("ties") / 48)
+    out = s.withColumn("z", F.try_divide(off, sd))
+    if not exact:
+        return out.drop("ties")
+    corrected = F.least(F.lit(1.0), 2 * normal_cdf(-F.try_divide(F.greatest(F.lit(0.0), F.abs(off) - 0.5), sd)))
+    out = out.withColumn("p", 2 * normal_cdf(-F.abs("z"))).withColumn("p_corrected", corrected).drop("ties")
+    few = out.filter(n < exact).select(*key, F.lit(True).alias("_few"))
+    small = _beside(r.select(*key, (2 * F.col("r")).cast("long").alias("twice"), (F.col("d") > 0).alias("up")), few, key).filter("_few")
+    return _beside(out, _exact(small, key, ["twice", "up"], nulls.signed_rank_p), key)
+
+
+def ks_two_sample(df: DataFrame, value: str, label: str, key: list[str], exact: int = 0) -> DataFrame:
+    """Largest difference of two empirical distributions; counts per distinct value are ordered, not rows.
+
+    With ``exact`` also p, by Kolmogorov's series, and p_exact, from all orders of the rows with those of equal values kept together,
+    where the product of both groups' rows is less than that, and null elsewhere.  Groups of one label have null statistics.
+    """
     first = df.groupBy(*key).agg(F.min(label).alias("first"))
     d = df.join(first, key) if key else df.join(F.broadcast(first), how="cross")  # one row
     mine = F.col(label) == F.col("first")
     at = d.groupBy(*key, F.col(value).alias("v")).agg(F.count_if(mine).alias("a"), F.count_if(~mine).alias("b"))
     run, every = Window.partitionBy(*key).orderBy("v").rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy(*key)
     gap = F.abs(F.try_divide(F.sum("a").over(run), F.sum("a").over(every)) - F.try_divide(F.sum("b").over(run), F.sum("b").over(every)))
-    return at.withColumn("gap", gap).groupBy(*key).agg(F.max("gap").alias("d"), F.sum("a").alias("n1"), F.sum("b").alias("n2"))
+    out = at.withColumn("gap", gap).groupBy(*key).agg(F.max("gap").alias("d"), F.sum("a").alias("n1"), F.sum("b").alias("n2"))
+    if not exact:
+        return out
+    out = out.withColumn("p", kolmogorov_p(F.col("d") * F.sqrt(F.col("n1") * F.col("n2") / (F.col("n1") + F.col("n2")))))
+    few = out.filter((F.col("n1") > 0) & (F.col("n2") > 0) & (F.col("n1") * F.col("n2") < exact)).select(*key, F.lit(True).alias("_few"))
+    return _beside(out, _exact(_beside(at.select(*key, "v", "a", "b"), few, key).filter("_few"), key, ["v", "a", "b"], lambda v, a, b: nulls.ks_p(a, b)), key)
+
+
+def kolmogorov_p(x: Column) -> Column:
+    """P that the supremum of a Brownian bridge is above x: 2 * sum of (-1)^(k - 1) * exp(-2 * k^2 * x^2); 1 below 0.1."""
+    terms = F.aggregate(F.sequence(F.lit(1), F.lit(60)), F.lit(0.0), lambda total, k: total + F.when(k % 2 == 1, 1.0).otherwise(-1.0) * F.exp(-2.0 * k * k * x * x))
+    return F.when(x.isNotNull(), F.when(x < 0.1, 1.0).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), 2 * terms))))
 
 
 def hash_index(n: Column, *parts: Column) -> Column:
@@ -69,24 +136,115 @@ def hash_index(n: Column, *parts: Column) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws("|", *(p.cast("string") for p in parts))), 1, 8), 16, 10).cast("long") % n + 1
 
 
-def bootstrap_ci(df: DataFrame, value: str, key: list[str], stat: str = "mean", rounds: int = 1000, interval: float = 0.95, seed: int = 1) -> DataFrame:
-    """Statistic of each group with an interval: the quantiles of (original - resample), added to the original.
+#: Rows of a group that one task holds, ranges that larger groups are cut into, and cells of weights worked out together.
+HELD, RANGES, CELLS = 1 << 20, 256, 1 << 22
+
+
+def bootstrap_ci(df: DataFrame, value: str, key: list[str], stat: str = "mean", *args, **more) -> DataFrame:
+    """One statistic of each group with an interval; see ``bootstrap``, which takes the same arguments."""
+    return bootstrap(df, value, key, (stat,), *args, **more).drop("statistic")
+
+
+def bootstrap(
+    df: DataFrame, value: str, key: list[str], stats: tuple[str, ...] = ("mean",), rounds: int = 1000, interval: float = 0.95, seed: int = 1, trim: float = 0.1, held: int = HELD
+) -> DataFrame:
+    """Statistics of each group ('mean', 'median', 'trimmed_mean'; a row for each) with an interval: the quantiles of (original - resample), added to the original.
+
+    Every statistic is the mean of some places of the ordered values: of a trimmed mean those without floor(trim * n) at
+    either end, of each resample's own values.  In each round a row is drawn a Poisson number of times, told by a hash
+    of seed, group, value and number among equal values, so a resample needs no copy of the table and does not depend on partitions; the numbers of
+    rows of resamples differ from the group's by about its square root.  Rounds that draw nothing are left out.
 
-    Each round draws rows of the whole group, with replacement, by a hash of seed, round and place.
+    A group of up to ``held`` rows is worked out whole in a task.  A larger one is cut into ranges of values by approximate
+    quantiles; sums of each range and round tell in which ranges a statistic's first and last places lie, and only those
+    ranges are ordered; whether there are such groups is found out at once.  Nulls are left out; null keys are a group.
     """
-    stats = {"mean": lambda v: F.avg(v), "median": lambda v: F.percentile(v, F.lit(0.5)), "trimmed_mean": lambda v: F.avg(v)}
-    d = df.filter(F.col(value).isNotNull()).select(*key, F.col(value).cast("double").alias("v"))
-    if stat == "trimmed_mean":
-        cut = d.groupBy(*key).agg(F.percentile("v", F.array(F.lit(0.1), F.lit(0.9))).alias("_q"))
-        d = d.join(cut, key).filter((F.col("v") >= F.col("_q")[0]) & (F.col("v") <= F.col("_q")[1])).drop("_q")
-    size = d.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), stats[stat](F.col("v")).alias("original"))
-    numbered = d.withColumn("i", F.row_number().over(Window.partitionBy(*key).orderBy("v")))
-    draws = size.select(*key, "n", F.explode(F.sequence(F.lit(1), F.lit(rounds))).alias("round")).withColumn("k", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))))
-    drawn = draws.select(*key, "round", hash_index(F.col("n"), F.lit(seed), *(F.col(k) for k in key), F.col("round"), F.col("k")).alias("i"))
-    resampled = drawn.join(numbered, [*key, "i"]).groupBy(*key, "round").agg(stats[stat](F.col("v")).alias("s"))
-    off = (1 - interval) / 2
-    q = resampled.join(size, key).groupBy(*key).agg(F.first("original").alias("estimate"), F.percentile(F.col("original") - F.col("s"), F.array(F.lit(off), F.lit(1 - off))).alias("_q"))
-    return q.select(*key, "estimate", (F.col("estimate") + F.col("_q")[0]).alias("low"), (F.col("estimate") + F.col("_q")[1]).alias("high"))
+    if unknown := set(stats) - {"mean", "median", "trimmed_mean"}:
+        raise ValueError(f"unknown statistics {unknown}")
+    d = df.filter(F.col(value).isNotNull()).select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(key)), F.col(value).cast("double").alias("v"))
+    by = [f"_k{i}" for i in range(len(key))]
+    types, factors, off = dict(d.dtypes), nulls.round_factors(seed, rounds), (1 - interval) / 2
+    names = ", ".join(f"{k} {types[k]}" for k in by)
+    named = (names + ", ") * bool(by)
+    each = d.groupBy(*by, "v").agg(F.count(F.lit(1)).alias("c"))
+    told = F.md5(F.concat_ws("|", F.lit(str(seed)), *(F.col(k).cast("string") for k in by), F.col("v").cast("string"), F.col("j").cast("string")))
+    rows = each.withColumn("j", F.explode(F.sequence(F.lit(1).cast("long"), "c"))).select(*by, "v", (F.conv(F.substring(told, 1, 8), 16, 10).cast("long") % nulls.PRIME).alias("x"))
+    sizes = each.groupBy(*by).agg(F.sum("c").alias("n"))
+    any_large = not sizes.filter(F.col("n") > held).isEmpty()
+    sized = _beside(rows, sizes, by) if any_large else rows
+
+    def slices(n: int) -> Iterator[slice]:
+        step = max(1, CELLS // max(1, n))
+        return (slice(a, min(a + step, rounds)) for a in range(0, rounds, step))
+
+    def whole(frame: pd.DataFrame) -> pd.DataFrame:
+        v, x = (c.to_numpy() for _, c in frame.sort_values("v")[["v", "x"]].items())
+        if not len(v):
+            return pd.DataFrame(columns=[*by, "statistic", "estimate", "low", "high"])
+        found: dict[str, list[np.ndarray]] = {stat: [] for stat in stats}
+        for part in slices(len(v)):
+            w = nulls.resample_weights(x, factors[part])
+            n = w.sum(axis=1)
+            for stat in stats:
+                low, high = nulls.between(stat, n, trim)
+                with np.errstate(invalid="ignore", divide="ignore"):
+                    s = np.where(n > 0, nulls.placed_sums(v, w, low, high) / (high - low + 1), np.nan)
+                found[stat].append(s[int(part.start > 0) :])
+        out = []
+        for stat, parts in found.items():
+            s = np.concatenate(parts)
+            gaps = s[0] - s[1:][~np.isnan(s[1:])]
+            out.append((*frame[by].iloc[0], stat, s[0], *(s[0] + np.quantile(gaps, [off, 1 - off]) if len(gaps) else (np.nan, np.nan))))
+        return pd.DataFrame(out, columns=[*by, "statistic", "estimate", "low", "high"])
+
+    named_back = lambda out: out.select(*(F.col(a).alias(k) for a, k in zip(by, key, strict=True)), "statistic", "estimate", "low", "high")
+    schema = f"{named}statistic string, estimate double, low double, high double"
+    if not any_large:
+        return named_back(sized.groupBy(*by).applyInPandas(whole, schema))
+    found = sized.filter(F.col("n") <= held).groupBy(*by).applyInPandas(whole, schema)
+
+    # Larger groups: sums of ranges, then the places within the ranges that hold a first or last place.
+    large = sized.filter(F.col("n") > held)
+    cuts = large.groupBy(*by).agg(F.percentile_approx("v", [i / RANGES for i in range(1, RANGES)], 20 * RANGES).alias("cuts"))
+    ranged = _beside(large, cuts, by).withColumn("at", F.size(F.filter("cuts", lambda c: c < F.col("v")))).select(*by, "at", "v", "x")
+
+    def sums(frame: pd.DataFrame) -> pd.DataFrame:
+        v, x, out = frame["v"].to_numpy(), frame["x"].to_numpy(), []
+        for part in slices(len(v)):
+            w = nulls.resample_weights(x, factors[part])
+            out.append(pd.DataFrame({"round": np.append(0, np.arange(part.start, part.stop) + 1), "w": w.sum(axis=1), "s": w @ v})[int(part.start > 0) :])
+        return pd.concat(out).assign(**{c: frame[c].iloc[0] for c in [*by, "at"]})[[*by, "at", "round", "w", "s"]]
+
+    totals = ranged.groupBy(*by, "at").applyInPandas(sums, f"{named}at int, round int, w bigint, s double")
+    per = Window.partitionBy(*by, "round")
+    n, before = F.sum("w").over(per), F.coalesce(F.sum("w").over(per.orderBy("at").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = totals.withColumn("n", n).withColumn("before", before)
+
+    def some(values: pd.DataFrame, wanted: pd.DataFrame) -> pd.DataFrame:
+        columns = [*by, "round", "first", "last", "s"]
+        if values.empty or wanted.empty:
+            return pd.DataFrame(columns=columns)
+        v, x = (c.to_numpy() for _, c in values.sort_values("v")[["v", "x"]].items())
+        s, step = [], max(1, CELLS // len(v))
+        for a in range(0, len(wanted), step):
+            q = wanted.iloc[a : a + step]
+            w = np.stack([nulls.resample_weights(x, factors[b - 1 : b])[1 if b else 0] for b in q["round"]])
+            s.append(nulls.placed_sums(v, w, q["low"].to_numpy(), q["high"].to_numpy()))
+        return wanted.assign(s=np.concatenate(s))[columns]
+
+    for stat in stats:
+        first = {"mean": F.lit(1), "median": F.floor((F.col("n") + 1) / 2), "trimmed_mean": F.floor(F.col("n") * trim) + 1}[stat].cast("long")
+        last = F.floor(F.col("n") / 2) + 1 if stat == "median" else F.col("n") + 1 - F.col("first")
+        at = placed.withColumn("first", first).withColumn("last", last)
+        at = at.withColumn("low", F.greatest(F.col("first") - F.col("before"), F.lit(1))).withColumn("high", F.least(F.col("last") - F.col("before"), F.col("w"))).filter("low <= high")
+        all_of = at.filter("low = 1 and high = w").select(*by, "round", "first", "last", "s")
+        asked = at.filter("low > 1 or high < w").select(*by, "at", "round", "first", "last", "low", "high")
+        parts = ranged.groupBy(*by, "at").cogroup(asked.groupBy(*by, "at")).applyInPandas(some, f"{named}round int, first bigint, last bigint, s double")
+        means = all_of.unionByName(parts).groupBy(*by, "round", "first", "last").agg(F.sum("s").alias("s")).select(*by, "round", (F.col("s") / (F.col("last") - F.col("first") + 1)).alias("s"))
+        original = means.filter("round = 0").select(*by, F.col("s").alias("estimate"))
+        q = _beside(means.filter("round > 0"), original, by).groupBy(*by).agg(F.first("estimate").alias("estimate"), F.percentile(F.col("estimate") - F.col("s"), F.array(F.lit(off), F.lit(1 - off))).alias("_q"))
+        found = found.unionByName(q.filter("estimate is not null").select(*by, F.lit(stat).alias("statistic"), "estimate", (F.col("estimate") + F.col("_q")[0]).alias("low"), (F.col("estimate") + F.col("_q")[1]).alias("high")))
+    return named_back(found)
 
 
 def permute(df: DataFrame, key: list[str], value: str, unit: str, n: int, seed: int = 1) -> DataFrame:

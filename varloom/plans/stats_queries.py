@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from varloom.functions.nulls import PRIME, STEPS
 from varloom.functions.tails import least_r
 from varloom.operators import filters, genes, profiles, regression, stats, windows
 from varloom.plans.calls_queries import TYPE, rounded
@@ -56,6 +57,28 @@ def phenotypes(t: Tables) -> DataFrame:
     return t.sql("select gene_id as phenotype, sample_id, tpm as y from expression")
 
 
+BY_GENDER = "select s.tissue, s.n, m.gender from sample_counts s join sample_meta m on s.sample_id = m.sample_id"
+AGAINST = "select b.tissue, a.n as x, b.n as y from sample_counts a join sample_counts b on a.subject_id = b.subject_id where a.tissue = 'T0' and b.tissue <> 'T0'"
+#: Rows of the ten samples of a tissue in order, with doubled ranks; and every way to choose some of them.
+DEALT = f"""b as ({BY_GENDER}), g as (select tissue, min(gender) as g from b group by 1),
+ k as (select b.tissue, gender = g as mine, row_number() over (partition by b.tissue order by n, gender) - 1 as i, 2 * ({RANK.format(k='b.tissue', v='n')}) as r from b join g on b.tissue = g.tissue),
+ s as (select tissue, count(*) filter (mine) as n1, count(*) filter (not mine) as n2, sum(r) filter (mine) as rs from k group by 1)"""
+MASKS = "m as (select tissue, mask, sum(case when (mask >> i) & 1 = 1 then r else 0 end) as t, sum((mask >> i) & 1) as c from k, range(0, 1024) x(mask) group by 1, 2)"
+
+
+def resampled(rounds: int, places: str, group: str = "tissue", name: str = "tissue") -> str:
+    """SQL of a bootstrap of the counts of samples: how often each row is drawn, and the mean of the places that ``places`` gives for n values."""
+    hashed = "('0x' || substr(md5(concat({0})), 1, 8))::bigint"
+    times = " + ".join(f"(u >= {k})::int" for k in STEPS)
+    return f"""with d as (select {group} as grp, n::double as v, row_number() over (partition by {group}, n) as j from sample_counts), x as (select *, {hashed.format("'1|', grp, '|', v, '|', j")} % {PRIME} as x from d),
+        f as (select b, {hashed.format("'1|', b, '|a'")} % {PRIME - 1} + 1 as fa, {hashed.format("'1|', b, '|b'")} % {PRIME} as fb from range(1, {rounds + 1}) q(b)),
+        w as (select grp, v, j, b, {times} as w from (select *, (fa * x + fb) % {PRIME} as u from x, f) y union all select grp, v, j, 0, 1 from x),
+        c as (select *, sum(w) over (partition by grp, b order by v, j) as upto, sum(w) over (partition by grp, b) as n from w),
+        s as (select grp, b, sum(v * greatest(0, least(upto, last) - greatest(upto - w, first - 1))) / any_value(last - first + 1) as s from c, lateral {places} p where n > 0 group by 1, 2),
+        o as (select grp, s as o from s where b = 0)
+        select s.grp as {name}, round(o, 6) as estimate, round(o + quantile_cont(o - s, 0.025), 6) as low, round(o + quantile_cont(o - s, 0.975), 6) as high from s join o on s.grp = o.grp where b > 0 group by s.grp, o"""
+
+
 CORR = "corr({0}, {1})"
 #: The p of pairs that a scan returns, and the smallest |r| that has it, for all degrees of freedom of pairs of 40 samples.
 MOST_P = 0.05
@@ -162,19 +185,44 @@ QUERIES: dict[str, tuple[Callable[[Tables], DataFrame], str | None]] = {
         select subject_id, n, v, round((v - n * (n + 1) / 4.0) / sqrt(n * (n + 1) * (2 * n + 1) / 24.0 - ties / 48.0), 6) as z from s""",
     ),
     "t3_ks": (
-        lambda t: rounded(stats.ks_two_sample(t.calls.filter("tissue in ('T0', 'T1')"), "coverage", "tissue", []), "d"),
+        lambda t: rounded(stats.ks_two_sample(t.calls.filter("tissue in ('T0', 'T1')"), "coverage", "tissue", [], exact=10_000).drop("p_exact"), "d", "p"),
         """with c as (select coverage as v, count(*) filter (tissue = 'T0') as a, count(*) filter (tissue = 'T1') as b from calls where tissue in ('T0', 'T1') group by 1),
-        g as (select a, b, abs(sum(a) over (order by v) * 1.0 / sum(a) over () - sum(b) over (order by v) * 1.0 / sum(b) over ()) as gap from c) select round(max(gap), 6) as d, sum(a) as n1, sum(b) as n2 from g""",
+        g as (select a, b, abs(sum(a) over (order by v) * 1.0 / sum(a) over () - sum(b) over (order by v) * 1.0 / sum(b) over ()) as gap from c), s as (select max(gap)::double as d, sum(a) as n1, sum(b) as n2 from g),
+        x as (select *, d * sqrt(n1 * n2 / (n1 + n2)::double) as x from s)
+        select round(d, 6) as d, n1, n2, round(case when x < 0.1 then 1.0 else least(1.0, greatest(0.0, 2 * list_sum(list_transform(range(1, 61), lambda k: (case when k % 2 = 1 then 1.0 else -1.0 end) * exp(-2.0 * k * k * x * x))))) end, 6) as p from x""",
+    ),
+    "t2_exact_p": (
+        lambda t: rounded(stats.rank_sum(t.sql(BY_GENDER), "n", "gender", ["tissue"], exact=50).select("tissue", "n1", "n2", "w", "p_exact"), "p_exact", digits=9),
+        f"""with {DEALT}, {MASKS} select s.tissue, n1, n2, any_value(rs) / 2.0 - n1 * (n1 + 1) / 2.0 as w, round(least(1.0, 2 * least(avg((t <= rs)::int), avg((t >= rs)::int))), 9) as p_exact
+        from s join m on s.tissue = m.tissue where c = n1 group by s.tissue, n1, n2""",
+    ),
+    "t3_exact_p": (
+        lambda t: rounded(stats.signed_rank(t.sql(AGAINST), "x", "y", ["tissue"], exact=50).select("tissue", "n", "v", "p_exact"), "p_exact", digits=9),
+        f"""with d as (select tissue, x - y as d, abs(x - y) as a from ({AGAINST}) q where x <> y), k as (select tissue, d > 0 as up, row_number() over (partition by tissue order by a, d) - 1 as i, 2 * ({RANK.format(k='tissue', v='a')}) as r from d),
+        s as (select tissue, count(*) as n, coalesce(sum(r) filter (up), 0) as rs from k group by 1), m as (select tissue, mask, sum(case when (mask >> i) & 1 = 1 then r else 0 end) as t from k, range(0, 1024) x(mask) group by 1, 2)
+        select s.tissue, n, rs / 2.0 as v, round(least(1.0, 2 * least(avg((t <= rs)::int), avg((t >= rs)::int))), 9) as p_exact from s join m on s.tissue = m.tissue group by s.tissue, n, rs""",
+    ),
+    "t3_ks_exact_p": (
+        lambda t: rounded(stats.ks_two_sample(t.sql(BY_GENDER), "n", "gender", ["tissue"], exact=10_000).select("tissue", "n1", "n2", "d", "p", "p_exact"), "d", "p", "p_exact", digits=6),
+        f"""with {DEALT}, {MASKS}, ends as (select tissue, max(i) as i from k group by tissue, r),
+        own as (select tissue, i, sum(mine::int) over (partition by tissue order by i) as a from k), o as (select own.tissue, max(abs(a * n2 - (own.i + 1 - a) * n1)) as far from own join ends on own.tissue = ends.tissue and own.i = ends.i join s on own.tissue = s.tissue group by 1),
+        every as (select k.tissue, mask, k.i, sum((mask >> k.i) & 1) over (partition by k.tissue, mask order by k.i) as a from k join m on k.tissue = m.tissue join s on k.tissue = s.tissue where c = n1),
+        f as (select e.tissue, mask, max(abs(a * n2 - (e.i + 1 - a) * n1)) as far from every e join ends on e.tissue = ends.tissue and e.i = ends.i join s on e.tissue = s.tissue group by 1, 2),
+        p as (select f.tissue, any_value(o.far) as far, avg((f.far >= o.far)::int) as p_exact from f join o on f.tissue = o.tissue group by 1), x as (select p.*, n1, n2, far / (n1 * n2)::double as d, far / (n1 * n2)::double * sqrt(n1 * n2 / (n1 + n2)::double) as x from p join s on p.tissue = s.tissue)
+        select tissue, n1, n2, round(d, 6) as d, round(p_exact, 6) as p_exact, round(case when x < 0.1 then 1.0 else least(1.0, greatest(0.0, 2 * list_sum(list_transform(range(1, 61), lambda k: (case when k % 2 = 1 then 1.0 else -1.0 end) * exp(-2.0 * k * k * x * x))))) end, 6) as p from x""",
     ),
     "t4_bootstrap_mean": (
         lambda t: rounded(stats.bootstrap_ci(t.sample_counts, "n", ["tissue"], "mean", 200), "estimate", "low", "high"),
-        """with d as (select tissue, n::double as v, row_number() over (partition by tissue order by n) as i, count(*) over (partition by tissue) as m from sample_counts),
-        r as (select tissue, m, b, k from (select distinct tissue, m from d) s, range(1, 201) x(b), range(1, 1000) y(k) where k <= m),
-        h as (select tissue, b, ('0x' || substr(md5(concat('1|', tissue, '|', b, '|', k)), 1, 8))::bigint % m + 1 as i from r),
-        s as (select h.tissue, b, avg(v) as s from h join d on h.tissue = d.tissue and h.i = d.i group by 1, 2), o as (select tissue, avg(v) as o from d group by 1)
-        select s.tissue, round(o, 6) as estimate, round(o + quantile_cont(o - s, 0.025), 6) as low, round(o + quantile_cont(o - s, 0.975), 6) as high from s join o on s.tissue = o.tissue group by s.tissue, o""",
+        resampled(200, "(select 1 as first, n as last)"),
+    ),
+    "t4_bootstrap_trimmed": (
+        lambda t: rounded(stats.bootstrap_ci(t.sample_counts, "n", ["tissue"], "trimmed_mean", 100), "estimate", "low", "high"),
+        resampled(100, "(select floor(n * 0.1::double) + 1 as first, n - floor(n * 0.1::double) as last)"),
+    ),
+    "t4_bootstrap_median": (
+        lambda t: rounded(stats.bootstrap_ci(t.sample_counts.withColumn("even", F.col("sample_id") % 2), "n", ["even"], "median", 100), "estimate", "low", "high"),
+        resampled(100, "(select (n + 1) // 2 as first, n // 2 + 1 as last)", "sample_id % 2", "even"),
     ),
-    "t4_bootstrap_trimmed": (lambda t: stats.bootstrap_ci(t.sample_counts, "n", ["tissue"], "trimmed_mean", 100), None),
     "t5_bh": (
         lambda t: rounded(stats.adjust(pvalues(t), "p", ["tissue"]).groupBy("tissue", "p").agg(F.max("p_adjusted").alias("p_adjusted"), F.count(F.lit(1)).alias("n")), "p_adjusted"),
         f"""with {PVALUES}, r as (select tissue, p, p * count(*) over (partition by tissue) / count(*) over (partition by tissue order by p) as raw from pv),
