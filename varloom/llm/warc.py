@@ -10,7 +10,6 @@ import io
 import json
 import re
 import uuid
-from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 from typing import BinaryIO
@@ -34,6 +33,7 @@ LINES = set(
 EMPTY = set("area base br col embed hr img input link meta source track wbr".split())
 #: Attributes that hold links.
 LINKS = {("a", "href"), ("area", "href"), ("link", "href"), ("img", "src"), ("script", "src"), ("iframe", "src"), ("source", "src"), ("form", "action")}
+ATTRIBUTES = {"html", "meta", *(tag for tag, _ in LINKS)}
 #: Payload bytes of the records that are read together.
 READ_BYTES = 16 << 20
 RESPONSE = (
@@ -65,14 +65,15 @@ class Page(HTMLParser):
         #: Lines of the page, and of each hidden element that is open, the innermost last.
         self.levels: list[list[list[str]]] = [[[]]]
         self.open: list[str] = []
-        self.times: Counter[str] = Counter()
+        self.times: dict[str, int] = {}
         self.in_title = False
+        self.at = 0
         try:
             self.feed(html)
+            self.at = 0
             self.close()
         except (AssertionError, ValueError, IndexError):
-            line, column = self.getpos()
-            rest = html.split("\n", line - 1)[-1][column:]
+            rest = self.rawdata[self.at :]
             self.in_title = False
             self.shut(0)
             self.handle_data(re.sub(r"<[^>]*>", " ", rest))
@@ -88,23 +89,29 @@ class Page(HTMLParser):
                 if tag not in self.CDATA_CONTENT_ELEMENTS:
                     self.levels[-1] += [*taken, []]
 
+    def updatepos(self, i: int, j: int) -> int:
+        """The place in ``rawdata`` is enough; lines are not counted."""
+        self.at = j
+        return j
+
     def parse_marked_section(self, i: int, report: int = 1) -> int:
         end = self.rawdata.find(">", i + 3)
         return end + 1 if end >= 0 else -1
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
-        given = dict(attrs)
-        self.links += [{"path": f"{tag.upper()}@/{k}", "url": v} for k, v in attrs if v and (tag, k) in LINKS]
-        if tag == "meta" and (name := given.get("name") or given.get("property") or given.get("http-equiv")):
-            self.metas.append({"name": name, "content": given.get("content") or ""})
-        if tag == "html":
-            self.lang = given.get("lang") or self.lang
+        if attrs and tag in ATTRIBUTES:
+            given = dict(attrs)
+            self.links += [{"path": f"{tag.upper()}@/{k}", "url": v} for k, v in attrs if v and (tag, k) in LINKS]
+            if tag == "meta" and (name := given.get("name") or given.get("property") or given.get("http-equiv")):
+                self.metas.append({"name": name, "content": given.get("content") or ""})
+            if tag == "html":
+                self.lang = given.get("lang") or self.lang
         self.in_title = tag == "title"
         if tag in LINES:
             self.levels[-1].append([])
         if tag not in EMPTY:
             self.open.append(tag)
-            self.times[tag] += 1
+            self.times[tag] = self.times.get(tag, 0) + 1
             if tag in HIDDEN:
                 self.levels.append([[]])
 
@@ -115,8 +122,9 @@ class Page(HTMLParser):
 
     def handle_endtag(self, tag: str) -> None:
         self.in_title = False
-        if self.times[tag]:
-            self.shut(len(self.open) - 1 - self.open[::-1].index(tag) + 1)
+        if self.times.get(tag):
+            if self.open[-1] != tag:
+                self.shut(len(self.open) - self.open[::-1].index(tag))
             self.open.pop()
             self.times[tag] -= 1
             if tag in HIDDEN:
