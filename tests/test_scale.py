@@ -86,6 +86,8 @@ def test_label_near_is_the_distance_rule(spark):
         slow = {(r["chrom"], r["pos"]): 0 <= r["distance"] < cutoff for r in intervals.nearest(calls, spans).collect()}
         got = filters.label_near(calls, spans, cutoff, "near")
         assert got.count() == 501 and all((len(r["filters"]) == 1) == slow[r["chrom"], r["pos"]] for r in got.collect())
+    own = calls.withColumns({"start_pos": F.lit(7), "end_pos": F.lit("x")})  # columns that intervals have too
+    assert {(r["start_pos"], r["end_pos"], len(r["filters"])) for r in filters.label_near(own, spans, 7, "near").collect()} == {(7, "x", 0), (7, "x", 1)}
     merged = intervals.merge_intervals(spans).orderBy("start_pos").collect()
     assert all(a["end_pos"] < b["start_pos"] for a, b in zip(merged, merged[1:]))
 

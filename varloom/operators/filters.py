@@ -40,7 +40,7 @@ def label_near(calls: DataFrame, intervals: DataFrame, cutoff: int, name: str) -
     """
     wide = intervals.select("chrom", (F.col("start_pos") - (cutoff - 1)).alias("start_pos"), (F.col("end_pos") + (cutoff - 1)).alias("end_pos"))
     near = merge_intervals(wide).select("chrom", "start_pos", "end_pos", F.lit(True).alias("_near"))
-    return label(overlap_join(calls, near, "left"), name, F.col("_near")).drop("start_pos", "end_pos", "_near")
+    return label(overlap_join(calls, near, "left", bounds=False), name, F.col("_near")).drop("_near")
 
 
 def keep_far(calls: DataFrame, intervals: DataFrame, cutoff: int) -> DataFrame:

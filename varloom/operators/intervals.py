@@ -14,18 +14,21 @@ def _binned(intervals: DataFrame, bin_width: int) -> DataFrame:
     return intervals.filter("end_pos > start_pos").withColumn("_bin", F.explode(F.sequence(first, last)))
 
 
-def overlap_join(points: DataFrame, intervals: DataFrame, how: str = "inner", bin_width: int = BIN) -> DataFrame:
+def overlap_join(points: DataFrame, intervals: DataFrame, how: str = "inner", bin_width: int = BIN, bounds: bool = True) -> DataFrame:
     """Points with the intervals that hold them: start_pos <= pos < end_pos on the same chromosome.
 
     A point lies in one bin, so each match is found once; intervals are repeated for the bins they
-    touch.  ``how`` may be inner, left, left_semi or left_anti.
+    touch.  ``how`` may be inner, left, left_semi or left_anti.  Without ``bounds`` the intervals' start_pos and end_pos
+    are left out, so that points may have columns of these names.
     """
     left = points.withColumn("_bin", F.floor(F.col("pos") / bin_width))
-    right = _binned(intervals, bin_width).withColumnRenamed("chrom", "_chrom").withColumnRenamed("_bin", "_ibin")
+    names = {"chrom": "_chrom", "_bin": "_ibin", "start_pos": "_from", "end_pos": "_to"}
+    right = _binned(intervals, bin_width).withColumnsRenamed(names)
     if how in ("left_semi", "left_anti"):
-        right = right.select("_chrom", "_ibin", "start_pos", "end_pos")
-    match = (F.col("chrom") == F.col("_chrom")) & (F.col("_bin") == F.col("_ibin")) & (F.col("pos") >= F.col("start_pos")) & (F.col("pos") < F.col("end_pos"))
-    return left.join(right, match, how).drop("_bin", "_ibin", "_chrom")
+        right = right.select(*names.values())
+    match = (F.col("chrom") == F.col("_chrom")) & (F.col("_bin") == F.col("_ibin")) & (F.col("pos") >= F.col("_from")) & (F.col("pos") < F.col("_to"))
+    out = left.join(right, match, how).drop("_bin", "_ibin", "_chrom")
+    return out.withColumnsRenamed({"_from": "start_pos", "_to": "end_pos"}) if bounds else out.drop("_from", "_to")
 
 
 def nearest(points: DataFrame, intervals: DataFrame, stretch: int = 1 << 20) -> DataFrame:

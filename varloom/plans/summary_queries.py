@@ -88,8 +88,8 @@ QUERIES: dict[str, tuple[Callable[[Tables], DataFrame], str | None]] = {
         """select gene_id, sample_id as "Sample_ID", tissue as "Cancer_Type", chrom as "Chromosome", pos as "Start_Position", pos as "End_Position", ref as "Reference_Allele", alt as "Variant_Allele" from gene_calls""",
     ),
     "u1_sorted_union": (
-        lambda t: summaries.sorted_union(*(t.calls.filter(F.col("tissue") == x).select("chrom", "pos", "ref", "alt") for x in ("T0", "T1", "T2"))),
-        "select distinct chrom, pos, ref, alt from calls where tissue in ('T0', 'T1', 'T2')",
+        lambda t: summaries.sorted_union(*(t.calls.filter(F.col("tissue") == x).select("chrom", "pos", "ref", "alt") for x in ("T0", "T1", "T2", "T3"))),
+        "select distinct chrom, pos, ref, alt from calls",
     ),
     "x1_x14_scalars": (
         lambda t: t.calls.select(
