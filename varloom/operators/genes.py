@@ -26,10 +26,13 @@ def assign_genes(calls: DataFrame, genes: DataFrame) -> DataFrame:
 
 
 def codon_sites(cds_sites: DataFrame) -> DataFrame:
-    """Adds to each coding position (gene_id, cds_pos, base on the coding strand) its codon, its place in it and its neighbours."""
-    index = F.floor((F.col("cds_pos") - 1) / 3)
-    w = Window.partitionBy("gene_id").orderBy("cds_pos")
-    near = cds_sites.withColumn("up", F.lag("base").over(w)).withColumn("down", F.lead("base").over(w)).withColumn("codon_index", index)
+    """Adds to each coding position (gene_id, cds_pos, base on the coding strand) its codon, its place in it and its neighbours.
+
+    ``up`` and ``down`` that are given (neighbours in the genome, on the coding strand) stay; else they are those in the coding sequence."""
+    near = cds_sites.withColumn("codon_index", F.floor((F.col("cds_pos") - 1) / 3))
+    if not {"up", "down"} <= set(cds_sites.columns):
+        w = Window.partitionBy("gene_id").orderBy("cds_pos")
+        near = near.withColumn("up", F.lag("base").over(w)).withColumn("down", F.lead("base").over(w))
     codons = near.groupBy("gene_id", "codon_index").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("cds_pos", "base"))), lambda x: x["base"]), "").alias("codon"))
     return near.join(codons, ["gene_id", "codon_index"]).withColumn("in_codon", ((F.col("cds_pos") - 1) % 3 + 1).cast("int"))
 
@@ -53,13 +56,18 @@ def annotate_impact(calls: DataFrame, sites: DataFrame, splice: DataFrame | None
     return out
 
 
-def opportunities(sites: DataFrame) -> DataFrame:
-    """For each gene, change (ref>alt on the coding strand) and impact the number of possible changes."""
+def possible_changes(sites: DataFrame) -> DataFrame:
+    """A row for each base that a coding position may change to, with the impact it would have."""
     alts = sites.filter(F.length("codon") == 3).withColumn("alt_cod", F.explode(F.array(*map(F.lit, "ACGT")))).filter("alt_cod <> base")
     new = F.concat(F.substring(F.col("codon"), F.lit(1), F.col("in_codon") - 1), F.col("alt_cod"), F.substring(F.col("codon"), F.col("in_codon") + 1, F.lit(3)))
     a = with_amino_acid(with_amino_acid(alts, F.col("codon"), "old_aa"), new, "new_aa")
     impact = F.when(F.col("new_aa") == F.col("old_aa"), "Synonymous").when(F.col("new_aa") == "*", "Nonsense").when(F.col("old_aa") != "*", "Missense")
-    return a.withColumn("impact", impact).filter("impact is not null").groupBy("gene_id", F.concat("base", F.lit(">"), "alt_cod").alias("change"), "impact").agg(F.count(F.lit(1)).alias("sites"))
+    return a.withColumn("impact", impact).filter("impact is not null")
+
+
+def opportunities(sites: DataFrame) -> DataFrame:
+    """For each gene, change (ref>alt on the coding strand) and impact the number of possible changes."""
+    return possible_changes(sites).groupBy("gene_id", F.concat("base", F.lit(">"), "alt_cod").alias("change"), "impact").agg(F.count(F.lit(1)).alias("sites"))
 
 
 def _cells(annotated: DataFrame, opportunity: DataFrame) -> DataFrame:

@@ -110,6 +110,27 @@ from (select l_orderkey * 10 + l_linenumber as read_id, (l_orderkey + l_suppkey)
 """,
 }
 
+def _base_at(pos: str) -> str:
+    """SQL of the reference's base at a position of the row's chromosome."""
+    return f"substr('ATGC', cast(cast(floor((({pos}) * 2654435761 + cast(substr(chrom, 4, 1) as bigint) * 40503) / 65536.0) as bigint) % 4 as int) + 1, 1)"
+
+
+def _flanked(source: str) -> str:
+    """SQL that adds the neighbours on the coding strand to rows with chrom, pos and strand."""
+    return f"""select x.*, case when strand = '-' then translate(hi, 'ACGT', 'TGCA') else lo end as up, case when strand = '-' then translate(lo, 'ACGT', 'TGCA') else hi end as down
+from (select y.*, {_base_at("pos - 1")} as lo, {_base_at("pos + 1")} as hi from {source} y) x"""
+
+
+PROJECTIONS["cds_flanks"] = f"select gene_id, chrom, strand, pos, base, cds_pos, up, down from ({_flanked('cds')}) z"
+#: Two bases before an exon and the first, second and fifth after it, in the direction of its gene.
+_AT_EXON_ENDS = """(select concat(gene_id, '_', chrom, strand) as gene_id, chrom, strand,
+    case when o < 0 and strand = '+' then start_pos + o when o < 0 then end_pos - 1 - o when strand = '+' then end_pos - 1 + o else start_pos - o end as pos
+  from exons cross join (values (-2), (-1), (1), (2), (5)) v(o))"""
+PROJECTIONS["splice_sites"] = f"""
+select gene_id, chrom, strand, pos, case when strand = '-' then translate(b, 'ACGT', 'TGCA') else b end as base, up, down
+from (select w.*, {_base_at("pos")} as b from ({_flanked(_AT_EXON_ENDS)}) w) z
+"""
+
 
 def with_projections(body: str) -> str:
     """The query, which may begin with "with", with the projections it reads as common table expressions."""

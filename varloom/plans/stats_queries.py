@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from varloom.functions.nulls import PRIME, STEPS
 from varloom.functions.tails import least_r
-from varloom.operators import filters, genes, profiles, regression, stats, windows
+from varloom.operators import filters, genes, profiles, regression, selection, stats, windows
 from varloom.plans.calls_queries import TYPE, rounded
 from varloom.plans.projections import Tables
 
@@ -38,6 +38,26 @@ def opportunity(t: Tables) -> DataFrame:
     return genes.opportunities(genes.codon_sites(t.cds))
 
 
+def in_context(t: Tables) -> tuple[DataFrame, DataFrame]:
+    sites = genes.codon_sites(t.cds_flanks)
+    return selection.annotate_contexts(t.calls, sites, t.splice_sites), selection.context_opportunities(sites, t.splice_sites)
+
+
+def context_cells(t: Tables) -> DataFrame:
+    calls, possible = in_context(t)
+    return possible.join(calls.groupBy("change", "impact").agg(F.count(F.lit(1)).alias("n")), ["change", "impact"], "left").fillna(0, ["n"])
+
+
+CHANGE = "concat(up, {0}, down, '>', up, {1}, down) as change"
+CODED = "case when strand = '-' then translate({0}, 'ACGT', 'TGCA') else {0} end"
+IN_CONTEXT = f"""{IMPACT.replace("from cds c join cod", "from cds_flanks c join cod").replace("s.codon, s.k", "s.codon, s.k, s.up, s.down")},
+ ends as (select up, down, {CODED.format("ref")} as r, {CODED.format("alt")} as a from calls c join splice_sites s on c.chrom = s.chrom and c.pos = s.pos),
+ seen as (select change, impact, count(*) as n from (select {CHANGE.format("ref_cod", "alt_cod")}, impact from ann where impact <> 'Stop_loss' union all select {CHANGE.format("r", "a")}, 'Essential_Splice' from ends) x group by 1, 2),
+ whole as (select up, down, base, a, {AA.format("codon")} as o, {AA.format("concat(substr(codon, 1, k - 1), a, substr(codon, k + 1))")} as n from sites, (values ('A'), ('C'), ('G'), ('T')) x(a) where a <> base and length(codon) = 3),
+ could as (select change, impact, count(*) as sites from (select {CHANGE.format("base", "a")}, case when n = o then 'Synonymous' when n = '*' then 'Nonsense' when o <> '*' then 'Missense' end as impact from whole
+   union all select {CHANGE.format("base", "a")}, 'Essential_Splice' from splice_sites, (values ('A'), ('C'), ('G'), ('T')) x(a) where a <> base) z where impact is not null group by 1, 2)"""
+
+
 def pvalues(t: Tables) -> DataFrame:
     return t.sql("select tissue, concat(chrom, '_', pos) as id, round((n_support % 50 + 0.5) / 50.0, 6) as p from calls")
 
@@ -298,6 +318,9 @@ QUERIES: dict[str, tuple[Callable[[Tables], DataFrame], str | None]] = {
     ),
     "t20_principal_components": (lambda t: stats.principal_components(t.base("embeddings"), "embedding", 0.5, 20).select("vec_id", "label", "scores"), None),
     "t21_dnds_global": (lambda t: genes.dnds_global(annotated(t), opportunity(t)), None),
+    "t21_context_cells": (context_cells, f"with {IN_CONTEXT} select c.change, c.impact, c.sites, coalesce(s.n, 0) as n from could c left join seen s on c.change = s.change and c.impact = s.impact"),
+    "t21_context_ratios": (lambda t: selection.context_ratios(*in_context(t)), None),
+    "t21_ratios_by_tissue": (lambda t: selection.context_ratios(*in_context(t), ["tissue"]), None),
     "t22_dnds_per_gene": (
         lambda t: rounded(genes.dnds_per_gene(annotated(t), opportunity(t), with_p=False).select("gene_id", "n_syn", "n_mis", "n_non", "e_syn", "e_mis", "e_non", "wmis", "wnon", "lr_mis", "lr_all"), "e_syn", "e_mis", "e_non", "wmis", "wnon", "lr_mis", "lr_all", digits=4),
         f"""with {IMPACT}, n as (select gene_id, concat(ref_cod, '>', alt_cod) as change, impact, count(*) as n from ann group by 1, 2, 3), cells as (select o.*, coalesce(n.n, 0) as n from opp o left join n on o.gene_id = n.gene_id and o.change = n.change and o.impact = n.impact),
