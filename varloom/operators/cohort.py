@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from varloom.functions.scalars import mutation_type
 from varloom.operators.intervals import overlap_join
+from varloom.operators.windows import number_rows
 
 ALLELE = ["chrom", "pos", "ref", "alt"]
 
@@ -157,25 +158,36 @@ def seeded(seed: int, *keys: str) -> Column:
     return F.md5(F.concat_ws("|", F.lit(str(seed)), *(F.col(k).cast("string") for k in keys)))
 
 
+#: Positions of a stretch, and hex digits of a hash that make one, where rows of a sample are numbered.
+STRETCH, DIGITS = 1 << 20, 3
+
+
+def _by_place(df: DataFrame, order: list[str]) -> DataFrame:
+    return number_rows(df, ["sample_id", "ref"], [F.col("chrom"), F.floor(F.col("pos") / STRETCH)], order)
+
+
+def _dealt(df: DataFrame, seed: int, order: list[str]) -> DataFrame:
+    mixed = df.withColumn("_h", seeded(seed, "sample_id", *order))
+    return number_rows(mixed, ["sample_id", "ref"], [F.substring("_h", 1, DIGITS)], ["_h", *order]).drop("_h")
+
+
 def random_positions(calls: DataFrame, covered: DataFrame, seed: int = 1) -> DataFrame:
     """Control: each call moved to a covered position of its sample with the same reference base.
 
     Calls and positions of a (sample, ref) are numbered, the positions in a seeded order, and matched by number; where
     there are more calls than positions, those are used again from the first on.  Every call comes back, one
-    without any such position with null for chrom and pos.
+    without any such position with null for chrom and pos.  Rows are numbered by ranges of places and of hashes.
     """
     by = ["sample_id", "ref"]
-    own = Window.partitionBy(*by)
     sizes = covered.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
-    a = calls.withColumn("k", F.row_number().over(own.orderBy("chrom", "pos", "alt"))).select(*by, "alt", "k").join(sizes, by, "left")
+    a = _by_place(calls, ["chrom", "pos", "alt"]).select(*by, "alt", "k").join(sizes, by, "left")
     a = a.withColumn("k", (F.col("k") - 1) % F.col("_n") + 1)
-    b = covered.withColumn("k", F.row_number().over(own.orderBy(seeded(seed, "sample_id", "chrom", "pos"), "chrom", "pos"))).select(*by, F.col("k").cast("long").alias("k"), "chrom", "pos")
+    b = _dealt(covered.select(*by, "chrom", "pos"), seed, ["chrom", "pos"])
     return a.join(b, [*by, "k"], "left").select("sample_id", *ALLELE)
 
 
 def shuffle_alts(calls: DataFrame, seed: int = 1) -> DataFrame:
     """Control: alternates dealt anew among the calls of a sample with the same reference base."""
-    own = Window.partitionBy("sample_id", "ref")
-    n = calls.withColumn("k", F.row_number().over(own.orderBy("chrom", "pos", "alt"))).drop("alt")
-    alts = calls.withColumn("k", F.row_number().over(own.orderBy(seeded(seed, "sample_id", "chrom", "pos", "alt"), "chrom", "pos", "alt"))).select("sample_id", "ref", "k", "alt")
+    n = _by_place(calls, ["chrom", "pos", "alt"]).drop("alt")
+    alts = _dealt(calls.select("sample_id", *ALLELE), seed, ["chrom", "pos", "alt"]).select("sample_id", "ref", "k", "alt")
     return n.join(alts, ["sample_id", "ref", "k"]).drop("k")

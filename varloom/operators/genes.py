@@ -264,11 +264,11 @@ def distance_histogram(calls: DataFrame, covered: DataFrame, exons: DataFrame, m
 def exon_signal(exons: DataFrame, calls: DataFrame, depth: DataFrame, marks: DataFrame) -> DataFrame:
     """Calls, covered positions and each mark's mean signal of exons where all marks are above 0, as log2.
 
-    ``marks`` has (mark, chrom, pos, signal); each mark is a column, more than ``MOST_MARKS`` are an error.
+    ``marks`` has (mark, chrom, pos, signal); each mark is a column, more than ``MOST_MARKS`` are an error: ``exon_signal_long`` takes any number.
     """
     names = [r[0] for r in marks.select("mark").distinct().orderBy("mark").limit(MOST_MARKS + 1).collect()]  # column names
     if len(names) > MOST_MARKS:
-        raise ValueError(f"more than {MOST_MARKS} marks")
+        raise ValueError(f"more than {MOST_MARKS} marks: use exon_signal_long")
     n = overlap_join(calls.select("chrom", "pos"), exons.select("exon_id", "chrom", "start_pos", "end_pos")).groupBy("exon_id").agg(F.count(F.lit(1)).alias("n_calls"))
     d = overlap_join(depth.select("chrom", "pos"), exons.select("exon_id", "chrom", "start_pos", "end_pos")).groupBy("exon_id").agg(F.count(F.lit(1)).alias("n_covered"))
     m = overlap_join(marks, exons.select("exon_id", "chrom", "start_pos", "end_pos")).groupBy("exon_id").pivot("mark", names).agg(F.avg("signal"))
@@ -276,6 +276,17 @@ def exon_signal(exons: DataFrame, calls: DataFrame, depth: DataFrame, marks: Dat
     return n.join(d, "exon_id").join(m, "exon_id").filter(every).select("exon_id", "n_calls", "n_covered", F.log2(F.col("n_calls") / F.col("n_covered")).alias("log_rate"), *[F.log2(x).alias(x) for x in names])
 
 
+def exon_signal_long(exons: DataFrame, calls: DataFrame, depth: DataFrame, marks: DataFrame) -> DataFrame:
+    """What ``exon_signal`` has, with a row for each exon and mark, for any number of marks: (exon_id, n_calls, n_covered, log_rate, mark, log_signal)."""
+    spans = exons.select("exon_id", "chrom", "start_pos", "end_pos")
+    count = lambda df, c: overlap_join(df.select("chrom", "pos"), spans).groupBy("exon_id").agg(F.count(F.lit(1)).alias(c))
+    means = overlap_join(marks.select("mark", "chrom", "pos", "signal"), spans).groupBy("exon_id", "mark").agg(F.avg("signal").alias("s"))
+    number = marks.agg(F.countDistinct("mark").alias("_m"))  # one row
+    whole = means.groupBy("exon_id").agg(F.count_if(F.col("s") > 0).alias("_k")).join(F.broadcast(number), F.col("_k") == F.col("_m")).select("exon_id")
+    rates = count(calls, "n_calls").join(count(depth, "n_covered"), "exon_id").join(whole, "exon_id")
+    return rates.join(means, "exon_id").select("exon_id", "n_calls", "n_covered", F.log2(F.col("n_calls") / F.col("n_covered")).alias("log_rate"), "mark", F.log2("s").alias("log_signal"))
+
+
 def match_assays(a: DataFrame, b: DataFrame) -> DataFrame:
     """Pairs of runs of two assays of the same subject; ids come as comma lists (subject_id, runs)."""
     side = lambda df, c: df.select("subject_id", F.explode(F.split("runs", ",")).alias(c)).withColumn(c, F.trim(c)).filter(F.col(c) != "").dropDuplicates()

@@ -249,11 +249,10 @@ def bootstrap(
 
 def permute(df: DataFrame, key: list[str], value: str, unit: str, n: int, seed: int = 1) -> DataFrame:
     """n copies of the table, numbered by perm_id, in each of which the values of a group are dealt anew to its units."""
-    copies = df.withColumn("perm_id", F.explode(F.sequence(F.lit(1), F.lit(n))))
-    w = Window.partitionBy("perm_id", *key)
+    copies = lambda d: d.withColumn("perm_id", F.explode(F.sequence(F.lit(1), F.lit(n))))
     order = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("perm_id").cast("string"), F.col(unit).cast("string")))
-    to = copies.withColumn("_k", F.row_number().over(w.orderBy(unit))).drop(value)
-    dealt = copies.withColumn("_k", F.row_number().over(w.orderBy(order, unit))).select("perm_id", *key, "_k", value)
+    to = copies(df.withColumn("_k", F.row_number().over(Window.partitionBy(*key).orderBy(unit))).drop(value))  # ordered before it is copied
+    dealt = copies(df.select(*key, unit, value)).withColumn("_k", F.row_number().over(Window.partitionBy("perm_id", *key).orderBy(order, unit))).select("perm_id", *key, "_k", value)
     return to.join(dealt, ["perm_id", *key, "_k"]).drop("_k")
 
 
@@ -409,17 +408,23 @@ def silhouette(points: DataFrame, features: str, label: str, id_col: str) -> Dat
     return dist.groupBy(label).agg(F.avg(width).alias("silhouette"), F.count(F.lit(1)).alias("n"))
 
 
-def principal_components(points: DataFrame, features: str, explained: float = 0.9, most: int = 50) -> DataFrame:
-    """Scores of the leading components that explain a share of the variance (``most`` at the most)."""
+def principal_components(points: DataFrame, features: str, explained: float = 0.9, most: int | None = None) -> DataFrame:
+    """Scores of the leading components that explain a share of the variance; ``most`` of them where it is given.
+
+    Fifty are worked out first, all only where those do not explain the share."""
     from pyspark.ml.feature import PCA
     from pyspark.ml.functions import array_to_vector, vector_to_array
 
     v = points.withColumn("_v", array_to_vector(F.transform(features, lambda x: x.cast("double"))))
     width = len(v.select(features).first()[0])
-    model = PCA(k=min(most, width), inputCol="_v", outputCol="_s").fit(v)
-    total, k = 0.0, 0
-    while k < len(model.explainedVariance) and total < explained:
-        total, k = total + float(model.explainedVariance[k]), k + 1
+    limit = min(most or width, width)
+    for tried in (min(50, limit), limit):
+        model = PCA(k=tried, inputCol="_v", outputCol="_s").fit(v)
+        total, k = 0.0, 0
+        while k < tried and total < explained:
+            total, k = total + float(model.explainedVariance[k]), k + 1
+        if total >= explained or tried == limit:
+            break
     return model.transform(v).withColumn("scores", F.slice(vector_to_array("_s"), 1, max(1, k))).drop("_v", "_s")
 
 

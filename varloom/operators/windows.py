@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -122,3 +124,19 @@ def deidentify(df: DataFrame, id_col: str, prefix: str, width: int = 6) -> DataF
     ids = df.select(id_col).distinct()
     named = ids.withColumn("_new", F.concat(F.lit(prefix), F.lpad(F.dense_rank().over(Window.orderBy(id_col)).cast("string"), width, "0")))
     return df.join(named, id_col).withColumn(id_col, F.col("_new")).drop("_new")
+
+
+def number_rows(df: DataFrame, by: list[str], stretches: list[Column], order: list[Column | str], out: str = "k") -> DataFrame:
+    """Adds the row number of each group in the order of ``stretches``, then of ``order``, without a task that orders a whole group.
+
+    Rows are counted by stretch, the counts before a stretch are added up over the stretches of a group (a row each), and
+    only a stretch's own rows are ordered together.  Stretches must ascend with the order that is meant: ranges of
+    positions, or the first digits of a hash.  Null keys are a group of their own.
+    """
+    names = [f"_s{i}" for i in range(len(stretches))]
+    cut = df.withColumns(dict(zip(names, stretches)))
+    before = F.coalesce(F.sum("_c").over(Window.partitionBy(*by).orderBy(*names).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counts = cut.groupBy(*by, *names).agg(F.count(F.lit(1)).alias("_c")).select(before.alias("_before"), *(F.col(c).alias(f"_of_{c}") for c in (*by, *names)))
+    on = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in (*by, *names)])
+    numbered = cut.withColumn(out, F.row_number().over(Window.partitionBy(*by, *names).orderBy(*order)))
+    return numbered.join(counts, on).withColumn(out, F.col(out) + F.col("_before")).select(*df.columns, out)

@@ -443,6 +443,13 @@ QUERIES: dict[str, tuple[Callable[[Tables], DataFrame], str | None]] = {
         m as (select exon_id, avg(n_support) filter (sample_id % 3 = 0) as m0, avg(n_support) filter (sample_id % 3 = 1) as m1, avg(n_support) filter (sample_id % 3 = 2) as m2 from calls c join exons x on c.chrom = x.chrom and c.pos >= x.start_pos and c.pos < x.end_pos group by 1)
         select n.exon_id, n_calls, n_covered, round(log2(n_calls * 1.0 / n_covered), 6) as log_rate, round(log2(m0), 6) as m0, round(log2(m1), 6) as m1, round(log2(m2), 6) as m2 from n join d on n.exon_id = d.exon_id join m on n.exon_id = m.exon_id where m0 > 0 and m1 > 0 and m2 > 0""",
     ),
+    "a48_exon_signal_long": (
+        lambda t: rounded(genes.exon_signal_long(t.exons, t.calls, t.depth, t.sql("select concat('m', sample_id % 3) as mark, chrom, pos, n_support as signal from calls")), "log_rate", "log_signal"),
+        """with n as (select exon_id, count(*) as n_calls from calls c join exons x on c.chrom = x.chrom and c.pos >= x.start_pos and c.pos < x.end_pos group by 1), d as (select exon_id, count(*) as n_covered from depth c join exons x on c.chrom = x.chrom and c.pos >= x.start_pos and c.pos < x.end_pos group by 1),
+        m as (select exon_id, concat('m', sample_id % 3) as mark, avg(n_support) as s from calls c join exons x on c.chrom = x.chrom and c.pos >= x.start_pos and c.pos < x.end_pos group by 1, 2),
+        e as (select exon_id from m where s > 0 group by 1 having count(*) = 3)
+        select n.exon_id, n_calls, n_covered, round(log2(n_calls * 1.0 / n_covered), 6) as log_rate, mark, round(log2(s), 6) as log_signal from n join d on n.exon_id = d.exon_id join e on n.exon_id = e.exon_id join m on n.exon_id = m.exon_id""",
+    ),
     "j1_translate_ids": (
         lambda t: genes.translate_ids(t.calls.select("sample_id", "chrom", "pos"), t.sql("select sample_id, concat('run', sample_id * 3) as run_id from sample_meta where sample_id <> 7"), "sample_id", "run_id"),
         "select c.sample_id, c.chrom, c.pos, case when c.sample_id <> 7 then concat('run', c.sample_id * 3) end as run_id from calls c",

@@ -23,6 +23,36 @@ POSTERIORS = "select variant_id, sample_id, dosage, variant_id % 3 = 0 and sampl
 LAST = "concat(gene_id, chrom, case when strand = '-' then 'm' else 'p' end)"
 
 
+LOG = {"n_input": "Number of input reads", "unique_pct": "Uniquely mapped reads %", "n_unique": "Uniquely mapped reads number", "mismatch_pct": "Mismatch rate per base, %", "n_splices": "Number of splices: Total"}
+PLACED = "select variant_id, sample_id, dosage, concat('chr', variant_id % 5 + 1) as chrom, variant_id * 7 % 80000 as pos from genotypes"
+
+
+def map_text(t: Tables) -> DataFrame:
+    """Calls as lines of files, some of them with missing values."""
+    return t.sql("""select concat('/data/', tissue, '/q30/', sample_id, '.map.gz') as path,
+      concat_ws(chr(9), chrom, pos, ref, alt, case when pos % 7 = 0 then '.' else context end, coverage, case when pos % 4 = 0 then 'NA' else cast(n_support as string) end) as value from calls""")
+
+
+def matrix_text(t: Tables) -> tuple[DataFrame, list[str]]:
+    ids = list(range(40))
+    wide = t.expression.groupBy("gene_id").pivot("sample_id", ids).agg(F.first("tpm"))
+    return wide.select(F.concat_ws("\t", "gene_id", F.lit("-"), *(F.coalesce(F.col(str(i)).cast("string"), F.lit("NA")) for i in ids)).alias("value")), ["Name", "Description", *(f"S{i}" for i in ids)]
+
+
+def log_text(t: Tables) -> DataFrame:
+    numbers = {"n_input": F.col("n") * 3, "unique_pct": F.concat(F.col("age").cast("string"), F.lit("%")), "n_unique": F.col("n_unique_mapped"), "mismatch_pct": F.concat(F.col("bmi").cast("string"), F.lit("%")), "n_splices": F.when(F.col("sample_id") != 3, F.col("n"))}
+    lines = [F.concat(F.lit(f"  {name} |\t"), numbers[k].cast("string")) for k, name in LOG.items()]
+    return t.sample_counts.select(F.col("sample_id").cast("string").alias("sample_id"), F.explode(F.array(*lines, F.lit("UNIQUE READS:"))).alias("value"))
+
+
+def placed_genotypes(t: Tables) -> DataFrame:
+    """Genotypes with a place, a third each as GT, DS and GL."""
+    d, third = F.col("dosage"), F.col("variant_id") % 3
+    gt = F.element_at(F.array(*map(F.lit, ("0/0", "0|1", "1/1"))), d.cast("int") + 1)
+    gl = F.array(*(-1.5 * F.abs(d - i) for i in range(3)))
+    return t.sql(PLACED).select("variant_id", "sample_id", "chrom", "pos", F.when(third == 0, gt).alias("gt"), F.when(third == 1, d.cast("double")).alias("ds"), F.when(third == 2, gl).alias("gl"))
+
+
 def shares(t: Tables) -> DataFrame:
     return profiles.share_within(profiles.type_counts(t.calls, ["sample_id"]), "n", ["sample_id"]).select("sample_id", "mut_type", "share")
 
@@ -163,4 +193,35 @@ QUERIES: dict[str, tuple[Callable[[Tables], DataFrame], str | None]] = {
         lambda t: selection.set_ratio(per_gene(t).withColumn("gene_id", F.split("gene_id", "_")[0]).groupBy("gene_id").agg(F.avg("ratio").alias("ratio")), drivers(t), random_gene_sets(t)),
         None,
     ),
+    "s1_s2_parse_maps": (
+        lambda t: tables.path_columns(tables.parse_tsv(map_text(t), tables.MAP), path=F.col("path")).drop("path"),
+        """select tissue, 'q30' as param_set, cast(sample_id as varchar) as sample_id, chrom, pos, ref, alt, case when pos % 7 <> 0 then context end as context, coverage, case when pos % 4 <> 0 then n_support end as n_support from calls""",
+    ),
+    "s3_parse_intervals": (
+        lambda t: tables.parse_tsv(t.sql("select concat_ws(chr(9), chrom, start_pos, end_pos, exon_id, '.', strand) as value from exons"), tables.BED),
+        "select chrom, start_pos, end_pos, cast(exon_id as varchar) as name, '.' as score, strand from exons",
+    ),
+    "s4_parse_expression": (
+        lambda t: tables.parse_expression(*matrix_text(t), [f"S{i}" for i in range(0, 40, 2)]).filter("tpm is not null"),
+        "select gene_id, concat('S', sample_id) as sample_id, tpm from expression where sample_id % 2 = 0",
+    ),
+    "s6_transpose": (
+        lambda t: tables.transpose(t.sample_meta.select("sample_id", F.col("age").cast("double").alias("age"), "bmi").unpivot(["sample_id"], ["age", "bmi"], "measure", "v").groupBy("measure").pivot("sample_id", list(range(40))).agg(F.first("v")), "measure"),
+        "select cast(sample_id as varchar) as sample_id, cast(age as double) as age, bmi from sample_meta",
+    ),
+    "s7_genotypes_in_regions": (
+        lambda t: rounded(tables.genotypes_in(placed_genotypes(t), t.sql("select chrom, start_pos - 5 as start_pos, end_pos + 5 as end_pos from exons"), t.sql("select sample_id from sample_meta where gender = 1")).select("variant_id", "sample_id", "chrom", "pos", tables.any_dosage().alias("dosage")), "dosage"),
+        f"""with g as ({PLACED}) select variant_id, sample_id, g.chrom, pos, round(case when variant_id % 3 < 2 then dosage
+          else (pow(10, -1.5 * abs(dosage - 1)) + 2 * pow(10, -1.5 * abs(dosage - 2))) / (pow(10, -1.5 * abs(dosage)) + pow(10, -1.5 * abs(dosage - 1)) + pow(10, -1.5 * abs(dosage - 2))) end, 6) as dosage
+        from g join exons e on g.chrom = e.chrom and pos >= start_pos - 5 and pos < end_pos + 5 where sample_id % 2 = 0""",
+    ),
+    "s8_parse_mapping_logs": (
+        lambda t: tables.parse_mapping_logs(log_text(t), LOG),
+        "select cast(sample_id as varchar) as sample_id, cast(n * 3 as double) as n_input, cast(age as double) as unique_pct, cast(n_unique_mapped as double) as n_unique, bmi as mismatch_pct, case when sample_id <> 3 then cast(n as double) end as n_splices from sample_counts",
+    ),
+    "s11_map_lines": (
+        lambda t: tables.map_lines(filters.label(filters.label(t.calls, "low_support", F.col("n_support") < 3), "deep", F.col("coverage") > 150)),
+        """select tissue, sample_id, concat(chrom, chr(9), pos, chr(9), ref, chr(9), alt, chr(9), context, chr(9), coverage, chr(9), n_support, chr(9),
+          case when n_support < 3 and coverage > 150 then 'low_support;deep' when n_support < 3 then 'low_support' when coverage > 150 then 'deep' else 'PASS' end) as value from calls""",
+    ),
 }

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from varloom.functions.scalars import dosage
+
 MAP = "chrom string, pos bigint, ref string, alt string, context string, coverage int, n_support int"
 LABELLED = MAP + ", filter string"
 PILEUP = "chrom string, pos bigint, ref string, a_n int, t_n int, g_n int, c_n int, n_n int, ref_n int, context string"
@@ -14,9 +16,9 @@ BED = "chrom string, start_pos bigint, end_pos bigint, name string, score string
 LAYOUT = r"/([^/]+)/([^/]+)/([^/]+?)(?:\.[a-z]+)*$"
 
 
-def path_columns(df: DataFrame, layout: str = LAYOUT, names: tuple[str, ...] = ("tissue", "param_set", "sample_id")) -> DataFrame:
-    """Adds what the path of a row's file tells."""
-    path = F.col("_metadata.file_path")
+def path_columns(df: DataFrame, layout: str = LAYOUT, names: tuple[str, ...] = ("tissue", "param_set", "sample_id"), path: Column | None = None) -> DataFrame:
+    """Adds what the path of a row's file (or another path) tells."""
+    path = F.col("_metadata.file_path") if path is None else path
     return df.select("*", *[F.regexp_extract(path, layout, i + 1).alias(n) for i, n in enumerate(names)])
 
 
@@ -28,13 +30,27 @@ def read_tsv(spark: SparkSession, path: str, schema: str, layout: str | None = L
     return out.withColumns({c: F.when(F.col(c) != ".", F.col(c)) for c in texts if c not in ("strand", "name", "score")})
 
 
+def parse_tsv(lines: DataFrame, schema: str) -> DataFrame:
+    """Lines of text (value) as columns, beside the lines' other columns, as ``read_tsv`` reads them; a stream's lines too.
+
+    NA and '.' are missing, an empty line has a row of nulls, a field that is no number is null."""
+    rest = [c for c in lines.columns if c != "value"]
+    parsed = lines.select(*rest, F.from_csv("value", schema, {"sep": "\t", "nullValue": "NA", "mode": "PERMISSIVE"}).alias("_row")).select(*rest, "_row.*")
+    texts = [f.name for f in parsed.schema if f.dataType.simpleString() == "string" and f.name not in (*rest, "strand", "name", "score")]
+    return parsed.withColumns({c: F.when(F.col(c) != ".", F.col(c)) for c in texts})
+
+
+def filters_of(text: str) -> Column:
+    """Labels of a filter string as an array, empty for PASS."""
+    return F.when(F.col(text) == "PASS", F.expr("cast(array() as array<string>)")).otherwise(F.split(text, ";"))
+
+
 def read_map(spark: SparkSession, path: str, labelled: bool = False) -> DataFrame:
     """Mutation maps; the filter string of labelled ones becomes an array, empty for PASS."""
     df = read_tsv(spark, path, LABELLED if labelled else MAP)
     if not labelled:
         return df
-    labels = F.when(F.col("filter") == "PASS", F.expr("cast(array() as array<string>)")).otherwise(F.split("filter", ";"))
-    return df.withColumn("filters", labels).drop("filter")
+    return df.withColumn("filters", filters_of("filter")).drop("filter")
 
 
 def read_bed(spark: SparkSession, path: str, one_based: bool = False) -> DataFrame:
@@ -48,6 +64,12 @@ def read_expression(spark: SparkSession, path: str, samples: list[str] | None =
     samples asked for are parsed."""
     lines = spark.read.text(path)
     header = lines.filter(F.col("value").startswith(gene + "\t")).first()[0].split("\t")
+    return parse_expression(lines, header, samples)
+
+
+def parse_expression(lines: DataFrame, header: list[str], samples: list[str] | None = None) -> DataFrame:
+    """Lines of a gene by sample matrix as (gene_id, sample_id, tpm), given its header; lines of another width are left out."""
+    gene = header[0]
     wanted = [(i, c) for i, c in enumerate(header) if i > 1 and (samples is None or c in set(samples))]
     cells = lines.select(F.split("value", "\t").alias("c")).filter((F.size("c") == len(header)) & (F.col("c")[0] != gene))
     values = F.array(*[F.struct(F.lit(c).alias("sample_id"), F.col("c")[i].try_cast("double").alias("tpm")) for i, c in wanted])
@@ -76,9 +98,31 @@ def read_genotypes(spark: SparkSession, path: str, chrom: str, start: int, end:
     return df.filter(F.col("sample_id").isin(*samples)) if samples is not None else df
 
 
+def genotypes_in(genotypes: DataFrame, regions: DataFrame, samples: DataFrame | None = None) -> DataFrame:
+    """Genotypes inside any of the regions (chrom, start_pos, end_pos; any number), of samples that are listed, each row once.
+
+    Regions that touch are merged first; the join is on (chromosome, bin), so neither side need be small.
+    """
+    from varloom.operators.intervals import merge_intervals, overlap_join
+
+    inside = overlap_join(genotypes, merge_intervals(regions.select("chrom", "start_pos", "end_pos")), "left_semi")
+    return inside.join(samples.select("sample_id").distinct(), "sample_id", "left_semi") if samples is not None else inside
+
+
+def any_dosage(gt: str = "gt", ds: str = "ds", gl: str = "gl") -> Column:
+    """Alternate alleles from what a row has: DS, else GT, else what is expected of GL (log10 likelihoods of 0, 1 and 2)."""
+    weights = F.transform(gl, lambda x: F.pow(F.lit(10.0), x - F.array_max(gl)))
+    expected = F.when(F.size(gl) == 3, (weights[1] + 2 * weights[2]) / (weights[0] + weights[1] + weights[2]))
+    return F.coalesce(F.col(ds).cast("double"), dosage(gt).cast("double"), expected)
+
+
 def read_mapping_logs(spark: SparkSession, path: str, fields: dict[str, str]) -> DataFrame:
     """Numbers from logs of the form 'name | number', one row per sample (the file's name)."""
-    lines = path_columns(spark.read.option("recursiveFileLookup", True).text(path), r"/([^/]+?)(?:\.[A-Za-z.]+)*$", ("sample_id",))
+    return parse_mapping_logs(path_columns(spark.read.option("recursiveFileLookup", True).text(path), r"/([^/]+?)(?:\.[A-Za-z.]+)*$", ("sample_id",)), fields)
+
+
+def parse_mapping_logs(lines: DataFrame, fields: dict[str, str]) -> DataFrame:
+    """Numbers from lines (sample_id, value) of the form 'name | number', one row per sample."""
     name, value = F.trim(F.regexp_extract("value", r"^\s*(.*?)\s*\|", 1)), F.regexp_extract("value", r"\|\s*([0-9.]+)%?\s*$", 1)
     return lines.groupBy("sample_id").agg(*[F.max(F.when(name == v, value.try_cast("double"))).alias(k) for k, v in fields.items()])
 
@@ -100,6 +144,14 @@ def write_table(df: DataFrame, path: str, by: str = "tissue") -> None:
     df.repartition(by, F.pmod(F.xxhash64(*df.columns), F.lit(8))).write.partitionBy(by).mode("overwrite").parquet(path)
 
 
+def map_lines(labelled: DataFrame) -> DataFrame:
+    """Labelled calls as the lines (tissue, sample_id, value) that a file of them has; missing values are NA."""
+    from varloom.operators.filters import filter_string
+
+    fields = [*(F.coalesce(F.col(c.split()[0]).cast("string"), F.lit("NA")) for c in MAP.split(", ")), filter_string()]
+    return labelled.select("tissue", "sample_id", F.concat_ws("\t", *fields).alias("value"))
+
+
 def write_map(labelled: DataFrame, path: str) -> None:
     """Labelled calls as tab-separated files by tissue, with the filter string."""
     from varloom.operators.filters import filter_string
