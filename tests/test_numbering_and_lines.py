@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from varloom.operators import cohort, filters, genes, stats, windows
+from varloom.operators import cohort, filters, genes, regression, stats, windows
 from varloom.sources import tables
 
 
@@ -91,3 +91,28 @@ def test_marks_as_rows(spark):
     for r in long:
         w = wide[r["exon_id"]]
         assert (r["n_calls"], r["n_covered"], r["log_rate"], r["log_signal"]) == (w["n_calls"], w["n_covered"], w["log_rate"], w[r["mark"]])
+
+
+def test_p_by_permutation(spark):
+    draw = np.random.default_rng(8)
+    x = np.arange(12.0)
+    rows = [(g, i, float(a), float(b)) for g, y in (("linked", 2 * x + draw.normal(0, 0.1, 12)), ("none", draw.normal(0, 1, 12)), ("constant", np.ones(12))) for i, (a, b) in enumerate(zip(x, y))]
+    df = spark.createDataFrame(rows, "g string, unit int, x double, y double")
+    got = stats.permuted_p(df, "x", "y", "unit", ["g"], 19).collect()
+    by = {g: {r["perm_id"]: r for r in got if r["g"] == g} for g in ("linked", "none", "constant")}
+    assert all(set(v) == set(range(20)) for v in by.values())
+    assert by["linked"][0]["p"] == 1 / 20 and all(r["p"] == 1 for r in by["constant"].values()) and by["constant"][0]["r"] is None
+    for k, r in by["none"].items():
+        assert r["p"] == sum(round(abs(o["r"]), 9) >= round(abs(r["r"]), 9) for o in by["none"].values()) / 20
+    assert by["none"][0]["r"] == pytest.approx(np.corrcoef(x, [r[3] for r in rows if r[0] == "none"])[0, 1])
+
+
+def test_sigma_of_fitted_models(spark):
+    draw = np.random.default_rng(9)
+    a, b = draw.normal(size=30), draw.normal(size=30)
+    y = 1 + 2 * a - b + draw.normal(size=30)
+    df = spark.createDataFrame([("g", *map(float, r)) for r in zip(y, a, b)] + [("two", 1.0, 1.0, 2.0), ("two", 2.0, 2.0, 5.0)], "g string, y double, a double, b double")
+    got = regression.fitted_models(df, "y", ["a", "b"], ["g"]).collect()
+    X = np.stack([np.ones(30), a, b], 1)
+    rest = y - X @ np.linalg.lstsq(X, y, rcond=None)[0]
+    assert len(got) == 32 and all(r["sigma"] == pytest.approx(np.sqrt(rest @ rest / 27)) for r in got if r["g"] == "g") and all(r["sigma"] is None for r in got if r["g"] == "two")

@@ -256,6 +256,20 @@ def permute(df: DataFrame, key: list[str], value: str, unit: str, n: int, seed:
     return to.join(dealt, ["perm_id", *key, "_k"]).drop("_k")
 
 
+def permuted_p(df: DataFrame, x: str, y: str, unit: str, key: list[str], n: int = 99, seed: int = 1) -> DataFrame:
+    """Two-sided p of each group's correlation and of each of n permutations of it: (key, perm_id, r, p), perm_id 0 for the real one.
+
+    The p of each is the share of all n + 1 that are as far from 0 (to nine digits), itself included, so real and
+    permuted ones are worked out alike.  A correlation that is not defined counts as 0.
+    """
+    rows = df.select(*key, unit, x, y)
+    drawn = permute(rows, key, y, unit, n, seed).unionByName(rows.withColumn("perm_id", F.lit(0)))
+    r = correlate(drawn, x, y, [*key, "perm_id"], with_p=False).select(*key, "perm_id", "r")
+    far = r.withColumn("_a", F.round(F.abs(F.coalesce("r", F.lit(0.0))), 9))
+    as_far = F.count(F.lit(1)).over(Window.partitionBy(*key).orderBy(F.col("_a").desc()).rangeBetween(Window.unboundedPreceding, 0))  # n + 1 rows
+    return far.withColumn("p", as_far / (n + 1.0)).drop("_a")
+
+
 def adjust(df: DataFrame, p: str, key: list[str], method: str = "bh", out: str = "p_adjusted") -> DataFrame:
     """Adjusted p-values of each group.
 

@@ -62,6 +62,27 @@ def pvalues(t: Tables) -> DataFrame:
     return t.sql("select tissue, concat(chrom, '_', pos) as id, round((n_support % 50 + 0.5) / 50.0, 6) as p from calls")
 
 
+ROUNDS = 9
+#: p of each gene's correlation of expression and calls over a tissue's samples (b = 0) and of its permutations, by rank among them.
+GENE_P = f"""gn as (select gene_id, sample_id, count(*) as n from gene_calls group by 1, 2),
+ ec as (select e.gene_id, m.tissue, e.sample_id, e.tpm, coalesce(g.n, 0) as n from expression e join sample_meta m on e.sample_id = m.sample_id left join gn g on g.gene_id = e.gene_id and g.sample_id = e.sample_id),
+ eu as (select *, row_number() over (partition by tissue, gene_id order by sample_id) as k from ec),
+ ev as (select b, gene_id, tissue, n, row_number() over (partition by b, gene_id, tissue order by md5(concat('1|', b, '|', sample_id)), sample_id) as k from ec, range(1, {ROUNDS + 1}) x(b)),
+ rr as (select gene_id, tissue, 0 as b, tpm as x, n as y from ec union all select u.gene_id, u.tissue, v.b, u.tpm, v.n from eu u join ev v on u.gene_id = v.gene_id and u.tissue = v.tissue and u.k = v.k),
+ ra as (select gene_id, tissue, b, round(case when stddev_pop(x) > 0 and stddev_pop(y) > 0 then abs(covar_pop(x, y) / stddev_pop(x) / stddev_pop(y)) else 0 end, 9) as a from rr group by 1, 2, 3),
+ gp as (select gene_id, tissue, b, count(*) over (partition by gene_id, tissue order by a desc) / {ROUNDS + 1}.0::double as p from ra)"""
+
+
+def gene_p(t: Tables) -> DataFrame:
+    both = genes.expression_with_counts(t.expression, genes.gene_counts(t.gene_calls)).join(t.sample_meta.select("sample_id", "tissue"), "sample_id")
+    return stats.permuted_p(both, "tpm", "n", "sample_id", ["gene_id", "tissue"], ROUNDS)
+
+
+def real_and_permuted(t: Tables) -> tuple[DataFrame, DataFrame]:
+    p = gene_p(t)
+    return p.filter("perm_id = 0").drop("perm_id"), p.filter("perm_id > 0")
+
+
 def stranded(t: Tables) -> DataFrame:
     return genes.transcribed_strand(t.gene_calls)
 
@@ -253,8 +274,8 @@ QUERIES: dict[str, tuple[Callable[[Tables], DataFrame], str | None]] = {
         f"with {PVALUES}, n as (select count(*) as m from pv) select tissue, round(min(least(1.0, p / 1000 * m)), 6) as least, round(avg(least(1.0, p / 1000 * m)), 6) as mean from pv, n group by 1",
     ),
     "t6_permutation_fdr": (
-        lambda t: rounded(stats.permutation_fdr(pvalues(t).filter("tissue = 'T0'"), pvalues(t).filter("tissue <> 'T0'")), "fdr"),
-        f"""with {PVALUES}, pt as (select p, count(*) filter (tissue = 'T0') as a, count(*) filter (tissue <> 'T0') as b from pv group by 1),
+        lambda t: rounded(stats.permutation_fdr(*real_and_permuted(t)), "fdr"),
+        f"""with {GENE_P}, pt as (select p, count(*) filter (b = 0) as a, count(*) filter (b > 0) as b from gp group by 1),
         f as (select p, a, sum(b) over (order by p) * 1.0 / sum(b) over () * sum(a) over () / sum(a) over (order by p) as fdr from pt) select p, a as n, round(fdr, 6) as fdr from f where a > 0""",
     ),
     "t7_uniform_fdr": (

@@ -8,17 +8,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from varloom.functions import scalars
-from varloom.operators import filters, genes, intervals, profiles, selection, stats, summaries
+from varloom.operators import filters, genes, intervals, profiles, regression, selection, stats, summaries
 from varloom.plans.calls_queries import TYPE, rounded
 from varloom.plans.projections import Tables
 from varloom.plans.reads_queries import REF, genome
-from varloom.plans.stats_queries import IMPACT, annotated, drivers, opportunity
+from varloom.plans.stats_queries import GENE_P, IMPACT, annotated, drivers, opportunity, real_and_permuted
 from varloom.sources import tables
 
 SHARES = f"c as (select sample_id, {TYPE} as mut_type, count(*) as n from calls group by 1, 2), sh as (select sample_id, mut_type, n * 1.0 / sum(n) over (partition by sample_id) as share from c)"
 SIGNATURE = "select gene_id, avg(tpm) as level from expression where sample_id >= 30 group by 1"
-GENE_P = "select gene_id, tissue, cast((n % 50) * 2 + 1 as double) / 100 as p from (select gene_id, tissue, count(*) as n from gene_calls group by 1, 2) k"
-GENE_P_DRAWN = "select b as perm_id, gene_id, tissue, cast((n * (b + 3) % 50) * 2 + 1 as double) / 100 as p from (select gene_id, tissue, count(*) as n from gene_calls group by 1, 2) k cross join (values (1), (2), (3), (4)) v(b)"
 POSTERIORS = "select variant_id, sample_id, dosage, variant_id % 3 = 0 and sample_id = variant_id % 40 as unsure from genotypes"
 LAST = "concat(gene_id, chrom, case when strand = '-' then 'm' else 'p' end)"
 
@@ -72,11 +70,9 @@ def boundaries(t: Tables) -> DataFrame:
 
 
 def fits(t: Tables) -> DataFrame:
-    """Calls of each sample and type with the mean and sd of its tissue's."""
-    return t.sql(
-        f"""with c as (select tissue, sample_id, {TYPE} as mut_type, count(*) as n from calls group by 1, 2, 3), s as (select tissue, mut_type, stddev_samp(n) as sigma from c group by 1, 2)
-        select c.tissue, c.mut_type, c.sample_id, cast(n as double) as fitted, sigma from c join s on c.tissue = s.tissue and c.mut_type = s.mut_type"""
-    )
+    """Calls of each sample and type with what a model of age and bmi in its tissue fits to them, and the model's sigma."""
+    n = profiles.type_counts(t.calls, ["tissue", "sample_id"]).join(t.sample_meta.select("sample_id", "age", "bmi"), "sample_id")
+    return regression.fitted_models(n, "n", ["age", "bmi"], ["tissue", "mut_type"])
 
 
 def random_gene_sets(t: Tables) -> DataFrame:
@@ -154,17 +150,22 @@ QUERIES: dict[str, tuple[Callable[[Tables], DataFrame], str | None]] = {
         select count(*) as n, round(corr(x, y), 5) as r from c""",
     ),
     "r12_gene_fdr": (
-        lambda t: rounded(summaries.association_fdr(t.sql(GENE_P), t.sql(GENE_P_DRAWN), ["gene_id"]), "statistic", "fdr"),
-        f"""with r as (select gene_id, round(-2 * sum(ln(p)), 9) as s, count(*) as k from ({GENE_P}) a group by 1), d as (select round(-2 * sum(ln(p)), 9) as s from ({GENE_P_DRAWN}) a group by gene_id, perm_id)
+        lambda t: rounded(summaries.association_fdr(*real_and_permuted(t), ["gene_id"]), "statistic", "fdr"),
+        f"""with {GENE_P}, r as (select gene_id, round(-2 * sum(ln(p)), 9) as s, count(*) as k from gp where b = 0 group by 1), d as (select round(-2 * sum(ln(p)), 9) as s from gp where b > 0 group by gene_id, b)
         select gene_id, round(s, 6) as statistic, k as n_tests, round(least(1.0, (select count(*) from d where d.s >= r.s) * 1.0 / (select count(*) from d) * (select count(*) from r) / (select count(*) from r x where x.s >= r.s)), 6) as fdr from r""",
     ),
     "r12_pathway_fdr": (
-        lambda t: rounded(summaries.association_fdr(*(t.sql(x).withColumn("pathway", F.substring("gene_id", -1, 1)) for x in (GENE_P, GENE_P_DRAWN)), ["pathway", "tissue"], ["tissue"]), "statistic", "fdr"),
-        f"""with r as (select right(gene_id, 1) as pathway, tissue, round(-2 * sum(ln(p)), 9) as s, count(*) as k from ({GENE_P}) a group by 1, 2), d as (select tissue, round(-2 * sum(ln(p)), 9) as s from ({GENE_P_DRAWN}) a group by tissue, right(gene_id, 1), perm_id)
+        lambda t: rounded(summaries.association_fdr(*(x.withColumn("pathway", F.substring("gene_id", -1, 1)) for x in real_and_permuted(t)), ["pathway", "tissue"], ["tissue"]), "statistic", "fdr"),
+        f"""with {GENE_P}, r as (select right(gene_id, 1) as pathway, tissue, round(-2 * sum(ln(p)), 9) as s, count(*) as k from gp where b = 0 group by 1, 2), d as (select tissue, round(-2 * sum(ln(p)), 9) as s from gp where b > 0 group by tissue, right(gene_id, 1), b)
         select pathway, tissue, round(s, 6) as statistic, k as n_tests, round(least(1.0, (select count(*) from d where d.tissue = r.tissue and d.s >= r.s) * 1.0 / (select count(*) from d where d.tissue = r.tissue)
         * (select count(*) from r y where y.tissue = r.tissue) / (select count(*) from r x where x.tissue = r.tissue and x.s >= r.s)), 6) as fdr from r""",
     ),
     "r13_simulated_medians": (lambda t: summaries.simulated_medians(fits(t), ["tissue", "mut_type"], "sample_id", 200, 200), None),
+    "r13_fitted_models": (
+        lambda t: rounded(regression.fitted_models(t.sample_counts, "n", ["age"], ["tissue"]).select("sample_id", "tissue", "n", "fitted", "sigma"), "fitted", "sigma", digits=4),
+        """with f as (select tissue, regr_intercept(n, age) as a, regr_slope(n, age) as b from sample_counts group by 1), r as (select s.sample_id, s.tissue, n, a + b * age as fitted from sample_counts s join f on s.tissue = f.tissue)
+        select sample_id, tissue, n, round(fitted, 4) as fitted, round(sqrt(sum(pow(n - fitted, 2)) over (partition by tissue) / (count(*) over (partition by tissue) - 2)), 4) as sigma from r""",
+    ),
     "t14_profile_ratio": (
         lambda t: rounded(summaries.profile_ratio(t.expression, shares(t), n=20), "log2_ratio", "perm_mean", "p_permuted", digits=5),
         f"""with {SHARES}, q as (select gene_id, quantile_cont(tpm, 0.2) as a, quantile_cont(tpm, 0.8) as b from expression group by 1),
