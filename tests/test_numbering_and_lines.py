@@ -116,3 +116,21 @@ def test_sigma_of_fitted_models(spark):
     X = np.stack([np.ones(30), a, b], 1)
     rest = y - X @ np.linalg.lstsq(X, y, rcond=None)[0]
     assert len(got) == 32 and all(r["sigma"] == pytest.approx(np.sqrt(rest @ rest / 27)) for r in got if r["g"] == "g") and all(r["sigma"] is None for r in got if r["g"] == "two")
+
+
+def test_exact_quantiles_are_those_of_percentile(spark):
+    draw = random.Random(7)
+    kinds = {"a": lambda: draw.gauss(0, 1e-3), "b": lambda: float(draw.randrange(-3, 4)), "c": lambda: draw.choice([None, 1.5, -1e300, 1e-310, float("inf")]), None: lambda: draw.random(), "none": lambda: None, "one": lambda: 0.25}
+    rows = [(g, f()) for g, f in kinds.items() for _ in range(1 if g == "one" else 150)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    probabilities = [0.0, 0.15, 0.25, 0.5, 1 / 3, 0.99, 1.0]
+    wanted = F.percentile("v", F.array(*map(F.lit, probabilities))).alias("q")
+    got = {r["g"]: r["q"] for r in windows.exact_quantiles(df, "v", ["g"], probabilities, "q").collect()}
+    expected = {r["g"]: r["q"] for r in df.groupBy("g").agg(wanted).collect()}
+    assert set(got) == set(expected)
+    for g in got:
+        assert got[g] is None and expected[g] is None if g == "none" else got[g] == pytest.approx(expected[g], rel=1e-12, nan_ok=True), g
+    some = df.filter("g in ('a', 'b')")
+    assert windows.exact_quantiles(some, "v", [], probabilities, "q").first()["q"] == pytest.approx(some.agg(wanted).first()["q"], rel=1e-12)
+    assert windows.exact_quantiles(df.limit(0), "v", [], [0.5], "q").collect() == [(None,)] and windows.exact_quantiles(df.limit(0), "v", ["g"], [0.5]).count() == 0
+    assert windows.exact_quantiles(spark.range(101), F.col("id") * 2, [], [0.5], "q").first()["q"] == [100.0]

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from varloom.functions.scalars import mutation_type
 from varloom.operators.intervals import overlap_join
-from varloom.operators.windows import number_rows
+from varloom.operators.windows import exact_quantiles, number_rows
 
 ALLELE = ["chrom", "pos", "ref", "alt"]
 
@@ -54,7 +54,7 @@ def frequency_summary(frequencies: DataFrame, by: str = "tissue") -> DataFrame:
 
 def vaf_quantiles(calls: DataFrame, probabilities: tuple[float, ...] = (0.0, 0.25, 0.5, 0.75, 1.0)) -> DataFrame:
     vaf = F.col("n_support") / F.col("coverage")
-    values = calls.agg(F.percentile(vaf, F.array(*map(F.lit, probabilities))).alias("v"))
+    values = exact_quantiles(calls, vaf, [], list(probabilities), "v")
     return values.select(F.explode(F.arrays_zip(F.array(*map(F.lit, probabilities)).alias("p"), F.col("v"))).alias("z")).select(F.col("z.p").alias("p"), F.col("z.v").alias("vaf"))
 
 

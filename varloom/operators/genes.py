@@ -300,8 +300,12 @@ def translate_ids(df: DataFrame, id_map: DataFrame, source: str, target: str) ->
 
 
 def meta_summary(results: DataFrame, key: str = "gene_id") -> DataFrame:
-    """Signs and Fisher's statistic of a gene over tissues (gene_id, beta, p)."""
+    """Signs of a gene over tissues (gene_id, beta, p), and Fisher's combination of its p-values: statistic, p_combined and BH over the genes.
+
+    A missing beta has no sign and a missing p does not count; a gene without any p has nulls.
+    """
     c: Column = F.col("beta")
-    return results.groupBy(key).agg(
-        F.count_if(c > 0).alias("n_up"), F.count_if(c < 0).alias("n_down"), (-2 * F.sum(F.log("p"))).alias("statistic"), F.log2((F.count_if(c > 0) + 1) / (F.count_if(c < 0) + 1)).alias("sign_ratio")
+    out = results.groupBy(key).agg(
+        F.count_if(c > 0).alias("n_up"), F.count_if(c < 0).alias("n_down"), F.count("p").alias("n_tests"), (-2 * F.sum(F.log(F.greatest("p", F.lit(1e-300))))).alias("statistic"), F.log2((F.count_if(c > 0) + 1) / (F.count_if(c < 0) + 1)).alias("sign_ratio")
     )
+    return adjust(out.withColumn("p_combined", chi2_p("statistic", 2.0 * F.col("n_tests"))), "p_combined", [], out="p_adjusted")

@@ -23,10 +23,45 @@ def distance_summary(calls: DataFrame, key: list[str]) -> DataFrame:
     )
 
 
+def _same(names: list[str], other: str = "_of_") -> Column:
+    """Names that agree with those of the other side, which begin with ``other``; nulls agree."""
+    return reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"{other}{c}")) for c in names], F.lit(True))
+
+
+def exact_quantiles(df: DataFrame, value: Column | str, key: list[str], probabilities: list[float], out: str = "_q") -> DataFrame:
+    """Quantiles of each group as ``percentile`` has them (linear, nulls left out), an array in the order of ``probabilities``.
+
+    No task holds the distinct values of a group.  Those are counted, and their counts added up by stretches of values (64
+    for each power of two), so that the stretch of a place in the order is known; only the stretches that a quantile needs are
+    ordered.  NaN is above all numbers.  A group without values has null.
+    """
+    v = (F.col(value) if isinstance(value, str) else value).cast("double")
+    size = 64 * (F.greatest(F.lit(-1099.0), F.least(F.lit(1099.0), F.log2(F.abs("_v")))) + 1100)
+    stretch = F.when(F.isnan("_v"), 1 << 20).when(F.col("_v") == 0, 0).when(F.col("_v").isNotNull(), (F.signum("_v") * F.floor(size)).cast("int"))
+    cut = df.groupBy(*key, v.alias("_v")).agg(F.count(v).alias("_c")).withColumn("_s", stretch)
+    along = lambda by, order: F.coalesce(F.sum("_c").over(Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sums = cut.groupBy(*key, "_s").agg(F.sum("_c").alias("_c")).withColumn("_before", along(key, "_s")).withColumn("_all", F.sum("_c").over(Window.partitionBy(*key)))
+    places = F.explode(F.array(*[F.struct(F.lit(i).alias("_i"), (F.lit(float(p)) * (F.col("_all") - 1)).alias("_at")) for i, p in enumerate(probabilities)]))
+    named = [F.col(c).alias(f"_of_{c}") for c in (*key, "_s")]
+    asked = sums.filter("_c > 0").select(*named, "_before", "_c", places.alias("_p")).select("*", "_p.*", F.explode(F.array_distinct(F.array(F.floor("_p._at"), F.ceil("_p._at")))).alias("_place"))
+    asked = asked.filter((F.col("_place") >= F.col("_before")) & (F.col("_place") < F.col("_before") + F.col("_c"))).drop("_c", "_p")
+    inside = cut.filter("_c > 0").join(asked.select(*(f"_of_{c}" for c in (*key, "_s"))).distinct(), _same([*key, "_s"]), "left_semi").withColumn("_from", along([*key, "_s"], "_v"))
+    reached = F.col("_place") - F.col("_before")
+    found = asked.join(inside, _same([*key, "_s"]) & (reached >= F.col("_from")) & (reached < F.col("_from") + F.col("_c")))
+    share = F.first("_at") - F.floor(F.first("_at"))
+    between = F.when(F.min("_v") == F.max("_v"), F.min("_v")).otherwise((1 - share) * F.min("_v") + share * F.max("_v"))
+    each = found.groupBy(*(f"_of_{c}" for c in key), "_i").agg(between.alias("_x"))
+    arrays = each.groupBy(*(f"_of_{c}" for c in key)).agg(F.transform(F.array_sort(F.collect_list(F.struct("_i", "_x"))), lambda e: e["_x"]).alias(out))
+    whole = sums.groupBy(*key).agg(F.max("_all").alias("_all"))
+    if not key:
+        return whole.join(F.broadcast(arrays), F.col("_all") > 0, "left").select(out)  # one row each
+    return whole.join(arrays, _same(key), "left").select(*key, out)
+
+
 def below_percentile(df: DataFrame, value: str, p: float, key: list[str]) -> DataFrame:
     """Rows whose value is below the key's percentile."""
-    cut = df.groupBy(*key).agg(F.percentile(value, F.lit(p)).alias("_cut"))
-    return df.join(cut, key).filter(F.col(value) < F.col("_cut")).drop("_cut")
+    cut = exact_quantiles(df, value, key, [p], "_cut")
+    return df.join(cut, key).filter(F.col(value) < F.col("_cut")[0]).drop("_cut")
 
 
 def step_score(df: DataFrame, value: str, order: str, k: int, key: list[str] | None = None) -> DataFrame:
@@ -77,8 +112,7 @@ def top_hits(hits: DataFrame, k: int) -> DataFrame:
 def quantile_groups(df: DataFrame, value: str, groups: int, key: list[str] | None = None) -> DataFrame:
     """Adds the interval (1 .. groups - 1) of ``groups`` evenly spaced quantiles that holds the value, the
     last one closed; equal values share a group."""
-    points = F.array(*[F.lit(i / (groups - 1)) for i in range(groups)])
-    cuts = df.groupBy(*(key or [])).agg(F.percentile(value, points).alias("_q"))
+    cuts = exact_quantiles(df, value, key or [], [i / (groups - 1) for i in range(groups)])
     joined = df.join(cuts, key) if key else df.join(F.broadcast(cuts), how="cross")  # one row
     at = F.size(F.filter("_q", lambda q: q <= F.col(value)))
     return joined.withColumn("quantile_group", F.greatest(F.lit(1), F.least(F.lit(groups - 1), at))).drop("_q")
@@ -88,8 +122,8 @@ def residual_in_group(df: DataFrame, value: str, by: str, groups: int = 100, key
     """Value less the median of the rows in its quantile group of ``by``."""
     grouped = quantile_groups(df, by, groups, key)
     keys = [*(key or []), "quantile_group"]
-    medians = grouped.groupBy(*keys).agg(F.percentile(value, F.lit(0.5)).alias("_m"))
-    return grouped.join(medians, keys).withColumn("residual", F.col(value) - F.col("_m")).drop("_m")
+    medians = exact_quantiles(grouped, value, keys, [0.5], "_m")
+    return grouped.join(medians, keys).withColumn("residual", F.col(value) - F.col("_m")[0]).drop("_m")
 
 
 def average_rank(value: str, key: list[str]) -> Column:
@@ -108,7 +142,7 @@ def rankit(df: DataFrame, value: str, key: list[str], out: str = "rankit") -> Da
 
 def quartile_contrast(df: DataFrame, value: str, key: list[str]) -> DataFrame:
     """Rows in the lowest and highest quarter of the key's values, labelled low and high."""
-    cuts = df.groupBy(*key).agg(F.percentile(value, F.array(F.lit(0.25), F.lit(0.75))).alias("_q"))
+    cuts = exact_quantiles(df, value, key, [0.25, 0.75])
     side = F.when(F.col(value) <= F.col("_q")[0], "low").when(F.col(value) >= F.col("_q")[1], "high")
     return df.join(cuts, key).withColumn("side", side).filter("side is not null").drop("_q")
 
@@ -137,6 +171,5 @@ def number_rows(df: DataFrame, by: list[str], stretches: list[Column], order: li
     cut = df.withColumns(dict(zip(names, stretches)))
     before = F.coalesce(F.sum("_c").over(Window.partitionBy(*by).orderBy(*names).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     counts = cut.groupBy(*by, *names).agg(F.count(F.lit(1)).alias("_c")).select(before.alias("_before"), *(F.col(c).alias(f"_of_{c}") for c in (*by, *names)))
-    on = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in (*by, *names)])
     numbered = cut.withColumn(out, F.row_number().over(Window.partitionBy(*by, *names).orderBy(*order)))
-    return numbered.join(counts, on).withColumn(out, F.col(out) + F.col("_before")).select(*df.columns, out)
+    return numbered.join(counts, _same([*by, *names])).withColumn(out, F.col(out) + F.col("_before")).select(*df.columns, out)

@@ -69,8 +69,12 @@ GENE_P = f"""gn as (select gene_id, sample_id, count(*) as n from gene_calls gro
  eu as (select *, row_number() over (partition by tissue, gene_id order by sample_id) as k from ec),
  ev as (select b, gene_id, tissue, n, row_number() over (partition by b, gene_id, tissue order by md5(concat('1|', b, '|', sample_id)), sample_id) as k from ec, range(1, {ROUNDS + 1}) x(b)),
  rr as (select gene_id, tissue, 0 as b, tpm as x, n as y from ec union all select u.gene_id, u.tissue, v.b, u.tpm, v.n from eu u join ev v on u.gene_id = v.gene_id and u.tissue = v.tissue and u.k = v.k),
- ra as (select gene_id, tissue, b, round(case when stddev_pop(x) > 0 and stddev_pop(y) > 0 then abs(covar_pop(x, y) / stddev_pop(x) / stddev_pop(y)) else 0 end, 9) as a from rr group by 1, 2, 3),
- gp as (select gene_id, tissue, b, count(*) over (partition by gene_id, tissue order by a desc) / {ROUNDS + 1}.0::double as p from ra)"""
+ ra as (select gene_id, tissue, b, round(case when stddev_pop(x) > 0 and stddev_pop(y) > 0 then abs(covar_pop(x, y) / stddev_pop(x) / stddev_pop(y)) else 0 end, 9) as a, covar_pop(x, y) as c from rr group by 1, 2, 3),
+ gp as (select gene_id, tissue, b, c, count(*) over (partition by gene_id, tissue order by a desc) / {ROUNDS + 1}.0::double as p from ra)"""
+
+
+#: Upper tail of chi-squared at a value, with twice a whole number of degrees of freedom.
+EVEN_TAIL = "case when {0} <= 0 then 1 else list_sum(list_transform(range(0, {1}), lambda i: exp(i * ln({0} / 2.0) - {0} / 2.0 - lgamma(i + 1)))) end"
 
 
 def gene_p(t: Tables) -> DataFrame:
@@ -293,7 +297,10 @@ QUERIES: dict[str, tuple[Callable[[Tables], DataFrame], str | None]] = {
         lambda t: rounded(stats.fisher_combine(pvalues(t), "p", ["tissue"], with_p=False), "statistic"),
         f"with {PVALUES} select tissue, round(-2 * sum(ln(p)), 6) as statistic, count(*) as n from pv group by 1",
     ),
-    "t9_fisher_p": (lambda t: stats.fisher_combine(pvalues(t), "p", ["tissue", "id"]), None),
+    "t9_fisher_p": (
+        lambda t: rounded(stats.fisher_combine(pvalues(t), "p", ["tissue", "id"]), "statistic", "p_combined"),
+        f"with {PVALUES}, s as (select tissue, id, -2 * sum(ln(p)) as st, count(*) as n from pv group by 1, 2) select tissue, id, n, round(st, 6) as statistic, round({EVEN_TAIL.format('st', 'n')}, 6) as p_combined from s",
+    ),
     "t10_binomial_enrichment": (
         lambda t: rounded(stats.binomial_enrichment(t.sql("select g.tissue, g.gene_id, g.n, k.total, 1.0D / 40 as share from (select tissue, gene_id, count(*) as n from gene_calls group by 1, 2) g join (select tissue, count(*) as total from gene_calls group by 1) k on g.tissue = k.tissue"), ["tissue"], "share").select("tissue", "gene_id", "n", "p_low", "p_high", "fdr"), "p_low", "p_high", "fdr"),
         """with g as (select tissue, gene_id, count(*) as n from gene_calls group by 1, 2), k as (select tissue, count(*) as total from gene_calls group by 1),
@@ -516,8 +523,10 @@ QUERIES: dict[str, tuple[Callable[[Tables], DataFrame], str | None]] = {
         select tissue_a, tissue_b, mut_type, n, round(r, 4) as r, round(r * sqrt((n - 2) / (1 - r * r)), 4) as t from p where n >= 5""",
     ),
     "r11_meta_summary": (
-        lambda t: rounded(genes.meta_summary(t.sql("select gene_id, tpm - 38.0D as beta, (sample_id + 1) / 41.0D as p from expression")), "statistic", "sign_ratio"),
-        "select gene_id, count(*) filter (tpm - 38.0 > 0) as n_up, count(*) filter (tpm - 38.0 < 0) as n_down, round(-2 * sum(ln((sample_id + 1) / 41.0)), 6) as statistic, round(log2((count(*) filter (tpm - 38.0 > 0) + 1.0) / (count(*) filter (tpm - 38.0 < 0) + 1)), 6) as sign_ratio from expression group by 1",
+        lambda t: rounded(genes.meta_summary(real_and_permuted(t)[0].withColumnRenamed("r", "beta")), "statistic", "sign_ratio", "p_combined", "p_adjusted", digits=5),
+        f"""with {GENE_P}, s as (select gene_id, count(*) filter (c > 0) as n_up, count(*) filter (c < 0) as n_down, count(*) as n_tests, -2 * sum(ln(p)) as st from gp where b = 0 group by 1),
+        f as (select *, {EVEN_TAIL.format("st", "n_tests")} as p from s), o as (select *, count(*) over () * p / count(*) over (order by p) as q from f)
+        select gene_id, n_up, n_down, n_tests, round(st, 5) as statistic, round(log2((n_up + 1.0) / (n_down + 1)), 5) as sign_ratio, round(p, 5) as p_combined, round(least(1.0, min(q) over (order by p desc)), 5) as p_adjusted from o""",
     ),
     "r14_paired_ratio": (
         lambda t: rounded(regression.paired_ratio_contrast(t.sample_counts.select("subject_id", "tissue", F.col("n").alias("value")), t.sample_meta, "T0", "T1", "gender").select("n1", "n2", "w", "z"), "z"),
