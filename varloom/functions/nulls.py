@@ -94,3 +94,29 @@ def placed_sums(v: np.ndarray, weights: np.ndarray, low: np.ndarray, high: np.nd
     upto = np.cumsum(weights, axis=1)
     inside = np.minimum(upto, high[:, None]) - np.maximum(upto - weights, low[:, None] - 1)
     return np.maximum(inside, 0) @ v
+
+
+def hashed_order(names: list[bytes], seed: int, round_: int) -> np.ndarray:
+    """The order of ``names`` by the md5 of seed, round and name; equal ones stay in order."""
+    head = b"%d|%d" % (seed, round_)
+    digests = np.frombuffer(b"".join(hashlib.md5(head + name).digest() for name in names), ">u8").reshape(-1, 2)
+    return np.lexsort((digests[:, 1], digests[:, 0]))
+
+
+def correlation(x: np.ndarray, y: np.ndarray) -> float:
+    """Pearson correlation over the pairs without NaN; NaN where a side is constant."""
+    both = ~(np.isnan(x) | np.isnan(y))
+    x, y = x[both], y[both]
+    if not len(x):
+        return math.nan
+    x, y = x - np.median(x), y - np.median(y)  # a constant side is exactly 0
+    x, y = x - x.mean(), y - y.mean()
+    return cosine(x, y)
+
+
+def cosine(x: np.ndarray, y: np.ndarray) -> float:
+    """Cosine over the pairs without NaN; NaN where a side has no length."""
+    both = ~(np.isnan(x) | np.isnan(y))
+    x, y = x[both], y[both]
+    length = math.sqrt(float(x @ x) * float(y @ y))
+    return float(x @ y) / length if length else math.nan

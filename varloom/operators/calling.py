@@ -141,6 +141,19 @@ def genome_partitions(sizes: DataFrame, size: int, exclude: tuple[str, ...] = ()
     return starts.select("chrom", "start_pos", F.least(F.col("start_pos") + size - 1, F.col("length")).alias("end_pos"))
 
 
+def merge_pileups(regions: list[DataFrame], depth: str) -> DataFrame:
+    """One pileup of those of several regions: a row for each site of a sample, with the columns of the first.
+
+    Where regions overlap, or a region was worked out twice, a site comes several times: the row of the largest ``depth``
+    (an expression) stays, of equal ones the largest by its other columns in their order.  Null keys are values like others.
+    """
+    columns = regions[0].columns
+    every = reduce(lambda a, b: a.unionByName(b), regions)
+    rest = [c for c in columns if c not in SITE]
+    best = every.groupBy(*SITE).agg(F.max(F.struct(F.expr(depth).alias("_depth"), *rest)).alias("_best"))
+    return best.select(*(F.col(c) if c in SITE else F.col(f"_best.{c}").alias(c) for c in columns))
+
+
 def attach_stats(pileup: DataFrame, stats: DataFrame) -> DataFrame:
     return pileup.join(stats, SITE, "left")
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from varloom.functions.scalars import error_probability, mutation_id
 from varloom.functions.tails import binomial_upper
-from varloom.operators.intervals import merge_intervals, nearest, overlap_join
+from varloom.operators.intervals import merge_intervals, overlap_join
 
 BIAS = {"vdb": 0.05, "rpb": 0.05, "mqb": 0.05, "bqb": 0.05, "mqsb": 0.05}
 
@@ -38,14 +38,24 @@ def label_near(calls: DataFrame, intervals: DataFrame, cutoff: int, name: str) -
     Intervals are widened by the cutoff and merged, so each call meets one at the most, and one join on bins
     decides; calls are neither sorted nor, where the intervals are few, shuffled.
     """
-    wide = intervals.select("chrom", (F.col("start_pos") - (cutoff - 1)).alias("start_pos"), (F.col("end_pos") + (cutoff - 1)).alias("end_pos"))
-    near = merge_intervals(wide).select("chrom", "start_pos", "end_pos", F.lit(True).alias("_near"))
+    near = _widened(intervals, cutoff).withColumn("_near", F.lit(True))
     return label(overlap_join(calls, near, "left", bounds=False), name, F.col("_near")).drop("_near")
 
 
+def _widened(intervals: DataFrame, cutoff: int) -> DataFrame:
+    """The places closer than ``cutoff`` to an interval, as intervals that do not overlap."""
+    wide = intervals.filter("end_pos > start_pos").select("chrom", (F.col("start_pos") - (cutoff - 1)).alias("start_pos"), (F.col("end_pos") + (cutoff - 1)).alias("end_pos"))
+    return merge_intervals(wide).select("chrom", "start_pos", "end_pos")
+
+
 def keep_far(calls: DataFrame, intervals: DataFrame, cutoff: int) -> DataFrame:
-    """Calls farther than ``cutoff`` from the nearest interval; none remain on chromosomes without intervals."""
-    return nearest(calls, intervals).filter(F.col("distance") > cutoff).drop("distance")
+    """Calls farther than ``cutoff`` (0 or more) from the nearest interval; none remain on chromosomes without intervals.
+
+    As in ``label_near`` one join on bins decides, so calls are not sorted."""
+    if cutoff < 0:
+        raise ValueError("cutoff must be 0 or more")
+    far = overlap_join(calls, _widened(intervals, cutoff + 1), "left_anti")
+    return far.filter("pos is not null").join(intervals.filter("end_pos > start_pos").select("chrom").distinct(), "chrom", "left_semi").select(*calls.columns)
 
 
 def binomial_tail(n: Column, k: Column, p: Column) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from varloom.functions.scalars import complement, mutation_id, mutation_type, position_bin, with_amino_acid
 from varloom.functions.tails import chi2_p
-from varloom.operators.intervals import nearest, overlap_join
+from varloom.operators.intervals import distances, overlap_join
 from varloom.operators.stats import adjust, rank_sum
 
 IMPACTS = ("Synonymous", "Missense", "Nonsense", "Essential_Splice")
@@ -256,7 +256,8 @@ def cds_position_profile(annotated: DataFrame, bins: int = 10) -> DataFrame:
 
 def distance_histogram(calls: DataFrame, covered: DataFrame, exons: DataFrame, most: int = 100) -> DataFrame:
     """Calls and covered positions by distance to the nearest exon, and calls per covered position."""
-    hist = lambda df, c: nearest(df, exons).filter((F.col("distance") >= 0) & (F.col("distance") <= most)).groupBy("distance").agg(F.count(F.lit(1)).alias(c))
+    counted = lambda df: df.groupBy("chrom", "pos").agg(F.count(F.lit(1)).alias("_n"))
+    hist = lambda df, c: distances(counted(df), exons).filter((F.col("distance") >= 0) & (F.col("distance") <= most)).groupBy("distance").agg(F.sum("_n").alias(c))
     both = hist(calls, "n_calls").join(hist(covered, "n_covered"), "distance", "full").fillna(0, ["n_calls", "n_covered"])
     return both.withColumn("rate", F.try_divide("n_calls", "n_covered"))
 

@@ -32,7 +32,18 @@ def overlap_join(points: DataFrame, intervals: DataFrame, how: str = "inner", bi
 
 
 def nearest(points: DataFrame, intervals: DataFrame, stretch: int = 1 << 20) -> DataFrame:
-    """Adds the distance to the nearest interval: 0 inside, 1 adjacent, -1 if the chromosome has none.
+    """Adds the distance to the nearest interval: 0 inside, 1 adjacent, -1 if the chromosome has none or a null place.
+
+    Positions that many samples share are ordered once: distances are those of the distinct places, joined
+    back to the points (a hot place splits, as it has one row of distances).
+    """
+    at = distances(points.select("chrom", "pos").distinct(), intervals, stretch).select(F.col("chrom").alias("_of_chrom"), F.col("pos").alias("_of_pos"), F.col("distance").alias("_of_distance"))
+    joined = points.join(at, (F.col("chrom") == F.col("_of_chrom")) & (F.col("pos") == F.col("_of_pos")), "left")
+    return joined.select(*points.columns, F.coalesce("_of_distance", F.lit(-1).cast("long")).alias("distance"))
+
+
+def distances(points: DataFrame, intervals: DataFrame, stretch: int = 1 << 20) -> DataFrame:
+    """As ``nearest``, but each row of ``points`` is ordered: for rows whose places are distinct, or nearly.
 
     Points and intervals are put on one line.  The largest end before a point and the smallest start
     after it decide; both are running values within stretches of ``stretch`` positions, and carried

@@ -12,10 +12,10 @@ from pyspark.sql import functions as F
 from varloom.functions import nulls
 from varloom.functions.scalars import normal_cdf
 from varloom.functions.tails import chi2_p, hypergeometric_upper, student_p
-from varloom.operators.windows import average_rank, quantile_groups
+from varloom.operators.windows import _same, average_rank, quantile_groups
 
 
-def safe_corr(x: str, y: str) -> Column:
+def safe_corr(x: str | Column, y: str | Column) -> Column:
     """Aggregate: Pearson correlation, null where a side is constant."""
     return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
 
@@ -252,8 +252,63 @@ def permute(df: DataFrame, key: list[str], value: str, unit: str, n: int, seed:
     copies = lambda d: d.withColumn("perm_id", F.explode(F.sequence(F.lit(1), F.lit(n))))
     order = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("perm_id").cast("string"), F.col(unit).cast("string")))
     to = copies(df.withColumn("_k", F.row_number().over(Window.partitionBy(*key).orderBy(unit))).drop(value))  # ordered before it is copied
-    dealt = copies(df.select(*key, unit, value)).withColumn("_k", F.row_number().over(Window.partitionBy("perm_id", *key).orderBy(order, unit))).select("perm_id", *key, "_k", value)
-    return to.join(dealt, ["perm_id", *key, "_k"]).drop("_k")
+    dealt = copies(df.select(*key, unit, value)).withColumn("_k", F.row_number().over(Window.partitionBy("perm_id", *key).orderBy(order, unit)))
+    on = ["perm_id", *key, "_k"]
+    named = dealt.select(*(F.col(c).alias(f"_of_{c}") for c in on), value)
+    return to.join(named, _same(on)).select(*(c for c in to.columns if c != "_k"), value)
+
+
+#: Rows of a group that one task permutes whole, and how many permutations of a group it works out.
+PERMUTED, DRAWS = 1 << 17, 128
+
+
+def permuted_statistics(df: DataFrame, x: str, y: str, unit: str, key: list[str], n: int, seed: int = 1, statistic: str = "pearson", held: int = PERMUTED) -> DataFrame:
+    """A statistic ('pearson' or 'cosine') of two columns of each group and of n permutations of it: (key, perm_id, s), perm_id 0 for the real one.
+
+    The permutations are those of ``permute``.  A group of up to ``held`` rows is sent to a task as it is, once for each
+    128 permutations, which are orders of one array there; the table is not copied for each.  Larger groups are permuted
+    by Spark; whether there are such groups is found out at once.  Nulls and NaN of either column are dealt like values, and pairs
+    with one do not count; a statistic that is not defined is null.  Null keys are a group; rows that repeat a unit are
+    ordered by their values, in groups of up to ``held`` rows.
+    """
+    if statistic not in ("pearson", "cosine"):
+        raise ValueError(f"unknown statistic {statistic}")
+    by = [f"_k{i}" for i in range(len(key))]
+    number = lambda c: F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double"))
+    rows = df.select(*(F.col(k).alias(a) for a, k in zip(by, key, strict=True)), F.col(unit).alias("_u"), F.col(unit).cast("string").alias("_name"), number(x).alias("_x"), number(y).alias("_y"))
+    schema = ", ".join([*(f"{k} {t}" for k, t in rows.dtypes if k in by), "perm_id int, s double"])
+    of = nulls.correlation if statistic == "pearson" else nulls.cosine
+
+    def work(frame: pd.DataFrame) -> pd.DataFrame:
+        if frame.empty:
+            return pd.DataFrame(columns=[*by, "perm_id", "s"])
+        frame = frame.sort_values(["_u", "_y", "_x"], na_position="first")
+        block, names = int(frame["_b"].iloc[0]), [b"" if u is None else b"|" + u.encode() for u in frame["_name"]]
+        a, b = frame["_x"].to_numpy(float), frame["_y"].to_numpy(float)
+        drawn = range(block * DRAWS, min((block + 1) * DRAWS, n + 1))
+        s = [of(a, b[nulls.hashed_order(names, seed, i)] if i else b) for i in drawn]
+        return pd.DataFrame({**{k: [frame[k].iloc[0]] * len(s) for k in by}, "perm_id": list(drawn), "s": s})
+
+    def whole(some: DataFrame) -> DataFrame:
+        return some.withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(n // DRAWS)))).groupBy(*by, "_b").applyInPandas(work, schema).withColumn("s", F.nanvl("s", F.lit(None).cast("double")))
+
+    named = lambda out: out.select(*(F.col(a).alias(k) for a, k in zip(by, key, strict=True)), "perm_id", "s")
+    sizes = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
+    if sizes.filter(F.col("_n") > held).isEmpty():
+        return named(whole(rows))
+    sized = _beside(rows, sizes, by)
+    large = sized.filter(F.col("_n") > held).drop("_n", "_name")
+    dealt = permute(large, by, "_y", "_u", n, seed).unionByName(large.withColumn("perm_id", F.lit(0)))
+    pair = F.col("_x").isNotNull() & F.col("_y").isNotNull()
+    a, b = F.when(pair, F.col("_x")), F.when(pair, F.col("_y"))
+    s = safe_corr(a, b) if statistic == "pearson" else F.try_divide(F.sum(a * b), F.sqrt(F.sum(a * a) * F.sum(b * b)))
+    return named(whole(sized.filter(F.col("_n") <= held).drop("_n")).unionByName(dealt.groupBy(*by, "perm_id").agg(s.alias("s"))))
+
+
+def _against_permuted(statistics: DataFrame, key: list[str]) -> DataFrame:
+    """The real statistic of each row's group beside the permuted ones (n rows a group)."""
+    real = F.max(F.when(F.col("perm_id") == 0, F.col("s"))).over(Window.partitionBy(*key))
+    return statistics.withColumn("_real", real).filter("perm_id > 0")
 
 
 def permuted_p(df: DataFrame, x: str, y: str, unit: str, key: list[str], n: int = 99, seed: int = 1) -> DataFrame:
@@ -262,9 +317,7 @@ def permuted_p(df: DataFrame, x: str, y: str, unit: str, key: list[str], n: int
     The p of each is the share of all n + 1 that are as far from 0 (to nine digits), itself included, so real and
     permuted ones are worked out alike.  A correlation that is not defined counts as 0.
     """
-    rows = df.select(*key, unit, x, y)
-    drawn = permute(rows, key, y, unit, n, seed).unionByName(rows.withColumn("perm_id", F.lit(0)))
-    r = correlate(drawn, x, y, [*key, "perm_id"], with_p=False).select(*key, "perm_id", "r")
+    r = permuted_statistics(df, x, y, unit, key, n, seed).withColumnRenamed("s", "r")
     far = r.withColumn("_a", F.round(F.abs(F.coalesce("r", F.lit(0.0))), 9))
     as_far = F.count(F.lit(1)).over(Window.partitionBy(*key).orderBy(F.col("_a").desc()).rangeBetween(Window.unboundedPreceding, 0))  # n + 1 rows
     return far.withColumn("p", as_far / (n + 1.0)).drop("_a")
@@ -365,18 +418,15 @@ def set_enrichment(selected: DataFrame, universe: DataFrame, terms: DataFrame) -
 
 def permuted_correlation(df: DataFrame, x: str, y: str, unit: str, key: list[str], n: int = 100, seed: int = 1) -> DataFrame:
     """Observed correlation of each group against n permutations: mean and sd of those, one-sided p."""
-    real = correlate(df, x, y, key, with_p=False).select(*key, F.col("r").alias("observed"))
-    perm = correlate(permute(df.select(*key, unit, x, y), key, y, unit, n, seed), x, y, [*key, "perm_id"], with_p=False)
-    both = perm.join(real, key)
-    return both.groupBy(*key).agg(F.first("observed").alias("observed"), F.avg("r").alias("perm_mean"), F.stddev_samp("r").alias("perm_sd"), F.avg((F.col("r") >= F.col("observed")).cast("double")).alias("p"))
+    both = _against_permuted(permuted_statistics(df, x, y, unit, key, n, seed), key)
+    reached = F.avg((F.col("s") >= F.col("_real") - 1e-12).cast("double"))
+    return both.groupBy(*key).agg(F.first("_real").alias("observed"), F.avg("s").alias("perm_mean"), F.stddev_samp("s").alias("perm_sd"), reached.alias("p"))
 
 
 def permuted_cosine(df: DataFrame, a: str, b: str, unit: str, key: list[str], n: int = 100, seed: int = 1) -> DataFrame:
     """Cosine of two columns of each group with the share of permutations that reach it."""
-    cos = lambda d, k: d.groupBy(*k).agg(F.try_divide(F.sum(F.col(a) * F.col(b)), F.sqrt(F.sum(F.col(a) * F.col(a)) * F.sum(F.col(b) * F.col(b)))).alias("c"))
-    real = cos(df, key).withColumnRenamed("c", "cosine")
-    perm = cos(permute(df.select(*key, unit, a, b), key, b, unit, n, seed), [*key, "perm_id"])
-    return perm.join(real, key).groupBy(*key).agg(F.first("cosine").alias("cosine"), F.avg((F.col("c") >= F.col("cosine")).cast("double")).alias("p"))
+    both = _against_permuted(permuted_statistics(df, a, b, unit, key, n, seed, "cosine"), key)
+    return both.groupBy(*key).agg(F.first("_real").alias("cosine"), F.avg((F.col("s") >= F.col("_real") - 1e-12).cast("double")).alias("p"))
 
 
 def matched_random_sets(genes: DataFrame, targets: DataFrame, level: str, n: int, bins: int = 10, seed: int = 1) -> DataFrame:
@@ -398,21 +448,29 @@ def driver_enrichment(counts: DataFrame, targets: DataFrame, random_sets: DataFr
     return both.agg(F.first("target_mean").alias("target_mean"), F.avg("m").alias("random_mean"), F.log2(F.try_divide(F.first("target_mean"), F.avg("m"))).alias("log2_ratio"), F.avg((F.col("m") >= F.col("target_mean")).cast("double")).alias("p"))
 
 
+#: Labels that points meet at a time.
+LABELS = 256
+
+
 def silhouette(points: DataFrame, features: str, label: str, id_col: str) -> DataFrame:
     """Mean silhouette width of each label under squared Euclidean distance.
 
-    Distances to a label's points follow from its count, sum vector and sum of squares, so only one row
-    per label is broadcast and no pair of points is formed.
+    Distances to a label's points follow from its count, sum vector and sum of squares, so points meet one row
+    per label and no pair of points is formed.  Labels are dealt by hash to blocks of some 256, and points meet them by
+    block: Spark broadcasts the labels where they are few and splits the points of a block where they are not.
     """
     dims = points.select(id_col, label, F.posexplode(features).alias("d", "x"))
     per_dim = dims.groupBy(label, "d").agg(F.sum("x").alias("s"), F.sum(F.col("x") * F.col("x")).alias("q"), F.count(F.lit(1)).alias("n"))
     one = lambda v: F.aggregate(v, F.lit(0.0), lambda acc, x: acc + x)
     stats = per_dim.groupBy(label).agg(F.transform(F.sort_array(F.collect_list(F.struct("d", "s"))), lambda x: x["s"]).alias("sums"), F.sum("q").alias("sq"), F.max("n").alias("n"))
-    stats = stats.select(F.col(label).alias("_other"), "sums", "sq", "n")
+    blocks = stats.agg(F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / LABELS)).cast("int").alias("_blocks"))  # one row
+    beside = lambda d: d.join(F.broadcast(blocks), how="cross")
+    stats = beside(stats).select(F.col(label).alias("_other"), "sums", "sq", "n", F.pmod(F.hash(label), "_blocks").alias("_at"))
     x = F.transform(features, lambda v: v.cast("double"))
     own_sq = one(F.transform(x, lambda v: v * v))
     dot = one(F.zip_with(x, F.col("sums"), lambda a, b: a * b))
-    each = points.select(id_col, label, features).join(F.broadcast(stats), how="cross")  # one row per label
+    dealt = beside(points.select(id_col, label, features)).withColumn("_block", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
+    each = dealt.join(stats, F.col("_block") == F.col("_at"))
     total = F.col("n") * own_sq - 2 * dot + F.col("sq")
     mean = F.when(F.col(label) == F.col("_other"), F.when(F.col("n") > 1, total / (F.col("n") - 1))).otherwise(total / F.col("n"))
     dist = each.withColumn("m", mean).groupBy(id_col, label).agg(

@@ -153,11 +153,24 @@ def extreme_fraction(df: DataFrame, value: str, fraction: float, key: list[str])
     return df.withColumn("_r", r).filter((F.col("_r") <= fraction) | (F.col("_r") >= 1 - fraction)).withColumn("side", F.when(F.col("_r") <= fraction, "bottom").otherwise("top")).drop("_r")
 
 
+#: Stretches that identifiers are cut into to be ranked.
+BORDERS = 512
+
+
 def deidentify(df: DataFrame, id_col: str, prefix: str, width: int = 6) -> DataFrame:
-    """Replaces ids by a prefix and the zero-padded rank of the id; only the distinct ids are ranked together."""
-    ids = df.select(id_col).distinct()
-    named = ids.withColumn("_new", F.concat(F.lit(prefix), F.lpad(F.dense_rank().over(Window.orderBy(id_col)).cast("string"), width, "0")))
-    return df.join(named, id_col).withColumn(id_col, F.col("_new")).drop("_new")
+    """Replaces ids by a prefix and the zero-padded rank of the id among the distinct ids; rows with a null id are left out.
+
+    Every some-hundredth id by its hash is a border; ids are ranked between two borders and the counts before are added,
+    so no task ranks all.  Where the borders lie changes nothing in the ranks.  A rank longer than ``width`` stays whole.
+    """
+    ids = df.select(id_col).filter(F.col(id_col).isNotNull()).distinct()
+    every = F.greatest(F.lit(1), F.floor(F.count(F.lit(1)) / BORDERS)).alias("_every")
+    sample = ids.join(F.broadcast(ids.agg(every)), how="cross").filter(F.pmod(F.xxhash64(id_col), "_every") == 0)  # one row
+    borders = sample.agg(F.collect_list(id_col).alias("_borders"))  # about as many as BORDERS
+    placed = ids.join(F.broadcast(borders), how="cross").withColumn("_s", F.size(F.filter("_borders", lambda b: b < F.col(id_col)))).drop("_borders")
+    ranked = number_rows(placed, [], [F.col("_s")], [id_col], "_k").withColumn("_k", F.col("_k").cast("string"))
+    named = ranked.select(F.col(id_col).alias("_of_id"), F.concat(F.lit(prefix), F.lpad("_k", F.greatest(F.length("_k"), F.lit(width)), F.lit("0"))).alias("_of_rank"))
+    return df.join(named, F.col(id_col) == F.col("_of_id")).withColumn(id_col, F.col("_of_rank")).select(*df.columns)
 
 
 def number_rows(df: DataFrame, by: list[str], stretches: list[Column], order: list[Column | str], out: str = "k") -> DataFrame:

@@ -44,6 +44,14 @@ LABELS = f"""with {NEAR}, l as (select c.sample_id, c.chrom, c.pos, n.distance >
   coalesce(vdb, 1.0) < 0.05 as f3, coalesce(rpb, 1.0) < 0.05 as f4, coalesce(mqb, 1.0) < 0.05 as f5, coalesce(bqb, 1.0) < 0.05 as f6, coalesce(mqsb, 1.0) < 0.05 as f7
   from calls c join near n on c.sample_id = n.sample_id and c.chrom = n.chrom and c.pos = n.pos)"""
 
+def uncorrelated(t: Tables) -> DataFrame:
+    """Which of four columns of all line items stay when those that correlate with one kept before go."""
+    price = F.col("l_extendedprice").cast("double")
+    table = t.base("lineitem").select(F.col("l_quantity").alias("quantity"), price.alias("price"), (price * (1 - F.col("l_discount").cast("double"))).alias("discounted"), F.col("l_tax").alias("tax"))
+    kept = filters.prune_collinear(table, table.columns)
+    return t.spark.createDataFrame([(c, c in kept) for c in table.columns], "covariate string, kept boolean")
+
+
 QUERIES: dict[str, tuple[Callable[[Tables], DataFrame], str | None]] = {
     "flagship_cohort": (
         lambda t: pipelines.flagship(t.calls),
@@ -120,6 +128,13 @@ QUERIES: dict[str, tuple[Callable[[Tables], DataFrame], str | None]] = {
         union all select 'n_unique_mapped', cast(n_unique_mapped as varchar) from sample_meta union all select 'tissue', tissue from sample_meta), c as (select covariate, v, count(*) as n from l group by 1, 2)
         select covariate, round(max(n) * 1.0 / sum(n), 6) as top_share from c group by 1 having max(n) * 1.0 / sum(n) < 0.95 and sum(case when v is null then n else 0 end) = 0""",
     ),
+    "f21_collinear": (
+        lambda t: uncorrelated(t),
+        """with d as (select l_quantity::double as quantity, l_extendedprice::double as price, l_extendedprice * (1 - l_discount)::double as discounted, l_tax::double as tax from lineitem),
+        r as (select abs(corr(quantity, price)) > 0.8 as qp, abs(corr(quantity, discounted)) > 0.8 as qd, abs(corr(quantity, tax)) > 0.8 as qt, abs(corr(price, discounted)) > 0.8 as pd, abs(corr(price, tax)) > 0.8 as pt, abs(corr(discounted, tax)) > 0.8 as dt from d),
+        k as (select *, not qp as p, not qd and not (not qp and pd) as d from r) select 'quantity' as covariate, true as kept from k union all select 'price', p from k union all select 'discounted', d from k
+        union all select 'tax', not qt and not (p and pt) and not (d and dt) from k""",
+    ),
     "f20_common_variants": (
         lambda t: filters.common_variants(t.genotypes).select("variant_id", "rarest", "n", "classes"),
         """with c as (select variant_id, dosage, count(*) as n from genotypes group by 1, 2) select variant_id, min(n) as rarest, sum(n) as n, count(*) as classes from c group by 1 having count(*) > 1 and min(n) >= 0.1 * sum(n)""",

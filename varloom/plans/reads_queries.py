@@ -86,6 +86,17 @@ QUERIES: dict[str, tuple[Callable[[Tables], DataFrame], str | None]] = {
         lambda t: calling.attach_stats(t.pileup, t.calls.filter("vdb > 0.05").select("sample_id", "chrom", "pos", "vdb")).select("sample_id", "chrom", "pos", F.round("vdb", 6).alias("vdb")),
         "select p.sample_id, p.chrom, p.pos, round(c.vdb, 6) as vdb from pileup p left join calls c on p.sample_id = c.sample_id and p.chrom = c.chrom and p.pos = c.pos and c.vdb > 0.05",
     ),
+    "p10_merged_regions": (  # regions of 2000 positions, even and odd ones, which share their outer 200; shallower twins of the latter's odd positions do not stay
+        lambda t: calling.merge_pileups(
+            [
+                t.pileup.filter("pos % 4000 < 2200"),
+                t.pileup.filter("pos % 4000 >= 2000 or pos % 4000 < 200"),
+                t.pileup.filter("pos % 4000 >= 2000").withColumns({c: F.col(c) - F.when(F.col(c) > 0, 1).otherwise(0) for c in ("a_n", "t_n", "g_n", "c_n")}),
+            ],
+            "a_n + t_n + g_n + c_n",
+        ).select("sample_id", "chrom", "pos", "ref", "a_n", "t_n", "g_n", "c_n"),
+        "select sample_id, chrom, pos, ref, a_n, t_n, g_n, c_n from pileup",
+    ),
     "p12_drop_germline": (
         lambda t: calling.drop_germline(of_subjects(t), genotypes(t)).select("sample_id", "chrom", "pos"),
         f"with g as ({GT}) select sample_id, chrom, pos from pileup p where not exists (select 1 from g where g.gt = '0/1' and g.subject_id = p.sample_id % 10 and g.chrom = p.chrom and g.pos = p.pos)",
