@@ -245,11 +245,11 @@ def op1_packed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 LIMITS = (2048, 12, 2000)
 
 
-def vector_packed(docs: DataFrame) -> DataFrame:
-    """Sequences of the vector packing of ``docs``, each document with its end id 1 and its first line as its prompt."""
+def vector_packed(docs: DataFrame, limit: int = 16 << 20) -> DataFrame:
+    """Sequences of the vector packing of ``docs``, each document with its end id 1 and its first line as its prompt; ``limit`` is that of ``packed``."""
     import public_tokenizers
 
-    return packed(docs, public_tokenizers.path("word_bpe_49k.json"), 1, dot_product_packing(*LIMITS, 32), first_line=True)
+    return packed(docs, public_tokenizers.path("word_bpe_49k.json"), 1, dot_product_packing(*LIMITS, 32), first_line=True, limit=limit)
 
 
 def op4_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
