@@ -16,6 +16,8 @@ from varloom.llm.common import documents, whole_text, written
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: Bytes of text that mixing deals to one partition, as long as those are no more than Spark's shuffle partitions.
 PART_BYTES = 32 << 20
+#: Bytes of text that are packed together.
+PACK_BYTES = 8 << 20
 #: SQL has no functions for sketches, random rounding and tokens; tests hold the stages against plain versions.
 ORACLE_SQL = None
 
@@ -63,7 +65,7 @@ def mixing_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents, with their ids, in sequences of 2048 tokens at most; repeated rows come as often as they are."""
-    return packing.pieces(packing.vector_packed(docs), with_ids=True)
+    return packing.pieces(packing.vector_packed(docs, PACK_BYTES), with_ids=True)
 
 
 STAGES = [
