@@ -1,8 +1,9 @@
 """The projections and queries read whole tables."""
 
+import duckdb
 import pytest
 
-from varloom.plans.projections import Tables
+from varloom.plans.projections import PROJECTIONS, Tables, with_projections
 from varloom.plans.stats_queries import features
 
 
@@ -21,3 +22,23 @@ def test_genotypes_have_every_order(spark, folder):
     t = Tables(spark, folder)
     assert {r[0] for r in features(t).select("feature").distinct().collect()} == {1, 499, 500, 70000}
     assert t.genotypes.count() == 4 * t.calls.select("sample_id").distinct().count()
+
+
+def test_bases_far_along_a_chromosome_are_those_of_duckdb(spark, tmp_path):
+    """Products beyond 2^53 are rounded when they become doubles, which DuckDB's division does."""
+    places = list(range(1_000_000, 1_040_000, 5))
+    line = "l_orderkey bigint, l_suppkey bigint, l_partkey bigint, l_linenumber int, l_quantity double, l_discount double, l_tax double, l_extendedprice double"
+    spark.createDataFrame([(k % 8, 0, p, 1, 20.0, 0.05, 0.04, 900.0) for k, p in enumerate(places)], line).write.parquet(f"{tmp_path}/lineitem.parquet")
+    with duckdb.connect() as c:
+        c.execute(f"create view lineitem as select * from '{tmp_path}/lineitem.parquet/*.parquet'")
+        want = c.execute(with_projections("select chrom, pos, ref, alt, context from calls order by 1, 2")).fetchall()
+    assert [tuple(r) for r in Tables(spark, str(tmp_path)).calls.select("chrom", "pos", "ref", "alt", "context").orderBy("chrom", "pos").collect()] == want
+
+
+def test_calls_meet_exons_by_bins(spark, folder, capsys):
+    t = Tables(spark, folder)
+    got, want = t.gene_calls, t.sql(PROJECTIONS["gene_calls"])
+    assert got.columns == want.columns and want.count() > 0
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    got.explain()
+    assert "_bin" in capsys.readouterr().out
