@@ -3,8 +3,9 @@
 import duckdb
 import pytest
 
+from varloom.operators.regression import association_scan
 from varloom.plans.projections import PROJECTIONS, Tables, with_projections
-from varloom.plans.stats_queries import features
+from varloom.plans.stats_queries import QUERIES, features, phenotypes
 
 
 @pytest.fixture(scope="module")
@@ -42,3 +43,11 @@ def test_calls_meet_exons_by_bins(spark, folder, capsys):
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
     got.explain()
     assert "_bin" in capsys.readouterr().out
+
+
+def test_the_scan_returns_weak_pairs_too(spark, folder):
+    t = Tables(spark, folder)
+    whole = association_scan(features(t), phenotypes(t)).filter("r is not null")
+    assert whole.filter("p > 0.05").count() > 0
+    got = QUERIES["r4_association_scan"][0](t)
+    assert {(r.feature, r.phenotype) for r in got.collect()} == {(r.feature, r.phenotype) for r in whole.collect()}
