@@ -4,6 +4,7 @@ import duckdb
 import pytest
 
 from varloom.operators.regression import association_scan
+from varloom.plans.catalog import ALL
 from varloom.plans.projections import PROJECTIONS, Tables, with_projections
 from varloom.plans.stats_queries import QUERIES, features, phenotypes
 
@@ -51,3 +52,12 @@ def test_the_scan_returns_weak_pairs_too(spark, folder):
     assert whole.filter("p > 0.05").count() > 0
     got = QUERIES["r4_association_scan"][0](t)
     assert {(r.feature, r.phenotype) for r in got.collect()} == {(r.feature, r.phenotype) for r in whole.collect()}
+
+
+def test_queries_that_read_calls_once_do_not_keep_them(spark, folder):
+    t = Tables(spark, folder)
+    assert sorted(map(tuple, t.calls_once.collect()), key=str) == sorted(map(tuple, t.sql(PROJECTIONS["calls"]).collect()), key=str)
+    for name in ("x15_share_within", "i2_outside_exons", "t26_error_grid", "f8_keep_clean"):
+        t = Tables(spark, folder)
+        ALL[name][0](t)
+        assert "calls" not in vars(t)

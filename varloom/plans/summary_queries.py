@@ -52,7 +52,7 @@ def placed_genotypes(t: Tables) -> DataFrame:
 
 
 def shares(t: Tables) -> DataFrame:
-    return profiles.share_within(profiles.type_counts(t.calls, ["sample_id"]), "n", ["sample_id"]).select("sample_id", "mut_type", "share")
+    return profiles.share_within(profiles.type_counts(t.calls_once, ["sample_id"]), "n", ["sample_id"]).select("sample_id", "mut_type", "share")
 
 
 def per_gene(t: Tables) -> DataFrame:
