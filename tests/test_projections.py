@@ -61,3 +61,9 @@ def test_queries_that_read_calls_once_do_not_keep_them(spark, folder):
         t = Tables(spark, folder)
         ALL[name][0](t)
         assert "calls" not in vars(t)
+
+
+def test_calls_are_not_kept(spark, folder):
+    """To keep all columns of all calls took longer than to work out the few that a query reads."""
+    t = Tables(spark, folder)
+    assert t.gene_calls.count() >= 0 and not t.calls.storageLevel.useMemory and not t.calls.storageLevel.useDisk
