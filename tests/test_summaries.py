@@ -151,3 +151,16 @@ def test_pathways_and_scores(spark):
     score = np.array([NormalDist().inv_cdf((r + 0.5) / 15) for r in np.argsort(np.argsort(z))])
     expected = score - np.polyval(np.polyfit(age, score, 1), age)
     assert [r["residual"] for r in regression.normal_score_residuals(df, "y", ["age"], ["k"]).orderBy("i").collect()] == pytest.approx(expected.tolist(), abs=1e-6)
+
+
+def test_recurrent_calls_are_those_of_all_recurrences(spark):
+    """The cutoff is applied to mutations, before the calls are joined."""
+    from varloom.operators.filters import recurrence_in_gene, recurrent_in_gene
+
+    rows = [("g1", "c", 1, "A", "T")] * 3 + [("g1", "c", 2, "A", "T"), ("g2", "c", 9, "C", "T"), ("g2", "c", 8, "C", "T")]
+    calls = spark.createDataFrame(rows, "gene_id string, chrom string, pos long, ref string, alt string")
+    every = sorted((r.gene_id, r.pos, r.recurrence) for r in recurrence_in_gene(calls).collect())
+    assert every == [("g1", 1, 1.5)] * 3 + [("g1", 2, 0.5), ("g2", 8, 0.5), ("g2", 9, 0.5)]
+    kept = recurrent_in_gene(calls, 1.0)
+    assert sorted((r.gene_id, r.pos, r.recurrence) for r in kept.collect()) == [("g1", 1, 1.5)] * 3
+    assert "count(distinct" not in kept._jdf.queryExecution().optimizedPlan().toString()  # mutations are counted once, not again as distinct ones

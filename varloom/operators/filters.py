@@ -114,14 +114,20 @@ def count_outliers(calls: DataFrame, lo: int = 15, hi: int = 7500) -> DataFrame:
 
 def recurrence_in_gene(calls: DataFrame) -> DataFrame:
     """Adds how often the mutation comes relative to the distinct mutations of its gene."""
-    keyed = calls.withColumn("_m", mutation_id())
-    distinct = keyed.groupBy("gene_id").agg(F.countDistinct("_m").alias("_d"))
-    times = keyed.groupBy("gene_id", "_m").agg(F.count(F.lit(1)).alias("_n"))
-    return keyed.join(times, ["gene_id", "_m"]).join(distinct, "gene_id").withColumn("recurrence", F.col("_n") / F.col("_d")).drop("_m", "_n", "_d")
+    return _with_recurrence(calls, None)
 
 
 def recurrent_in_gene(calls: DataFrame, cutoff: float) -> DataFrame:
-    return recurrence_in_gene(calls).filter(F.col("recurrence") >= cutoff)
+    """Calls of mutations with a recurrence of ``cutoff`` or more; the others leave before the calls are joined."""
+    return _with_recurrence(calls, cutoff)
+
+
+def _with_recurrence(calls: DataFrame, cutoff: float | None) -> DataFrame:
+    keyed = calls.withColumn("_m", mutation_id())
+    times = keyed.filter(F.col("_m").isNotNull()).groupBy("gene_id", "_m").agg(F.count(F.lit(1)).alias("_n"))
+    distinct = times.groupBy("gene_id").agg(F.count(F.lit(1)).alias("_d"))
+    known = times.join(distinct, "gene_id").select("gene_id", "_m", (F.col("_n") / F.col("_d")).alias("recurrence"))
+    return keyed.join(known if cutoff is None else known.filter(F.col("recurrence") >= cutoff), ["gene_id", "_m"]).select(*calls.columns, "recurrence")
 
 
 def dominant_in_gene(calls: DataFrame) -> DataFrame:
