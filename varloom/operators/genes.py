@@ -190,6 +190,8 @@ def transcribed_strand(calls: DataFrame) -> DataFrame:
 def strand_asymmetry_by_gene(stranded: DataFrame, with_p: bool = True) -> DataFrame:
     """Both strands of each gene and type: totals plus 0.9, their ratio, a rank test over samples, BH."""
     counts = stranded.groupBy("gene_id", "mut_type", "sample_id").agg(F.count_if("transcribed").alias("a"), F.count_if(~F.col("transcribed")).alias("b"))
+    if with_p:
+        counts = counts.persist()  # totals, ranks and adjustment read them
     totals = counts.groupBy("gene_id", "mut_type").agg((F.sum("a") + 0.9).alias("n_transcribed"), (F.sum("b") + 0.9).alias("n_other"), F.count(F.lit(1)).alias("n_samples"))
     totals = totals.withColumn("fc", F.col("n_transcribed") / F.col("n_other"))
     if not with_p:
