@@ -67,3 +67,13 @@ def test_calls_are_not_kept(spark, folder):
     """To keep all columns of all calls took longer than to work out the few that a query reads."""
     t = Tables(spark, folder)
     assert t.gene_calls.count() >= 0 and not t.calls.storageLevel.useMemory and not t.calls.storageLevel.useDisk
+
+
+def test_counts_and_permutations_of_genes_are_worked_out_once(spark, folder):
+    from varloom.operators import genes
+    from varloom.plans.stats_queries import gene_p, stranded
+
+    t = Tables(spark, folder)
+    for made in (gene_p(t), genes.strand_asymmetry_by_gene(stranded(t))):
+        assert "InMemoryRelation" in made._jdf.queryExecution().withCachedData().toString()
+    spark.catalog.clearCache()

@@ -78,8 +78,9 @@ EVEN_TAIL = "case when {0} <= 0 then 1 else list_sum(list_transform(range(0, {1}
 
 
 def gene_p(t: Tables) -> DataFrame:
-    both = genes.expression_with_counts(t.expression, genes.gene_counts(t.gene_calls)).join(t.sample_meta.select("sample_id", "tissue"), "sample_id")
-    return stats.permuted_p(both, "tpm", "n", "sample_id", ["gene_id", "tissue"], ROUNDS)
+    """Both tables, with a row for each gene and sample or permutation, are read several times and kept: they are small beside the calls."""
+    both = genes.expression_with_counts(t.expression, genes.gene_counts(t.gene_calls)).join(t.sample_meta.select("sample_id", "tissue"), "sample_id").persist()
+    return stats.permuted_p(both, "tpm", "n", "sample_id", ["gene_id", "tissue"], ROUNDS).persist()
 
 
 def real_and_permuted(t: Tables) -> tuple[DataFrame, DataFrame]:
