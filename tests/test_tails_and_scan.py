@@ -74,3 +74,33 @@ def test_pairs_by_p_and_rank(spark, scanned, monkeypatch, block):
     tests = regression.tested_pairs(features, phenotypes)
     assert tests.agg(F.sum("tests")).first()[0] == len(every) and tests.count() == 11
     assert regression.tested_pairs(features.limit(0), phenotypes).count() == 0 == regression.association_scan(features.limit(0), phenotypes, top=3).count()
+
+
+def test_alike_features_are_scanned_once(spark, scanned, monkeypatch):
+    features, phenotypes = scanned
+    copies = features.unionByName(features.withColumn("feature", F.concat(F.lit("a"), "feature"))).unionByName(features.withColumn("feature", F.concat(F.lit("z"), "feature")))
+    rows, members = regression.alike(copies)
+    assert rows.select("feature").distinct().count() == 11 and members.count() == 33 and {r[0][:2] for r in members.select("first").collect()} == {"af"}
+    blocks, seen = regression._blocks, []
+    monkeypatch.setattr(regression, "_blocks", lambda f, p, key: (seen.append(f.select("feature").distinct().count()), blocks(f, p, key))[1])
+    every = regression.association_scan(copies, phenotypes).collect()
+    alone = {(r["feature"], r["phenotype"]): r[2:] for r in regression.association_scan(features, phenotypes).collect()}
+    assert len(every) == 3 * len(alone) and all(r[2:] == alone[r["feature"].lstrip("az"), r["phenotype"]] for r in every)
+    known = sorted((r for r in every if r["r"] is not None), key=lambda r: (-abs(r["r"]), r["feature"], r["phenotype"]))
+    for k in (1, 4, 50):
+        assert list(map(str, regression.association_scan(copies, phenotypes, top=k).collect())) == list(map(str, known[:k]))
+    m = {r["feature"]: r["m"] for r in regression.strongest(copies, phenotypes.withColumn("perm_id", F.lit(1))).collect()}
+    assert all(m[f] == m[f"a{f}"] == m[f"z{f}"] == pytest.approx(max(abs(r["r"]) for r in known if r["feature"] == f), abs=1e-11) for f in (f"f{i}" for i in range(11)))
+    tests = {r["feature"]: r["tests"] for r in regression.tested_pairs(copies, phenotypes).collect()}
+    assert len(tests) == 33 and all(tests[f"a{f}"] == tests[f] for f in (f"f{i}" for i in range(11)))
+    assert set(seen) == {11}
+    unnamed = features.unionByName(features.filter("feature = 'f2'").withColumn("feature", F.lit(None).cast("string")))  # a null id is a feature too, the smallest
+    assert regression.association_scan(unnamed, phenotypes, top=1).collect()[0]["feature"] is None
+
+
+def test_genotypes_are_those_of_the_projection(spark):
+    from varloom.plans.projections import PROJECTIONS, Tables
+
+    t = Tables(spark, "/root/testdata/sf0.001")
+    sql = t.sql(PROJECTIONS["genotypes"])
+    assert t.genotypes.columns == sql.columns and t.genotypes.exceptAll(sql).count() == 0 == sql.exceptAll(t.genotypes).count()

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from varloom.operators.genes import agreement_fdr
 from varloom.operators.intervals import genes_near, overlap_join
-from varloom.operators.regression import association_scan, strongest, tested_pairs
+from varloom.operators.regression import alike, association_scan, strongest_of, tested_pairs
 from varloom.operators.stats import adjust, correlate, permute, rank_sum
 
 
@@ -79,12 +79,14 @@ def region_scan(
     """
     near = genes_near(variants, genes, window).select("feature", "gene_id").distinct()
     inside = features.join(near, "feature", "left_semi")
-    real = association_scan(inside, phenotypes, top_each=top_k).join(near, "feature")
+    classes = alike(inside)
+    of_gene = near.join(classes[1], "feature").select("gene_id", F.col("first").alias("feature")).distinct()
+    real = association_scan(inside, phenotypes, top_each=top_k, classes=classes).join(near, "feature")
     perm = permute(phenotypes, ["phenotype"], "y", "sample_id", n, seed)
-    best = strongest(inside, perm).join(near, "feature").groupBy("gene_id", "perm_id").agg(F.max("m").alias("m"))
+    best = strongest_of(classes[0], perm).join(of_gene, "feature").groupBy("gene_id", "perm_id").agg(F.max("m").alias("m"))
     maxima = best.groupBy("gene_id").agg(F.collect_list("m").alias("ms"))  # n values a gene
     order = Window.partitionBy("gene_id").orderBy(F.desc(F.abs("r")), "feature", "phenotype")
-    tests = tested_pairs(inside, phenotypes).join(near, "feature").groupBy("gene_id").agg(F.sum("tests").alias("tests"))
+    tests = tested_pairs(inside, phenotypes, classes).join(near, "feature").groupBy("gene_id").agg(F.sum("tests").alias("tests"))
     top = real.filter("r is not null").withColumn("_k", F.row_number().over(order)).filter(F.col("_k") <= top_k).drop("_k").join(tests, "gene_id").join(maxima, "gene_id")
     reached = F.size(F.filter("ms", lambda m: m >= F.abs("r") - 1e-12)) / F.size("ms")
     return top.withColumn("p_bonferroni", F.least(F.lit(1.0), F.col("p") * F.col("tests"))).withColumn("p_empirical", reached).drop("ms", "tests")
