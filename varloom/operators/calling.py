@@ -134,6 +134,13 @@ def sum_histograms(calls: DataFrame, histogram: str, key: list[str]) -> DataFram
     return calls.select(*key, F.explode(histogram).alias("k", "v")).groupBy(*key, "k").agg(F.sum("v").alias("n"))
 
 
+def base_totals(reads: DataFrame, key: list[str], of: str = "read_pos") -> DataFrame:
+    """What ``sum_histograms`` makes of ``base_histogram`` by ``key`` and base: (key, base, k, n), without a map for each site.
+
+    Bases are counted by these few values before they are shuffled."""
+    return read_bases(reads).groupBy(*key, "base", F.col(of).cast("int").alias("k")).agg(F.count(F.lit(1)).alias("n"))
+
+
 def genome_partitions(sizes: DataFrame, size: int, exclude: tuple[str, ...] = ()) -> DataFrame:
     """Consecutive pieces of at most ``size`` positions of each chromosome (chrom, length)."""
     kept = sizes.filter(~F.col("chrom").isin(*exclude)) if exclude else sizes
