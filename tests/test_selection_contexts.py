@@ -113,3 +113,14 @@ def test_changes_that_classes_do_not_share():
     for a, b, c in itertools.product((1, 40), (3, 500), (2, 9)):  # one change: the ratio of two Poisson rates
         beta, error = selection.fit_ratios(np.array([[a, b]], float), np.array([[10.0, 10.0 * c]]))
         assert beta[0] == pytest.approx(np.log(b / a / c)) and error[0] == pytest.approx(np.sqrt(1 / a + 1 / b))
+
+
+def test_base_totals_are_sums_of_histograms(spark):
+    from varloom.operators import calling
+
+    rows = [(i, i % 2, "chr1", 10 + i % 3, i % 2 == 0, seq, [30 - i, 22, 22, 9]) for i, seq in enumerate(("ACGT", "AAAA", "CGN", "T", "ACGT"))] + [(9, None, "chr1", 10, True, "AC", [1, 2])]
+    reads = spark.createDataFrame(rows, "read_id int, sample_id int, chrom string, start int, is_reverse boolean, seq string, quals array<int>")
+    for key, of in ((["sample_id"], "read_pos"), ([], "qual")):
+        whole, got = calling.sum_histograms(calling.base_histogram(reads, of), "histogram", [*key, "base"]), calling.base_totals(reads, key, of)
+        assert got.columns == whole.columns and got.exceptAll(whole).count() == 0 == whole.exceptAll(got).count()
+        assert got.count() > 4 and got._jdf.queryExecution().optimizedPlan().toString().count("Aggregate") == 1

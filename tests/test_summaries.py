@@ -164,3 +164,14 @@ def test_recurrent_calls_are_those_of_all_recurrences(spark):
     kept = recurrent_in_gene(calls, 1.0)
     assert sorted((r.gene_id, r.pos, r.recurrence) for r in kept.collect()) == [("g1", 1, 1.5)] * 3
     assert "count(distinct" not in kept._jdf.queryExecution().optimizedPlan().toString()  # mutations are counted once, not again as distinct ones
+
+
+def test_certain_variants_move_genotypes_alone(spark):
+    from varloom.operators import summaries
+
+    rows = [(1, 0, [0.95, 0.03, 0.02]), (1, 1, [0.01, 0.04, 0.95]), (2, 0, [0.4, 0.4, 0.2]), (2, 1, [0.95, 0.03, 0.02])]
+    got = summaries.certain_variants(spark.createDataFrame(rows, "variant_id int, sample_id int, posteriors array<double>")).select("variant_id", "genotype")
+    assert sorted(map(tuple, got.collect())) == [(1, 0), (1, 2)]
+    plan = got._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    first = next(i for i, line in enumerate(plan) if "Join LeftSemi" in line)
+    assert "genotype" in plan[first + 1] and "posteriors" not in plan[first + 1].split("[", 1)[1].split(", cast", 1)[0]  # the join's left side is projected

@@ -40,7 +40,8 @@ def certain_variants(posteriors: DataFrame, least: float = 0.9) -> DataFrame:
     """Variants whose most likely genotype reaches ``least`` in every sample (variant_id, sample_id, posteriors), with that genotype."""
     best = F.array_max("posteriors")
     sure = posteriors.groupBy("variant_id").agg(F.bool_and(F.coalesce(best >= least, F.lit(False))).alias("_all")).filter("_all").select("variant_id")
-    return posteriors.join(sure, "variant_id", "left_semi").withColumn("genotype", (F.array_position("posteriors", best) - 1).cast("int"))
+    named = posteriors.withColumn("genotype", (F.array_position("posteriors", best) - 1).cast("int"))  # before the join, so that who asks for genotypes alone moves no posteriors
+    return named.join(sure, "variant_id", "left_semi")
 
 
 def signature_correlation(expression: DataFrame, signature: DataFrame, values: DataFrame, method: str = "spearman", with_p: bool = True) -> DataFrame:
