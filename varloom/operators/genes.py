@@ -29,12 +29,16 @@ def codon_sites(cds_sites: DataFrame) -> DataFrame:
     """Adds to each coding position (gene_id, cds_pos, base on the coding strand) its codon, its place in it and its neighbours.
 
     ``up`` and ``down`` that are given (neighbours in the genome, on the coding strand) stay; else they are those in the coding sequence."""
+    w = Window.partitionBy("gene_id").orderBy("cds_pos")
     near = cds_sites.withColumn("codon_index", F.floor((F.col("cds_pos") - 1) / 3))
     if not {"up", "down"} <= set(cds_sites.columns):
-        w = Window.partitionBy("gene_id").orderBy("cds_pos")
         near = near.withColumn("up", F.lag("base").over(w)).withColumn("down", F.lead("base").over(w))
-    codons = near.groupBy("gene_id", "codon_index").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("cds_pos", "base"))), lambda x: x["base"]), "").alias("codon"))
-    return near.join(codons, ["gene_id", "codon_index"]).withColumn("in_codon", ((F.col("cds_pos") - 1) % 3 + 1).cast("int"))
+    # a codon lies within two positions of each of its own, so the order of the gene that is there already shows it
+    beside = F.collect_list(F.struct("cds_pos", "base", "codon_index")).over(w.rangeBetween(-2, 2))
+    own = F.sort_array(F.filter("_near", lambda x: x["codon_index"] == F.col("codon_index")))
+    known = near.filter("gene_id is not null").withColumn("_near", beside).filter("cds_pos is not null")
+    sites = known.withColumn("codon", F.array_join(F.transform(own, lambda x: x["base"]), "")).drop("_near")
+    return sites.withColumn("in_codon", ((F.col("cds_pos") - 1) % 3 + 1).cast("int"))
 
 
 def annotate_impact(calls: DataFrame, sites: DataFrame, splice: DataFrame | None = None) -> DataFrame:
@@ -107,7 +111,7 @@ def dnds_per_gene(annotated: DataFrame, opportunity: DataFrame, with_p: bool = T
     of synonymous calls over all genes.  Of the Poisson likelihoods only the terms that differ between
     the models are needed, and those depend on four observed and expected sums.
     """
-    cells = _cells(annotated, opportunity)
+    cells = _cells(annotated, opportunity).persist()  # a few rows a gene, which rates and sums read
     rates = cells.filter("impact = 'Synonymous'").groupBy("change").agg(F.try_divide(F.sum("n"), F.sum("sites")).alias("rate"))
     sums = cells.join(rates, "change").groupBy("gene_id").agg(*[x for k in IMPACTS[:3] for x in (
         F.sum(F.when(F.col("impact") == k, F.col("n")).otherwise(0)).alias(f"n_{k[:3].lower()}"), F.sum(F.when(F.col("impact") == k, F.col("sites") * F.col("rate")).otherwise(0.0)).alias(f"e_{k[:3].lower()}")
@@ -125,7 +129,7 @@ def dnds_per_gene(annotated: DataFrame, opportunity: DataFrame, with_p: bool = T
     out = out.withColumn("lr_mis", 2 * (F.col("llall") - F.col("llmis"))).withColumn("lr_all", 2 * (F.col("llall") - F.col("ll0"))).drop("ll0", "llmis", "llall")
     if not with_p:
         return out
-    tested = out.withColumn("p_mis", chi2_p("lr_mis", F.lit(1.0))).withColumn("p_all", chi2_p("lr_all", F.lit(2.0)))
+    tested = out.withColumn("p_mis", chi2_p("lr_mis", F.lit(1.0))).withColumn("p_all", chi2_p("lr_all", F.lit(2.0))).persist()  # one row a gene, which both adjustments read
     return adjust(adjust(tested, "p_mis", [], out="q_mis"), "p_all", [], out="q_all")
 
 

@@ -139,7 +139,7 @@ def good_ratios(per_gene: DataFrame, kind: str = "mis", least: int = 5) -> DataF
     A ratio of 0 is set to the smallest that the largest one allows, 1 / (largest + 1).
     """
     n, w = F.col(f"n_{kind}"), F.col(f"w{kind}")
-    known = per_gene.filter((F.col("n_syn") > 0) & (n > 0) & (F.col("n_syn") + n >= least)).select("gene_id", F.col("n_syn"), n.alias("n"), w.alias("ratio"))
+    known = per_gene.filter((F.col("n_syn") > 0) & (n > 0) & (F.col("n_syn") + n >= least)).select("gene_id", F.col("n_syn"), n.alias("n"), w.alias("ratio")).persist()  # one row a gene, read here and by each step of what follows
     most = known.agg(F.max("ratio").alias("_most"))  # one row
     return known.join(F.broadcast(most), how="cross").withColumn("ratio", F.when(F.col("ratio") == 0, 1 / (F.col("_most") + 1)).otherwise(F.col("ratio"))).drop("_most")
 
