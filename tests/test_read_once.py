@@ -36,3 +36,22 @@ def test_codons_come_from_the_order_of_the_gene(spark):
     g = [("g", i + 1, "ACGT"[i % 4], ("ACG", "TAC", "GT")[i // 3], i % 3 + 1) for i in range(8)]
     assert got == [*g, ("h", 4, "C", "CAG", 1), ("h", 6, "A", "CAG", 3), ("h", 6, "G", "CAG", 3), ("h", 7, "T", "T", 1)]
     assert "Join" not in plan(sites)
+
+
+def test_calls_meet_sites_and_splice_sites_in_one_join(spark):
+    sites = genes.codon_sites(spark.createDataFrame([("g", "c1", "-", 100 - i, b, i + 1) for i, b in enumerate("ATGCCC")], SITES))
+    splice = spark.createDataFrame([("g", "c1", "-", 94, "G", "T", "A"), ("g", "c1", "-", 93, "T", None, "A")], "gene_id string, chrom string, strand string, pos long, base string, up string, down string")
+    calls = spark.createDataFrame([(1, "c1", 98, "C", "G"), (1, "c1", 94, "C", "T"), (2, "c1", 94, "C", "T"), (1, "c1", 93, "A", "T"), (1, "c1", 5, "A", "T")], "sample_id int, chrom string, pos long, ref string, alt string").withColumn("_m", F.md5(F.col("ref")))
+    known = selection.annotate_contexts(calls, sites, splice)
+    assert sorted((r["sample_id"], r["pos"], r["change"], r["impact"]) for r in known.collect()) == [(1, 94, "TGA>TAA", "Essential_Splice"), (1, 98, "TGC>TCC", "Missense"), (2, 94, "TGA>TAA", "Essential_Splice")]
+    assert plan(known).count("md5") == 1
+
+
+def test_context_opportunities_are_those_of_each_site(spark):
+    draw = random.Random(2)
+    sites = genes.codon_sites(spark.createDataFrame([(f"g{k}", "c1", "+", 1000 * k + i, draw.choice("ACGT"), i + 1) for k in range(4) for i in range(31)], SITES))
+    splice = spark.createDataFrame([("A", "C", "G"), ("A", "C", "G"), (None, "C", "G")], "up string, base string, down string")
+    got = {(r["change"], r["impact"]): r["sites"] for r in selection.context_opportunities(sites, splice).collect()}
+    each = genes.possible_changes(sites).filter("up is not null and down is not null").select(F.concat("up", "base", "down", F.lit(">"), "up", "alt_cod", "down").alias("c"), "impact").collect()
+    want = {k: sum((r["c"], r["impact"]) == k for r in each) for k in {(r["c"], r["impact"]) for r in each}}
+    assert got == want | {(f"ACG>A{b}G", "Essential_Splice"): 2 for b in "AGT"}

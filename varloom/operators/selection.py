@@ -9,7 +9,6 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from varloom.functions.scalars import complement
 from varloom.operators.genes import IMPACTS, annotate_impact, possible_changes
 from varloom.operators.stats import bootstrap
 
@@ -35,19 +34,18 @@ def annotate_contexts(calls: DataFrame, sites: DataFrame, splice: DataFrame) ->
     chrom, pos, strand, base, up, down; bases on the coding strand).  Calls elsewhere, in incomplete codons, or
     beside an unknown base have no row.
     """
-    coding = annotate_impact(calls, sites).select(*calls.columns, "gene_id", "ref_cod", "alt_cod", "up", "down", "impact")
-    minus = F.col("strand") == "-"
-    beside = calls.join(splice.select("gene_id", "chrom", "pos", "strand", "up", "down"), ["chrom", "pos"])
-    beside = beside.withColumns({f"{x}_cod": F.when(minus, complement(x)).otherwise(F.col(x)) for x in ("ref", "alt")}).withColumn("impact", F.lit("Essential_Splice"))
-    both = coding.unionByName(beside.select(coding.columns))
-    return both.withColumn("change", context_change("ref_cod", "alt_cod")).filter(F.col("impact").isin(*IMPACTS) & F.col("change").isNotNull()).drop("up", "down")
+    beside = splice.select("gene_id", "chrom", "pos", "strand", "up", "down").withColumn("_splice", F.lit(True))
+    places = sites.withColumn("_splice", F.lit(False)).unionByName(beside, allowMissingColumns=True)  # so that calls are worked out and moved once
+    known = annotate_impact(calls, places).withColumn("impact", F.when(F.col("_splice"), "Essential_Splice").otherwise(F.col("impact")))
+    return known.filter(F.col("impact").isin(*IMPACTS)).select(*calls.columns, "gene_id", "ref_cod", "alt_cod", "impact", context_change("ref_cod", "alt_cod").alias("change")).filter("change is not null")
 
 
 def context_opportunities(sites: DataFrame, splice: DataFrame) -> DataFrame:
     """How many sites allow each change in context, by impact: at most 192 times 4 rows."""
-    spliced = splice.withColumn("alt_cod", F.explode(F.array(*map(F.lit, "ACGT")))).filter("alt_cod <> base").withColumn("impact", F.lit("Essential_Splice"))
-    parts = [x.select("up", "base", "alt_cod", "down", "impact") for x in (possible_changes(sites), spliced)]
-    return parts[0].unionByName(parts[1]).withColumn("change", context_change("base", "alt_cod")).filter("change is not null").groupBy("change", "impact").agg(F.count(F.lit(1)).alias("sites"))
+    spliced = splice.groupBy("up", "base", "down").agg(F.count(F.lit(1)).alias("_k")).withColumn("alt_cod", F.explode(F.array(*map(F.lit, "ACGT")))).filter("alt_cod <> base").withColumn("impact", F.lit("Essential_Splice"))
+    alike = sites.groupBy("up", "base", "down", "codon", "in_codon").agg(F.count(F.lit(1)).alias("_k"))  # some thousand rows, so that changes are worked out once for sites that are alike
+    parts = [x.select("up", "base", "alt_cod", "down", "impact", "_k") for x in (possible_changes(alike), spliced)]
+    return parts[0].unionByName(parts[1]).withColumn("change", context_change("base", "alt_cod")).filter("change is not null").groupBy("change", "impact").agg(F.sum("_k").alias("sites"))
 
 
 def fit_ratios(n: np.ndarray, sites: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
