@@ -55,3 +55,16 @@ def test_context_opportunities_are_those_of_each_site(spark):
     each = genes.possible_changes(sites).filter("up is not null and down is not null").select(F.concat("up", "base", "down", F.lit(">"), "up", "alt_cod", "down").alias("c"), "impact").collect()
     want = {k: sum((r["c"], r["impact"]) == k for r in each) for k in {(r["c"], r["impact"]) for r in each}}
     assert got == want | {(f"ACG>A{b}G", "Essential_Splice"): 2 for b in "AGT"}
+
+
+def test_cohort_map_moves_calls_once(spark):
+    draw = random.Random(3)
+    pick = lambda *x: draw.choice([*x, None] if draw.random() < 0.1 else x)
+    rows = [(pick(*range(12)), pick("a", "b"), pick("c1", "c2"), pick(*range(25)), pick(*"AC"), pick(*"GT"), i) for i in range(600)]
+    calls = spark.createDataFrame(rows, "sample_id int, tissue string, chrom string, pos long, ref string, alt string, k int").repartition(3)
+    for panel, shared in ((0.4, 0.1), (0.3, 0.2), (0.25, 0.5), (2.0, 0.15)):
+        want = cohort.drop_recurrent(cohort.drop_panel(calls, cohort.panel_of_normals(calls, panel)), shared)
+        got = pipelines.cohort_map(calls, panel, shared)
+        assert got.columns == calls.columns and same(want, got)
+        assert 0 < want.count() < 600
+    assert plan(got.select("k")).count("LogicalRDD") <= 5 < plan(want.select("k")).count("LogicalRDD")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,6 +39,24 @@ def drop_recurrent(calls: DataFrame, min_freq: float = 0.04) -> DataFrame:
     return calls.join(common, ALLELE, "left_anti")
 
 
+def drop_panel_and_recurrent(calls: DataFrame, min_freq: float = 0.4, recurrent: float = 0.04) -> DataFrame:
+    """What ``drop_recurrent`` leaves of the calls that ``drop_panel`` leaves with their own panel of normals, by position.
+
+    Both look at the calls of one position, so calls are moved and ordered by position once; the samples there are, of
+    each tissue and of the calls beyond the panel, are counted by a reading of their own."""
+    samples = F.countDistinct("sample_id").alias("_samples")
+    place, allele = ["chrom", "pos"], ["chrom", "pos", "ref", "alt"]
+    with_it = lambda key: F.size(F.collect_set("sample_id").over(Window.partitionBy(*key)))  # noqa: E731  a position has no more samples than there are
+    known = lambda key: reduce(lambda a, b: a & b, (F.col(c).isNotNull() for c in key))
+    # dealt by position, which serves each of the windows
+    seen = calls.join(F.broadcast(calls.groupBy("tissue").agg(samples)), "tissue", "left").select(*calls.columns, "_samples").repartition(*place)
+    often = F.coalesce(known([*allele, "tissue"]) & (with_it([*allele, "tissue"]) / F.col("_samples") >= min_freq), F.lit(False))
+    left = seen.withColumn("_often", often).withColumn("_panel", F.max("_often").over(Window.partitionBy(*place))).filter("not _panel").drop("_samples", "_often", "_panel")
+    every = left.agg(samples)  # one row
+    shared = F.coalesce(known(allele) & (with_it(allele) / F.col("_samples") >= recurrent), F.lit(False))
+    return left.join(F.broadcast(every), how="cross").withColumn("_shared", shared).filter("not _shared").select(*calls.columns)
+
+
 def distinct_mutations(calls: DataFrame) -> DataFrame:
     return calls.select(*ALLELE).distinct()
 

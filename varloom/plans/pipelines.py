@@ -19,7 +19,7 @@ def call_mutations(pileup: DataFrame, stats: DataFrame, junctions: DataFrame, bl
 
 def cohort_map(calls: DataFrame, min_freq: float = 0.4, recurrent: float = 0.04) -> DataFrame:
     """Clean calls to the final map: panel of normals, then recurrence over all samples."""
-    return cohort.drop_recurrent(cohort.drop_panel(calls, cohort.panel_of_normals(calls, min_freq)), recurrent)
+    return cohort.drop_panel_and_recurrent(calls, min_freq, recurrent)
 
 
 def threshold(calls: DataFrame, min_support: int = 6, min_coverage: int = 40, vaf_hi: float = 0.7) -> DataFrame:
