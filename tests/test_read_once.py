@@ -5,7 +5,7 @@ from types import SimpleNamespace
 
 from pyspark.sql import functions as F
 
-from varloom.operators import cohort, filters, genes, selection
+from varloom.operators import cohort, genes, selection
 from varloom.plans import pipelines, reads_queries
 
 SITES = "gene_id string, chrom string, strand string, pos long, base string, cds_pos long"
