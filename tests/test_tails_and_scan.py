@@ -98,6 +98,37 @@ def test_alike_features_are_scanned_once(spark, scanned, monkeypatch):
     assert regression.association_scan(unnamed, phenotypes, top=1).collect()[0]["feature"] is None
 
 
+def test_features_of_a_large_class_are_dealt_to_tasks(spark, scanned, monkeypatch):
+    monkeypatch.setattr(regression, "PART", 4)
+    monkeypatch.setattr(regression, "PARTS", 6)
+    features, phenotypes = scanned
+    names = [None, *(f"c{i:02d}" for i in range(40))]
+    copies = spark.createDataFrame([(n,) for n in names], "feature string").crossJoin(features.filter("feature = 'f2'").select("sample_id", "x"))
+    whole = regression.association_scan(features, phenotypes, digits=3)
+    known = {(r["feature"], r["phenotype"]): r[2:] for r in whole.collect()}
+    plain = {(r["feature"], r["phenotype"]): r for r in regression.association_scan(features, phenotypes).withColumns({c: F.round(c, 3) for c in ("beta", "r")}).collect()}
+    assert known == {k: r[2:] for k, r in plain.items()}
+    for few in (0, 1024):  # the first ones by a join, and by their names
+        monkeypatch.setattr(regression, "FEW", few)
+        got = regression.association_scan(features.unionByName(copies), phenotypes, digits=3).withColumn("task", F.spark_partition_id()).collect()
+        assert len(got) == len(known) + 41 * 9 and len({r["task"] for r in got if r["feature"] is None or r["feature"][0] == "c"}) > 1
+        assert all(r[2:-1] == known["f2" if r["feature"] is None or r["feature"][0] == "c" else r["feature"], r["phenotype"]] for r in got)
+
+
+def test_covariate_scan_moves_no_cells_of_like_features(spark, capsys):
+    """All cells were moved by their feature to find those of the first ones, and results were rounded for each feature."""
+    from varloom.plans.projections import Tables
+    from varloom.plans.stats_queries import QUERIES, features
+
+    t = Tables(spark, "/root/testdata/sf0.001")
+    regression.alike(features(t))[0].explain()
+    assert "hashpartitioning(coalesce(feature" not in capsys.readouterr().out
+    for name in ("r4_scan_with_covariates", "r4_association_scan"):
+        QUERIES[name][0](t).explain()
+        before, after = (out := capsys.readouterr().out).split("Join [_first", 1)
+        assert "round(" not in before and "round(" in after, out
+
+
 def test_genotypes_are_those_of_the_projection(spark):
     from varloom.plans.projections import PROJECTIONS, Tables
 
