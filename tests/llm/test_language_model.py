@@ -130,6 +130,20 @@ def test_contexts_run_over_words(spark):
     assert got[100] > got[101] + 1
 
 
+def test_sums_of_runs():
+    rng = np.random.default_rng(3)
+    runs = [np.unique(rng.integers(0, 50, 30)).astype(np.int64) for _ in range(4)] + [np.zeros(0, np.int64)]
+    times = [rng.integers(1, 2**32, len(r)).astype("<u4") for r in runs]
+    want = collections.Counter()
+    for r, t in zip(runs, times):
+        want.update(dict(zip(r.tolist(), t.tolist())))
+    keys, sums = lm.summed(runs, times)
+    assert dict(zip(keys.tolist(), sums.tolist())) == dict(want) and keys.tolist() == sorted(want) and sums.dtype == np.int64
+    assert [len(x) for x in lm.summed([], [])] == [0, 0] == [len(x) for x in lm.summed([runs[-1]], [times[-1]])]
+    # sums are of integers: as doubles they lost what is beyond 2^53
+    assert lm.summed([np.array([7]), np.array([7])], [np.array([2**53]), np.array([1])])[1].tolist() == [2**53 + 1]
+
+
 def test_blocks_and_steps_do_not_matter(spark, rows, monkeypatch):
     docs = spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(1)
     read = lm.read_texts
